@@ -67,6 +67,10 @@ def _key(low: int, bits: int) -> Column:
     return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1))
 
 
+def _in_segment(seg: int):
+    return lambda value: F.struct(F.lit(seg).alias("seg"), value.alias("key"))
+
+
 def links(distinct: DataFrame, max_bits: int = 4, segments: tuple = SEGMENTS) -> DataFrame:
     """Pairs ``(a, b)`` of distinct fingerprints (column ``fp``) that differ in at most ``max_bits`` bits.
 
@@ -80,7 +84,7 @@ def links(distinct: DataFrame, max_bits: int = 4, segments: tuple = SEGMENTS) ->
         key = _key(low, bits)
         values = [key] + [F.when(key.bitwiseAND(F.lit(1 << j)) == 0, key.bitwiseOR(F.lit(1 << j))) for j in range(bits) if radius]
         ball = F.filter(F.array(*values), lambda v: v.isNotNull())
-        balls.append(F.transform(ball, lambda v, s=s: F.struct(F.lit(s).alias("seg"), v.alias("key"))))
+        balls.append(F.transform(ball, _in_segment(s)))
     stored = distinct.select(F.col("fp").alias("b"), F.explode(F.array(*entries)).alias("e")).select("b", "e.seg", "e.key")
     probes = distinct.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*balls))).alias("e")).select("a", "e.seg", "e.key")
     found = probes.hint("merge").join(stored, ["seg", "key"]).where("a != b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
