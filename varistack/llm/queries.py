@@ -1,8 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
+from varistack.llm.packing import op10_best_fit_packing
 from varistack.llm.simhash import op2_simhash
 
 QUERIES = {
+    "op10_best_fit_packing": op10_best_fit_packing,
     "op2_simhash": op2_simhash,
 }
 
