@@ -2,10 +2,12 @@
 
 from varistack.llm.packing import op10_best_fit_packing
 from varistack.llm.simhash import op2_simhash
+from varistack.llm.suffix_dedup import op7_suffix_dedup
 
 QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op2_simhash": op2_simhash,
+    "op7_suffix_dedup": op7_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
