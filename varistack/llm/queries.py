@@ -4,10 +4,12 @@ from varistack.llm.langid import op8_language_id
 from varistack.llm.packing import op10_best_fit_packing
 from varistack.llm.simhash import op2_simhash
 from varistack.llm.suffix_dedup import op7_suffix_dedup
+from varistack.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op2_simhash": op2_simhash,
+    "op3_toxicity": op3_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
 }
