@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
+from varistack.llm.decontaminate import op5_decontaminate
 from varistack.llm.langid import op8_language_id
 from varistack.llm.packing import op10_best_fit_packing
 from varistack.llm.simhash import op2_simhash
@@ -10,6 +11,7 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
+    "op5_decontaminate": op5_decontaminate,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
 }
