@@ -3,6 +3,8 @@
 from varistack.llm.decontaminate import op5_decontaminate
 from varistack.llm.langid import op8_language_id
 from varistack.llm.packing import op10_best_fit_packing
+from varistack.llm.secrets import ORACLE as OP4_SQL
+from varistack.llm.secrets import op4_secret_scan
 from varistack.llm.simhash import op2_simhash
 from varistack.llm.suffix_dedup import op7_suffix_dedup
 from varistack.llm.toxicity import op3_toxicity
@@ -11,9 +13,12 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
+    "op4_secret_scan": op4_secret_scan,
     "op5_decontaminate": op5_decontaminate,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_secret_scan": OP4_SQL,
+}
