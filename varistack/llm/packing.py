@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +35,13 @@ END_ID = 1
 PART_ROWS = 100_000
 MAX_ROUNDS = 4
 #: Distinct words whose ids a task keeps before it starts its cache anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
+
+
+_PLAIN_WORD = re.compile("[a-zß-öø-ÿ]+")
+#: Byte-level BPE spells each byte as a printable character: Latin-1's own where it is one, else from 256 on.
+_PRINTABLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+_BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
 class WordTokenizer:
@@ -53,15 +60,34 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
+        probe = ["the", "tokenization", "straße", "où", "éàüñ"]
+        try:
+            self.plain = all(self._plain_ids(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+        except Exception as refused:  # the model's own library raises bare exceptions
+            if type(refused) is not Exception:
+                raise
+            self.plain = False
         self._clear()
 
+    def _plain_ids(self, word: str) -> list[int]:
+        """Ids of a lower-case Latin-1 word straight from the merge model, without normaliser and pre-tokeniser."""
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
+
     def _clear(self):
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.ptr = np.zeros(1, np.int64)
 
     def _encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of distinct words, a few hundred at a call, with a special token between them."""
+        """Ids of distinct words: plain ones from the model, the rest by whole calls."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        simple = [bool(self.plain and _PLAIN_WORD.fullmatch(t)) for t in texts]
+        rest = iter(self._encode_other([w for w, s in zip(words, simple) if not s]))
+        return [np.array(self._plain_ids(t), np.uint32) if s else next(rest) for t, s in zip(texts, simple)]
+
+    def _encode_other(self, words: list[bytes]) -> list[np.ndarray]:
+        """A few hundred words at a call, with a special token between them."""
         out: list[np.ndarray] = []
         for at in range(0, len(words), 256):
             texts = [w.decode("utf-8", "replace") for w in words[at : at + 256]]

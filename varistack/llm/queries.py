@@ -8,6 +8,7 @@ from varistack.llm.secrets import op4_secret_scan
 from varistack.llm.simhash import op2_simhash
 from varistack.llm.suffix_dedup import op7_suffix_dedup
 from varistack.llm.toxicity import op3_toxicity
+from varistack.llm.urlfilter import op6_url_filter
 
 QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
     "op5_decontaminate": op5_decontaminate,
+    "op6_url_filter": op6_url_filter,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
 }
