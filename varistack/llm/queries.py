@@ -9,8 +9,11 @@ from varistack.llm.simhash import op2_simhash
 from varistack.llm.suffix_dedup import op7_suffix_dedup
 from varistack.llm.toxicity import op3_toxicity
 from varistack.llm.urlfilter import op6_url_filter
+from varistack.llm.warc import ORACLE as OP9_SQL
+from varistack.llm.warc import op9_warc
 
 QUERIES = {
+    "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
@@ -23,4 +26,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_secret_scan": OP4_SQL,
+    "op9_warc": OP9_SQL,
 }
