@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varistack.llm.common import slices, table
+from varistack.llm.common import checkpoint, slices, table
 
 K1, B = 1.2, 0.75
 #: Normalised BM25 score from which an item is a candidate of a window.
@@ -133,65 +133,85 @@ def _ranges(begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(begin - (end - size), size)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE, containment: float = CONTAINMENT, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """``(id_col, item_id, score, question_overlap, answer_overlap)`` per document and verified test item.
+def item_indexes(items: DataFrame, shard_items: int = SHARD_ITEMS) -> list:
+    """Broadcast indexes of the items' shards; ``items`` has ``item_id``, ``question`` and ``answer``.
 
-    ``items`` has ``item_id``, ``question`` and ``answer``; score is the best window's. Null texts are
-    empty and match nothing, items without words match nothing; ids may be null; a repeated document
-    row gives its rows again, repeated item rows count once.
+    Statistics are counted over all items on the executors. Null parts are empty, repeated rows count once.
     """
-    spark = docs.sparkSession
+    spark = items.sparkSession
     known = items.select("item_id", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer")).distinct()
     n_items = known.count()
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    schema = f"id {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double"
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shards = max(1, math.ceil(n_items / shard_items))
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(w, len(own)) for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()) for own in [words_of(q) + words_of(a)] for w in set(own)]
-            lengths = [len(words_of(q) + words_of(a)) for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.record_batch([pa.array([w for w, _ in rows] + [b""] * len(lengths), pa.binary()), pa.array([1] * len(rows) + lengths, pa.int64())], names=["term", "n"])
+            words = [words_of(q) + words_of(a) for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            rows = [w for own in words for w in set(own)]
+            yield pa.record_batch([pa.array(rows + [b""] * len(words), pa.binary()), pa.array([1] * len(rows) + [len(own) for own in words], pa.int64())], names=["term", "n"])
 
-    counted = known.mapInArrow(stats, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = checkpoint(known.mapInArrow(stats, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")))
     parts = known.withColumn("shard", F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(shards)))
-    out = None
+    out = []
     for shard in range(shards):
-        rows = [tuple(r) for r in parts.where(F.col("shard") == shard).orderBy("item_id", "question", "answer").select("item_id", "question", "answer").collect()]
+        rows = [tuple(r) for r in parts.where(F.col("shard") == shard).orderBy("item_id", "question", "answer").select("item_id", "question", "answer").collect()]  # about shard_items
         terms = sorted({w for _, q, a in rows for w in words_of(q) + words_of(a)})
-        wanted = spark.createDataFrame([(bytearray(w),) for w in terms + [b""]], "term binary")
+        wanted = spark.createDataFrame([(bytearray(w),) for w in [*terms, b""]], "term binary")
         df = {bytes(r["term"]): r["n"] for r in counted.join(F.broadcast(wanted), "term").collect()}
         mean = df.pop(b"", 0) / max(1, n_items)
-        index = spark.sparkContext.broadcast(ItemIndex(rows, df, n_items, max(mean, 1.0)))
+        out.append(spark.sparkContext.broadcast(ItemIndex(rows, df, n_items, max(mean, 1.0))))
+    return out
+
+
+def matches(index: ItemIndex, text: str | None, min_score: float = MIN_SCORE, containment: float = CONTAINMENT) -> list[tuple]:
+    """``(item id, score, question overlap, answer overlap)`` of the verified items of one text."""
+    words = words_of(text) if text else []
+    get, missing = index.vocabulary.get, len(index.vocabulary)
+    near = index.candidates(np.fromiter((get(w, missing) for w in words), np.int64, len(words)), min_score)
+    if not near:
+        return []
+    held, joined = _shingles(words), b" %b " % b" ".join(words)
+    both = [(i, score, *(_overlap(s, held, joined) for s in index.shingles[i])) for i, score in near.items()]
+    return [(index.ids[i], score, question, answer) for i, score, question, answer in both if min(question, answer) >= containment]
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE, containment: float = CONTAINMENT, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """``(id_col, item_id, score, question_overlap, answer_overlap)`` per document and verified test item.
+
+    score is the best window's. Null texts are empty and match nothing, items without words match
+    nothing; ids may be null; a repeated document row gives its rows again.
+    """
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = None
+    for index in item_indexes(items, shard_items):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = index.value
-            missing = len(own.vocabulary)
-            get = own.vocabulary.get
             for batch in slices(batches):
-                rows: list[tuple] = []
-                for row, text in enumerate(batch.column(1).to_pylist()):
-                    words = words_of(text) if text else []
-                    ids = np.fromiter((get(w, missing) for w in words), np.int64, len(words))
-                    near = own.candidates(ids, min_score)
-                    if not near:
-                        continue
-                    held, joined = _shingles(words), b" %b " % b" ".join(words)
-                    for i, score in near.items():
-                        question, answer = (_overlap(s, held, joined) for s in own.shingles[i])
-                        if question >= containment and answer >= containment:
-                            rows.append((row, own.ids[i], score, question, answer))
+                rows = [(row, *m) for row, text in enumerate(batch.column(1).to_pylist()) for m in matches(index.value, text, min_score, containment)]
                 if rows:
                     at, ids, *numbers = zip(*rows)
                     columns = [batch.column(0).take(pa.array(at)), pa.array(ids), *(pa.array(x, pa.float64()) for x in numbers)]
                     yield pa.record_batch(columns, names=["id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        found = texts.mapInArrow(run, schema)
+        found = texts.mapInArrow(run, f"id {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
 
 
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE, containment: float = CONTAINMENT, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """The rows, whole, whose text holds no test item; see :func:`contaminated`."""
+    out = docs
+    for index in item_indexes(items, shard_items):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, text_col):
+                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                yield batch.filter(pa.array([not matches(index.value, t, min_score, containment) for t in texts], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def items_of(benchmark: DataFrame) -> DataFrame:
     """``(item_id, question, answer)`` of a table with one text per item."""
 

@@ -23,6 +23,8 @@ DOCS_PER_LANG = 1500
 BUCKETS = 1 << 16
 NGRAMS = (1, 2, 3, 4)
 SWITCH_PENALTY = 6.0
+#: Share of a text's letters that its language must have for the text to be kept.
+MIN_SHARE = 0.4
 #: Distinct words whose scores a task keeps before it starts its cache anew.
 CACHE_WORDS = 200_000
 
@@ -218,6 +220,26 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     return map_text(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema).withColumnRenamed("id", id_col)
 
 
+def keep_identified(docs: DataFrame, model: dict, text_col: str = "text", min_share: float = MIN_SHARE, switch_penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """The rows, whole, in whose text some language has at least ``min_share`` of the letters.
+
+    Texts without a letter, null texts, and texts in which no language prevails go. An empty model keeps nothing.
+    """
+    langs = len(model["langs"])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    cache: dict[str, Labeller] = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            labeller = cache.setdefault("it", Labeller(shared.value, switch_penalty))
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            _, sizes, labels = labeller.label(texts) if langs else ([], [np.zeros(0)] * len(texts), [np.zeros(0, np.int8)] * len(texts))
+            keep = [bool(size.sum()) and np.bincount(label, size, langs).max() >= min_share * size.sum() for size, label in zip(sizes, labels)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """True where crc32 of the id as text, modulo 4, is 2; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

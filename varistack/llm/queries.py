@@ -3,6 +3,7 @@
 from varistack.llm.decontaminate import op5_decontaminate
 from varistack.llm.langid import op8_language_id
 from varistack.llm.packing import op10_best_fit_packing
+from varistack.llm.search import op1_bm25_topk
 from varistack.llm.secrets import ORACLE as OP4_SQL
 from varistack.llm.secrets import op4_secret_scan
 from varistack.llm.simhash import op2_simhash
@@ -13,8 +14,7 @@ from varistack.llm.warc import ORACLE as OP9_SQL
 from varistack.llm.warc import op9_warc
 
 QUERIES = {
-    "op9_warc": op9_warc,
-    "op10_best_fit_packing": op10_best_fit_packing,
+    "op1_bm25_topk": op1_bm25_topk,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
@@ -22,6 +22,8 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
+    "op9_warc": op9_warc,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {

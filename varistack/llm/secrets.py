@@ -155,22 +155,14 @@ def postings(keyed: DataFrame, trigrams: list[str]) -> DataFrame:
     return lowered.select(F.explode(held).alias("gram"), "doc_id", "h")
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, spans)`` per row: spans by start, then rule, as structs ``(start, ord, end, kind)``.
-
-    A null text is empty and has no spans. Null ids and repeated rows are kept, each with its spans;
-    rows of one id with different texts are told apart by a hash of the text.
-    """
+def _found(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
+    """``(f_id, f_h, spans)`` of each id and text hash that has spans."""
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     queries = {i: trigram_query(r.regex) for i, r in enumerate(rules)}
     indexed = {i: q for i, q in queries.items() if q != ALL}
     names = sorted(set().union(set(), *map(_trigrams, indexed.values())))
     place = {t: i for i, t in enumerate(names)}
-    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
-
-    def of(col: str) -> Column:
-        return F.coalesce(F.col(col), none)
-
+    none = _no_spans()
     full = [_spans(F.col("text"), rules[i], i) for i, q in queries.items() if q == ALL]
     parts = []
     if full:
@@ -191,9 +183,48 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
         verified = [F.when(F.array_contains("rules", i), _spans(F.col("text"), rules[i], i)).otherwise(none) for i in indexed]
         parts.append(texts.select("doc_id", "h", F.concat(*verified).alias("spans")).where(F.size("spans") > 0))
     found = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    found = found.select(F.col("doc_id").alias("f_id"), F.col("h").alias("f_h"), "spans")
-    out = keyed.select("doc_id", "h").join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h")), "left")
-    return out.select(F.col("doc_id").alias(id_col), of("spans").alias("spans"))
+    return found.select(F.col("doc_id").alias("f_id"), F.col("h").alias("f_h"), "spans")
+
+
+def _no_spans() -> Column:
+    return F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, spans)`` per row: spans by start, then rule, as structs ``(start, ord, end, kind)``.
+
+    A null text is empty and has no spans. Null ids and repeated rows are kept, each with its spans;
+    rows of one id with different texts are told apart by a hash of the text.
+    """
+    found = _found(docs, rules, id_col, text_col)
+    rows = docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__h"))
+    out = rows.join(found, F.col(id_col).eqNullSafe(F.col("f_id")) & (F.col("__h") == F.col("f_h")), "left")
+    return out.select(id_col, F.coalesce("spans", _no_spans()).alias("spans"))
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+    """The rows, whole, with each maximal run of overlapping spans in the text replaced by ``mark``.
+
+    A column ``size_col``, if there is one, gets the new length of a changed text. Null texts stay null.
+    """
+    found = _found(docs, rules, id_col, text_col)
+    rows = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = rows.join(found, F.col(id_col).eqNullSafe(F.col("f_id")) & (F.col("__h") == F.col("f_h")), "left")
+    text = F.col(text_col)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, span: Column) -> Column:
+        apart = F.concat(acc["out"], F.substring(text, acc["at"] + 1, span["start"] - acc["at"]), F.lit(mark))
+        new = (span["start"] >= acc["at"]) & ((span["start"] > acc["at"]) | (acc["out"] == ""))
+        return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), F.when(new, apart).otherwise(acc["out"]).alias("out"))
+
+    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    changed = F.col("spans").isNotNull()
+    columns = {c: F.col(c) for c in docs.columns}
+    columns[text_col] = F.when(changed, clean).otherwise(text)
+    if size_col in docs.columns:
+        columns[size_col] = F.when(changed, F.length(clean).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col))
+    return joined.select(*[value.alias(name) for name, value in columns.items()])
 
 
 def _joined(spans: Column) -> Column:

@@ -111,13 +111,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents to keep: of each component the row with the smallest id, whole, with all its columns.
 
-    Rows that share that smallest id are reduced to one. Rows with a null id are kept only where their
-    component has no id at all.
+    Rows with a null id come after all others; of rows with one id the smallest text hash wins, and
+    of rows equal in id and text one stays.
     """
-    near = near_duplicates(docs, id_col, text_col, **options)
-    keep = near.select(F.col("component_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    order = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    rows = docs.withColumn("__row", order)
+    near = near_duplicates(rows, "__row", text_col, **options)
+    keep = near.where(F.col("__row").eqNullSafe(F.col("component_id"))).select(F.col("__row").alias("__keep")).distinct()
+    kept = rows.join(keep, F.col("__row").eqNullSafe(F.col("__keep")), "left_semi")
+    return kept.dropDuplicates(["__row"]).drop("__row")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
