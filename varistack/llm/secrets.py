@@ -207,9 +207,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
 
     A column ``size_col``, if there is one, gets the new length of a changed text. Null texts stay null.
     """
-    found = _found(docs, rules, id_col, text_col)
+    found = _found(docs, rules, id_col, text_col).select(F.col("f_id").alias("__id"), F.col("f_h").alias("__fh"), F.col("spans").alias("__spans"))
     rows = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = rows.join(found, F.col(id_col).eqNullSafe(F.col("f_id")) & (F.col("__h") == F.col("f_h")), "left")
+    joined = rows.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__fh")), "left")
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -218,13 +218,14 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
         new = (span["start"] >= acc["at"]) & ((span["start"] > acc["at"]) | (acc["out"] == ""))
         return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), F.when(new, apart).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    changed = F.col("spans").isNotNull()
-    columns = {c: F.col(c) for c in docs.columns}
-    columns[text_col] = F.when(changed, clean).otherwise(text)
+    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    changed = F.col("__spans").isNotNull()
+    cleaned = joined.withColumn("__clean", F.when(changed, clean).otherwise(text))
+    # the length is taken of the finished column: inside one projection with the fold above it comes out wrong
+    columns = {c: F.col(c) for c in docs.columns} | {text_col: F.col("__clean")}
     if size_col in docs.columns:
-        columns[size_col] = F.when(changed, F.length(clean).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col))
-    return joined.select(*[value.alias(name) for name, value in columns.items()])
+        columns[size_col] = F.when(changed, F.length("__clean").cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col))
+    return cleaned.select(*[value.alias(name) for name, value in columns.items()])
 
 
 def _joined(spans: Column) -> Column:
