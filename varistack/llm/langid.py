@@ -26,27 +26,41 @@ SWITCH_PENALTY = 6.0
 #: Share of a text's letters that its language must have for the text to be kept.
 MIN_SHARE = 0.4
 #: Distinct words whose scores a task keeps before it starts its cache anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 #: First code point of each script range, and the script; a range ends where the next begins.
 SCRIPT_STARTS = (0x0000, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0750, 0x0780, 0x0900, 0x0980, 0x0A00, 0x0B80, 0x0C00, 0x0E00, 0x0E80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x30A0, 0x3100, 0x3400, 0xAC00, 0xD7B0)
 SCRIPT_NAMES = ("Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Arabic", "Other", "Devanagari", "Bengali", "Indic", "Tamil", "Telugu", "Thai", "Lao", "Georgian", "Hangul", "Ethiopic", "Latin", "Greek", "Other", "Hiragana", "Katakana", "Other", "Han", "Hangul", "Other")
 
 
-def _script(letters: str) -> str:
-    """Script of the first letter."""
-    return SCRIPT_NAMES[int(np.searchsorted(SCRIPT_STARTS, ord(letters[0]), "right")) - 1]
-
-
 def _letters(word: str) -> str:
     return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
 
-def _grams(word: str) -> list[int]:
-    from zlib import crc32
+class _Grams:
+    """Hashed character n-grams of many words at once; words are marked at both ends."""
+
+    def __init__(self, words: list[str]):
+        self.size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        self.begin = np.cumsum(self.size) - self.size
+        joined = "".join([f"\x02{w}\x03" for w in words])
+        self.code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+    def hashed(self, n: int) -> np.ndarray:
+        """Bucket of the n-gram at every position (those that cross a word's end mean nothing)."""
+        padded = np.concatenate([self.code, np.zeros(n, np.uint64)])
+        h = np.full(len(self.code), n, np.uint64)
+        for j in range(n):
+            h = (h ^ padded[j : j + len(self.code)]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return (h % np.uint64(BUCKETS)).astype(np.int64)
 
-    data = f"\x02{word}\x03"
-    return [crc32(data[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in NGRAMS for i in range(len(data) - n + 1)]
+    def counts(self, n: int) -> np.ndarray:
+        return np.maximum(self.size - n + 1, 0)
+
+    def scripts(self) -> np.ndarray:
+        """Index into ``SCRIPT_NAMES`` of each word's first letter."""
+        return np.searchsorted(SCRIPT_STARTS, self.code[self.begin + 1], "right") - 1
 
 
 def _words(text: str) -> list[str]:
@@ -78,12 +92,21 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for word in _words(text):
                     seen[lang, word] = seen.get((lang, word), 0) + 1
-            for (lang, word), n in seen.items():
-                letters = _letters(word)
-                if letters:
-                    counts = grams.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                    np.add.at(counts, _grams(letters), n)
-                    pair = lang, _script(letters)
+            for lang in {x for x, _ in seen}:
+                stems: dict[str, int] = {}
+                for (own, word), n in seen.items():
+                    if own == lang and (letters := _letters(word)):
+                        stems[letters] = stems.get(letters, 0) + n
+                if not stems:
+                    continue
+                words, number = _Grams(list(stems)), np.fromiter(stems.values(), np.int64, len(stems))
+                counts = grams.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                inside = np.arange(len(words.code)) - np.repeat(words.begin, words.size)
+                for n in NGRAMS:
+                    weight = np.repeat(number, words.size) * (inside <= np.repeat(words.size - n, words.size))
+                    counts += np.bincount(words.hashed(n), weight, BUCKETS).astype(np.int64)
+                for script, n in zip(words.scripts().tolist(), number.tolist()):
+                    pair = lang, SCRIPT_NAMES[script]
                     scripts[pair] = scripts.get(pair, 0) + n
         for lang, counts in grams.items():
             at = np.flatnonzero(counts)
@@ -112,29 +135,39 @@ class Labeller:
         self._clear()
 
     def _clear(self):
+        """Row 0 is that of words without a letter."""
         self.known: dict[str, int] = {}
-        self.score = np.zeros((0, len(self.model["langs"])), np.float32)
-        self.size = np.zeros(0, np.int64)
+        self.stems: dict[str, int] = {}
+        self.score = np.zeros((1, len(self.model["langs"])), np.float32)
+        self.size = np.zeros(1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        letters = [_letters(w) for w in words]
-        grams = [_grams(x) if x else [0] for x in letters]
-        flat = np.fromiter((g for own in grams for g in own), np.int64)
-        begin = np.concatenate([[0], np.cumsum([len(g) for g in grams])[:-1]]).astype(np.int64)
-        each = np.add.reduceat(self.model["logp"][flat], begin) / np.array([[len(g)] for g in grams], np.float32)
+        stems = [_letters(w) for w in words]
+        new = list(dict.fromkeys(x for x in stems if x and x not in self.stems))
+        if new:
+            self.stems.update(zip(new, range(len(self.score), len(self.score) + len(new))))
+            self.score = np.concatenate([self.score, self._scores(new)])
+            self.size = np.concatenate([self.size, np.fromiter(map(len, new), np.int64, len(new))])
+        self.known.update((w, self.stems[x] if x else 0) for w, x in zip(words, stems))
+
+    def _scores(self, words: list[str]) -> np.ndarray:
+        grams, logp = _Grams(words), self.model["logp"]
+        total, number = np.zeros((len(words), logp.shape[1])), np.zeros(len(words))
+        for n in NGRAMS:
+            sums = np.concatenate([np.zeros((1, logp.shape[1])), np.cumsum(logp[grams.hashed(n)], axis=0, dtype=np.float64)])
+            many = grams.counts(n)
+            total += sums[grams.begin + many] - sums[grams.begin]
+            number += many
         # a mean over n-grams, weighted up to the word's length so that longer words count for more
-        each *= np.array([[min(len(x), 8)] for x in letters], np.float32)
-        for row, own in enumerate(letters):
-            if not own:
-                each[row] = 0
-                continue
-            among = self.model["scripts"].get(_script(own))
+        each = (total / number[:, None] * np.minimum(grams.size - 2, 8)[:, None]).astype(np.float32)
+        script = grams.scripts()
+        for own in np.unique(script):
+            among = self.model["scripts"].get(SCRIPT_NAMES[own])
             if among and len(among) < each.shape[1]:
-                low = each[row].min() - 20
-                each[row, [i for i in range(each.shape[1]) if i not in among]] = low
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.score = np.concatenate([self.score, each])
-        self.size = np.concatenate([self.size, np.array([len(x) for x in letters], np.int64)])
+                rows = np.flatnonzero(script == own)
+                others = [i for i in range(each.shape[1]) if i not in among]
+                each[np.ix_(rows, others)] = each[rows].min(1, keepdims=True) - 20
+        return each
 
     def label(self, texts: list[str | None]) -> tuple[list[list[str]], list[np.ndarray], list[np.ndarray]]:
         """Words, their letters' number and their language's index, per text."""
