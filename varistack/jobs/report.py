@@ -61,7 +61,8 @@ def paired_t(df: DataFrame, first: str, second: str, *keys: str) -> DataFrame:
 
 def with_verdict(tests: DataFrame, alpha: float = SIGNIFICANT) -> DataFrame:
     """Add ``p`` and ``verdict``: the second is better (lower) for t > 0, the first for t < 0, else null."""
-    tested = tests.withColumn("p", t_pvalue("t", (F.col("n") - 1).cast("double")))
+    p = F.coalesce(t_pvalue("t", (F.col("n") - 1).cast("double")), F.lit(NAN))  # Arrow hands a NaN back as null
+    tested = tests.withColumn("p", p)
     return tested.withColumn("verdict", F.when(F.isnan("p") | (F.col("p") >= alpha), None).when(F.col("t") > 0, "second").otherwise("first"))
 
 

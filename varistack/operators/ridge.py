@@ -51,9 +51,8 @@ def fit(m: Moments, base: np.ndarray, split: np.ndarray, splits: int, columns: n
     choice = lambda_costs(m, base, split, splits, columns, dead_x, dead_y, penalties).argmin(axis=0)
     side = m.select(base)
     weights = np.zeros((len(columns), len(choice)))
-    live = side.y_alive & ~dead_y
+    live, usable = side.y_alive & ~dead_y, ~dead_x[columns]  # a column dead in an enclosing frame is 0 here
     for i in np.unique(choice[live]):
         own = live & (choice == i)
-        weights[:, own] = solve(side, columns, penalties[i : i + 1])[0][:, own]
-    weights[dead_x[columns]] = 0.0
+        weights[np.ix_(usable, own)] = solve(side, columns[usable], penalties[i : i + 1])[0][:, own]
     return weights
