@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one slice of an Arrow batch holds at most (a single longer row makes its own slice).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Split Arrow batches so that each part holds at most ``SLICE_BYTES`` of ``column``.
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 0) -> Iterator[pa.RecordBatch]:
+    """Split Arrow batches so that each part holds at most ``most`` (``SLICE_BYTES``) bytes of ``column``.
 
     Batches come by row count; without this, long texts would set the memory that a task needs.
     """
@@ -54,7 +54,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
         if not len(size):
             continue
-        part = np.cumsum(size.astype(np.int64)) // SLICE_BYTES
+        part = np.cumsum(size.astype(np.int64)) // (most or SLICE_BYTES)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield batch.slice(a, b - a)

@@ -5,9 +5,10 @@ computed once over all documents and given to every shard, so a shard's scores a
 and the shards' best merge exactly.
 
 Each task indexes its documents slice by slice: postings by term, cut into blocks of documents, with
-the largest impact of each (term, block). A query first sums its terms' block maxima: an upper bound
-of every score in a block. Blocks whose bound does not exceed the query's current k-th best score in
-this task are never scored; the most promising blocks go first to raise that score. Queries are
+the largest impact of each (term, block). Terms of many documents are added up exactly for a batch of
+queries at once; for the others a query first sums the block maxima. Both together bound every
+document's score from above: documents whose bound does not exceed the query's current k-th best
+score in this task are skipped, and where none is left the block postings are never read. Queries are
 broadcast in blocks of bounded size; more queries take more passes.
 """
 
@@ -29,77 +30,84 @@ BLOCK_DOCS = 64
 #: Bounds of one broadcast block of queries.
 QUERY_BLOCK, QUERY_TERMS = 4096, 2_000_000
 LOW = 1e-9
+#: Text of one indexed slice: larger ones cost each query less, and memory more.
+SHARD_BYTES = 12 << 20
+#: Share of a slice's documents from which a term is added up densely; queries that are so treated at once.
+HEAVY, QUERY_BATCH = 0.03, 256
 
 
-def _hash_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, and the number of words of each text."""
-    import xxhash
-
-    digest, known = xxhash.xxh64_intdigest, {}
-    out, size = [], []
-    for text in texts:
-        words = words_of(text) if text else []
-        size.append(len(words))
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = digest(w)
-            out.append(h)
-    return np.array(out, np.uint64).view(np.int64), np.array(size, np.int64)
+def _bags(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, term, count) of a slice with the text in its second column, and the texts' lengths.
 
+    A term is the 64-bit hash of a word.
+    """
+    import xxhash
 
-def _bags(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, term, count) and lengths of a slice with the text in its second column."""
-    term, size = _hash_words(batch.column(1).to_pylist())
-    row = np.repeat(np.arange(len(size)), size)
-    order = np.lexsort((term, row))
-    row, term = row[order], term[order]
-    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])])) if len(row) else np.zeros(0, np.int64)
-    return row[new], term[new], np.diff(np.append(new, len(row))), size
+    words = [words_of(t) if t else [] for t in batch.column(1).to_pylist()]
+    known = {w: i for i, w in enumerate({w for own in words for w in own})}
+    get = known.__getitem__
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    at = np.fromiter((i for own in words for i in map(get, own)), np.int64, int(size.sum()))
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in known], np.uint64).view(np.int64)
+    pair = np.sort(np.repeat(np.arange(len(size)), size) << 32 | at)
+    new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+    first = pair[new]
+    return first >> 32, hashes[first & 0xFFFFFFFF], np.diff(np.append(new, len(pair))), size
 
 
 class ShardIndex:
-    """Postings of one slice: impacts by (term, block of documents), with block maxima."""
+    """Impacts of one slice: a dense matrix for heavy terms, block postings with block maxima for the rest."""
 
     def __init__(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, size: np.ndarray, wanted: np.ndarray, mean: float):
         at = np.minimum(np.searchsorted(wanted, term), len(wanted) - 1)
         keep = wanted[at] == term
         row, term, count = row[keep], at[keep], count[keep]
         order = np.lexsort((row, term))
-        self.doc, term, count = row[order], term[order], count[order]
-        self.impact = count * (K1 + 1) / (count + K1 * (1 - B + B * size[self.doc] / mean))
+        doc, term, count = row[order], term[order], count[order]
+        impact = count * (K1 + 1) / (count + K1 * (1 - B + B * size[doc] / mean))
         self.docs, self.blocks = len(size), -(-len(size) // BLOCK_DOCS)
+        self.block_of = np.arange(self.docs) // BLOCK_DOCS
+        frequency = np.bincount(term, minlength=len(wanted))
+        heavy = np.flatnonzero(frequency >= max(4, HEAVY * self.docs))
+        self.heavy = np.full(len(wanted), -1, np.int64)
+        self.heavy[heavy] = np.arange(len(heavy))
+        dense = self.heavy[term] >= 0
+        self.dense = np.zeros((len(heavy), self.docs))
+        self.dense[self.heavy[term[dense]], doc[dense]] = impact[dense]
+        self.doc, term, self.impact = doc[~dense], term[~dense], impact[~dense]
         block = self.doc // BLOCK_DOCS
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
         self.block, self.begin, self.stop = block[new], new, np.append(new[1:], len(term))
         self.peak = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
         self.ptr = np.searchsorted(term[new], np.arange(len(wanted) + 1))
 
-    def best(self, terms: np.ndarray, weight: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents that score above ``floor`` (at most those of the k best scores, ties included), and scores."""
-        cell = _ranges(self.ptr[terms], self.ptr[terms + 1])
-        own = np.repeat(weight, self.ptr[terms + 1] - self.ptr[terms])
+    def heavy_scores(self, terms: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+        """(query, document) sums over the heavy terms."""
+        q = np.zeros((len(terms), len(self.dense)))
+        for i, (t, w) in enumerate(zip(terms, weights)):
+            own = self.heavy[t]
+            q[i, own[own >= 0]] = w[own >= 0]
+        return q @ self.dense
+
+    def best(self, terms: np.ndarray, weight: np.ndarray, base: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents that score at least ``floor`` (at most those of the k best scores, ties included), and scores."""
+        floor = max(floor - LOW, 1e-300)
+        many = self.ptr[terms + 1] - self.ptr[terms]
+        cell, own = _ranges(self.ptr[terms], self.ptr[terms + 1]), np.repeat(weight, many)
         bound = np.bincount(self.block[cell], own * self.peak[cell], self.blocks)
-        left = np.flatnonzero(bound > floor - LOW)
-        left = left[np.argsort(-bound[left], kind="stable")]
-        docs, scores = np.zeros(0, np.int64), np.zeros(0)
-        first = max(1, k // 4)
-        for part in (left[:first], left[first:]):
-            part = part[bound[part] > floor - LOW]
-            if not len(part):
-                break
-            alive = np.zeros(self.blocks, bool)
-            alive[part] = True
-            pick = alive[self.block[cell]]
-            at, w = cell[pick], own[pick]
-            post = _ranges(self.begin[at], self.stop[at])
-            score = np.bincount(self.doc[post], np.repeat(w, self.stop[at] - self.begin[at]) * self.impact[post], self.docs)
-            hit = np.flatnonzero(score >= max(floor - LOW, 1e-300))
-            docs, scores = np.append(docs, hit), np.append(scores, score[hit])
-            if len(docs) > k:
-                floor = max(floor, float(np.partition(scores, len(scores) - k)[len(scores) - k]))
-        keep = scores >= floor - LOW
-        return docs[keep], scores[keep]
+        upper = base + bound[self.block_of]
+        if upper.max(initial=0.0) < floor:
+            return np.zeros(0, np.int64), np.zeros(0)
+        alive = np.bincount(self.block_of, upper >= floor, self.blocks) > 0
+        pick = alive[self.block[cell]]
+        at, own = cell[pick], own[pick]
+        post = _ranges(self.begin[at], self.stop[at])
+        score = base + np.bincount(self.doc[post], np.repeat(own, self.stop[at] - self.begin[at]) * self.impact[post], self.docs)
+        hit = np.flatnonzero((score >= floor) & alive[self.block_of])
+        if len(hit) > k:
+            own = score[hit]
+            hit = hit[own >= np.partition(own, len(own) - k)[len(own) - k] - LOW]
+        return hit, score[hit]
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "text") -> DataFrame:
@@ -161,14 +169,18 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "d
             asked_ids, ptr, terms, weights, vocabulary = shared.value
             floors = np.zeros(len(asked_ids))
             heaps: list[tuple | None] = [None] * len(asked_ids)
-            for batch in slices(batches):
+            for batch in slices(batches, most=SHARD_BYTES):
                 if not len(vocabulary):
                     return
                 row, term, count, size = _bags(batch)
                 index = ShardIndex(row, term, count, size, vocabulary, mean)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
+                base = np.zeros((0, 0))
                 for i in range(len(asked_ids)):
-                    hit, score = index.best(terms[ptr[i] : ptr[i + 1]], weights[ptr[i] : ptr[i + 1]], floors[i], k)
+                    if i % QUERY_BATCH == 0:
+                        batch_of = range(i, min(i + QUERY_BATCH, len(asked_ids)))
+                        base = index.heavy_scores([terms[ptr[j] : ptr[j + 1]] for j in batch_of], [weights[ptr[j] : ptr[j + 1]] for j in batch_of])
+                    hit, score = index.best(terms[ptr[i] : ptr[i + 1]], weights[ptr[i] : ptr[i + 1]], base[i % QUERY_BATCH], floors[i], k)
                     if not len(hit):
                         continue
                     own_ids, own = ids[hit], np.round(score, 9)
