@@ -61,6 +61,13 @@ def test_concat_is_one_wide_space(spark):
     assert all(abs(got[t] - each[0, t]) < 1e-6 for t in got)
 
 
+def test_target_blocks_change_nothing(spark):
+    xs, y = data()
+    df = frame(spark, xs, y)
+    whole, cut = (sorted(map(tuple, stack.target_scores(stack.fold_stats(df, [3, 4, 2], 4, target_block=b), 3).collect())) for b in (10, 2))
+    assert np.allclose(whole, cut, atol=1e-9)
+
+
 def test_fit_predict_matches_rows(spark):
     xs, y = data(seed=3)
     x = xs[1]

@@ -8,6 +8,7 @@ scores, of all spaces or any subset of them, follow from those rows without anot
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from varistack.operators.qp import simplex_udf
 from varistack.operators.ridge import LAMBDAS, fit, solve
 
 INNER_FOLDS, SPLITS = 5, 5
+TARGET_BLOCK = 4096
 STATS = "outer_fold int, target_id int, n long, base double, alive boolean, train_alive boolean, p array<double>, c array<double>, q array<double>"
 
 
@@ -97,10 +99,12 @@ def pack(df: DataFrame, t: str | Column, spaces: Sequence[Sequence[Column] | Col
     return df.select((F.col(t) if isinstance(t, str) else t).cast("long").alias("t"), x.alias("x"), one(targets).alias("y"))
 
 
-def fold_stats(design: DataFrame, dims: Sequence[int], n_folds: int = 4, method: str = "cross_val_ridge", train_end: int | None = None, inner: int = INNER_FOLDS, splits: int = SPLITS) -> DataFrame:
+def fold_stats(design: DataFrame, dims: Sequence[int], n_folds: int = 4, method: str = "cross_val_ridge", train_end: int | None = None, inner: int = INNER_FOLDS, splits: int = SPLITS, target_block: int = TARGET_BLOCK) -> DataFrame:
     """Rows of ``STATS`` per (outer fold, target). ``design`` has dense 0-based ``t``, and arrays ``x``, ``y``.
 
     With ``train_end`` there is one fold: rows before it train, the rest test, scored in their own frame.
+    More than ``target_block`` targets are fitted block by block, each with a pass of its own over the rows,
+    so that no task holds cross products of all targets.
     """
     if method not in ("cross_val_ridge", "simple_ridge"):
         raise ValueError(f"unknown method {method!r}")
@@ -110,6 +114,12 @@ def fold_stats(design: DataFrame, dims: Sequence[int], n_folds: int = 4, method:
     p = int(sum(dims))
     origin = column_means(design)
     v = len(origin) - p
+    if v > target_block:
+        parts = []
+        for at in range(0, v, target_block):
+            part = fold_stats(design.withColumn("y", F.slice("y", at + 1, target_block)), dims, n_folds, method, train_end, inner, splits, target_block)
+            parts.append(part.withColumn("target_id", F.col("target_id") + at))
+        return reduce(DataFrame.unionByName, parts)
     outer = last_bounds(n, n_folds) if train_end is None else None
     starts = segment_starts(n, outer, inner, splits, train_end)
     folds = list(zip(outer[:-1].tolist(), outer[1:].tolist())) if outer is not None else [(train_end, n)]

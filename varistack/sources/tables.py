@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,15 +39,25 @@ def write_results(df: DataFrame, path: str, *partition_by: str) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the session's ``spark.checkpoint.dir`` (a temporary folder only where none is set)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def dense_index(df: DataFrame, *order: str, name: str = "t") -> DataFrame:
     """Add a dense 0-based position in the total order of ``order``, without a single-partition sort.
 
     Rows are range-partitioned and sorted; each partition's offset is the number of rows before it,
-    a table of one row per partition.
+    a table of one row per partition. The ranges come from a sample, so they are fixed by a checkpoint
+    before the rows are counted.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     local = ranged.withColumn("__id", F.monotonically_increasing_id())
     local = local.withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    local = checkpointed(local)
     counts = local.groupBy("__part").agg(F.count("*").alias("n")).collect()  # a row per partition
     offset, pairs = 0, []
     for part, n in sorted(map(tuple, counts)):
