@@ -22,6 +22,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ END_ID = 1
 PART_ROWS = 100_000
 MAX_ROUNDS = 4
 #: Distinct words whose ids a task keeps before it starts its cache anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 
 
 _PLAIN_WORD = re.compile("[a-zß-öø-ÿ]+")
@@ -67,36 +68,36 @@ class WordTokenizer:
             if type(refused) is not Exception:
                 raise
             self.plain = False
-        self._clear()
+        self.clear()
 
     def _plain_ids(self, word: str) -> list[int]:
         """Ids of a lower-case Latin-1 word straight from the merge model, without normaliser and pre-tokeniser."""
         mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
         return [t.id for t in self.tokenizer.model.tokenize(mapped)]
 
-    def _clear(self):
+    def clear(self):
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.ptr = np.zeros(1, np.int64)
 
-    def _encode_words(self, words: list[bytes]) -> list[np.ndarray]:
+    def _encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of distinct words: plain ones from the model, the rest by whole calls."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        simple = [bool(self.plain and _PLAIN_WORD.fullmatch(t)) for t in texts]
+        simple = [_PLAIN_WORD.fullmatch(t) if self.plain else None for t in texts]
         rest = iter(self._encode_other([w for w, s in zip(words, simple) if not s]))
-        return [np.array(self._plain_ids(t), np.uint32) if s else next(rest) for t, s in zip(texts, simple)]
+        return [self._plain_ids(t) if s else next(rest) for t, s in zip(texts, simple)]
 
-    def _encode_other(self, words: list[bytes]) -> list[np.ndarray]:
+    def _encode_other(self, words: list[bytes]) -> list[list[int]]:
         """A few hundred words at a call, with a special token between them."""
-        out: list[np.ndarray] = []
+        out: list[list[int]] = []
         for at in range(0, len(words), 256):
             texts = [w.decode("utf-8", "replace") for w in words[at : at + 256]]
             ids = np.array(self.tokenizer.encode(self.SEPARATOR.join(texts), add_special_tokens=False).ids, np.uint32)
             parts = np.split(ids, np.flatnonzero(ids == self.separator))
             if len(parts) == len(texts):
-                out += [parts[0], *(p[1:] for p in parts[1:])]
+                out += [parts[0].tolist(), *(p[1:].tolist() for p in parts[1:])]
             else:  # a word holds the special token itself
-                out += [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+                out += [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
         return out
 
     @staticmethod
@@ -112,16 +113,17 @@ class WordTokenizer:
         stems = [self._stem(w) for w in new]
         parts = list({p for pair in stems for p in pair if p})
         coded = dict(zip(parts, self._encode_words(parts)))
-        none = np.zeros(0, np.uint32)
-        own = [np.concatenate([coded[a], coded[b]]) if b else coded.get(a, none) for a, b in stems]
+        coded[b""] = []
+        own = [coded[a] + coded[b] if b else coded[a] for a, b in stems]
+        size = np.fromiter(map(len, own), np.int64, len(own))
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.ids = np.concatenate([self.ids, *own])
-        self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum([len(x) for x in own])])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(own), np.uint32, int(size.sum()))])
+        self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(size)])
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         split = [t.split() for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self._clear()
+            self.clear()
         new = list({w for words in split for w in words}.difference(self.known))
         if new:
             self._learn(new)
@@ -164,6 +166,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 columns.append(pa.array(list(ids), pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.record_batch(columns, names=names)
+        tokenizer.clear()  # the worker lives on, for other stages' tasks
 
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)

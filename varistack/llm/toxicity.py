@@ -26,7 +26,7 @@ BUCKETS = 1 << 22
 PREFIXES = (3, 4, 5, 6, 7)
 L2, COUNTERFACTUAL = 0.3, 1.0
 THRESHOLD = 0.3
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 
 #: Identity terms by axis; a swap replaces a term by the others of its line.
 IDENTITY_TERMS = (
