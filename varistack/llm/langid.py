@@ -24,7 +24,7 @@ BUCKETS = 1 << 16
 NGRAMS = (1, 2, 3, 4)
 SWITCH_PENALTY = 6.0
 #: Share of a text's letters that its language must have for the text to be kept.
-MIN_SHARE = 0.4
+MIN_SHARE = 0.3
 #: Distinct words whose scores a task keeps before it starts its cache anew.
 CACHE_WORDS = 100_000
 
