@@ -5,8 +5,11 @@ scores are BM25 with the index's global statistics, divided by the item's score
 that one threshold serves items of any length. Search is block-max WAND in array form: a window is
 dropped when the sum of its terms' largest weights stays under the threshold, then blocks of items
 when the sum of the terms' block maxima does; only what is left is scored in full. All items above
-the threshold are retrieved (bounds are upper bounds, so none is lost) and verified: shingles of five
-words of the item's question and of its answer must each be contained in the document to 0.8.
+the threshold are retrieved (bounds are upper bounds, so none is lost), and all items of which the
+document as a whole holds enough five-word shingles, whatever their score in one window. Both are
+verified: shingles of five words of the item's question and of its answer must each be contained in
+the document to 0.8; of an item without a separate answer (column ``whole``) all shingles together
+suffice, too.
 
 The index is broadcast in shards of a bounded number of items; more items take more passes over the
 documents, each with the statistics of all items.
@@ -54,9 +57,9 @@ class ItemIndex:
     """Postings of test items with normalised BM25 weights and block maxima."""
 
     def __init__(self, items: list[tuple], document_frequency: dict[bytes, int], n_items: int, mean_length: float):
-        """``items``: (id, question, answer) of this shard; the statistics are of all items."""
+        """``items``: (id, question, answer, whole) of this shard; the statistics are of all items."""
         self.ids = [i for i, *_ in items]
-        self.parts = [(words_of(q), words_of(a)) for _, q, a in items]
+        self.parts = [(words_of(q), words_of(a)) for _, q, a, _ in items]
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for q, a in self.parts for w in q + a}))}
         term, item, value = [], [], []
         for i, (q, a) in enumerate(self.parts):
@@ -85,6 +88,15 @@ class ItemIndex:
         self.block_ptr = np.searchsorted(self.term[new], np.arange(len(self.vocabulary) + 1))
         self.window = 2 * max([len(q) + len(a) for q, a in self.parts], default=1)
         self.shingles = [tuple(_shingles(p) for p in both) for both in self.parts]
+        self.whole = [_shingles(q + a) if whole else None for (q, a), (*_, whole) in zip(self.parts, items)]
+        #: Hashes of the items' five-word shingles with their items, and the shingles of each item's larger part.
+        self.larger = np.array([max(max(0, len(p) - SHINGLE + 1) and len(s) for p, s in zip(*both)) for both in zip(self.parts, self.shingles)], np.float64)
+        grams = [np.unique(_grams(np.array([self.vocabulary[w] for w in q + a], np.int64))) for q, a in self.parts]
+        holder = np.repeat(np.arange(len(items)), [len(g) for g in grams])
+        gram = np.concatenate([*grams, np.zeros(0, np.uint64)])
+        order = np.argsort(gram, kind="stable")
+        self.gram, begin = np.unique(gram[order], return_index=True)
+        self.gram_ptr, self.gram_item = np.append(begin, len(gram)), holder[order]
 
     def candidates(self, ids: np.ndarray, threshold: float) -> dict[int, float]:
         """Items whose score with some window of the document reaches the threshold: item -> best score.
@@ -115,6 +127,31 @@ class ItemIndex:
                 found[i] = max(found.get(i, 0.0), float(score[i]))
         return found
 
+    def holding(self, ids: np.ndarray, containment: float) -> list[int]:
+        """Items of which the whole text holds ``containment`` of as many five-word shingles as their larger part has.
+
+        No item with a part of five or more words can be verified with fewer, wherever its parts stand.
+        """
+        own = _grams(ids)[np.lib.stride_tricks.sliding_window_view(ids, SHINGLE).max(1) < len(self.vocabulary)] if len(ids) >= SHINGLE else []
+        if not len(own) or not len(self.gram):
+            return []
+        at = np.minimum(np.searchsorted(self.gram, own), len(self.gram) - 1)
+        at = np.unique(at[self.gram[at] == own])
+        if not len(at):
+            return []
+        count = np.bincount(self.gram_item[_ranges(self.gram_ptr[at], self.gram_ptr[at + 1])], minlength=len(self.ids))
+        return np.flatnonzero(count >= np.maximum(1, containment * self.larger - 1e-9)).tolist()
+
+
+def _grams(ids: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of five word numbers."""
+    n = len(ids) - SHINGLE + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for i in range(SHINGLE if n > 0 else 0):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += ids[i : i + n].astype(np.uint64) + np.uint64(1)
+    return out
+
 
 def _shingles(words: list[bytes]) -> set[bytes]:
     return {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
@@ -134,12 +171,13 @@ def _ranges(begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 def item_indexes(items: DataFrame, shard_items: int = SHARD_ITEMS) -> list:
-    """Broadcast indexes of the items' shards; ``items`` has ``item_id``, ``question`` and ``answer``.
+    """Broadcast indexes of the items' shards; ``items`` has ``item_id``, ``question`` and ``answer``,
+    and may have ``whole``: that the two are parts of one text.
 
     Statistics are counted over all items on the executors. Null parts are empty, repeated rows count once.
     """
     spark = items.sparkSession
-    known = items.select("item_id", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer")).distinct()
+    known = items.select("item_id", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"), (F.coalesce("whole", F.lit(False)) if "whole" in items.columns else F.lit(False)).alias("whole")).distinct()
     n_items = known.count()
     shards = max(1, math.ceil(n_items / shard_items))
 
@@ -153,8 +191,8 @@ def item_indexes(items: DataFrame, shard_items: int = SHARD_ITEMS) -> list:
     parts = known.withColumn("shard", F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(shards)))
     out = []
     for shard in range(shards):
-        rows = [tuple(r) for r in parts.where(F.col("shard") == shard).orderBy("item_id", "question", "answer").select("item_id", "question", "answer").collect()]  # about shard_items
-        terms = sorted({w for _, q, a in rows for w in words_of(q) + words_of(a)})
+        rows = [tuple(r) for r in parts.where(F.col("shard") == shard).orderBy("item_id", "question", "answer", "whole").select("item_id", "question", "answer", "whole").collect()]  # about shard_items
+        terms = sorted({w for _, q, a, _ in rows for w in words_of(q) + words_of(a)})
         wanted = spark.createDataFrame([(bytearray(w),) for w in [*terms, b""]], "term binary")
         df = {bytes(r["term"]): r["n"] for r in counted.join(F.broadcast(wanted), "term").collect()}
         mean = df.pop(b"", 0) / max(1, n_items)
@@ -166,12 +204,17 @@ def matches(index: ItemIndex, text: str | None, min_score: float = MIN_SCORE, co
     """``(item id, score, question overlap, answer overlap)`` of the verified items of one text."""
     words = words_of(text) if text else []
     get, missing = index.vocabulary.get, len(index.vocabulary)
-    near = index.candidates(np.fromiter((get(w, missing) for w in words), np.int64, len(words)), min_score)
+    numbers = np.fromiter((get(w, missing) for w in words), np.int64, len(words))
+    near = index.candidates(numbers, min_score)
+    more = [i for i in index.holding(numbers, containment) if i not in near]
+    if more:
+        scores = index.candidates(numbers, 1e-9)
+        near |= {i: scores.get(i, 0.0) for i in more}
     if not near:
         return []
     held, joined = _shingles(words), b" %b " % b" ".join(words)
     both = [(i, score, *(_overlap(s, held, joined) for s in index.shingles[i])) for i, score in near.items()]
-    return [(index.ids[i], score, question, answer) for i, score, question, answer in both if min(question, answer) >= containment]
+    return [(index.ids[i], score, question, answer) for i, score, question, answer in both if min(question, answer) >= containment or (index.whole[i] and _overlap(index.whole[i], held, joined) >= containment)]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE, containment: float = CONTAINMENT, shard_items: int = SHARD_ITEMS) -> DataFrame:
@@ -223,5 +266,10 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", "text").mapInArrow(run, f"item_id {benchmark.schema['item_id'].dataType.simpleString()}, question string, answer string")
 
 
+def whole_items_of(benchmark: DataFrame) -> DataFrame:
+    """:func:`items_of`, with items that also count when their text as a whole is contained."""
+    return items_of(benchmark).withColumn("whole", F.lit(True))
+
+
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), items_of(table(spark, sf_dir, "benchmark")))
+    return contaminated(table(spark, sf_dir, "documents"), whole_items_of(table(spark, sf_dir, "benchmark")))
