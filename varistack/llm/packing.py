@@ -7,9 +7,11 @@
    most the capacity; the sum of f over the capacity, rounded up, is thus a lower bound on the
    sequences needed. The largest bound over two families of functions certifies a partition whose
    packing meets it.
-4. Partitions with a gap give all sequences that have room left, certified ones only their emptiest,
-   to an exchange: these pieces are dealt anew over fewer partitions and packed again; a new packing
-   is taken only where it needs fewer sequences. This repeats until nothing is won.
+4. Partitions with a gap exchange their sequences that have room left (a certified one gives only its
+   emptiest): whole sequences are dealt anew by a hash of their number and the round, each partition
+   runs best-fit decreasing over what it got, and takes the new packing only where it has fewer
+   sequences. Rounds end when one wins nothing, when the bound of all sizes is met, or after one
+   partition has held all that is open. The number of sequences never grows.
 
 A task holds one partition's sizes, never its texts; no group grows with the data.
 """
@@ -22,35 +24,43 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from varistack.llm.common import checkpoint, slices, table
 
 CAPACITY = 4096
 END_ID = 1
 PART_ROWS = 100_000
-MAX_ROUNDS = 4
-#: Distinct words whose ids a task keeps before it starts its cache anew.
-CACHE_WORDS = 300_000
+#: Distinct parts of words whose ids a task keeps before it starts its cache anew.
+CACHE_PARTS = 400_000
 
 
-_PLAIN_WORD = re.compile("[a-zß-öø-ÿ]+")
+#: Words of Latin-1 letters, then ASCII punctuation; the pre-tokeniser parts the two.
+_SIMPLE = "^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<tail>[!-/:-@\\[-`{-~]*)$"
+#: The same alternatives for other words of Latin-1 letters, digits and ASCII punctuation but the apostrophe.
+_RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
 #: Byte-level BPE spells each byte as a printable character: Latin-1's own where it is one, else from 256 on.
 _PRINTABLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
 _BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices begin[i], ..., begin[i] + size[i] - 1 of every i in turn."""
+    end = np.cumsum(size)
+    return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(begin - (end - size), size)
+
+
 class WordTokenizer:
     """Ids of whole texts from a tokenizer that never merges over white space.
 
-    Texts are split at ASCII white space, which this tokenizer's normaliser and pre-tokeniser drop,
-    and each distinct word is encoded once. A full stop or comma after an ASCII letter or digit always
-    begins a pre-token, so such words share the ids of their stems.
+    Texts are split at ASCII white space, which this tokenizer's normaliser and pre-tokeniser drop, and
+    a slice's distinct words are encoded once, by the parts into which the pre-tokeniser cuts them.
     """
 
     SEPARATOR = "<|startoftext|>"
@@ -60,80 +70,100 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
-        probe = ["the", "tokenization", "straße", "où", "éàüñ"]
+        probe = ["the", "tokenization", "straße", "où", "éàüñ", "7", "...", "$#$"]
         try:
-            self.plain = all(self._plain_ids(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+            self.plain = all(self._part_ids(w) == self._whole_ids(w) for w in probe) and self._whole_ids("Où4x..") == [i for w in ("où", "4", "x", "..") for i in self._part_ids(w)]
         except Exception as refused:  # the model's own library raises bare exceptions
             if type(refused) is not Exception:
                 raise
             self.plain = False
         self.clear()
 
-    def _plain_ids(self, word: str) -> list[int]:
-        """Ids of a lower-case Latin-1 word straight from the merge model, without normaliser and pre-tokeniser."""
-        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
-
     def clear(self):
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.ptr = np.zeros(1, np.int64)
-
-    def _encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of distinct words: plain ones from the model, the rest by whole calls."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        simple = [_PLAIN_WORD.fullmatch(t) if self.plain else None for t in texts]
-        rest = iter(self._encode_other([w for w, s in zip(words, simple) if not s]))
-        return [self._plain_ids(t) if s else next(rest) for t, s in zip(texts, simple)]
-
-    def _encode_other(self, words: list[bytes]) -> list[list[int]]:
+        self.known: dict[str, list[int]] = {"": []}
+
+    def _whole_ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _part_ids(self, part: str) -> list[int]:
+        """Ids of one pre-token in lower case straight from the merge model, without normaliser and pre-tokeniser."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return [t.id for t in self.model.tokenize(part)]
+
+    def _other_ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of any kind."""
+        out: list[list[int] | None] = []
+        rest = []
+        for word in words:
+            lower = word.lower() if word.isascii() else word
+            runs = _RUNS.findall(lower) if self.plain and "<|" not in word else []
+            if runs and sum(map(len, runs)) == len(word):
+                out.append([i for run in runs for i in self._ids_of(run)])
+            else:
+                out.append(None)
+                rest.append(word)
+        ids = iter(self._separated_ids(rest))
+        return [next(ids) if own is None else own for own in out]
+
+    def _ids_of(self, part: str) -> list[int]:
+        own = self.known.get(part)
+        if own is None:
+            own = self.known[part] = self._part_ids(part)
+        return own
+
+    def _separated_ids(self, words: list[str]) -> list[list[int]]:
         """A few hundred words at a call, with a special token between them."""
         out: list[list[int]] = []
         for at in range(0, len(words), 256):
-            texts = [w.decode("utf-8", "replace") for w in words[at : at + 256]]
-            ids = np.array(self.tokenizer.encode(self.SEPARATOR.join(texts), add_special_tokens=False).ids, np.uint32)
+            texts = words[at : at + 256]
+            ids = np.array(self._whole_ids(self.SEPARATOR.join(texts)), np.uint32)
             parts = np.split(ids, np.flatnonzero(ids == self.separator))
             if len(parts) == len(texts):
                 out += [parts[0].tolist(), *(p[1:].tolist() for p in parts[1:])]
             else:  # a word holds the special token itself
-                out += [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+                out += [self._whole_ids(t) for t in texts]
         return out
 
-    @staticmethod
-    def _stem(word: bytes) -> tuple[bytes, bytes]:
-        if b"<|" in word:
-            return word, b""
-        word = word.lower()  # ASCII only, as the normaliser does later
-        if word[-1:] in (b".", b",") and word[-2:-1].isalnum():
-            return word[:-1], word[-1:]
-        return word, b""
-
-    def _learn(self, new: list[bytes]) -> None:
-        stems = [self._stem(w) for w in new]
-        parts = list({p for pair in stems for p in pair if p})
-        coded = dict(zip(parts, self._encode_words(parts)))
-        coded[b""] = []
-        own = [coded[a] + coded[b] if b else coded[a] for a, b in stems]
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(own), np.uint32, int(size.sum()))])
-        self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(size)])
-
-    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        split = [t.split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, pointers)`` of distinct words."""
+        if len(self.known) > CACHE_PARTS:
             self.clear()
-        new = list({w for words in split for w in words}.difference(self.known))
-        if new:
-            self._learn(new)
-        get = self.known.__getitem__
-        for words in split:
-            at = np.fromiter(map(get, words), np.int64, len(words))
-            size = self.ptr[at + 1] - self.ptr[at]
-            end = np.cumsum(size)
-            total = int(end[-1]) if len(end) else 0
-            yield self.ids[np.arange(total) + np.repeat(self.ptr[at] - (end - size), size)]
+        cut = pc.extract_regex(words, _SIMPLE) if self.plain else pa.nulls(len(words), pa.struct([("stem", words.type), ("tail", words.type)]))
+        simple = cut.is_valid()
+        parts = pa.concat_arrays([pc.utf8_lower(cut.field(0)).filter(simple), cut.field(1).filter(simple)]).dictionary_encode()
+        coded = list(map(self._ids_of, parts.dictionary.to_pylist()))
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        ids = np.fromiter((i for own in coded for i in own), np.uint32, int(size.sum()))
+        begin = np.cumsum(size) - size
+        stem, tail = np.split(parts.indices.to_numpy().astype(np.int64), 2)
+        simple = simple.to_numpy(zero_copy_only=False)
+        where = np.flatnonzero(simple)
+        lengths = np.zeros(len(words), np.int64)
+        lengths[where] = size[stem] + size[tail]
+        other = np.flatnonzero(~simple)
+        rest = self._other_ids(words.take(pa.array(other)).to_pylist())
+        lengths[other] = np.fromiter(map(len, rest), np.int64, len(rest))
+        pointers = np.concatenate([[0], np.cumsum(lengths)])
+        out = np.zeros(int(pointers[-1]), np.uint32)
+        for at, part in ((pointers[where], stem), (pointers[where] + size[stem], tail)):
+            out[_spread(at, size[part])] = ids[_spread(begin[part], size[part])]
+        out[_spread(pointers[other], lengths[other])] = np.fromiter((i for own in rest for i in own), np.uint32, int(lengths[other].sum()))
+        return out, pointers
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and how many each text has. A null text is empty."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        count = pc.list_value_length(words).to_numpy().astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        ids, pointers = self._encode_words(coded.dictionary)
+        at = coded.indices.to_numpy()
+        size = np.diff(pointers)[at]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ends = np.cumsum(count)
+        return ids[_spread(pointers[at], size)], total[ends] - total[ends - count]
 
 
 @functools.cache
@@ -152,18 +182,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
         for batch in slices(batches):
-            texts = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            rows: list[tuple] = []
-            for row, ids in enumerate(tokenizer.encode(texts)):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    rows.append((row, piece, start, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None))
-            at, piece, start, size, crc, ids = zip(*rows)
-            columns = [batch.column(0).take(pa.array(at)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))]
+            ids, size = tokenizer.encode(batch.column(1))
+            ids, size = np.insert(ids, np.cumsum(size), end_id).astype("<u4"), size + 1
+            count = -(-size // capacity)
+            row = np.repeat(np.arange(len(size)), count)
+            piece = _spread(np.zeros(len(size), np.int64), count)
+            length = np.minimum(capacity, size[row] - piece * capacity)
+            ends = np.cumsum(length)
+            raw = memoryview(ids).cast("B")
+            crc = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), length.tolist())]
+            columns = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (piece * capacity, length, crc))]
             names = ["id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                columns.append(pa.array(list(ids), pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32))))
                 names.append("ids")
             yield pa.record_batch(columns, names=names)
         tokenizer.clear()  # the worker lives on, for other stages' tasks
@@ -172,8 +203,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Sequences that any packing of ``sizes`` needs, by dual feasible functions.
+def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY, times: np.ndarray | None = None) -> int:
+    """Sequences that any packing of ``sizes`` (each given once, or ``times``) needs, by dual feasible functions.
 
     Threshold functions: sizes over capacity - t count as the capacity, sizes under t as nothing.
     Rounding functions: x becomes floor((k + 1) x / capacity) * capacity / k unless (k + 1) x is a
@@ -181,7 +212,7 @@ def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
     """
     if not len(sizes):
         return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    count = np.bincount(sizes, times, minlength=capacity + 1).astype(np.int64)
     number, total = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * np.arange(capacity + 1))])
     t = np.arange(0, capacity // 2 + 1)
     value = (number[-1] - number[capacity - t + 1]) * capacity + total[capacity - t + 1] - total[t]
@@ -222,62 +253,79 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np
     return bins, offsets, np.array(rooms, np.int64)
 
 
-def _pack_partition(batches: Iterator[pa.RecordBatch], capacity: int, step: int) -> Iterator[pa.RecordBatch]:
+#: Columns that a packed row has after its own: sequence, offset there, whether the sequence goes on to the exchange.
+_STATE = ("sequence_id", "offset", "open")
+
+
+def _pack_partition(batches: Iterator[pa.RecordBatch], length_at: int, capacity: int, step: int) -> Iterator[pa.RecordBatch]:
+    """Pack the rows of one partition; those of a later step end with the columns of ``_STATE``."""
     from pyspark import TaskContext
 
-    got = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+    batches = list(batches)
+    got = pa.Table.from_batches(batches) if batches else None
     if got is None or not len(got):
         return
-    sizes = got.column("length").to_numpy().astype(np.int64)
+    sizes = got.column(length_at).to_numpy().astype(np.int64)
+    if sizes.min() < 1 or sizes.max() > capacity:
+        raise ValueError(f"a length is not within 1 to {capacity}")
+    own = got.num_columns - (len(_STATE) if step else 0)
     bins, offsets, rooms = best_fit_decreasing(sizes, capacity)
-    if "sequence_id" in got.column_names:
-        before = len(np.unique(got.column("sequence_id").to_numpy()))
-        if len(rooms) >= before:  # keep what it was
-            yield from got.set_column(got.column_names.index("open"), "open", pa.array(np.ones(len(got), bool))).to_batches(1 << 15)
-            return
-        got = got.drop_columns(["sequence_id", "offset", "open"])
+    numbers = (step << 48) + (TaskContext.get().partitionId() << 24) + bins
+    if step:
+        before, at = np.unique(got.column(own).to_numpy(), return_inverse=True)
+        if len(rooms) >= len(before):  # keep what it was
+            bins, offsets, numbers = at, got.column(own + 1).to_numpy(), got.column(own).to_numpy()
+            rooms = capacity - np.bincount(at, sizes).astype(np.int64)
+    free = rooms > 0
     if len(rooms) == lower_bound(sizes, capacity):
-        free = np.zeros(len(rooms), bool)
-        free[np.argmax(rooms)] = rooms.max() > 0
-    else:
-        free = rooms > 0
-    base = (step << 56) | (TaskContext.get().partitionId() << 32)
-    for name, values in (("sequence_id", base + bins), ("offset", offsets), ("open", free[bins])):
-        got = got.append_column(name, pa.array(values))
-    yield from got.to_batches(1 << 15)
+        free = (np.arange(len(rooms)) == np.argmax(rooms)) & free
+    columns = [*got.columns[:own], pa.array(numbers), pa.array(offsets), pa.array(free[bins])]
+    names = [f"c{i}" for i in range(len(columns))]
+    yield from pa.table(columns, names=names).to_batches(1 << 15)
 
 
-def pack(sized: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def pack(sized: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``capacity``.
 
-    Every row is packed once, repeated rows too; an empty table gives an empty result. Sequence ids
-    are unique numbers without further meaning.
+    Every row is packed once, repeated rows too; an empty table gives an empty result; a length that
+    is null or out of range raises. Columns of the input that have the names of the added ones are
+    replaced. Sequence ids are unique numbers without further meaning.
     """
-    sized = checkpoint(sized)
-    fields = sized.schema.simpleString()[len("struct<") : -1]
-    schema = f"{fields},sequence_id:bigint,offset:bigint,open:boolean"
-    schema = ", ".join(f"{n} {t}" for n, t in (x.split(":", 1) for x in schema.split(",")))
-    done, pool, rows = [], sized, sized.count()
-    for step in range(max_rounds):
-        parts = max(1, math.ceil(rows / part_rows))
+    sized = sized.drop("sequence_id", "offset")
+    length_at = sized.columns.index("length")
+    sized = checkpoint(sized.withColumn("length", F.when(F.col("length").isNull(), F.raise_error(F.lit("a length is null")).cast("bigint")).otherwise(F.col("length").cast("bigint"))))
+    sizes = sized.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most capacity rows
+    rows = sum(r["n"] for r in sizes)
+    bound = lower_bound(np.array([r["length"] for r in sizes], np.int64), capacity, np.array([r["n"] for r in sizes], np.int64))
+    names = [f"c{i}" for i in range(len(sized.columns) + len(_STATE))]
+    kinds = [*(f.dataType for f in sized.schema.fields), LongType(), LongType(), BooleanType()]
+    schema = StructType([StructField(n, k) for n, k in zip(names, kinds)])
+    sequence, opened = names[-3], names[-1]
+    done, pool, open_rows, step, closed = [], sized, rows, 0, 0
+    while True:
+        parts = max(1, math.ceil(open_rows / part_rows))
+        if step == 0 or parts == 1:
+            dealt = pool.repartition(parts)
+        else:
+            dealt = pool.repartition(parts, F.xxhash64(sequence, F.lit(step)))
 
         def run(batches, step=step):
-            return _pack_partition(batches, capacity, step)
-
-        packed = checkpoint(pool.repartition(parts).mapInArrow(run, schema))
-        if step + 1 == max_rounds:
-            done.append(packed)
-            break
-        rows, last = packed.where("open").count(), rows
-        if not rows or parts == 1 or (step and rows >= last):
+            return _pack_partition(batches, length_at, capacity, step)
+
+        packed = checkpoint(dealt.mapInArrow(run, schema))
+        # a sequence's rows share a partition after this step and the next, and have one row at offset 0
+        first = F.when(F.col(names[-2]) == 0, 1)
+        now, open_rows, left = packed.agg(F.count(first), F.count_if(F.col(opened)), F.count(F.when(F.col(opened), first))).first()
+        won = step == 0 or now < before
+        if not open_rows or parts == 1 or not won or closed + now <= bound:
             done.append(packed)
             break
-        done.append(packed.where("not open"))
-        pool = packed.where("open")
+        done.append(packed.where(~F.col(opened)))
+        pool, before, closed, step = packed.where(opened), left, closed + now - left, step + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.drop("open")
+    return out.drop(opened).toDF(*sized.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, **options) -> DataFrame:
