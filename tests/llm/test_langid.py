@@ -64,3 +64,40 @@ def test_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and kept.where("doc_id in (3, 4, 6, 8)").count() == 0 and kept.count() == 6
     empty = langid.train(none)
     assert {r.lang_pred for r in langid.identify(odd, empty).collect()} == {"und"} and langid.keep_identified(odd, empty).count() == 0
+
+
+def test_foreign_scripts_go(spark):
+    model = langid.train(labelled(spark))
+    docs = spark.createDataFrame([(1, "שלום עולם " * 5), (2, "the water " * 5), (3, "the water שלום עולם עולם עולם שלום עולם"), (4, "вода дом")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in langid.keep_identified(docs, model).collect()) == [2, 4]
+    assert "und" not in {r.lang_pred for r in langid.identify(docs, model).collect()}
+
+
+def test_many_languages(spark):
+    """Over 127 languages, each of a word of its own."""
+    words = {f"l{i:03d}": "".join(chr(97 + (i // 12**k) % 12 + k) for k in range(3)) * 3 for i in range(200)}
+    rows = [(i, f"{w} {w} {w}", lang) for i, (lang, w) in enumerate(words.items())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(frame, langid.train(frame)).collect()
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in got) > 190
+
+
+def test_query_matches_the_parts(spark, tmp_path):
+    """The query's rows from training and labelling rows one by one, outside Spark's joins and filters."""
+    import zlib
+
+    rows = [(i, sentence(w, 25, i), lang if i % 7 else None) for i, (lang, w) in enumerate([("en", EN), ("fr", FR), ("ru", RU)] * 40)] + [(900, None, "en"), (901, "..", "fr"), (902, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in langid.op8_language_id(spark, str(tmp_path)).collect()}
+    assert sorted(got) == sorted(r[0] for r in rows)
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows}
+    assert {i: r.held_out for i, r in got.items()} == held
+    model = langid.train(spark.createDataFrame([r for r in rows if not held[r[0]]], "doc_id long, text string, lang string"))
+    own = langid.Labeller(model)
+    for i, text, _ in rows:
+        _, (size,), (label,) = own.label([text])
+        share = [sum(int(n) for n, x in zip(size, label) if x == k) for k in range(3)]
+        want = model["langs"][share.index(max(share))] if sum(share) else "und"
+        assert got[i].lang_pred == want and abs(got[i].score - (max(share) / sum(share) if sum(share) else 0.0)) < 1e-12
+    right = [got[i].lang_pred == ("en", "fr", "ru")[i % 3] for i in range(120) if held[i]]
+    assert sum(right) >= 0.95 * len(right)

@@ -5,6 +5,9 @@ documents of each. A word's score per language is the mean log-likelihood of its
 text, the Unicode script ranges of a word's letters narrow the candidates to the languages seen with
 that script in training; Viterbi then finds the sequence of languages, one per word, of the largest
 summed score, less a penalty for every switch. The language of most letters is the text's.
+
+A word is what stands between white space. One of several scripts, or a sentence of a script that sets
+no spaces, is one word and goes by the script of its first letter.
 """
 
 from __future__ import annotations
@@ -140,6 +143,7 @@ class Labeller:
         self.stems: dict[str, int] = {}
         self.score = np.zeros((1, len(self.model["langs"])), np.float32)
         self.size = np.zeros(1, np.int64)
+        self.foreign = np.zeros(1, bool)  # first letter in a script that no language was seen with
 
     def _learn(self, words: list[str]) -> None:
         stems = [_letters(w) for w in words]
@@ -147,6 +151,8 @@ class Labeller:
         if new:
             self.stems.update(zip(new, range(len(self.score), len(self.score) + len(new))))
             self.score = np.concatenate([self.score, self._scores(new)])
+            names = [SCRIPT_NAMES[i] for i in _Grams(new).scripts()]
+            self.foreign = np.concatenate([self.foreign, [not self.model["scripts"].get(n) for n in names]])
             self.size = np.concatenate([self.size, np.fromiter(map(len, new), np.int64, len(new))])
         self.known.update((w, self.stems[x] if x else 0) for w, x in zip(words, stems))
 
@@ -169,8 +175,11 @@ class Labeller:
                 each[np.ix_(rows, others)] = each[rows].min(1, keepdims=True) - 20
         return each
 
-    def label(self, texts: list[str | None]) -> tuple[list[list[str]], list[np.ndarray], list[np.ndarray]]:
-        """Words, their letters' number and their language's index, per text."""
+    def label(self, texts: list[str | None], known_scripts: bool = False) -> tuple[list[list[str]], list[np.ndarray], list[np.ndarray]]:
+        """Words, their letters' number and their language's index, per text.
+
+        With ``known_scripts`` letters of words in a script without a language count below nought.
+        """
         words = [_words(t) if t else [] for t in texts]
         if len(self.known) > CACHE_WORDS:
             self._clear()
@@ -179,7 +188,8 @@ class Labeller:
             self._learn(new)
         get = self.known.__getitem__
         at = [np.fromiter(map(get, own), np.int64, len(own)) for own in words]
-        return words, [self.size[x] for x in at], self._viterbi(at)
+        size = np.where(self.foreign, -self.size, self.size) if known_scripts else self.size
+        return words, [size[x] for x in at], self._viterbi(at)
 
     def _viterbi(self, at: list[np.ndarray]) -> list[np.ndarray]:
         """All texts step together, the longest first, so that those that have ended drop off."""
@@ -191,7 +201,8 @@ class Labeller:
         flat = np.zeros(int(base[-1]), np.int64)
         for rank, i in enumerate(order):
             flat[base[: size[rank]] + rank] = at[i]
-        back = np.zeros((len(flat), langs), np.int8)
+        number = np.min_scalar_type(-max(langs, 1))  # signed, as small as holds every language
+        back = np.zeros((len(flat), langs), number)
         best = np.zeros((len(order), langs), np.float32)
         own = np.arange(langs)
         for t in range(steps):
@@ -202,13 +213,13 @@ class Labeller:
             stay = v >= high
             back[base[t] : base[t + 1]] = np.where(stay, own, top[:, None])
             best[:n] = np.where(stay, v, high) + self.score[flat[base[t] : base[t + 1]]]
-        out = np.zeros(len(flat), np.int8)
+        out = np.zeros(len(flat), number)
         state = best.argmax(1).astype(np.int64) if langs else np.zeros(len(order), np.int64)
         for t in range(steps - 1, -1, -1):
             n = live[t]
             out[base[t] : base[t + 1]] = state[:n]
             state[:n] = back[base[t] : base[t + 1]][np.arange(n), state[:n]]
-        labels: list[np.ndarray] = [np.zeros(0, np.int8)] * len(at)
+        labels: list[np.ndarray] = [np.zeros(0, number)] * len(at)
         for rank, i in enumerate(order):
             labels[i] = out[base[: size[rank]] + rank]
         return labels
@@ -256,7 +267,8 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 def keep_identified(docs: DataFrame, model: dict, text_col: str = "text", min_share: float = MIN_SHARE, switch_penalty: float = SWITCH_PENALTY) -> DataFrame:
     """The rows, whole, in whose text some language has at least ``min_share`` of the letters.
 
-    Texts without a letter, null texts, and texts in which no language prevails go. An empty model keeps nothing.
+    Texts without a letter, null texts, texts in which no language prevails, and texts mostly in scripts
+    that no language was learned with go. An empty model keeps nothing.
     """
     langs = len(model["langs"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -266,8 +278,8 @@ def keep_identified(docs: DataFrame, model: dict, text_col: str = "text", min_sh
         for batch in slices(batches, text_col):
             labeller = cache.setdefault("it", Labeller(shared.value, switch_penalty))
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            _, sizes, labels = labeller.label(texts) if langs else ([], [np.zeros(0)] * len(texts), [np.zeros(0, np.int8)] * len(texts))
-            keep = [bool(size.sum()) and np.bincount(label, size, langs).max() >= min_share * size.sum() for size, label in zip(sizes, labels)]
+            _, sizes, labels = labeller.label(texts, known_scripts=True) if langs else ([], [np.zeros(0)] * len(texts), [np.zeros(0, np.int8)] * len(texts))
+            keep = [bool(total := np.abs(size).sum()) and np.bincount(label, np.maximum(size, 0), langs).max() >= min_share * total for size, label in zip(sizes, labels)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
