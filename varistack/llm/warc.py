@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varistack.llm.common import shared_dir, slices, table
+from varistack.llm.common import checkpoint, shared_dir, slices, table
 
 MIN_REVISIT = 1000
 #: Bytes of records in one archive file (a larger record has a file of its own).
 BLOCK_BYTES = 16 << 20
+#: Rows (of about 100 bytes) up to which the table of shared digests is broadcast; beyond, the blocks are dealt by digest.
+BROADCAST_ROWS = 200_000
 SOFTWARE = "varistack"
 ARC_DATE = "20240101000000"
 
@@ -47,19 +49,20 @@ def arc_file(records: list[tuple[bytes, str, bytes]], version: int, name: str) -
 
 def read_arc(data: bytes) -> Iterator[dict]:
     """Records of an ARC file: ``url, date, type, block``; the header's form is what the file declares."""
-    at, version = 0, 1
+    at, version, opening = 0, 1, True
     while at < len(data):
         stop = data.index(b"\n", at)
         line = data[at:stop]
         if not line:
             at = stop + 1
             continue
-        url, *fields = line.rsplit(b" ", 4 if version == 1 else 9)
-        if line.startswith(b"filedesc://"):
+        if opening and line.startswith(b"filedesc://"):  # the version block is a file's first record; later ones are pages
             size = int(line.rsplit(b" ", 1)[1])
-            version = int(data[stop + 1 :].split(b" ", 1)[0]) if size else 1
-            at = stop + 1 + size
+            version = int(data[stop + 1 : stop + 1 + size].split(b" ", 1)[0]) if size else 1
+            at, opening = stop + 1 + size, False
             continue
+        opening = False
+        url, *fields = line.rsplit(b" ", 4 if version == 1 else 9)
         size = int(fields[-1])
         if stop + 1 + size > len(data):
             raise ValueError("an ARC record ends before its declared length")
@@ -200,6 +203,8 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit:
 
     seen = _files(spark, arc_path).mapInArrow(digests, "digest string, page long")
     shared = seen.groupBy("digest").agg(F.max("page").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "response")
+    shared = checkpoint(shared)  # known before the blocks are dealt, which stay where they are if it is small
+    small = shared.count() <= BROADCAST_ROWS
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in _unzip(batches):
@@ -207,7 +212,10 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit:
             size = 0
             for arc in read_arc(data):
                 _, http, payload = split_http(arc["block"])
-                rows.append((hashlib.sha1(payload).hexdigest(), int(http["X-Page-Id"]) if "X-Page-Id" in http else None, arc["url"], arc["date"], arc["block"]))
+                page = int(http["X-Page-Id"]) if "X-Page-Id" in http else None
+                # small payloads and pages without an id revisit nothing: a key of their own, not one for all
+                digest = hashlib.sha1(payload).hexdigest() if page is not None and len(payload) >= min_revisit else f"-{page}-{len(rows)}"
+                rows.append((digest, page, arc["url"], arc["date"], arc["block"]))
                 size += len(arc["block"])
                 if size > BLOCK_BYTES // 4:
                     yield _arc_rows(rows)
@@ -216,7 +224,7 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit:
                 yield _arc_rows(rows)
 
     parsed = _files(spark, arc_path).mapInArrow(parse, "digest string, page long, url binary, date string, block binary")
-    paired = parsed.join(shared, "digest", "left")
+    paired = parsed.join(F.broadcast(shared) if small else shared, "digest", "left")
     # a page is the response if it has the group's largest id; a page without an id never revisits
     decided = paired.select("page", "url", "date", "block", F.when(F.col("page") < F.col("response"), F.col("response")).alias("refers_to"))
 
@@ -239,7 +247,7 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit:
 
 def _arc_rows(rows: list[tuple]) -> pa.RecordBatch:
     digest, page, url, date, block = zip(*rows)
-    return pa.record_batch([pa.array(digest), pa.array(page, pa.int64()), pa.array(url, pa.binary()), pa.array(date), pa.array(block, pa.binary())], names=["digest", "page", "url", "date", "block"])
+    return pa.record_batch([pa.array(digest, pa.string()), pa.array(page, pa.int64()), pa.array(url, pa.binary()), pa.array(date), pa.array(block, pa.binary())], names=["digest", "page", "url", "date", "block"])
 
 
 def read_records(spark: SparkSession, warc_path: str) -> DataFrame:
