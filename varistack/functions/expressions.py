@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession, Window, WindowSpec
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 LARGEST = 1.7976931348623157e308
@@ -10,9 +12,9 @@ NAN = float("nan")
 
 
 def fold_last(t: Column, n: Column, k: int) -> Column:
-    """Contiguous folds of floor(n / k) rows; the remainder, and all rows if n < k, go to the last."""
+    """Contiguous folds of floor(n / k) rows; the remainder goes to the last. Fewer rows than folds raise."""
     size = F.floor(n / F.lit(k))
-    return F.when(size == 0, F.lit(k - 1)).otherwise(F.least(F.floor(t / F.greatest(size, F.lit(1))), F.lit(k - 1))).cast("long")
+    return F.when(size == 0, F.raise_error(F.lit("fewer rows than folds")).cast("long")).otherwise(F.least(F.floor(t / F.greatest(size, F.lit(1))), F.lit(k - 1))).cast("long")
 
 
 def fold_first(t: Column, n: Column, k: int) -> Column:
@@ -35,6 +37,18 @@ def zscore(x: Column, window: WindowSpec, clean: bool = True) -> Column:
     return F.when(usable, (x - mean) / F.when(sd > 0, sd)).otherwise(0.0 if clean else NAN)
 
 
+def group_zscore(df: DataFrame, column: str, keys: Sequence[str], name: str = "z", clean: bool = True) -> DataFrame:
+    """Add the z-score of a column within its group, with the results of :func:`zscore`.
+
+    A row of statistics per group is joined back, so that no group is gathered in one task.
+    """
+    x = F.col(column).cast("double")
+    stats = df.groupBy(*keys).agg(F.avg(x).alias("__mean"), F.stddev_pop(x).alias("__sd"), (F.min(x) < F.max(x)).alias("__varies"))
+    usable = F.col("__varies") & ~F.isnan("__sd") & (F.col("__sd") > 0)
+    z = F.when(usable, (x - F.col("__mean")) / F.when(F.col("__sd") > 0, F.col("__sd"))).otherwise(0.0 if clean else NAN)
+    return df.join(stats, list(keys)).withColumn(name, z).drop("__mean", "__sd", "__varies")
+
+
 def everywhere() -> WindowSpec:
     return Window.partitionBy(F.lit(0))
 
@@ -69,4 +83,6 @@ def dot(a: Column, b: Column) -> Column:
 def register(spark: SparkSession) -> None:
     """Make the scalar expressions callable from SQL as temporary functions."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION r2_root(v DOUBLE) RETURNS DOUBLE RETURN signum(v) * sqrt(abs(v))")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION fold_last(t BIGINT, n BIGINT, k BIGINT) RETURNS BIGINT RETURN CASE WHEN n < k THEN k - 1 ELSE least(t div (n div k), k - 1) END")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION fold_last(t BIGINT, n BIGINT, k BIGINT) RETURNS BIGINT RETURN CASE WHEN n < k THEN raise_error('fewer rows than folds') ELSE least(t div (n div k), k - 1) END")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION fold_ntile(t BIGINT, n BIGINT, k BIGINT) RETURNS BIGINT RETURN CASE WHEN t < (n % k) * (n div k + 1) THEN t div (n div k + 1) ELSE n % k + (t - (n % k) * (n div k + 1)) div greatest(n div k, 1) END")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION r2(ss_mean DOUBLE, variance DOUBLE) RETURNS DOUBLE RETURN CASE WHEN variance = 0 THEN IF(ss_mean = 0, 0D, -{LARGEST!r}D) ELSE nanvl(1 - ss_mean / variance, 0D) END")

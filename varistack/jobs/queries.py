@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varistack.functions import expressions as E
 from varistack.jobs import report, sweep
-from varistack.operators import stack, varpart
+from varistack.operators import moments, stack, varpart
 from varistack.operators.qp import simplex_two
-from varistack.sources.tables import dense_index, table
+from varistack.operators.ridge import SOLVERS
+from varistack.sources.tables import dense_index, read_chain, shared_folder, table, write_results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -62,7 +66,7 @@ DIMS = [16, 16, 16, 16]
 
 
 def nested_sql(final: str, spaces: int = 2, folds: int = 4, train_share: float | None = None, method: str = "cross_val_ridge") -> str:
-    """Nested cross-validated ridge and two-space stacking for scalar spaces, as one statement.
+    """Nested cross-validated ridge and two-space stack weights for scalar spaces, as one statement.
 
     With one z-scored predictor the weight is n r / (n + λ) and the cost 1 - 2 w r_val + w².
     """
@@ -150,10 +154,11 @@ def zscore_by_fold(spark, sf_dir):
 @query("SELECT p_partkey, p_size % 3 AS g, 0.0e0 AS z, 0.0e0 AS with_nan FROM part")
 def zscore_constant_column(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 3).alias("g"))
-    w = Window.partitionBy("g")
-    bad = F.when(F.col("p_partkey") == F.min("p_partkey").over(w), float("nan")).otherwise(F.col("p_partkey").cast("double"))
-    spoiled = p.withColumn("bad", bad)
-    return spoiled.select("p_partkey", "g", E.zscore(F.lit(0.1), w).alias("z"), E.zscore(F.col("bad"), w).alias("with_nan"))
+    first = p.groupBy("g").agg(F.min("p_partkey").alias("low"))
+    bad = F.when(F.col("p_partkey") == F.col("low"), float("nan")).otherwise(F.col("p_partkey").cast("double"))
+    spoiled = p.join(first, "g").withColumn("bad", bad).withColumn("same", F.lit(0.1))
+    both = E.group_zscore(E.group_zscore(spoiled, "same", ["g"]), "bad", ["g"], "with_nan")
+    return both.select("p_partkey", "g", "z", "with_nan")
 
 
 @query("SELECT o_orderkey, (o_orderkey % 5 <> 2) AS train FROM orders WHERE o_orderkey % 5 <> 2 OR o_totalprice > 1000")
@@ -191,21 +196,25 @@ def var_pop_by_group(spark, sf_dir):
     return g.agg((F.round(F.var_pop("value"), 4) + 0.0).alias("var"), (F.round(F.avg("value"), 6) + 0.0).alias("mean"))
 
 
-@query("""WITH e AS (SELECT vec_id, unnest(embedding[1:4])::DOUBLE AS v, unnest(range(4))::INT AS i FROM embeddings)
+@query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64))::INT AS i FROM embeddings)
 SELECT a.i, b.i AS j, round(sum(a.v * b.v), 4) + 0.0e0 AS g FROM e a JOIN e b USING (vec_id) GROUP BY ALL""")
 def gram_matrix(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 4).cast("array<double>").alias("e"))
-    cells = [F.sum(F.col("e")[i] * F.col("e")[j]).alias(f"g{i}{j}") for i in range(4) for j in range(i, 4)]
-    sums = e.agg(*cells)  # one row: partial sums on every task
-    pairs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"g{min(i, j)}{max(i, j)}").alias("g")) for i in range(4) for j in range(4)]
-    return sums.select(F.explode(F.array(*pairs)).alias("c")).select("c.i", "c.j", (F.round("c.g", 4) + 0.0).alias("g"))
+    e = table(spark, sf_dir, "embeddings").select(F.lit(0).cast("long").alias("t"), F.col("embedding").cast("array<double>").alias("x"))
+    return moments.gram(e, DIMS).select("i", "j", (F.round("g", 4) + 0.0).alias("g"))
 
 
 @query("""SELECT l_linenumber AS seg, count(*) AS n, round(sum(l_quantity), 2) + 0.0e0 AS s, round(sum(l_quantity * l_discount), 2) + 0.0e0 AS sxy, min(l_quantity) AS low, max(l_quantity) AS high
 FROM lineitem GROUP BY l_linenumber""")
 def moment_segments(spark, sf_dir):
-    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("seg"))
-    return g.agg(F.count("*").alias("n"), (F.round(F.sum("l_quantity"), 2) + 0.0).alias("s"), (F.round(F.sum(F.col("l_quantity") * F.col("l_discount")), 2) + 0.0).alias("sxy"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
+    """Segments of the rows in the order of their line number: quantity as predictor, discount as target."""
+    lines = dense_index(table(spark, sf_dir, "lineitem").select("l_linenumber", "l_orderkey", "l_quantity", "l_discount"), "l_linenumber", "l_orderkey")
+    sizes = sorted(map(tuple, lines.groupBy("l_linenumber").agg(F.count("*")).collect()))  # a row per line number
+    starts = np.cumsum([0, *[n for _, n in sizes[:-1]]])
+    design = stack.pack(lines, "t", [[F.col("l_quantity")]], [F.col("l_discount")])
+    rows = moments.segment_moments(design, starts, np.zeros(2), [np.array([0])], 1, 1)
+    named = F.array(*[F.lit(k) for k, _ in sizes])[F.col("seg")]
+    sums = moments.segment_sums(rows)
+    return sums.select(named.alias("seg"), F.col("n").cast("long").alias("n"), *[(F.round(c, 2) + 0.0).alias(c) for c in ("s", "sxy")], "low", "high")
 
 
 @query("SELECT p_brand, bool_and(p_size * 0 = 0) AS zero, bool_and(p_size = 0) AS size_zero FROM part GROUP BY p_brand")
@@ -221,14 +230,12 @@ def all_zero_space(spark, sf_dir):
 d AS (SELECT *, n + lam AS a, n * r12 AS o FROM s, l)
 SELECT i::INT AS i, round(n * r1 / (n + lam), 6) + 0.0e0 AS w, round((a * n * r1 - o * n * r2) / (a * a - o * o), 6) + 0.0e0 AS w1, round((a * n * r2 - o * n * r1) / (a * a - o * o), 6) + 0.0e0 AS w2 FROM d""")
 def ridge_weights(spark, sf_dir):
-    """Ridge on one and on two z-scored predictors, over the penalty grid, from one row of moments."""
-    s = part_rows(spark, sf_dir).agg(F.count("*").alias("n"), F.corr("x1", "y").alias("r1"), F.corr("x2", "y").alias("r2"), F.corr("x1", "x2").alias("r12"))
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("lam")) for i, v in enumerate(stack.lambda_grid())])).alias("g")
-    d = s.select("*", grid).select("n", "r1", "r2", "r12", "g.i", "g.lam").withColumn("a", F.col("n") + F.col("lam")).withColumn("o", F.col("n") * F.col("r12"))
-    det = F.col("a") * F.col("a") - F.col("o") * F.col("o")
-    w1 = (F.col("a") * F.col("n") * F.col("r1") - F.col("o") * F.col("n") * F.col("r2")) / det
-    w2 = (F.col("a") * F.col("n") * F.col("r2") - F.col("o") * F.col("n") * F.col("r1")) / det
-    return rounded(d.select("i", (F.col("n") * F.col("r1") / F.col("a")).alias("w"), w1.alias("w1"), w2.alias("w2")), "i")
+    """Ridge on one and on two z-scored predictors, over the penalty grid."""
+    rows = stack.pack(part_rows(spark, sf_dir), "t", [[F.col("x1")], [F.col("x1"), F.col("x2")]], [F.col("y")])
+    path = stack.ridge_path(rows, [1, 2])
+    one, two = F.col("space_id") == 0, F.col("space_id") == 1
+    pick = lambda space, at: F.max(F.when(space, F.col("weights")[at]))
+    return rounded(path.groupBy("i").agg(pick(one, 0).alias("w"), pick(two, 0).alias("w1"), pick(two, 1).alias("w2")), "i")
 
 
 _COST = f"""WITH b AS ({PART}), f AS (SELECT *, ntile(5) OVER (ORDER BY t) - 1 AS c FROM b),
@@ -238,21 +245,7 @@ cost AS (SELECT i::INT AS i, sum(1 - 2 * (nt * rt / (nt + lam)) * rv + pow(nt *
 
 
 def _costs(spark, sf_dir) -> DataFrame:
-    rows = part_rows(spark, sf_dir)
-    n = rows.agg(F.count("*").alias("n"))
-    f = rows.crossJoin(F.broadcast(n)).withColumn("c", E.fold_first(F.col("t"), F.col("n"), 5))
-    sums = f.groupBy("c").agg(F.count("*").alias("n"), *[F.sum(e).alias(a) for a, e in (("sx", F.col("x1")), ("sy", F.col("y")), ("sxx", F.col("x1") * F.col("x1")), ("syy", F.col("y") * F.col("y")), ("sxy", F.col("x1") * F.col("y")))])
-    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
-    everything = Window.partitionBy(F.lit(0))  # five rows of sums
-    both = sums.select("c", *names, *[(F.sum(x).over(everything) - F.col(x)).alias(f"{x}_t") for x in names])
-
-    def r(suffix: str):
-        n, sx, sy, sxx, syy, sxy = (F.col(x + suffix) for x in names)
-        return (sxy - sx * sy / n) / F.sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))
-
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("lam")) for i, v in enumerate(stack.lambda_grid())])).alias("g")
-    w = F.col("n_t") * F.col("rt") / (F.col("n_t") + F.col("g.lam"))
-    return both.select("n_t", r("_t").alias("rt"), r("").alias("rv"), grid).groupBy("g.i").agg(F.sum(1.0 - 2.0 * w * F.col("rv") + w * w).alias("cost"))
+    return stack.penalty_costs(part_design(spark, sf_dir, 1), [1], 5).select("i", "cost")
 
 
 @query(_COST + " SELECT i, round(cost, 6) + 0.0e0 AS cost FROM cost")
@@ -260,13 +253,30 @@ def ridge_lambda_cost(spark, sf_dir):
     return rounded(_costs(spark, sf_dir), "i")
 
 
-@query(_COST + " SELECT round(min(cost), 6) + 0.0e0 AS cost FROM cost")
+@query(_COST + " SELECT arg_min(i, cost) AS i, round(min(cost), 6) + 0.0e0 AS cost FROM cost")
 def ridge_lambda_argmin(spark, sf_dir):
     best = _costs(spark, sf_dir).agg(F.min(F.struct("cost", "i")).alias("best"))
-    return rounded(best.select(F.col("best.cost").alias("cost")))
+    return rounded(best.select("best.i", "best.cost"), "i")
+
 
+@query(_COST.replace("ntile(5)", "ntile(10)").replace("range(5) q(k)", "range(10) q(k)") + """, w AS (SELECT i, count(*) * corr(x1, y) / (count(*) + pow(10.0e0, i - 6)) AS w FROM b, (SELECT arg_min(i, cost) AS i FROM cost) GROUP BY i)
+SELECT 0::INT AS space_id, 0::INT AS target_id, pow(10.0e0, i - 6) AS penalty, round(w, 6) + 0.0e0 AS w FROM w""")
+def ridge_cv_weights(spark, sf_dir):
+    """The penalty that a ten-fold search picks, and the weights of the refit on all rows."""
+    fitted = stack.cross_val_ridge(part_design(spark, sf_dir, 1), [1], 10)
+    return rounded(fitted.select("space_id", "target_id", "penalty", F.col("weights")[0].alias("w")), "space_id", "target_id", "penalty")
 
-# ---------------------------------------------------------------- stacking
+
+@query(f"""WITH b AS ({PART}), s AS (SELECT count(*) AS n, sum(x1 * x1) AS xx, sum(x1 * y) AS xy, sum(x1) AS sx, sum(y) AS sy FROM b)
+SELECT solver, round(CASE solver WHEN 'ridge_sk' THEN (xy - sx * sy / n) / (xx - sx * sx / n + 10) ELSE xy / (xx + 10) END, 6) + 0.0e0 AS w FROM s, (VALUES ('plain'), ('svd'), ('ridge_sk')) v(solver)""")
+def ridge_solvers(spark, sf_dir):
+    """The three solvers on the columns as they are, at one penalty: the last one has an intercept."""
+    design = part_design(spark, sf_dir, 1)
+    each = [stack.cross_val_ridge(design, [1], 2, [10.0], solver, standardize=False).select(F.lit(solver).alias("solver"), F.col("weights")[0].alias("w")) for solver in SOLVERS]
+    return rounded(reduce(DataFrame.unionByName, each), "solver")
+
+
+# ---------------------------------------------------------------- stacked regression
 
 
 @query(nested_sql("SELECT k::INT AS outer_fold, round(p11, 6) + 0.0e0 AS p11, round(p12, 6) + 0.0e0 AS p12, round(p22, 6) + 0.0e0 AS p22, round(w1, 6) + 0.0e0 AS w1 FROM sw"))
@@ -306,9 +316,61 @@ def simple_ridge(spark, sf_dir):
     return rounded(stack.space_scores(stack.fold_stats(part_design(spark, sf_dir), [1, 1], 4, method="simple_ridge"), 2), "target_id", "space_id")
 
 
-@query()
+def concat_sql(folds: int) -> str:
+    """Ridge on two z-scored predictors side by side: the 2 x 2 system in closed form."""
+    return f"""WITH b AS ({PART}), nn AS (SELECT count(*) AS n FROM b), f AS (SELECT *, least(t // (n // {folds}), {folds - 1}) AS fold, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS yg FROM b, nn),
+    tr AS (SELECT k, t, x1, x2, y, ntile(5) OVER (PARTITION BY k ORDER BY t) - 1 AS c FROM f, range({folds}) o(k) WHERE fold <> k),
+    s AS (SELECT k, q, count(*) FILTER (c <> q) AS n, corr(x1, y) FILTER (c <> q) AS r1, corr(x2, y) FILTER (c <> q) AS r2, corr(x1, x2) FILTER (c <> q) AS r12,
+      corr(x1, y) FILTER (c = q) AS v1, corr(x2, y) FILTER (c = q) AS v2, corr(x1, x2) FILTER (c = q) AS v12 FROM tr, range(-1, 5) g(q) GROUP BY ALL),
+    l AS (SELECT i, pow(10.0e0, i - 6) AS lam FROM range(16) g(i)),
+    w AS (SELECT *, ((n + lam) * n * r1 - n * r12 * n * r2) / ((n + lam) * (n + lam) - n * r12 * n * r12) AS w1, ((n + lam) * n * r2 - n * r12 * n * r1) / ((n + lam) * (n + lam) - n * r12 * n * r12) AS w2 FROM s, l),
+    cost AS (SELECT k, i, sum(1 - 2 * (w1 * v1 + w2 * v2) + w1 * w1 + w2 * w2 + 2 * w1 * w2 * v12) AS cost FROM w WHERE q >= 0 GROUP BY ALL),
+    best AS (SELECT * FROM cost QUALIFY row_number() OVER (PARTITION BY k ORDER BY cost, i) = 1),
+    p AS (SELECT yg, w1 * (x1 - avg(x1) OVER v) / stddev_pop(x1) OVER v + w2 * (x2 - avg(x2) OVER v) / stddev_pop(x2) OVER v AS pred
+      FROM f JOIN best ON best.k = f.fold JOIN w ON w.k = best.k AND w.i = best.i AND w.q = -1 WINDOW v AS (PARTITION BY fold))
+    SELECT 0::INT AS target_id, round(1 - avg(pow(yg - pred, 2)) / var_pop(yg), 6) + 0.0e0 AS concat_r2, round(corr(pred, yg), 6) + 0.0e0 AS concat_corr FROM p"""
+
+
+@query(concat_sql(4))
 def concat_cv(spark, sf_dir):
-    return rounded(stack.concat_cv(part_design(spark, sf_dir), [1, 1], 4), "target_id")
+    design = part_design(spark, sf_dir)
+    by_corr = stack.concat_cv(design, [1, 1], 4, score_f=E.corr).withColumnRenamed("concat_r2", "concat_corr")
+    return rounded(stack.concat_cv(design, [1, 1], 4).join(by_corr, "target_id"), "target_id")
+
+
+@query(nested_sql("SELECT o.k::INT AS outer_fold, (o.s - 1)::INT AS space_id, o.t, round(pred, 6) + 0.0e0 AS pred, round(yz - pred, 6) + 0.0e0 AS error FROM oof o"))
+def oof_predictions(spark, sf_dir):
+    """Every train row's prediction by the inner fold that leaves it out, and its error."""
+    rows = stack.long_predictions(stack.fit_folds(part_design(spark, sf_dir), [1, 1], 4), train=True)
+    return rounded(rows.select("outer_fold", "space_id", "t", "pred", (F.col("real") - F.col("pred")).alias("error")), "outer_fold", "space_id", "t")
+
+
+@query(nested_sql("SELECT (s - 1)::INT AS space_id, t, round(pred, 6) + 0.0e0 AS pred, round(yg, 6) + 0.0e0 AS real FROM pooled UNION ALL SELECT NULL, t, round(pred, 6) + 0.0e0, round(yg, 6) + 0.0e0 FROM stacked"))
+def test_predictions(spark, sf_dir):
+    """Every row's prediction while its fold is held out, per space and (null) stacked."""
+    fitted = stack.fit_folds(part_design(spark, sf_dir), [1, 1], 4)
+    rows = stack.long_predictions(fitted).select("space_id", "t", "pred", "real")
+    both = rows.unionByName(stack.stacked_predictions(fitted).select(F.lit(None).cast("int").alias("space_id"), "t", "pred", "real"))
+    return rounded(both, "space_id", "t")
+
+
+@query(nested_sql("SELECT (s - 1)::INT AS space_id, round(corr(pred, yg), 6) + 0.0e0 AS score, round(corr(sw * pred, yg), 6) + 0.0e0 AS score_weighted FROM pooled GROUP BY s UNION ALL SELECT NULL, round(corr(pred, yg), 6) + 0.0e0, round(corr(pred, yg), 6) + 0.0e0 FROM stacked"))
+def stack_cv_corr(spark, sf_dir):
+    """The stack's and its spaces' scores by another function: the correlation."""
+    fitted = stack.fit_folds(part_design(spark, sf_dir), [1, 1], 4)
+    return rounded(stack.scored(fitted, E.corr).select("space_id", "score", "score_weighted"), "space_id")
+
+
+@query(nested_sql("SELECT k::INT AS outer_fold, (s - 1)::INT AS space_id, round(var_pop(pred), 6) + 0.0e0 AS variance FROM oof GROUP BY k, s"))
+def train_variance(spark, sf_dir):
+    found = stack.train_variance(stack.fit_folds(part_design(spark, sf_dir), [1, 1], 4))
+    return rounded(found.select("outer_fold", "space_id", "variance"), "outer_fold", "space_id")
+
+
+@query(nested_sql(SPACE_FINAL.replace("SELECT 0::INT AS target_id, (s - 1)", ", e AS (SELECT 0::INT AS target_id, (s - 1)") + ") SELECT target_id, max(r2) FILTER (space_id < 1) AS max, max(r2) AS max_all FROM e GROUP BY target_id"))
+def max_over_spaces(spark, sf_dir):
+    scores = stack.space_scores(stack.fold_stats(part_design(spark, sf_dir), [1, 1], 4), 2)
+    return rounded(varpart.max_over_spaces(scores, first=1), "target_id")
 
 
 @query(f"""WITH b AS ({PART}), nn AS (SELECT count(*) AS n FROM b), f AS (SELECT *, least(t // (n // 10), 9) AS fold FROM b, nn),
@@ -397,16 +459,41 @@ def attribution_backward(spark, sf_dir):
 def chain_embeddings(spark, sf_dir):
     """Both chains of the planted spaces, from one set of fits."""
     stats = stack.fold_stats(embedding_design(spark, sf_dir), DIMS, 4)
-    both = varpart.chain(stats, 4, "forward").unionByName(varpart.chain(stats, 4, "backward"))
+    both = varpart.chain(stats, 4, "forward", "backward")
     return rounded(varpart.unique_variance(both, "target_id", "direction"), "target_id", "direction", "step")
 
 
+_TWO_SCORES = """, r AS (SELECT (SELECT 1 - avg(pow(yg - pred, 2)) / var_pop(yg) FROM stacked) AS r_all, (SELECT 1 - avg(pow(yg - pred, 2)) / var_pop(yg) FROM pooled WHERE s = 1) AS r_one,
+    (SELECT 1 - avg(pow(yg - pred, 2)) / var_pop(yg) FROM pooled WHERE s = 2) AS r_two)"""
+
+
+@query(nested_sql(_TWO_SCORES + """, c AS (SELECT d AS direction, s::INT AS step, CASE WHEN s = 0 THEN r_all WHEN d = 'forward' THEN r_two ELSE r_one END AS r2 FROM r, range(2) g(s), (VALUES ('forward'), ('backward')) v(d))
+    SELECT direction, step, round(r2, 6) + 0.0e0 AS r2, round(r2 - coalesce(lead(r2) OVER (PARTITION BY direction ORDER BY step), 0), 6) + 0.0e0 AS vp FROM c"""))
+def chain_part(spark, sf_dir):
+    """Both chains of two spaces, with the variance that each step loses."""
+    chains = varpart.chain(stack.fold_stats(part_design(spark, sf_dir), [1, 1], 4), 2, "forward", "backward")
+    return rounded(varpart.unique_variance(chains, "target_id", "direction").select("direction", "step", "r2", "vp"), "direction", "step")
+
+
+@query(_chain_sql("forward") + " SELECT 'forward' AS direction, step, p_brand AS shard, round(r2, 6) + 0.0e0 AS r2 FROM ch WHERE step >= 3")
+def chain_shards(spark, sf_dir):
+    """Chains written by direction, step and shard, read back with a filter that prunes the files. The terminal
+    step comes from the single-space scores, which lie apart."""
+    folder = f"{shared_folder(spark)}/chain-{uuid.uuid4().hex}"
+    rows = _chains(spark, sf_dir, "forward").select(F.lit("forward").alias("direction"), "step", F.col("p_brand").alias("shard"), F.xxhash64("p_brand").alias("target_id"), "r2")
+    write_results(rows.where("step < 6"), folder, "direction", "step", "shard")
+    singles = rows.where("step = 6").select("target_id", F.lit(6).alias("space_id"), "r2")
+    shards = read_chain(spark, folder)
+    whole = varpart.with_single_space(shards.where("direction = 'forward' AND step >= 3"), singles, 7)
+    named = whole.join(shards.select("target_id", "shard").distinct(), "target_id")
+    return rounded(named.select("direction", "step", "shard", "r2"), "direction", "step", "shard")
+
+
 @query(nested_sql("SELECT 0::INT AS target_id, round((SELECT 1 - avg(pow(yg - pred, 2)) / var_pop(yg) FROM stacked) - (SELECT 1 - avg(pow(yg - pred, 2)) / var_pop(yg) FROM pooled WHERE s = 2), 6) + 0.0e0 AS varpar"))
 def leave_first_out(spark, sf_dir):
-    stats = stack.fold_stats(part_design(spark, sf_dir), [1, 1], 4)
-    full, rest = stack.target_scores(stats, 2), stack.target_scores(stats, 2, [1])
-    both = full.select("target_id", "stacked_r2").join(rest.select("target_id", F.col("stacked_r2").alias("rest")), "target_id")
-    return rounded(both.select("target_id", (F.col("stacked_r2") - F.col("rest")).alias("varpar")), "target_id")
+    chain = varpart.chain(stack.fold_stats(part_design(spark, sf_dir), [1, 1], 4), 2)
+    lost = varpart.unique_variance(chain, "target_id").where("step = 0")
+    return rounded(lost.select("target_id", F.col("vp").alias("varpar")), "target_id")
 
 
 # ---------------------------------------------------------------- reports
@@ -417,10 +504,22 @@ def paired_t(spark, sf_dir):
     return rounded(report.paired_t(table(spark, sf_dir, "lineitem"), "l_discount", "l_tax", "l_returnflag"), "l_returnflag", "n")
 
 
-@query()
+#: Student's t by Simpson's rule over the density.
+_VERDICTS = """WITH s AS (SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, avg(l_discount - l_tax) AS m, avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))) AS t FROM lineitem GROUP BY ALL),
+d AS (SELECT *, n - 1 AS df, least(abs(t), 40e0) / 2000 AS h FROM s WHERE n > 1),
+a AS (SELECT l_returnflag, l_linestatus, l_linenumber, n, m, t, 1 - 2 * exp(lgamma((df + 1) / 2e0) - lgamma(df / 2e0)) / sqrt(df * pi()) * sum(h / 3 * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + h * i * h * i / df, -(df + 1) / 2e0)) AS p
+  FROM d, range(2001) g(i) GROUP BY l_returnflag, l_linestatus, l_linenumber, n, m, t, df),
+v AS (SELECT *, CASE WHEN p >= 0.0025e0 THEN NULL WHEN t > 0 THEN 'second' ELSE 'first' END AS verdict FROM a)"""
+
+
+def _verdicts(spark, sf_dir) -> DataFrame:
+    tests = report.paired_t(table(spark, sf_dir, "lineitem"), "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_linenumber")
+    return report.with_verdict(tests.where("n > 1"))
+
+
+@query(_VERDICTS + " SELECT l_returnflag, l_linestatus, l_linenumber, n, round(m, 6) + 0.0e0 AS mean_diff, round(t, 6) + 0.0e0 AS t, round(abs(p), 6) + 0.0e0 AS p, verdict FROM v")
 def verdict(spark, sf_dir):
-    tests = report.paired_t(table(spark, sf_dir, "lineitem"), "l_discount", "l_tax", "l_returnflag", "l_linenumber")
-    return rounded(report.with_verdict(tests), "l_returnflag", "l_linenumber", "n", "verdict")
+    return rounded(_verdicts(spark, sf_dir), "l_returnflag", "l_linestatus", "l_linenumber", "n", "verdict")
 
 
 @query("""WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY event_type)
@@ -441,12 +540,20 @@ def setting_rank(spark, sf_dir):
     return report.setting_rank(table(spark, sf_dir, "part"), "p_size")
 
 
-@query("""SELECT l_returnflag, l_linestatus, l_linenumber::VARCHAR AS l_linenumber, count(*) AS n, count(*) FILTER (l_discount > l_tax) AS better FROM lineitem
+@query(_VERDICTS + """ SELECT l_returnflag, l_linestatus, l_linenumber::VARCHAR AS l_linenumber, count(*) AS settings, count(*) FILTER (verdict = 'second') AS second_better, count(*) FILTER (verdict = 'first') AS first_better FROM v
 GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_linenumber))""")
 def reliability_by_param(spark, sf_dir):
-    better = F.count(F.when(F.col("l_discount") > F.col("l_tax"), 1)).alias("better")
-    rows = table(spark, sf_dir, "lineitem").withColumn("l_linenumber", F.col("l_linenumber").cast("string"))
-    return report.by_parameter(rows, ["l_returnflag", "l_linestatus", "l_linenumber"], [F.count("*").alias("n"), better])
+    """Verdicts per setting, counted over each parameter's values."""
+    rows = _verdicts(spark, sf_dir).withColumn("l_linenumber", F.col("l_linenumber").cast("string"))
+    return report.reliability(rows, ["l_returnflag", "l_linestatus", "l_linenumber"])
+
+
+@query("SELECT l_orderkey, l_linenumber, round(abs(l_discount - l_quantity / 500), 6) + 0.0e0 AS l_discount, round(abs(l_tax - l_quantity / 500), 6) + 0.0e0 AS l_tax FROM lineitem")
+def absolute_error(spark, sf_dir):
+    """Two estimates' distances from a truth, here planted in the quantity."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("truth", F.col("l_quantity") / 500)
+    found = report.absolute_errors(rows, ["l_discount", "l_tax"], "truth")
+    return rounded(found.select("l_orderkey", "l_linenumber", "l_discount", "l_tax"), "l_orderkey", "l_linenumber")
 
 
 @query("""SELECT l_returnflag, l_linestatus, l_linenumber::VARCHAR AS l_linenumber, round(avg(l_discount - l_tax), 6) + 0.0e0 AS diff FROM lineitem
@@ -461,8 +568,8 @@ def error_by_param_pair(spark, sf_dir):
 def union_shards(spark, sf_dir):
     """Shards by event type, put together again."""
     e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("shard"), "value")
-    kinds = F.array(*[F.lit(k) for k in ("click", "view", "purchase")])
-    return e.where(F.array_contains(kinds, F.col("shard"))).unionByName(e.where(~F.array_contains(kinds, F.col("shard"))))
+    common = F.coalesce(F.col("shard").isin("click", "view", "purchase"), F.lit(False))
+    return e.where(common).unionByName(e.where(~common))
 
 
 @query(f"""WITH b AS ({PART}), s AS (SELECT DISTINCT x1 AS v FROM b) SELECT a.v AS i, c.v AS j, round(exp(-pow(a.v - c.v, 2) / ((SELECT count(*) FROM s) * 0.5e0)), 9) + 0.0e0 AS c FROM s a, s c""")
@@ -475,15 +582,17 @@ def toeplitz_cov(spark, sf_dir):
     return pairs.select("i", "j", (F.round(c, 9) + 0.0).alias("c"))
 
 
-@query("""WITH p AS (SELECT DISTINCT p_size % 4 AS n, p_size % 3 AS d FROM part), o AS (SELECT DISTINCT n, d FROM p)
-SELECT ((n * 3 + d) * 5 + run)::BIGINT AS global_index, n, d, run::INT AS run FROM (SELECT DISTINCT n FROM o), (SELECT DISTINCT d FROM o), range(5) r(run) WHERE (n * 3 + d) * 5 + run BETWEEN 7 AND 41""")
+@query("""WITH n AS (SELECT p_size AS n, row_number() OVER (ORDER BY p_size) - 1 AS i FROM (SELECT DISTINCT p_size FROM part)), s AS (SELECT d AS sigma, row_number() OVER (ORDER BY d) - 1 AS j FROM (SELECT DISTINCT l_discount::DOUBLE AS d FROM lineitem)),
+t AS (SELECT (i * (SELECT count(*) FROM s) + j) * 5 + run AS global_index, n, sigma, run FROM n, s, range(5) r(run))
+SELECT global_index::BIGINT AS global_index, n::INT AS n, 10::INT AS d1, 20::INT AS d2, 30::INT AS d3, 40::INT AS d4, 0.4e0 AS alpha1, 0.3e0 AS alpha2, 0.2e0 AS alpha3, 0.1e0 AS alpha4, sigma, 0.0e0 AS correl, run::INT AS run
+FROM t WHERE global_index >= 100 AND global_index <= (SELECT max(global_index) FROM t) - 100""")
 def sweep_tasks(spark, sf_dir):
-    """A factorial of settings found in ``part``, indexed with the run fastest, and one shard of it."""
-    p = table(spark, sf_dir, "part")
-    n, d = p.select((F.col("p_size") % 4).alias("n")).distinct(), p.select((F.col("p_size") % 3).alias("d")).distinct()
-    runs = spark.range(5).select(F.col("id").cast("int").alias("run"))
-    index = ((F.col("n") * 3 + F.col("d")) * 5 + F.col("run")).cast("long")
-    return sweep.shard(n.crossJoin(d).crossJoin(runs).select(index.alias("global_index"), "n", "d", "run"), 7, 41)
+    """The factorial over the sizes found in ``part`` and the discounts found in ``lineitem``, run fastest, less
+    a hundred tasks at either end, with the lists of each setting as columns."""
+    sizes = sorted(r[0] for r in table(spark, sf_dir, "part").select("p_size").distinct().collect())  # fifty at most
+    noises = sorted(r[0] for r in table(spark, sf_dir, "lineitem").select(F.col("l_discount").cast("double")).distinct().collect())  # eleven
+    tasks = sweep.build_tasks(spark, sizes, ((10, 20, 30, 40),), ((0.4, 0.3, 0.2, 0.1),), noises, (0.0,), 5)
+    return sweep.unnest(sweep.shard(tasks, 100, len(sizes) * len(noises) * 5 - 101))
 
 
 @query()

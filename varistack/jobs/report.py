@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varistack.functions.expressions import NAN
+from varistack.sources.tables import checkpointed
 
 SIGNIFICANT = 0.05 / 20
 
@@ -66,9 +68,35 @@ def with_verdict(tests: DataFrame, alpha: float = SIGNIFICANT) -> DataFrame:
     return tested.withColumn("verdict", F.when(F.isnan("p") | (F.col("p") >= alpha), None).when(F.col("t") > 0, "second").otherwise("first"))
 
 
+def quantiles(df: DataFrame, value: str, keys: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """``(keys, q)``: exact interpolated quantiles per group, nulls left out, however large a group is.
+
+    Rows are range-partitioned and sorted by (keys, value); counts per group and partition, a small table,
+    give every row its rank in its group, and only rows at the wanted ranks are kept.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    # a salt deals out equal values; ties have equal values, so their order is free
+    ranged = rows.repartitionByRange(*keys, "__v", F.xxhash64(F.monotonically_increasing_id())).sortWithinPartitions(*keys, "__v")
+    marked = checkpointed(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    sizes = marked.groupBy(*keys, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    group = Window.partitionBy(*keys)
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sizes = sizes.withColumn("__total", F.sum("__n").over(group))
+    at = F.col("__at") - F.col("__first") + F.col("__before")
+    null_safe = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    ranked = marked.alias("a").join(sizes.alias("b"), [*null_safe, F.col("a.__part") == F.col("b.__part")]).select(*[F.col(f"a.{k}").alias(k) for k in keys], "__v", at.alias("__rank"), "__total")
+    place = [(F.col("__total") - 1) * F.lit(float(s)) for s in shares]
+    near = [(F.col("__rank") == F.floor(p)) | (F.col("__rank") == F.ceil(p)) for p in place]
+    kept = ranked.where(reduce(Column.__or__, near))
+    low = [F.max(F.when(F.col("__rank") == F.floor(p), F.col("__v"))) for p in place]
+    high = [F.max(F.when(F.col("__rank") == F.ceil(p), F.col("__v"))) for p in place]
+    part = [F.max(p - F.floor(p)) for p in place]
+    return kept.groupBy(*keys).agg(F.array(*[a + (b - a) * w for a, b, w in zip(low, high, part)]).alias("q"))
+
+
 def five_number(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Box-plot summary: quartiles (interpolated), and the extreme values within 1.5 interquartile ranges."""
-    box = df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
+    box = quantiles(df, value, keys, (0.25, 0.5, 0.75))
     box = box.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = df.join(box, list(keys)).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
@@ -89,3 +117,32 @@ def by_parameter(df: DataFrame, params: Sequence[str], aggregates: Sequence[Colu
     """Aggregates over every ``size``-subset of parameters at once (grouping sets); others are null."""
     sets = [list(s) for s in combinations(params, size)]
     return df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in params]).agg(*aggregates)
+
+
+def absolute_errors(df: DataFrame, methods: Sequence[str], truth: str) -> DataFrame:
+    """Each method's column replaced by its distance from the column ``truth``."""
+    return df.withColumns({m: F.abs(F.col(m) - F.col(truth)) for m in methods})
+
+
+def simulation_report(results: DataFrame, setting: str, first: str = "varpar_X0_concat", second: str = "varpar_X0_stacked", truth: str = "varpar_X0_real", methods: Sequence[str] = (), alpha: float = SIGNIFICANT) -> dict[str, DataFrame]:
+    """The frames of a one-factor report from a result row per run and target.
+
+    ``tests`` has a paired test of the two estimates' absolute errors per value of ``setting``, with the
+    verdict; ``errors`` the errors as a tidy frame, ``boxes`` their five numbers; ``scores`` the methods'
+    values as a tidy frame.
+    """
+    errors = absolute_errors(results, [first, second], truth)
+    long = tidy(errors.select(setting, first, second), [setting], [first, second], "error")
+    names = list(methods) or [first, second]
+    return {
+        "tests": with_verdict(paired_t(errors, first, second, setting), alpha),
+        "errors": long,
+        "boxes": five_number(long, "error", setting, "method"),
+        "scores": tidy(results.select(setting, *names), [setting], names),
+    }
+
+
+def reliability(verdicts: DataFrame, params: Sequence[str], size: int = 1) -> DataFrame:
+    """Per value of each parameter: settings, and those in which the second or the first estimate is better."""
+    hits = lambda v: F.count(F.when(F.col("verdict") == v, 1)).alias(f"{v}_better")
+    return by_parameter(verdicts, params, [F.count("*").alias("settings"), hits("second"), hits("first")], size)

@@ -31,12 +31,20 @@ ONE_FACTOR = {
 RESULT = "global_index long, target_id int, " + ", ".join(f"{m} double" for m in METRICS)
 
 
+def checked_alphas(alphas: Sequence[Sequence[float]]) -> None:
+    """Each list of shares must sum to 1."""
+    wrong = [a for a in alphas if abs(sum(a) - 1) > 1e-9]
+    if wrong:
+        raise ValueError(f"shares do not sum to 1: {wrong}")
+
+
 def _axis(spark: SparkSession, values: Sequence, name: str, kind: str) -> DataFrame:
     return spark.createDataFrame([(i, list(v) if isinstance(v, tuple) else v) for i, v in enumerate(values)], f"i_{name} long, {name} {kind}")
 
 
 def build_tasks(spark: SparkSession, samples=SAMPLES, dims=DIMS, alphas=ALPHAS, noises=NOISES, correls=CORRELS, runs: int = RUNS) -> DataFrame:
     """The full factorial of settings and runs; ``global_index`` counts with the run fastest, n slowest."""
+    checked_alphas(alphas)
     axes = [
         _axis(spark, samples, "n", "int"),
         _axis(spark, dims, "ds", "array<int>"),
@@ -52,10 +60,11 @@ def build_tasks(spark: SparkSession, samples=SAMPLES, dims=DIMS, alphas=ALPHAS,
 
 
 def shard(tasks: DataFrame, start: int, end: int) -> DataFrame:
-    """Tasks with an index from ``start`` to ``end``, both included, clamped to what there is."""
-    start = max(0, start)
+    """Tasks with an index from ``start`` to ``end``, both included, clamped to what there is. No task at all raises."""
+    last = tasks.agg(F.max("global_index")).first()[0]
+    start, end = max(0, start), min(end, -1 if last is None else last)
     if start > end:
-        raise ValueError("the start index lies after the end index")
+        raise ValueError("no task has an index in this range")
     return tasks.where(F.col("global_index").between(start, end))
 
 
@@ -79,11 +88,13 @@ def run_tasks(tasks: DataFrame, scale: float = SCALE, targets: int = TARGETS, pa
 
 
 def sweep(spark: SparkSession, start: int, end: int, output: str | None = None, **grid) -> DataFrame:
-    """A shard of the full sweep with its settings; appended to ``output`` as parquet if given."""
+    """A shard of the full sweep with its settings. With ``output`` it is written there as parquet, in a folder of
+    its range that a second run overwrites, and read back."""
     tasks = shard(build_tasks(spark, **grid), start, end)
     result = run_tasks(tasks).join(unnest(tasks), "global_index").withColumnRenamed("global_index", "task_index")
     if output is not None:
-        result.write.mode("append").parquet(output)
+        result.write.mode("overwrite").parquet(f"{output}/tasks={start}-{end}")
+        return spark.read.parquet(f"{output}/tasks={start}-{end}")
     return result
 
 
@@ -96,6 +107,7 @@ def one_factor_tasks(spark: SparkSession, sim_type: str, runs: int = RUNS) -> Da
     rows = []
     for s, value in enumerate(held[varied]):
         own = held | {varied: value}
+        checked_alphas([own["alpha"]])
         setting = float(value[0]) if isinstance(value, tuple) else float(value)
         rows.append((s, setting, own["n"], list(own["ds"]), list(own["alpha"]), own["noise"], own["correl"]))
     settings = spark.createDataFrame(rows, "s long, setting double, n int, ds array<int>, alpha array<double>, noise double, correl double")

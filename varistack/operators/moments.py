@@ -3,11 +3,15 @@
 All folds and splits of nested cross-validation are unions of contiguous segments of the row order.
 One pass sums, per segment, counts, sums, cross products and extremes of the columns; everything that
 R² needs of a split follows from these, so fits never read a row again.
+
+Cross products travel in blocks of one pair of predictor spaces, or of a space and a block of targets,
+so that a row is bounded by the spaces' sizes and a fit receives only the blocks it needs. Each map
+task sums what it has per segment; the tasks' sums are merged in rounds of at most ``FAN`` at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "seg int, n long, s binary, xx binary, xy binary, yy binary, low binary, high binary"
+from varistack.sources.tables import checkpointed
+
+#: Rows of moments: count, sums, squares, extremes of a space's columns (``sx``, i) and of a target block's
+#: (``sy``, j), and cross products of two spaces (``xx``, i <= j) and of a space and a target block (``xy``).
+SCHEMA = "seg int, kind string, i int, j int, part int, data binary"
+#: Partial sums that one merge task adds up.
+FAN = 32
+#: Bytes of partial sums beyond which rows are dealt by ranges first, so that a task sums one segment after another.
+HELD_BYTES = 256 << 20
 
 
 def last_bounds(n: int, k: int) -> np.ndarray:
@@ -72,17 +84,21 @@ class Moments:
     p: int
 
     @classmethod
-    def of(cls, x: np.ndarray, y: np.ndarray, seg: np.ndarray, segments: int) -> Moments:
-        p, v = x.shape[1], y.shape[1]
+    def empty(cls, segments: int, p: int, v: int) -> Moments:
+        return cls(np.zeros(segments, np.int64), np.zeros((segments, p + v)), np.zeros((segments, p, p)), np.zeros((segments, p, v)), np.zeros((segments, v)), np.full((segments, p + v), np.inf), np.full((segments, p + v), -np.inf), p)
+
+    @classmethod
+    def of(cls, x: np.ndarray, y: np.ndarray) -> Moments:
+        """One segment's rows."""
         z = np.concatenate([x, y], axis=1)
-        out = cls(np.zeros(segments, np.int64), np.zeros((segments, p + v)), np.zeros((segments, p, p)), np.zeros((segments, p, v)), np.zeros((segments, v)), np.full((segments, p + v), np.inf), np.full((segments, p + v), -np.inf), p)
-        for g in np.unique(seg):
-            own = z[seg == g]
-            a, b = own[:, :p], own[:, p:]
-            with np.errstate(invalid="ignore", over="ignore"):
-                out.n[g], out.s[g], out.xx[g], out.xy[g], out.yy[g] = len(own), own.sum(0), a.T @ a, a.T @ b, (b * b).sum(0)
-                out.low[g], out.high[g] = own.min(0), own.max(0)
-        return out
+        with np.errstate(invalid="ignore", over="ignore"):
+            return cls(np.array([len(z)]), z.sum(0)[None], (x.T @ x)[None], (x.T @ y)[None], (y * y).sum(0)[None], z.min(0)[None], z.max(0)[None], x.shape[1])
+
+    def add(self, other: Moments) -> None:
+        with np.errstate(invalid="ignore", over="ignore"):
+            for name in ("n", "s", "xx", "xy", "yy"):
+                getattr(self, name).__iadd__(getattr(other, name))
+            self.low, self.high = np.minimum(self.low, other.low), np.maximum(self.high, other.high)
 
     def select(self, mask: np.ndarray) -> Side:
         return Side(self, mask)
@@ -152,49 +168,133 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.concatenate([_array(batch.column(batch.schema.get_field_index(c))) for c in ("x", "y")], axis=1)
 
 
-def _rows(m: Moments, seg: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch(
-        [pa.array(seg, pa.int32()), pa.array(m.n[seg], pa.int64()), *(pa.array([a[g].tobytes() for g in seg], pa.binary()) for a in (m.s, m.xx, m.xy, m.yy, m.low, m.high))],
-        names=["seg", "n", "s", "xx", "xy", "yy", "low", "high"],
-    )
-
-
-def from_rows(table: pa.Table, segments: int, p: int, v: int) -> Moments:
-    """Sum rows of ``SCHEMA`` into moments of all segments."""
-    out = Moments(np.zeros(segments, np.int64), np.zeros((segments, p + v)), np.zeros((segments, p, p)), np.zeros((segments, p, v)), np.zeros((segments, v)), np.full((segments, p + v), np.inf), np.full((segments, p + v), -np.inf), p)
-    for g, n, s, xx, xy, yy, low, high in zip(*(table.column(c).to_pylist() for c in ("seg", "n", "s", "xx", "xy", "yy", "low", "high"))):
-        out.n[g] += n
-        out.s[g] += np.frombuffer(s)
-        out.xx[g] += np.frombuffer(xx).reshape(p, p)
-        out.xy[g] += np.frombuffer(xy).reshape(p, v)
-        out.yy[g] += np.frombuffer(yy)
-        with np.errstate(invalid="ignore"):
-            out.low[g], out.high[g] = np.minimum(out.low[g], np.frombuffer(low)), np.maximum(out.high[g], np.frombuffer(high))
-    return out
-
-
-def segment_moments(design: DataFrame, starts: np.ndarray, origin: np.ndarray, p: int, v: int) -> DataFrame:
-    """Rows of ``SCHEMA``, one per segment and task: sums are taken before anything is shuffled.
+def target_blocks(v: int, block: int) -> list[slice]:
+    return [slice(a, min(a + block, v)) for a in range(0, v, block)]
+
+
+def _rows(held: dict[int, Moments], spaces: list[np.ndarray], blocks: list[slice], part: int) -> Iterator[pa.RecordBatch]:
+    for seg, m in held.items():
+        p, rows = m.p, []
+        for i, own in enumerate(spaces):
+            rows.append(("sx", i, 0, np.stack([np.full(len(own), m.n[0]), m.s[0][own], np.diag(m.xx[0])[own], m.low[0][own], m.high[0][own]])))
+            rows += [("xx", i, j, m.xx[0][np.ix_(own, spaces[j])]) for j in range(i, len(spaces))]
+            rows += [("xy", i, j, m.xy[0][own, b]) for j, b in enumerate(blocks)]
+        for j, b in enumerate(blocks):
+            y = slice(p + b.start, p + b.stop)
+            rows.append(("sy", 0, j, np.stack([np.full(b.stop - b.start, m.n[0]), m.s[0][y], m.yy[0][b], m.low[0][y], m.high[0][y]])))
+        kind, i, j, data = zip(*rows)
+        same = [pa.array([x] * len(rows), pa.int32()) for x in (seg, part)]
+        yield pa.record_batch([same[0], pa.array(kind), pa.array(i, pa.int32()), pa.array(j, pa.int32()), same[1], pa.array([d.astype(np.float64).tobytes() for d in data], pa.binary())], names=["seg", "kind", "i", "j", "part", "data"])
+
+
+def _merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of all rows of a group, one after another; the last rows of ``sx`` and ``sy`` are extremes."""
+    kind, total = key[1].as_py(), None
+    extremes = 5 if kind in ("sx", "sy") else None
+    for data in (d for batch in batches for d in batch.column(batch.schema.get_field_index("data"))):
+        own = np.frombuffer(data.as_buffer()).reshape(extremes or 1, -1)
+        if total is None:
+            total = own.copy()
+        elif extremes:
+            total[:-2] += own[:-2]
+            with np.errstate(invalid="ignore"):
+                total[-2], total[-1] = np.minimum(total[-2], own[-2]), np.maximum(total[-1], own[-1])
+        else:
+            total += own
+    columns = [pa.array([k.as_py()], t) for k, t in zip(key, (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()))]
+    yield pa.record_batch([*columns, pa.array([total.tobytes()], pa.binary())], names=["seg", "kind", "i", "j", "part", "data"])
+
+
+def segment_moments(design: DataFrame, starts: np.ndarray, origin: np.ndarray, spaces: list[np.ndarray], v: int, block: int) -> DataFrame:
+    """Rows of ``SCHEMA``, one of each kind and block per segment, checkpointed.
 
     ``design`` has ``t`` (dense, 0-based), ``x`` and ``y``.
     """
-    segments = len(starts)
+    p, blocks = len(origin) - v, target_blocks(v, block)
+    if len(starts) * (p + 1) * (p + v) * 8 > HELD_BYTES:
+        design = design.repartitionByRange("t").sortWithinPartitions("t")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Moments | None = None
+        from pyspark import TaskContext
+
+        part, held = TaskContext.get().partitionId(), {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             z = _matrix(batch) - origin
             seg = np.searchsorted(starts, batch.column(batch.schema.get_field_index("t")).to_numpy(), "right") - 1
-            own = Moments.of(z[:, :p], z[:, p:], seg, segments)
-            if total is None:
-                total = own
-            else:
-                for name in ("n", "s", "xx", "xy", "yy"):
-                    getattr(total, name).__iadd__(getattr(own, name))
-                total.low, total.high = np.minimum(total.low, own.low), np.maximum(total.high, own.high)
-        if total is not None:
-            yield _rows(total, np.flatnonzero(total.n))
-
-    return design.select("t", "x", "y").mapInArrow(partial, SCHEMA)
+            for g in np.unique(seg).tolist():
+                own = Moments.of(z[seg == g, :p], z[seg == g, p:])
+                if g in held:
+                    held[g].add(own)
+                else:
+                    if len(held) * (p + 1) * (p + v) * 8 > HELD_BYTES:
+                        yield from _rows(held, spaces, blocks, part)
+                        held = {}
+                    held[g] = own
+        yield from _rows(held, spaces, blocks, part)
+
+    rows = checkpointed(design.select("t", "x", "y").mapInArrow(partial, SCHEMA))
+    while True:
+        parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
+        rows = rows.withColumn("part", (F.col("part") / FAN).cast("int"))
+        rows = checkpointed(rows.groupBy("seg", "kind", "i", "j", "part").applyInArrow(_merged, SCHEMA))
+        if parts <= FAN:
+            return rows
+
+
+def from_rows(table: pa.Table, segments: int, columns: dict[int, np.ndarray], v: int) -> Moments:
+    """Moments of all segments over the spaces in ``columns`` (space -> its columns here) from rows of ``SCHEMA``."""
+    p = sum(map(len, columns.values()))
+    out = Moments.empty(segments, p, v)
+    for seg, kind, i, j, data in zip(*(table.column(c).to_pylist() for c in ("seg", "kind", "i", "j", "data"))):
+        values = np.frombuffer(data)
+        if kind == "sx":
+            own = columns[i]
+            n, out.s[seg, own], out.xx[seg, own, own], out.low[seg, own], out.high[seg, own] = values.reshape(5, -1)
+            out.n[seg] = n[0]
+        elif kind == "sy":
+            n, out.s[seg, p:], out.yy[seg], out.low[seg, p:], out.high[seg, p:] = values.reshape(5, -1)
+            out.n[seg] = n[0]
+        elif kind == "xy":
+            out.xy[seg, columns[i]] = values.reshape(len(columns[i]), v)
+        else:
+            out.xx[np.ix_([seg], columns[i], columns[j])] = values.reshape(1, len(columns[i]), len(columns[j]))
+            if i != j:
+                out.xx[np.ix_([seg], columns[j], columns[i])] = values.reshape(len(columns[i]), len(columns[j])).T
+    return out
+
+
+def gram(design: DataFrame, dims: Sequence[int]) -> DataFrame:
+    """``(i, j, g)``: XᵀX over all rows of ``x``, from blocks of pairs of spaces."""
+    p, ends = int(sum(dims)), np.cumsum(dims)
+    begins = (ends - np.array(dims)).tolist()
+    flat = design.select("t", "x", F.array(F.lit(0.0)).alias("y"))
+    rows = segment_moments(flat, np.array([0]), np.zeros(p + 1), [np.arange(a, b) for a, b in zip(begins, ends)], 1, 1)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                block = np.frombuffer(data).reshape(dims[i], dims[j])
+                a, b = (x.ravel() for x in np.meshgrid(np.arange(dims[i]) + begins[i], np.arange(dims[j]) + begins[j], indexing="ij"))
+                sides = [(a, b)] if i == j else [(a, b), (b, a)]
+                for x, y in sides:
+                    yield pa.record_batch([pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(block.ravel())], names=["i", "j", "g"])
+
+    return rows.where("kind = 'xx'").select("i", "j", "data").mapInArrow(cells, "i int, j int, g double")
+
+
+def segment_sums(rows: DataFrame) -> DataFrame:
+    """``(seg, n, s, sxy, low, high)`` from rows of ``SCHEMA`` for one predictor and one target: the
+    predictor's sum and extremes and its product with the target."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.frombuffer(d) for d in batch.column(2).to_pylist()]
+            is_x = [k == "sx" for k in batch.column(1).to_pylist()]
+            pick = lambda at: pa.array([float(v[at]) if x else None for v, x in zip(values, is_x)], pa.float64())
+            product = pa.array([None if x else float(v[0]) for v, x in zip(values, is_x)], pa.float64())
+            yield pa.record_batch([batch.column(0), pick(0), pick(1), product, pick(3), pick(4)], names=["seg", "n", "s", "sxy", "low", "high"])
+
+    each = rows.where("kind IN ('sx', 'xy')").select("seg", "kind", "data").mapInArrow(run, "seg int, n double, s double, sxy double, low double, high double")
+    return each.groupBy("seg").agg(*[F.max(c).alias(c) for c in ("n", "s", "sxy", "low", "high")])

@@ -46,8 +46,33 @@ def lambda_costs(m: Moments, base: np.ndarray, split: np.ndarray, splits: int, c
     return total
 
 
-def fit(m: Moments, base: np.ndarray, split: np.ndarray, splits: int, columns: np.ndarray, dead_x: np.ndarray, dead_y: np.ndarray, penalties: np.ndarray = LAMBDAS) -> np.ndarray:
-    """Weights (column, target) refitted on ``base`` at each target's best penalty (ties: the smallest)."""
+SOLVERS = ("plain", "svd", "ridge_sk")
+
+
+def checked_solver(name: str) -> str:
+    """The named solver. All three give one solution of z-scored data, which has no intercept; of raw
+    data (:func:`solve_raw`) the last one centres."""
+    if name not in SOLVERS:
+        raise ValueError(f"unknown solver {name!r}, not one of {', '.join(SOLVERS)}")
+    return name
+
+
+def solve_raw(side: Side, origin: np.ndarray, columns: np.ndarray, penalty: float, solver: str = "plain") -> np.ndarray:
+    """Weights (column, target) of ridge on the columns as they are; ``ridge_sk`` fits an intercept besides.
+
+    Columns that are constant count with their value for the first two, and not at all for the last.
+    """
+    p = side.p
+    sd, mean = side.sd, side.mean + origin
+    xx = side.n * side.rxx[np.ix_(columns, columns)] * np.outer(sd[columns], sd[columns])
+    xy = side.n * side.rxy[columns] * np.outer(sd[columns], sd[p:])
+    if checked_solver(solver) != "ridge_sk":
+        xx, xy = xx + side.n * np.outer(mean[columns], mean[columns]), xy + side.n * np.outer(mean[columns], mean[p:])
+    return np.linalg.solve(xx + penalty * np.eye(len(columns)), xy)
+
+
+def fit(m: Moments, base: np.ndarray, split: np.ndarray, splits: int, columns: np.ndarray, dead_x: np.ndarray, dead_y: np.ndarray, penalties: np.ndarray = LAMBDAS) -> tuple[np.ndarray, np.ndarray]:
+    """``(weights (column, target), penalty per target)``, refitted on ``base`` at each target's best penalty (ties: the smallest)."""
     choice = lambda_costs(m, base, split, splits, columns, dead_x, dead_y, penalties).argmin(axis=0)
     side = m.select(base)
     weights = np.zeros((len(columns), len(choice)))
@@ -55,4 +80,4 @@ def fit(m: Moments, base: np.ndarray, split: np.ndarray, splits: int, columns: n
     for i in np.unique(choice[live]):
         own = live & (choice == i)
         weights[np.ix_(usable, own)] = solve(side, columns[usable], penalties[i : i + 1])[0][:, own]
-    return weights
+    return weights, penalties[choice]

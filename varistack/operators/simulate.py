@@ -8,7 +8,7 @@ import numpy as np
 
 from varistack.operators.moments import Moments, last_bounds, segment_starts
 from varistack.operators.qp import simplex_weights
-from varistack.operators.stack import _fold, space_columns
+from varistack.operators.stack import Fold, fold_matrices, space_columns
 
 METRICS = ("stacked", "concat", "max", "r2_X0", "varpar_X0_concat", "varpar_X0_stacked", "varpar_X0_real", "weight_0", "alpha_0")
 
@@ -80,11 +80,15 @@ def run_one(seed: int, n: int, ds: Sequence[int], scale: float, correl: float, a
     y = _z(y)
     outer = last_bounds(n, n_folds)
     starts = segment_starts(n, outer, 5, 5)
-    m = Moments.of(x, y, np.searchsorted(starts, np.arange(n), "right") - 1, len(starts))
+    m, ends = Moments.empty(len(starts), x.shape[1], targets), [*starts[1:], n]
+    for g, (a, b) in enumerate(zip(starts, ends)):
+        own = Moments.of(x[a:b], y[a:b])
+        m.n[g], m.s[g], m.xx[g], m.xy[g], m.yy[g], m.low[g], m.high[g] = (getattr(own, name)[0] for name in ("n", "s", "xx", "xy", "yy", "low", "high"))
+    folds = [Fold(starts, int(a), int(b), n, 5, 5) for a, b in zip(outer[:-1], outer[1:])]
     columns = space_columns(ds)
 
     def stats(groups):
-        return [_fold(m, starts, int(a), int(b), n, groups, "cross_val_ridge", 5, 5, "global") for a, b in zip(outer[:-1], outer[1:])]
+        return [fold_matrices(m, fold, groups, "cross_val_ridge", 5, "global") for fold in folds]
 
     each = stats(columns)
     stacked, weights = _scores(each, range(len(ds)))

@@ -1,13 +1,15 @@
 """Stacked regression over named groups of predictors, cross-validated, from one pass of moments.
 
-``fold_stats`` fits each (outer fold, space) once and returns a small row per (outer fold, target):
-error cross moments P for the stacking weights, and the test side's moments of the predictions. All
-scores, of all spaces or any subset of them, follow from those rows without another fit.
+``fit_folds`` fits each (outer fold, space, block of targets) once, in a task of its own, and keeps the
+weights and a small row per (outer fold, target): error cross moments P for the stack weights, and the
+test side's moments of the predictions. All scores, of all spaces or any subset of them, follow from
+those rows without another fit; predictions of single rows follow from the weights.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -15,72 +17,103 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varistack.functions.expressions import r2_of
-from varistack.operators.moments import Moments, Side, column_means, first_bounds, from_rows, last_bounds, segment_moments, segment_starts
-from varistack.operators.qp import simplex_udf
-from varistack.operators.ridge import LAMBDAS, fit, solve
+from varistack.functions.expressions import r2, r2_of
+from varistack.operators.moments import Moments, Side, _array, _matrix, column_means, first_bounds, from_rows, last_bounds, segment_moments, segment_starts, target_blocks
+from varistack.operators.qp import simplex_udf, simplex_weights
+from varistack.operators.ridge import LAMBDAS, checked_solver, fit, lambda_costs, solve, solve_raw
+from varistack.sources.tables import checkpointed
 
 INNER_FOLDS, SPLITS = 5, 5
 TARGET_BLOCK = 4096
+#: Bytes of weights that one pass of :func:`predictions` broadcasts.
+PASS_BYTES = 256 << 20
+METHODS = ("cross_val_ridge", "simple_ridge")
 STATS = "outer_fold int, target_id int, n long, base double, alive boolean, train_alive boolean, p array<double>, c array<double>, q array<double>"
+#: A fitted (outer fold, space, target block): ``weights`` are (inner folds then final, column, target), ``frames``
+#: (inner folds then test, mean then 1 / sd, column), ``targets`` (train then score frame, mean then 1 / sd, target).
+FITS = "outer_fold int, space int, block int, n long, penalty array<double>, weights binary, frames binary, targets binary, stats array<struct<base:double,cross:double,own:double,held:double,c:double,q:double,alive:boolean,train_alive:boolean>>"
+_PAIRS = "outer_fold int, i int, j int, block int, stats array<struct<own:double,q:double>>"
 
 
 def _labels(position: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.searchsorted(bounds[:-1], position, "right") - 1
 
 
-def _fold(m: Moments, starts: np.ndarray, a: int, b: int, n: int, spaces: list[np.ndarray], method: str, inner: int, splits: int, frame: str):
-    """Statistics of one outer fold [a, b) per target, see ``STATS``."""
-    test = (starts >= a) & (starts < b)
-    train = ~test
-    size = n - (b - a)
-    position = np.where(starts < a, starts, starts - (b - a))
-    outer, held = m.select(train), m.select(test)
-    dead_x, dead_y = ~outer.alive[: m.p], ~outer.y_alive
-    split = _labels(position, first_bounds(size, splits))
-    bounds = last_bounds(size, inner)
-    block = _labels(position, bounds)
-    f, v = len(spaces), len(dead_y)
-    p = np.zeros((v, f, f))
-    fixed = [solve(outer, own, np.array([100.0]))[0] * ~dead_y for own in spaces] if method == "simple_ridge" else None
-    for k, (c, d) in enumerate(zip(bounds[:-1], bounds[1:])):
-        own_train, own_val = train & (block != k), train & (block == k)
-        inner_side, val = m.select(own_train), m.select(own_val)
-        if fixed is not None:
-            weights = fixed
-        else:
-            inner_position = np.where(position < c, position, position - (d - c))
-            inner_split = _labels(inner_position, first_bounds(size - (d - c), splits))
-            gone_x, gone_y = dead_x | ~inner_side.alive[: m.p], dead_y | ~inner_side.y_alive
-            weights = [fit(m, own_train, inner_split, splits, own, gone_x, gone_y) for own in spaces]
-        p += _errors(val, outer, spaces, weights, dead_y)
-    p /= size
-    final = [fit(m, train, split, splits, own, dead_x, dead_y) for own in spaces]
-    if frame == "global":
-        score = m.select(np.ones(len(starts), bool))
-    else:
-        score = held
-    inverse = np.divide(1.0, score.y_sd, out=np.zeros(v), where=score.y_sd > 0)
-    base = held.n * (held.y_sd**2 + (held.y_mean - score.y_mean) ** 2) * inverse**2
-    c = np.stack([held.n * held.y_sd * inverse * (w * held.rxy[own]).sum(0) for own, w in zip(spaces, final)], axis=1)
-    q = np.zeros((v, f, f))
-    for i in range(f):
-        for j in range(i, f):
-            q[:, i, j] = q[:, j, i] = held.n * np.einsum("dv,de,ev->v", final[i], held.rxx[np.ix_(spaces[i], spaces[j])], final[j], optimize=True)
-    return held.n, base, score.y_alive, ~dead_y, p, c, q
+def _inverse(sd: np.ndarray) -> np.ndarray:
+    return np.divide(1.0, sd, out=np.zeros_like(sd), where=sd > 0)
+
 
+class Fold:
+    """The segments of one outer fold [a, b): train and test side, inner folds, splits of the penalty search."""
 
-def _errors(val: Side, outer: Side, spaces: list[np.ndarray], weights: list[np.ndarray], dead_y: np.ndarray) -> np.ndarray:
-    """Sums over a validation fold of products of two spaces' errors, in the outer train side's frame."""
-    inverse = np.divide(1.0, outer.y_sd, out=np.zeros(len(dead_y)), where=~dead_y & (outer.y_sd > 0))
-    base = val.n * (val.y_sd**2 + (val.y_mean - outer.y_mean) ** 2) * inverse**2
-    cross = [val.n * val.y_sd * inverse * (w * val.rxy[own]).sum(0) for own, w in zip(spaces, weights)]
-    out = np.zeros((len(dead_y), len(spaces), len(spaces)))
-    for i in range(len(spaces)):
-        for j in range(i, len(spaces)):
-            both = val.n * np.einsum("dv,de,ev->v", weights[i], val.rxx[np.ix_(spaces[i], spaces[j])], weights[j], optimize=True)
-            out[:, i, j] = out[:, j, i] = base - cross[i] - cross[j] + both
-    return out
+    def __init__(self, starts: np.ndarray, a: int, b: int, n: int, inner: int, splits: int):
+        self.test = (starts >= a) & (starts < b)
+        self.train, self.size = ~self.test, n - (b - a)
+        position = np.where(starts < a, starts, starts - (b - a))
+        self.split = _labels(position, first_bounds(self.size, splits))
+        bounds = last_bounds(self.size, inner)
+        block = _labels(position, bounds)
+        self.inner = []
+        for k, (c, d) in enumerate(zip(bounds[:-1], bounds[1:])):
+            within = np.where(position < c, position, position - (d - c))
+            self.inner.append((self.train & (block != k), self.train & (block == k), _labels(within, first_bounds(self.size - (d - c), splits))))
+
+
+def fit_space(m: Moments, fold: Fold, own: np.ndarray, method: str, splits: int, frame: str, penalties: np.ndarray = LAMBDAS, origin: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Weights of a space in every inner fold and on the whole train side, and what their scores need."""
+    outer, held = m.select(fold.train), m.select(fold.test)
+    score = m.select(np.ones_like(fold.train)) if frame == "global" else held
+    dead_x, dead_y = ~outer.alive[: m.p], ~outer.y_alive
+    fixed = solve(outer, own, np.array([100.0]))[0] * ~dead_y if method == "simple_ridge" else None
+    inverse = np.where(dead_y, 0.0, _inverse(outer.y_sd))
+    base, cross, both = np.zeros((3, len(dead_y)))
+    weights, frames = [], []
+    for train, val_mask, split in fold.inner:
+        side, val = m.select(train), m.select(val_mask)
+        w = fit(m, train, split, splits, own, dead_x | ~side.alive[: m.p], dead_y | ~side.y_alive, penalties)[0] if fixed is None else fixed
+        base += val.n * (val.y_sd**2 + (val.y_mean - outer.y_mean) ** 2) * inverse**2
+        cross += val.n * val.y_sd * inverse * (w * val.rxy[own]).sum(0)
+        both += _both(val, own, own, w, w)
+        weights.append(w), frames.append((val.mean[own], _inverse(val.sd[own])))
+    w, penalty = fit(m, fold.train, fold.split, splits, own, dead_x, dead_y, penalties)
+    weights.append(w), frames.append((held.mean[own], _inverse(held.sd[own])))
+    unit = _inverse(score.y_sd)
+    shift = np.zeros(len(held.mean)) if origin is None else origin
+    frames = np.array(frames)
+    frames[:, 0] += shift[own]
+    return {
+        "n": held.n, "penalty": penalty, "weights": np.stack(weights), "frames": frames,
+        "targets": np.stack([[outer.y_mean + shift[m.p :], inverse], [score.y_mean + shift[m.p :], unit]]),
+        "base": base / fold.size, "cross": cross / fold.size, "own": both / fold.size,
+        "held": held.n * (held.y_sd**2 + (held.y_mean - score.y_mean) ** 2) * unit**2,
+        "c": held.n * held.y_sd * unit * (w * held.rxy[own]).sum(0), "q": _both(held, own, own, w, w),
+        "alive": score.y_alive, "train_alive": ~dead_y,
+    }
+
+
+def _both(side: Side, i: np.ndarray, j: np.ndarray, wi: np.ndarray, wj: np.ndarray) -> np.ndarray:
+    """Sums over a side's rows of products of two spaces' predictions, per target."""
+    return side.n * (wi * (side.rxx[np.ix_(i, j)] @ wj)).sum(0)
+
+
+def fit_pair(m: Moments, fold: Fold, i: np.ndarray, j: np.ndarray, wi: np.ndarray, wj: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products of two spaces' predictions: the mean over the train side's validation folds, the sum over the test side."""
+    own = sum(_both(m.select(val), i, j, a, b) for (_, val, _), a, b in zip(fold.inner, wi, wj))
+    return own / fold.size, _both(m.select(fold.test), i, j, wi[-1], wj[-1])
+
+
+def fold_matrices(m: Moments, fold: Fold, spaces: list[np.ndarray], method: str, splits: int, frame: str):
+    """``(n, base, alive, train_alive, P, c, Q)`` of a fold whose moments one task holds."""
+    fits = [fit_space(m, fold, own, method, splits, frame) for own in spaces]
+    first, f = fits[0], len(fits)
+    p, q = np.zeros((2, len(first["base"]), f, f))
+    for i, a in enumerate(fits):
+        for j in range(i, f):
+            b = fits[j]
+            own, both = (a["own"], a["q"]) if i == j else fit_pair(m, fold, spaces[i], spaces[j], a["weights"], b["weights"])
+            p[:, i, j] = p[:, j, i] = first["base"] - a["cross"] - b["cross"] + own
+            q[:, i, j] = q[:, j, i] = both
+    return first["n"], first["held"], first["alive"], first["train_alive"], p, np.stack([x["c"] for x in fits], axis=1), q
 
 
 def space_columns(dims: Sequence[int]) -> list[np.ndarray]:
@@ -99,54 +132,275 @@ def pack(df: DataFrame, t: str | Column, spaces: Sequence[Sequence[Column] | Col
     return df.select((F.col(t) if isinstance(t, str) else t).cast("long").alias("t"), x.alias("x"), one(targets).alias("y"))
 
 
-def fold_stats(design: DataFrame, dims: Sequence[int], n_folds: int = 4, method: str = "cross_val_ridge", train_end: int | None = None, inner: int = INNER_FOLDS, splits: int = SPLITS, target_block: int = TARGET_BLOCK) -> DataFrame:
-    """Rows of ``STATS`` per (outer fold, target). ``design`` has dense 0-based ``t``, and arrays ``x``, ``y``.
+@dataclass
+class Fitted:
+    """Fits of all outer folds: ``fits`` has rows of ``FITS``, ``stats`` of ``STATS``; both are checkpointed,
+    so that every score, subset and chain step reads them."""
 
-    With ``train_end`` there is one fold: rows before it train, the rest test, scored in their own frame.
-    More than ``target_block`` targets are fitted block by block, each with a pass of its own over the rows,
-    so that no task holds cross products of all targets.
-    """
-    if method not in ("cross_val_ridge", "simple_ridge"):
-        raise ValueError(f"unknown method {method!r}")
+    design: DataFrame
+    dims: list[int]
+    folds: list[tuple[int, int]]
+    n: int
+    inner: int
+    target_block: int
+    fits: DataFrame
+    stats: DataFrame
+
+
+def checked_size(design: DataFrame) -> int:
+    """The number of rows, whose ``t`` must be dense and 0-based."""
     n, top = design.agg(F.count("*"), F.max("t")).first()
     if not n or top != n - 1:
         raise ValueError("t must be dense and 0-based")
-    p = int(sum(dims))
+    return n
+
+
+def checked_penalties(penalties: Sequence[float] | None) -> np.ndarray:
+    grid = LAMBDAS if penalties is None else np.asarray(penalties, np.float64)
+    if grid.ndim != 1 or not len(grid) or not (grid >= 0).all():
+        raise ValueError("penalties must be a list of numbers from 0 up")
+    return grid
+
+
+def fit_folds(design: DataFrame, dims: Sequence[int], n_folds: int = 4, method: str = "cross_val_ridge", train_end: int | None = None, inner: int = INNER_FOLDS, splits: int = SPLITS, target_block: int = TARGET_BLOCK, penalties: Sequence[float] | None = None, solver: str = "plain") -> Fitted:
+    """Fit every (outer fold, space) once. ``design`` has dense 0-based ``t``, and arrays ``x``, ``y``.
+
+    With ``train_end`` there is one fold: rows before it train, the rest test, scored in their own frame.
+    The rows are read for the columns' means and once for the moments; a task then fits one (outer fold,
+    space, block of ``target_block`` targets), and another joins each pair of spaces.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}")
+    checked_solver(solver)  # the data are z-scored: the solvers agree
+    grid = checked_penalties(penalties)
+    n, dims = checked_size(design), [int(d) for d in dims]
+    p, f = sum(dims), len(dims)
     origin = column_means(design)
     v = len(origin) - p
-    if v > target_block:
-        parts = []
-        for at in range(0, v, target_block):
-            part = fold_stats(design.withColumn("y", F.slice("y", at + 1, target_block)), dims, n_folds, method, train_end, inner, splits, target_block)
-            parts.append(part.withColumn("target_id", F.col("target_id") + at))
-        return reduce(DataFrame.unionByName, parts)
     outer = last_bounds(n, n_folds) if train_end is None else None
     starts = segment_starts(n, outer, inner, splits, train_end)
     folds = list(zip(outer[:-1].tolist(), outer[1:].tolist())) if outer is not None else [(train_end, n)]
     frame = "global" if outer is not None else "test"
-    spaces = space_columns(dims)
+    spaces, blocks = space_columns(dims), target_blocks(v, target_block)
+    moments = segment_moments(design, starts, origin, spaces, v, target_block)
+    every = [F.array(*[F.lit(k) for k in range(m)]) for m in (len(folds), f, len(blocks))]
+
+    def one(key, batch):
+        k, i, b = (x.as_py() for x in key)
+        own, target = spaces[i], blocks[b]
+        m = from_rows(batch, len(starts), {i: np.arange(len(own))}, target.stop - target.start)
+        shift = np.concatenate([origin[own], origin[p + target.start : p + target.stop]])
+        got = fit_space(m, Fold(starts, *folds[k], n, inner, splits), np.arange(len(own)), method, splits, frame, grid, shift)
+        names = [x.split(":")[0] for x in FITS.split("struct<")[1].rstrip(">").split(",")]
+        stats = pa.StructArray.from_arrays([pa.array(got[x]) for x in names], names)
+        row = {"outer_fold": k, "space": i, "block": b, "n": got["n"]}
+        columns = [pa.array([x], pa.int32()) for x in list(row.values())[:3]] + [pa.array([got["n"]], pa.int64()), pa.array([got["penalty"].tolist()], pa.list_(pa.float64()))]
+        columns += [pa.array([got[x].astype(np.float64).tobytes()], pa.binary()) for x in ("weights", "frames", "targets")]
+        return pa.table([*columns, pa.ListArray.from_arrays(pa.array([0, len(stats)], pa.int32()), stats)], names=["outer_fold", "space", "block", "n", "penalty", "weights", "frames", "targets", "stats"])
+
+    wanted = moments.where("kind <> 'xx' OR i = j")
+    tasks = wanted.withColumn("outer_fold", F.explode(every[0])).withColumn("space", F.explode(F.when(F.col("kind") == "sy", every[1]).otherwise(F.array("i"))))
+    tasks = tasks.withColumn("block", F.explode(F.when(F.col("kind").isin("sy", "xy"), F.array("j")).otherwise(every[2])))
+    fits = checkpointed(tasks.groupBy("outer_fold", "space", "block").applyInArrow(one, FITS))
+
+    def two(key, left, right):
+        k, i, j, b = (x.as_py() for x in key)
+        columns = {i: np.arange(dims[i]), j: np.arange(dims[i], dims[i] + dims[j])}
+        m = from_rows(left, len(starts), columns, 0)
+        weights = {s: np.frombuffer(w).reshape(inner + 1, dims[s], -1) for s, w in zip(right.column("space").to_pylist(), right.column("weights").to_pylist())}
+        own, q = fit_pair(m, Fold(starts, *folds[k], n, inner, splits), columns[i], columns[j], weights[i], weights[j])
+        stats = pa.StructArray.from_arrays([pa.array(own), pa.array(q)], ["own", "q"])
+        return pa.table([*(pa.array([x], pa.int32()) for x in (k, i, j, b)), pa.ListArray.from_arrays(pa.array([0, len(stats)], pa.int32()), stats)], names=["outer_fold", "i", "j", "block", "stats"])
+
+    pairs = None
+    if f > 1:
+        each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(f) for j in range(i + 1, f)])
+        keys = ["outer_fold", "p.i", "p.j", "block"]
+        left = moments.where("kind = 'sx' OR (kind = 'xx' AND i < j)").withColumnsRenamed({"i": "a", "j": "b"})
+        left = left.withColumn("p", F.explode(F.filter(each, lambda e: F.when(F.col("kind") == "sx", (e["i"] == F.col("a")) | (e["j"] == F.col("a"))).otherwise((e["i"] == F.col("a")) & (e["j"] == F.col("b"))))))
+        left = left.withColumn("outer_fold", F.explode(every[0])).withColumn("block", F.explode(every[2]))
+        left = left.select(*keys, "seg", "kind", F.col("a"), F.col("b"), "data").toDF("outer_fold", "pi", "pj", "block", "seg", "kind", "i", "j", "data")
+        right = fits.select("outer_fold", "space", "block", "weights").withColumn("p", F.explode(F.filter(each, lambda e: (e["i"] == F.col("space")) | (e["j"] == F.col("space")))))
+        right = right.select("outer_fold", F.col("p.i").alias("pi"), F.col("p.j").alias("pj"), "block", "space", "weights")
+        names = ("outer_fold", "pi", "pj", "block")
+        pairs = left.groupBy(*names).cogroup(right.groupBy(*names)).applyInArrow(two, _PAIRS)
+    return Fitted(design, dims, folds, n, inner, target_block, fits, checkpointed(_stats(fits, pairs, f, target_block)))
+
+
+def _stats(fits: DataFrame, pairs: DataFrame | None, f: int, block: int) -> DataFrame:
+    """Rows of ``STATS``: one per outer fold and target, from the rows of its spaces and pairs of spaces."""
+    target = (F.col("block") * block + F.col("pos")).alias("target_id")
+    own = fits.select("outer_fold", "block", "n", F.col("space").alias("i"), F.col("space").alias("j"), F.posexplode("stats").alias("pos", "s"))
+    own = own.select("outer_fold", target, "n", "i", "j", "s.*")
+    if pairs is not None:
+        both = pairs.select("outer_fold", "block", "i", "j", F.posexplode("stats").alias("pos", "s"))
+        own = own.unionByName(both.select("outer_fold", target, "i", "j", "s.*"), allowMissingColumns=True)
+    at = lambda i, j, c: F.max(F.when((F.col("i") == min(i, j)) & (F.col("j") == max(i, j)), F.col(c)))
+    first = lambda c: at(0, 0, c).alias(c)
+    square = lambda c: F.array(*[at(i, j, c) for i in range(f) for j in range(f)]).alias(c)
+    row = lambda c: F.array(*[at(i, i, c) for i in range(f)]).alias(c)
+    wide = own.groupBy("outer_fold", "target_id").agg(*map(first, ("n", "base", "held", "alive", "train_alive")), row("cross"), square("own"), row("c"), square("q"))
+    p = F.array(*[F.col("base") - F.col("cross")[i] - F.col("cross")[j] + F.col("own")[i * f + j] for i in range(f) for j in range(f)])
+    return wide.select("outer_fold", "target_id", "n", F.col("held").alias("base"), "alive", "train_alive", p.alias("p"), "c", "q")
+
+
+def fold_stats(design: DataFrame, dims: Sequence[int], n_folds: int = 4, **options) -> DataFrame:
+    """Rows of ``STATS`` per (outer fold, target); see :func:`fit_folds`."""
+    return fit_folds(design, dims, n_folds, **options).stats
+
+
+# ---------------------------------------------------------------- weights, penalties, predictions
+
+
+def _whole(design: DataFrame, dims: Sequence[int], splits: int, penalties: Sequence[float] | None, target_block: int, schema: str, make) -> DataFrame:
+    """``make(moments, split labels, penalties, origin)`` for every (space, target block) of the whole table."""
+    n, grid, origin = checked_size(design), checked_penalties(penalties), column_means(design)
+    p, spaces = int(sum(dims)), space_columns(dims)
+    v = len(origin) - p
+    if n < splits:
+        raise ValueError(f"{n} rows do not make {splits} splits")
+    starts, blocks = first_bounds(n, splits)[:-1], target_blocks(len(origin) - p, target_block)
+    moments = segment_moments(design, starts, origin, spaces, v, target_block).where("kind <> 'xx' OR i = j")
 
     def run(key, batch):
-        k = key[0].as_py()
-        m = from_rows(batch, len(starts), p, v)
-        held, base, alive, train_alive, pm, c, q = _fold(m, starts, *folds[k], n, spaces, method, inner, splits, frame)
-        return pa.table(
-            {
-                "outer_fold": pa.array([k] * v, pa.int32()),
-                "target_id": pa.array(range(v), pa.int32()),
-                "n": pa.array([held] * v, pa.int64()),
-                "base": pa.array(base),
-                "alive": pa.array(alive),
-                "train_alive": pa.array(train_alive),
-                "p": pa.array(pm.reshape(v, -1).tolist(), pa.list_(pa.float64())),
-                "c": pa.array(c.tolist(), pa.list_(pa.float64())),
-                "q": pa.array(q.reshape(v, -1).tolist(), pa.list_(pa.float64())),
-            }
-        )
+        i, b = (x.as_py() for x in key)
+        own, target = spaces[i], blocks[b]
+        m = from_rows(batch, splits, {i: np.arange(len(own))}, target.stop - target.start)
+        shift = np.concatenate([origin[own], origin[p + target.start : p + target.stop]])
+        rows = [(i, target.start + t, *rest) for t, *rest in make(m, np.arange(splits), grid, shift)]
+        return pa.table(list(map(list, zip(*rows))), names=[x.split()[0] for x in schema.split(", ")]).cast(pa.schema([(x.split()[0], {"int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}[x.split()[1]]) for x in schema.split(", ")]))
+
+    every = [F.array(*[F.lit(k) for k in range(m)]) for m in (len(spaces), len(blocks))]
+    tasks = moments.withColumn("space", F.explode(F.when(F.col("kind") == "sy", every[0]).otherwise(F.array("i"))))
+    tasks = tasks.withColumn("block", F.explode(F.when(F.col("kind").isin("sy", "xy"), F.array("j")).otherwise(every[1])))
+    return tasks.groupBy("space", "block").applyInArrow(run, schema)
 
-    moments = segment_moments(design, starts, origin, p, v)
-    tasks = moments.withColumn("outer_fold", F.explode(F.array(*[F.lit(k) for k in range(len(folds))])))
-    return tasks.groupBy("outer_fold").applyInArrow(run, STATS)
+
+def cross_val_ridge(design: DataFrame, dims: Sequence[int], splits: int = 10, penalties: Sequence[float] | None = None, solver: str = "plain", standardize: bool = True, target_block: int = TARGET_BLOCK) -> DataFrame:
+    """``(space_id, target_id, penalty, weights)``: each target's best penalty and the refit on all rows.
+
+    The search runs on z-scores within the splits. The refit is of z-scores too, where the solvers agree,
+    or with ``standardize`` off of the columns as they are, where ``ridge_sk`` has an intercept.
+    """
+    checked_solver(solver)
+
+    def make(m, split, grid, shift):
+        everything, columns = np.ones(len(split), bool), np.arange(m.p)
+        side = m.select(everything)
+        w, best = fit(m, everything, split, splits, columns, ~side.alive[: m.p], ~side.y_alive, grid)
+        if not standardize:
+            for value in np.unique(best):
+                w[:, best == value] = solve_raw(side, shift, columns, value, solver)[:, best == value]
+        return [(t, float(best[t]), w[:, t].tolist()) for t in range(len(best))]
+
+    return _whole(design, dims, splits, penalties, target_block, "space_id int, target_id int, penalty double, weights array<double>", make)
+
+
+def penalty_costs(design: DataFrame, dims: Sequence[int], splits: int = 10, penalties: Sequence[float] | None = None, target_block: int = TARGET_BLOCK) -> DataFrame:
+    """``(space_id, target_id, i, penalty, cost)``: summed cost of every penalty of the grid (its position is i)."""
+
+    def make(m, split, grid, shift):
+        side = m.select(np.ones(len(split), bool))
+        cost = lambda_costs(m, np.ones(len(split), bool), split, splits, np.arange(m.p), ~side.alive[: m.p], ~side.y_alive, grid)
+        return [(t, i, float(value), float(cost[i, t])) for t in range(cost.shape[1]) for i, value in enumerate(grid)]
+
+    return _whole(design, dims, splits, penalties, target_block, "space_id int, target_id int, i int, penalty double, cost double", make)
+
+
+def ridge_path(design: DataFrame, dims: Sequence[int], penalties: Sequence[float] | None = None, target_block: int = TARGET_BLOCK) -> DataFrame:
+    """``(space_id, target_id, i, penalty, weights)``: z-scored ridge on all rows at every penalty of the grid."""
+
+    def make(m, split, grid, shift):
+        w = solve(m.select(np.ones(len(split), bool)), np.arange(m.p), grid)
+        return [(t, i, float(value), w[i, :, t].tolist()) for t in range(w.shape[2]) for i, value in enumerate(grid)]
+
+    return _whole(design, dims, 1, penalties, target_block, "space_id int, target_id int, i int, penalty double, weights array<double>", make)
+
+
+def predictions(fitted: Fitted, train: bool = False) -> DataFrame:
+    """``(t, outer_fold, space_id, block, pred, real)`` per row and space, with an entry per target of the block.
+
+    Test rows by the final weights, ``real`` in the frame that scores use; or with ``train`` the train rows
+    of every outer fold by the weights of the inner fold that leaves them out, ``real`` in the train frame:
+    ``real - pred`` is the error. Weights are broadcast in passes of at most about ``PASS_BYTES``.
+    """
+    sizes = fitted.fits.select("outer_fold", "space", "block", F.octet_length("weights").alias("size")).orderBy("outer_fold", "block", "space").collect()
+    passes, held = [[]], 0
+    for row in sizes:  # a row per fold, space and block
+        if passes[-1] and held + row["size"] > PASS_BYTES:
+            passes, held = [*passes, []], 0
+        passes[-1].append((row["outer_fold"], row["space"], row["block"]))
+        held += row["size"]
+    spaces, sc, out = space_columns(fitted.dims), fitted.design.sparkSession.sparkContext, []
+    schema = "t long, outer_fold int, space_id int, block int, pred array<double>, real array<double>"
+    dims, folds, n, inner, width = fitted.dims, fitted.folds, fitted.n, fitted.inner, fitted.target_block
+    p = sum(dims)
+    for keys in passes:
+        wanted = reduce(Column.__or__, [(F.col("outer_fold") == k) & (F.col("space") == s) & (F.col("block") == b) for k, s, b in keys])
+        rows = fitted.fits.where(wanted).select("outer_fold", "space", "block", "weights", "frames", "targets").collect()
+        shared = sc.broadcast([(k, s, b, bytes(w), bytes(f), bytes(y)) for k, s, b, w, f, y in rows])
+
+        def run(batches, shared=shared):
+            models = []
+            for k, s, b, w, frames, targets in shared.value:
+                d = dims[s]
+                models.append((k, s, b, np.frombuffer(w).reshape(inner + 1, d, -1), np.frombuffer(frames).reshape(-1, 2, d), np.frombuffer(targets).reshape(2, 2, -1)))
+            for batch in batches:
+                t, z = batch.column(0).to_numpy(), _matrix(batch)
+                for k, s, b, w, frames, targets in models:
+                    lo, hi = folds[k]
+                    inside = (t >= lo) & (t < hi)
+                    at = np.flatnonzero(~inside if train else inside)
+                    if not len(at):
+                        continue
+                    if train:
+                        position = np.where(t[at] < lo, t[at], t[at] - (hi - lo))
+                        which = _labels(position, last_bounds(n - (hi - lo), inner))
+                    else:
+                        which = np.full(len(at), inner)
+                    x = np.nan_to_num((z[at][:, spaces[s]] - frames[which, 0]) * frames[which, 1])
+                    pred = np.zeros((len(at), w.shape[2]))
+                    for g in np.unique(which):
+                        pred[which == g] = x[which == g] @ w[g]
+                    first = p + b * width
+                    mean, inverse = targets[0 if train else 1]
+                    real = np.nan_to_num((z[at][:, first : first + w.shape[2]] - mean) * inverse)
+                    same = [pa.array([value] * len(at), pa.int32()) for value in (k, s, b)]
+                    yield pa.record_batch([pa.array(t[at]), *same, *(pa.array(list(a), pa.list_(pa.float64())) for a in (pred, real))], names=["t", "outer_fold", "space_id", "block", "pred", "real"])
+
+        out.append(fitted.design.select("t", "x", "y").mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, out)
+
+
+def long_predictions(fitted: Fitted, train: bool = False) -> DataFrame:
+    """:func:`predictions` with a row per target: ``(t, outer_fold, space_id, target_id, pred, real)``."""
+    rows = predictions(fitted, train).select("t", "outer_fold", "space_id", "block", F.posexplode(F.arrays_zip("pred", "real")).alias("pos", "v"))
+    return rows.select("t", "outer_fold", "space_id", (F.col("block") * fitted.target_block + F.col("pos")).alias("target_id"), "v.pred", "v.real")
+
+
+def stacked_predictions(fitted: Fitted, train: bool = False) -> DataFrame:
+    """``(t, outer_fold, target_id, pred, real)``: the spaces' predictions summed by the stack weights."""
+    w = weighted(fitted.stats, len(fitted.dims)).select("outer_fold", "target_id", F.posexplode("w").alias("space_id", "w"))
+    rows = long_predictions(fitted, train).join(w, ["outer_fold", "target_id", "space_id"])
+    return rows.groupBy("t", "outer_fold", "target_id").agg(F.sum(F.col("pred") * F.col("w")).alias("pred"), F.first("real").alias("real"))
+
+
+def scored(fitted: Fitted, score_f=r2) -> DataFrame:
+    """``(target_id, space_id, score, score_weighted)`` by any aggregate ``score_f(pred, real)``; the stack has a null space."""
+    w = weighted(fitted.stats, len(fitted.dims)).select("outer_fold", "target_id", F.posexplode("w").alias("space_id", "w"))
+    rows = long_predictions(fitted).join(w, ["outer_fold", "target_id", "space_id"])
+    each = rows.groupBy("target_id", "space_id").agg(score_f(F.col("pred"), F.col("real")).alias("score"), score_f(F.col("pred") * F.col("w"), F.col("real")).alias("score_weighted"))
+    stack = stacked_predictions(fitted).groupBy("target_id").agg(score_f(F.col("pred"), F.col("real")).alias("score"))
+    return each.unionByName(stack.withColumn("space_id", F.lit(None).cast("int")).withColumn("score_weighted", F.col("score")))
+
+
+def train_variance(fitted: Fitted) -> DataFrame:
+    """``(outer_fold, target_id, space_id, variance)`` of the train rows' out-of-fold predictions.
+
+    Each validation fold is z-scored by itself, so the predictions' mean is 0 and the mean square is the variance.
+    """
+    rows = fitted.fits.select("outer_fold", "block", "space", F.posexplode("stats").alias("pos", "s"))
+    return rows.select("outer_fold", (F.col("block") * fitted.target_block + F.col("pos")).alias("target_id"), F.col("space").alias("space_id"), F.col("s.own").alias("variance"))
 
 
 def _sub(matrix: str, own: Sequence[int], f: int) -> Column:
@@ -162,7 +416,7 @@ def _quadratic(matrix: Column, w: Column, f: int) -> Column:
 
 
 def weighted(stats: DataFrame, f: int, subset: Sequence[int] | None = None) -> DataFrame:
-    """Stacking weights ``w`` of the spaces in ``subset`` per (outer fold, target), with their sub-blocks."""
+    """Stack weights ``w`` of the spaces in ``subset`` per (outer fold, target), with their sub-blocks."""
     own = list(range(f)) if subset is None else list(subset)
     cut = stats.select("outer_fold", "target_id", "n", "base", "alive", "train_alive", _sub("p", own, f).alias("p"), F.array(*[F.col("c")[i] for i in own]).alias("c"), _sub("q", own, f).alias("q"))
     return cut.withColumn("w", simplex_udf("p"))
@@ -184,6 +438,26 @@ def target_scores(stats: DataFrame, f: int, subset: Sequence[int] | None = None)
     )
 
 
+def subset_scores(stats: DataFrame, f: int, subsets: Sequence[Sequence[int]]) -> DataFrame:
+    """``(target_id, subset, stacked_r2)`` of the stacks of several subsets (``subset`` is the position), in one pass over the fits."""
+    owns = [list(own) for own in subsets]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p, c, q = (_array(batch.column(i)) for i in (4, 5, 6))
+            p, q = p.reshape(-1, f, f), q.reshape(-1, f, f)
+            for k, own in enumerate(owns):
+                w, at = simplex_weights(p[:, own][:, :, own]), q[:, own][:, :, own]
+                ss = batch.column(3).to_numpy() - 2 * (w * c[:, own]).sum(1) + np.einsum("ni,nij,nj->n", w, at, w)
+                yield pa.record_batch([batch.column(0), pa.array([k] * batch.num_rows, pa.int32()), batch.column(1), batch.column(2), pa.array(ss)], names=["target_id", "subset", "n", "alive", "ss"])
+
+    rows = stats.select("target_id", "n", "alive", "base", "p", "c", "q").mapInArrow(run, "target_id int, subset int, n long, alive boolean, ss double")
+    score = F.when(F.bool_and("alive"), 1.0 - F.sum("ss") / F.sum("n")).otherwise(0.0)
+    return rows.groupBy("target_id", "subset").agg(score.alias("stacked_r2"))
+
+
 def space_scores(stats: DataFrame, f: int) -> DataFrame:
     """``(target_id, space_id, r2, r2_weighted, r2_train, weight)`` per target and space."""
     each = [
@@ -201,44 +475,49 @@ def space_scores(stats: DataFrame, f: int) -> DataFrame:
     return rows.groupBy("target_id", F.col("s.space_id").alias("space_id")).agg(score("s.ss").alias("r2"), score("s.ssw").alias("r2_weighted"), F.avg("s.train").alias("r2_train"), F.avg("s.w").alias("weight"))
 
 
-def concat_cv(design: DataFrame, dims: Sequence[int], n_folds: int = 5, method: str = "cross_val_ridge") -> DataFrame:
-    """``(target_id, concat_r2)``: one ridge on all spaces side by side."""
-    scores = target_scores(fold_stats(design, [int(sum(dims))], n_folds, method), 1)
-    return scores.select("target_id", F.col("stacked_r2").alias("concat_r2"))
+def concat_cv(design: DataFrame, dims: Sequence[int], n_folds: int = 5, method: str = "cross_val_ridge", score_f=None, **options) -> DataFrame:
+    """``(target_id, concat_r2)``: one ridge on all spaces side by side; by ``score_f(pred, real)`` if given."""
+    fitted = fit_folds(design, [int(sum(dims))], n_folds, method, **options)
+    if score_f is not None:
+        return scored(fitted, score_f).where("space_id IS NOT NULL").select("target_id", F.col("score").alias("concat_r2"))
+    return target_scores(fitted.stats, 1).select("target_id", F.col("stacked_r2").alias("concat_r2"))
 
 
-def fit_predict(design: DataFrame, p: int, n_folds: int = 10, normalize: bool = False) -> DataFrame:
+def fit_predict(design: DataFrame, p: int, n_folds: int = 10, normalize: bool = False, penalties: Sequence[float] | None = None, solver: str = "plain", target_block: int = TARGET_BLOCK) -> DataFrame:
     """``(target_id, corr, r2)`` of one space: predictions of z-scores, held against the raw targets
     (or, with ``normalize``, against their z-scores within each fold)."""
-    n, top = design.agg(F.count("*"), F.max("t")).first()
-    if not n or top != n - 1:
-        raise ValueError("t must be dense and 0-based")
+    checked_solver(solver)
+    n, grid = checked_size(design), checked_penalties(penalties)
     origin = column_means(design)
     v, outer = len(origin) - p, last_bounds(n, n_folds)
-    starts = segment_starts(n, outer, 0, n_folds)
+    starts, blocks = segment_starts(n, outer, 0, n_folds), target_blocks(v, target_block)
 
     def run(key, batch):
-        m, k = from_rows(batch, len(starts), p, v), key[0].as_py()
+        k, block = key[0].as_py(), blocks[key[1].as_py()]
+        width = block.stop - block.start
+        m = from_rows(batch, len(starts), {0: np.arange(p)}, width)
         a, b = int(outer[k]), int(outer[k + 1])
         test = (starts >= a) & (starts < b)
         position = np.where(starts < a, starts, starts - (b - a))
         side, held = m.select(~test), m.select(test)
-        w = fit(m, ~test, _labels(position, first_bounds(n - (b - a), n_folds)), n_folds, np.arange(p), ~side.alive[:p], ~side.y_alive)
+        w, _ = fit(m, ~test, _labels(position, first_bounds(n - (b - a), n_folds)), n_folds, np.arange(p), ~side.alive[:p], ~side.y_alive, grid)
         unit = held.y_sd if not normalize else held.y_alive.astype(float)
-        mean = held.y_mean + origin[p:] if not normalize else np.zeros(v)
+        mean = held.y_mean + origin[p:][block] if not normalize else np.zeros(width)
         return pa.table(
             {
-                "target_id": pa.array(range(v), pa.int32()),
-                "n": pa.array([held.n] * v, pa.int64()),
+                "target_id": pa.array(range(block.start, block.stop), pa.int32()),
+                "n": pa.array([held.n] * width, pa.int64()),
                 "sy": pa.array(held.n * mean),
                 "syy": pa.array(held.n * (unit**2 + mean**2)),
                 "spy": pa.array(held.n * unit * (w * held.rxy).sum(0)),
-                "spp": pa.array(held.n * np.einsum("dv,de,ev->v", w, held.rxx, w, optimize=True)),
+                "spp": pa.array(_both(held, np.arange(p), np.arange(p), w, w)),
             }
         )
 
-    moments = segment_moments(design, starts, origin, p, v).withColumn("outer_fold", F.explode(F.array(*[F.lit(k) for k in range(n_folds)])))
-    sums = moments.groupBy("outer_fold").applyInArrow(run, "target_id int, n long, sy double, syy double, spy double, spp double")
+    moments = segment_moments(design, starts, origin, [np.arange(p)], v, target_block)
+    tasks = moments.withColumn("outer_fold", F.explode(F.array(*[F.lit(k) for k in range(n_folds)])))
+    tasks = tasks.withColumn("block", F.explode(F.when(F.col("kind").isin("sy", "xy"), F.array("j")).otherwise(F.array(*[F.lit(b) for b in range(len(blocks))]))))
+    sums = tasks.groupBy("outer_fold", "block").applyInArrow(run, "target_id int, n long, sy double, syy double, spy double, spp double")
     sums = sums.groupBy("target_id").agg(*[F.sum(c).alias(c) for c in ("n", "sy", "syy", "spy", "spp")])
     variance = F.col("syy") / F.col("n") - F.pow(F.col("sy") / F.col("n"), 2)
     usable = (variance > 0) & (F.col("spp") > 0)

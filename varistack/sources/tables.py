@@ -39,14 +39,39 @@ def write_results(df: DataFrame, path: str, *partition_by: str) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def read_chain(spark: SparkSession, path: str) -> DataFrame:
+    """``(direction, step, shard, target_id, r2)`` of a chain written by :func:`write_results` with the first
+    three as partitions: filters on them prune files. A missing partition column raises."""
+    rows = spark.read.parquet(path)
+    missing = {"direction", "step", "shard", "target_id", "r2"} - set(rows.columns)
+    if missing:
+        raise ValueError(f"no columns {sorted(missing)} in the chain")
+    return rows.select("direction", F.col("step").cast("int").alias("step"), "shard", "target_id", "r2")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's ``spark.checkpoint.dir`` (a temporary folder only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """A reliable checkpoint in the folder of :func:`shared_folder`."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it names none, a temporary folder serves local mode; on a cluster that raises, as the executors
+    would not see the driver's folder.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def dense_index(df: DataFrame, *order: str, name: str = "t") -> DataFrame:
     """Add a dense 0-based position in the total order of ``order``, without a single-partition sort.
 
