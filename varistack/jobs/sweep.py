@@ -56,7 +56,9 @@ def build_tasks(spark: SparkSession, samples=SAMPLES, dims=DIMS, alphas=ALPHAS,
     sizes = [len(samples), len(dims), len(alphas), len(noises), len(correls), runs]
     names = ["n", "ds", "alpha", "noise", "correl", "run"]
     index = reduce(lambda acc, pair: acc * pair[1] + F.col(f"i_{pair[0]}"), zip(names, sizes), F.lit(0).cast("long"))
-    return reduce(DataFrame.crossJoin, axes).select(index.alias("global_index"), *names)
+    # the axes are argument lists: the longest is dealt out, the others are broadcast
+    first, *rest = sorted(axes, key=lambda a: "i_run" not in a.columns)
+    return reduce(DataFrame.crossJoin, map(F.broadcast, rest), first).select(index.alias("global_index"), *names)
 
 
 def shard(tasks: DataFrame, start: int, end: int) -> DataFrame:
