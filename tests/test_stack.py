@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 
-from varistack.operators import qp, stack, varpart
+from varistack.operators import moments, qp, stack, varpart
 from varistack.operators.moments import Moments, first_bounds, last_bounds, segment_starts
 from varistack.operators.ridge import solve
 
@@ -93,13 +93,70 @@ def test_bad_input(spark):
 def test_ridge_agrees_with_mllib(spark):
     xs, y = data(n=80)
     x, t = oracle.z(xs[1]), oracle.z(y[:, :1])[:, 0]
-    side = Moments.of(x, t[:, None], np.zeros(80, int), 1).select(np.ones(1, bool))
+    side = Moments.of(x, t[:, None]).select(np.ones(1, bool))
     mine = solve(side, np.arange(4), np.array([10.0]))[0][:, 0]
     df = spark.createDataFrame([(float(b), Vectors.dense(a)) for a, b in zip(x, t)], ["label", "features"])
     fitted = LinearRegression(fitIntercept=False, standardization=False, elasticNetParam=0.0, solver="normal", regParam=10.0 / 80).fit(df)
     assert np.allclose(mine, fitted.coefficients.toArray(), atol=1e-9)
 
 
+def test_weights_penalties_and_costs(spark):
+    xs, y = data(seed=5)
+    df = frame(spark, xs, y)
+    got = {(r.space_id, r.target_id): r for r in stack.cross_val_ridge(df, [3, 4, 2], 5, target_block=2).collect()}
+    assert len(got) == 9
+    costs = stack.penalty_costs(df, [3, 4, 2], 5, target_block=2).toPandas()
+    for s, x in enumerate(xs):
+        want = oracle.cv_ridge(oracle.z(x), oracle.z(y), 5)
+        for t in range(3):
+            assert np.allclose(got[s, t].weights, want[:, t], atol=1e-8)
+            own = costs[(costs.space_id == s) & (costs.target_id == t)].sort_values("i")
+            assert got[s, t].penalty == own.penalty.iloc[own.cost.argmin()]
+    for solver in ("plain", "svd", "ridge_sk"):
+        raw = stack.cross_val_ridge(df, [3, 4, 2], 5, [2.0], solver, standardize=False).where("space_id = 1").orderBy("target_id").collect()
+        x, t = (xs[1], y) if solver != "ridge_sk" else (xs[1] - xs[1].mean(0), y - y.mean(0))
+        assert np.allclose(np.array([r.weights for r in raw]).T, oracle.ridge(x, t, 2.0), atol=1e-7)
+    with pytest.raises(ValueError):
+        stack.cross_val_ridge(df, [3, 4, 2], solver="other")
+    with pytest.raises(ValueError):
+        stack.fit_folds(df, [3, 4, 2], penalties=[-1.0])
+
+
+def test_predictions_of_rows(spark, monkeypatch):
+    """Out-of-fold and test predictions of each row, in several passes and blocks, with a constant column."""
+    xs, y = data(seed=6)
+    xs[1][:, 1] = 4.0
+    fitted = stack.fit_folds(frame(spark, xs, y), [3, 4, 2], 4, target_block=2)
+    monkeypatch.setattr(stack, "PASS_BYTES", 600)
+    test = {(r.t, r.space_id, r.target_id): (r.pred, r.real) for r in stack.long_predictions(fitted).collect()}
+    train = {(r.outer_fold, r.t, r.space_id, r.target_id): (r.pred, r.real) for r in stack.long_predictions(fitted, train=True).collect()}
+    assert len(test) == 97 * 9 and len(train) == 3 * 97 * 9
+    fold, real = oracle.last_folds(97, 4), oracle.z(y)
+    for k in range(4):
+        tr, te = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        ytr = oracle.z(y[tr])
+        for s, x in enumerate(xs):
+            inner, outer = oracle.space_fit(oracle.z(x[tr]), ytr, oracle.z(x[te]))
+            assert np.allclose([[train[k, t, s, v] for v in range(3)] for t in tr.tolist()], np.stack([inner, ytr], -1), atol=1e-7)
+            assert np.allclose([[test[t, s, v] for v in range(3)] for t in te.tolist()], np.stack([outer, real[te]], -1), atol=1e-7)
+    scores = stack.space_scores(fitted.stats, 3).collect()
+    by_rows = {(r.space_id, r.target_id): r.score for r in stack.scored(fitted).collect()}
+    assert all(abs(by_rows[r.space_id, r.target_id] - r.r2) < 1e-8 for r in scores)
+    stacked = {r.target_id: r.stacked_r2 for r in stack.target_scores(fitted.stats, 3).collect()}
+    assert all(abs(by_rows[None, t] - r) < 1e-8 for t, r in stacked.items())
+
+
+def test_many_partitions_and_wide_spaces(spark, monkeypatch):
+    """Sums of more tasks than one merge takes, and rows dealt by ranges, give the same moments."""
+    xs, y = data(n=300, seed=7)
+    want = sorted(map(tuple, stack.target_scores(stack.fold_stats(frame(spark, xs, y), [3, 4, 2], 4), 3).collect()))
+    monkeypatch.setattr(moments, "FAN", 3)
+    many = sorted(map(tuple, stack.target_scores(stack.fold_stats(frame(spark, xs, y).repartition(11), [3, 4, 2], 4), 3).collect()))
+    monkeypatch.setattr(moments, "HELD_BYTES", 100)
+    dealt = sorted(map(tuple, stack.target_scores(stack.fold_stats(frame(spark, xs, y), [3, 4, 2], 4), 3).collect()))
+    assert np.allclose(want, many, atol=1e-9) and np.allclose(want, dealt, atol=1e-9)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(1, 6), st.integers(0, 10**6))
 def test_simplex_weights(f, seed):
