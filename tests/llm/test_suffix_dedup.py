@@ -58,6 +58,29 @@ def test_many_groups_and_buckets(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_repeated_and_null_ids(spark, monkeypatch):
+    """Rows of one id are judged apart; a null id comes last."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 2000)
+    rows = [(i % 20 if i % 9 else None, text) for i, text in corpus()]
+    ranked = [(10**9 if i is None else i, text) for i, text in rows]
+    got = sorted(((-1 if r[0] is None else r[0]), *r[1:]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), digest=True).collect())
+    want, low = [], {}
+    for i, text in ranked:
+        data = (text or "").encode()
+        for j in range(len(data) - 49):
+            low[data[j : j + 50]] = min(low.get(data[j : j + 50], i), i)
+    for i, text in ranked:
+        data = (text or "").encode()
+        gone = np.zeros(len(data) + 1, bool)
+        for j in range(len(data) - 49):
+            if low[data[j : j + 50]] < i:
+                gone[j : j + 50] = True
+        kept = bytes(b for b, g in zip(data, gone) if not g)
+        spans = int((gone[:-1] & ~np.concatenate([[False], gone[:-2]])).sum()) if len(data) else 0
+        want.append((-1 if i == 10**9 else i, len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    assert got == sorted(want)
+
+
 def test_equal_names_of_unequal_strings_are_told_apart(monkeypatch):
     text = np.frombuffer(b"x" * 60 + b"y" * 60, np.uint8)
     monkeypatch.setattr(suffix_dedup, "_names", lambda text, length: np.zeros(len(text) - length + 1, np.uint64))

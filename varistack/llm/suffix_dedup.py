@@ -9,9 +9,14 @@ rounds cross the network, the shorter offsets are named inside the task that hol
   anchor. Equal strings have equal anchors wherever they stand, so a string whose anchor no other
   document has is unique. Only anchors travel, about one per 18 bytes. Documents are grouped by a
   hash of their id; of equal texts in a slice only the smallest id sends anchors.
-* Round 2, 50 bytes. Runs of positions with a shared anchor travel as text, keyed by the anchor. A
-  bucket of anchors names all its 50-byte strings at offsets 16, 32 and 18, sorts (name, document)
-  pairs, compares the bytes of equal names, and reports the positions that an earlier document has.
+* Round 2, 50 bytes. Runs of positions with a shared anchor travel as text, keyed by the anchor; runs of
+  one text go once per document group, with the places that hold them (two overlapping 50-byte names
+  tell them apart). A bucket of anchors names the 50-byte strings of its distinct runs at offsets 16, 32
+  and 18, sorts (name, earliest document) pairs, compares the bytes of equal names, and reports the
+  positions that an earlier document has. Of one run's places all but the earliest are repeats as a whole.
+
+Rows are known by a key of their own whose upper part has the order of the ids, so rows that share an id
+are judged apart and never remove from each other.
 
 A last pass over the documents cuts the reported bytes out. The dense form of prefix doubling would
 send a row for each byte of the corpus in each of six rounds.
@@ -28,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varistack.llm.common import slices, table
+from varistack.llm.common import checkpoint, slices, table
+from varistack.sources.tables import dense_index
 
 THRESHOLD = 50
 PREFIX = 16
@@ -37,6 +43,8 @@ GROUP_BYTES = 8 << 20
 #: Text that is named at once; a longer document is taken alone.
 CHUNK_BYTES = 2 << 20
 LAST = np.iinfo(np.int64).max
+#: Bits of a row's key for its place among the rows of one id, where ids repeat.
+KEY_SHIFT = 24
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _BYTE_NAMES = (np.arange(1, 257, dtype=np.uint64) * _A) ^ (np.arange(1, 257, dtype=np.uint64) * _B >> np.uint64(31))
@@ -134,14 +142,20 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["target", "ids", "counts", "a", "b", "c"])
 
 
-def _send_anchors(buckets: int, threshold: int, prefix: int):
+def _send_anchors(buckets: int, threshold: int, prefix: int, shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            low: dict[bytes, int] = {}
+            low: dict[bytes, list[int]] = {}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(text) >= threshold and low.get(text, LAST) >= doc:
-                    low[text] = doc
-            texts, docs = list(low), np.fromiter(low.values(), np.int64, len(low))
+                if len(text) < threshold:
+                    continue
+                own = low.get(text)
+                if own is None or own[0] >> shift > doc >> shift:
+                    low[text] = [doc]
+                elif own[0] >> shift == doc >> shift:
+                    own.append(doc)
+            texts = [t for t, own in low.items() for _ in own]
+            docs = np.array([d for own in low.values() for d in own], np.int64)
             found = []
             for a, b in _chunks(np.fromiter(map(len, texts), np.int64, len(texts))) if texts else []:
                 own, *_, key = _anchor_runs(*_concat(texts[a:b]), threshold, prefix)
@@ -215,23 +229,30 @@ def _send_runs(buckets: int, threshold: int, prefix: int):
                 continue
             base = np.cumsum(size) - size
             named = np.array(ids[a:b], np.int64)[own]
-            order = np.lexsort((named, bucket))
+            # a run is shorter than two thresholds: the names at its ends cover it
+            name = _names(text, threshold)
+            order = np.lexsort((named, last - first, name[last], name[first], bucket))
             own, first, last, bucket, named = own[order], first[order], last[order], bucket[order], named[order]
-            length = last - first + threshold
-            ends = np.cumsum(length)
-            bytes_ = text[np.arange(int(ends[-1])) + np.repeat(first - (ends - length), length)].tobytes()
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
-            for p, q in zip(cuts, [*cuts[1:], len(bucket)]):
-                who, count = np.unique(named[p:q], return_counts=True)
-                from_, to = int(ends[p] - length[p]), int(ends[q - 1])
-                rows.append((int(bucket[p]), who.tobytes(), count.astype(np.uint32).tobytes(), (first - base[own])[p:q].astype(np.int64).tobytes(), length[p:q].astype(np.int64).tobytes(), bytes_[from_:to]))
+            head, tail, length = name[first], name[last], last - first + threshold
+            new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (head[1:] != head[:-1]) | (tail[1:] != tail[:-1]) | (length[1:] != length[:-1])])
+            begin = np.flatnonzero(new)
+            places = np.diff(np.append(begin, len(new)))
+            sizes = length[begin]
+            ends = np.cumsum(sizes)
+            bytes_ = text[np.arange(int(ends[-1])) + np.repeat(first[begin] - (ends - sizes), sizes)].tobytes()
+            offset = (first - base[own]).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[begin]) != 0])).tolist()
+            for p, q in zip(cuts, [*cuts[1:], len(begin)]):
+                x, y = int(begin[p]), int(begin[q]) if q < len(begin) else len(new)
+                from_, to = int(ends[p] - sizes[p]), int(ends[q - 1])
+                rows.append((int(bucket[x]), named[x:y].tobytes(), places[p:q].astype(np.uint32).tobytes(), offset[x:y].tobytes(), sizes[p:q].astype(np.int64).tobytes(), bytes_[from_:to]))
         return _rows(rows)
 
     return run
 
 
 def _earlier(text: np.ndarray, start: np.ndarray, doc: np.ndarray, threshold: int) -> np.ndarray:
-    """Which of the substrings at ``start`` a document with a smaller id has, too (exact)."""
+    """Which of the substrings at ``start`` a document of a smaller rank has, too (exact); ``doc`` are ranks."""
     name = _names(text, threshold)[start]
     order = np.lexsort((doc, name))
     sorted_name, sorted_doc, at = name[order], doc[order], start[order]
@@ -257,21 +278,32 @@ def _earlier(text: np.ndarray, start: np.ndarray, doc: np.ndarray, threshold: in
     return out
 
 
-def _repeats(groups_of, threshold: int):
+def _repeats(groups_of, threshold: int, shift: int):
     def run(batch):
-        doc, first, length = _unpack(batch, [np.int64, np.int64])
-        text = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8)
+        columns = [b"".join(batch.column(i).to_pylist()) for i in range(1, 6)]
+        place, count, offset, length = (np.frombuffer(c, kind) for c, kind in zip(columns, (np.int64, np.uint32, np.int64, np.int64)))
+        count = count.astype(np.int64)
+        text = np.frombuffer(columns[4], np.uint8)
+        own = np.repeat(np.arange(len(length)), count)
+        rank = place >> shift
+        low = np.minimum.reduceat(rank, np.cumsum(count) - count) if len(count) else rank
         windows = length - threshold + 1
-        entry = np.repeat(np.arange(len(doc)), windows)
-        inner = np.arange(len(entry)) - np.repeat(np.cumsum(windows) - windows, windows)
-        start = inner + np.repeat(np.cumsum(length) - length, windows)
-        hit = _earlier(text, start, doc[entry], threshold)
-        begins = hit & ~np.concatenate([[False], hit[:-1] & (entry[1:] == entry[:-1])])
-        stops = hit & ~np.concatenate([hit[1:] & (entry[1:] == entry[:-1]), [False]])
-        who = entry[begins]
-        a = (first[who] + inner[begins]).astype(np.int64)
-        b = (first[entry[stops]] + inner[stops] + threshold).astype(np.int64)
-        return _rows(list(_pack(groups_of(doc[who]), doc[who], a, b)))
+        run_of = np.repeat(np.arange(len(length)), windows)
+        inner = np.arange(len(run_of)) - np.repeat(np.cumsum(windows) - windows, windows)
+        hit = _earlier(text, inner + np.repeat(np.cumsum(length) - length, windows), low[run_of], threshold)
+        # places after the earliest of their run are repeats throughout
+        whole = rank > low[own]
+        found = [(place[whole], offset[whole], offset[whole] + length[own][whole])]
+        begins = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & (run_of[1:] == run_of[:-1])]))
+        stops = np.flatnonzero(hit & ~np.concatenate([hit[1:] & (run_of[1:] == run_of[:-1]), [False]]))
+        # the earliest places of a run have those of its strings that another run has earlier
+        earliest = np.flatnonzero(~whole)
+        lo, hi = np.searchsorted(run_of[begins], own[earliest]), np.searchsorted(run_of[begins], own[earliest], "right")
+        which = np.repeat(earliest, hi - lo)
+        span = np.arange(len(which)) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)
+        found.append((place[which], offset[which] + inner[begins][span], offset[which] + inner[stops][span] + threshold))
+        doc, x, y = (np.concatenate(c).astype(np.int64) for c in zip(*found))
+        return _rows(list(_pack(groups_of(doc), doc, x, y)))
 
     return run
 
@@ -342,8 +374,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, prefix: int = PR
     Returns ``(doc_id, n_bytes, n_removed, spans, kept)`` per row, with the removed byte spans and the
     kept bytes, or with ``digest`` ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``. Strings are
     judged on the input. A null text is empty. A null id counts as larger than any. Rows that repeat
-    an id each have their row and never remove from each other; where their texts differ, a cut found
-    in one is applied to all of them that are long enough, so ids should be unique.
+    an id (or have none) each have their row, are judged apart and never remove from each other.
     """
     if threshold < max(prefix, 16):
         raise ValueError("the threshold must be at least the prefix and 16 bytes")
@@ -352,6 +383,13 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, prefix: int = PR
         F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("doc"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
     )
+    shift = 0
+    if base.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        # keys: the position of an id's first row, then that of the row among those of its id
+        shift, numbered = KEY_SHIFT, dense_index(base, "doc")
+        firsts = numbered.groupBy("doc").agg(F.min("t").alias("t0"))
+        key = F.shiftleft("t0", shift).bitwiseOR(F.col("t") - F.col("t0"))
+        base = checkpoint(numbered.join(firsts, "doc").select("doc_id", key.alias("doc"), "text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / GROUP_BYTES))
     groups_of = _hash_group(parts)
@@ -362,17 +400,17 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, prefix: int = PR
             yield batch.append_column("g", pa.array(g))
 
     grouped = base.mapInArrow(group_column, "doc_id long, doc long, text binary, g int")
-    anchors = base.select("doc", "text").mapInArrow(_send_anchors(parts, threshold, prefix), _ROW)
+    anchors = base.select("doc", "text").mapInArrow(_send_anchors(parts, threshold, prefix, shift), _ROW)
     shared = anchors.groupBy("target").applyInArrow(_shared_anchors(groups_of, parts), _ROW)
     hashed = base.select("doc", F.md5("text").alias("md5")).where(F.octet_length("text") >= threshold)
     firsts = hashed.groupBy("md5").agg(F.min("doc").alias("low"), F.count("*").alias("n")).where("n > 1").select("md5", "low")
-    copies = hashed.join(firsts, "md5").where("doc > low").select("doc").mapInArrow(group_column, "doc long, g int")
+    copies = hashed.join(firsts, "md5").where(F.shiftright("doc", shift) > F.shiftright("low", shift)).select("doc").mapInArrow(group_column, "doc long, g int")
     none = [F.lit(None).cast("binary").alias(n) for n in ("ids", "counts", "a", "b", "c")]
     copy_rows = copies.select(F.col("g").alias("target"), *none, F.col("doc").alias("copy"))
     flags = shared.withColumn("copy", F.lit(None).cast("long")).unionByName(copy_rows)
     by_group = grouped.groupBy("g")
     runs = by_group.cogroup(flags.groupBy("target")).applyInArrow(_send_runs(parts, threshold, prefix), _ROW)
-    repeats = runs.groupBy("target").applyInArrow(_repeats(groups_of, threshold), _ROW)
+    repeats = runs.groupBy("target").applyInArrow(_repeats(groups_of, threshold, shift), _ROW)
     found = repeats.withColumn("copy", F.lit(None).cast("long")).unionByName(copy_rows)
     cut = _cut(threshold)
     if digest:
