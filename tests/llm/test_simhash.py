@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from varistack.llm import simhash
@@ -17,7 +18,8 @@ def brute(fps):
     return low
 
 
-def test_links_are_those_of_brute_force(spark):
+@pytest.mark.parametrize("number", [10, 1 << 30])
+def test_links_are_those_of_brute_force(spark, number):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(25)]
     values = set(base)
@@ -29,7 +31,7 @@ def test_links_are_those_of_brute_force(spark):
             values.add(own)
     values = sorted(values)
     signed = np.array(values, np.uint64).view(np.int64).tolist()
-    got = {tuple(sorted(r)) for r in simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()}
+    got = {tuple(sorted(r)) for r in simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), segments=simhash.segments_for(number)).collect()}
     want = {tuple(sorted((signed[i], signed[j]))) for i in range(len(values)) for j in range(i) if bin(values[i] ^ values[j]).count("1") <= 4}
     assert got == want
 

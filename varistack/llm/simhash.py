@@ -15,6 +15,8 @@ Only distinct fingerprints enter the search, so a group of equal copies of any s
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,16 +76,20 @@ def _in_segment(seg: int):
 def links(distinct: DataFrame, max_bits: int = 4, segments: tuple = SEGMENTS) -> DataFrame:
     """Pairs ``(a, b)`` of distinct fingerprints (column ``fp``) that differ in at most ``max_bits`` bits.
 
-    Every such pair is found; a pair may come more than once. Radii above 1 are not built.
+    Every such pair is found; a pair may come more than once.
     """
-    if sum(r + 1 for *_, r in segments) <= max_bits or any(r > 1 for *_, r in segments):
+    if sum(r + 1 for *_, r in segments) <= max_bits:
         raise ValueError("the segments' radii do not cover max_bits")
     entries = [F.struct(F.lit(s).alias("seg"), _key(low, bits).alias("key")) for s, (low, bits, _) in enumerate(segments)]
     balls = []
     for s, (low, bits, radius) in enumerate(segments):
         key = _key(low, bits)
-        values = [key] + [F.when(key.bitwiseAND(F.lit(1 << j)) == 0, key.bitwiseOR(F.lit(1 << j))) for j in range(bits) if radius]
-        ball = F.filter(F.array(*values), lambda v: v.isNotNull())
+        if radius > 1:  # every key of the ball
+            masks = [sum(1 << j for j in own) for r in range(radius + 1) for own in combinations(range(bits), r)]
+            ball = F.transform(F.array(*map(F.lit, masks)), lambda m, key=key: key.bitwiseXOR(m.cast("long")))
+        else:  # of two keys that differ in one bit, the one without it probes
+            values = [key] + [F.when(key.bitwiseAND(F.lit(1 << j)) == 0, key.bitwiseOR(F.lit(1 << j))) for j in range(bits) if radius]
+            ball = F.filter(F.array(*values), lambda v: v.isNotNull())
         balls.append(F.transform(ball, _in_segment(s)))
     stored = distinct.select(F.col("fp").alias("b"), F.explode(F.array(*entries)).alias("e")).select("b", "e.seg", "e.key")
     probes = distinct.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*balls))).alias("e")).select("a", "e.seg", "e.key")
@@ -91,21 +97,32 @@ def links(distinct: DataFrame, max_bits: int = 4, segments: tuple = SEGMENTS) ->
     return found.select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, segments: tuple = SEGMENTS) -> DataFrame:
+def segments_for(fingerprints: int) -> tuple:
+    """Segments for 4 bits, by the number of distinct fingerprints.
+
+    Candidates are about the square of that over 2 to the shortest segment's length: beyond some tens of
+    millions, two halves with larger balls (529 probes each) cost less than the candidates of three parts.
+    """
+    return SEGMENTS if fingerprints <= 1 << 26 else ((0, 32, 2), (32, 32, 2))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, segments: tuple | None = None) -> DataFrame:
     """``(id_col, fp, component_id)``: one row per input row; component_id is the smallest id reachable.
 
     Null ids take part but never name a component (a component of null ids alone has a null
     component_id). Repeated rows and ids are kept. An empty table gives an empty result.
     """
     fps = checkpoint(fingerprints(docs, id_col, text_col, shingle))
-    classes = fps.groupBy("fp").agg(F.min(id_col).alias("low"))
+    classes = checkpoint(fps.groupBy("fp").agg(F.min(id_col).alias("low")))
+    segments = segments or segments_for(classes.count())
     comp = components(links(classes.select("fp"), max_bits, segments))
     named = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     linked = comp.select(F.col("node").alias("fp"), "component").join(lowest, "component")
     # fingerprints without a link keep their own class's smallest id
     per_class = classes.join(linked.select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return fps.join(per_class, "fp").select(id_col, "fp", "component_id")
+    # cut off here, so that both sides of the join are dealt for it and Spark may split a fingerprint that many rows have
+    return fps.join(checkpoint(per_class), "fp").select(id_col, "fp", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
