@@ -197,6 +197,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "d
                 yield pa.record_batch(columns, names=["query_id", "id", "score"])
 
         found = texts.mapInArrow(run, schema)
+        if passes > 1:  # one pass after another: its queries leave driver and executors before the next come
+            found = checkpoint(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     # a query has at most k rows of each task; the window reads them sorted, without gathering them
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
