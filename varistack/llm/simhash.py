@@ -15,6 +15,7 @@ Only distinct fingerprints enter the search, so a group of equal copies of any s
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -69,6 +70,10 @@ def _key(low: int, bits: int) -> Column:
     return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1))
 
 
+def _flipped(key: Column, mask: Column) -> Column:
+    return key.bitwiseXOR(mask)
+
+
 def _in_segment(seg: int):
     return lambda value: F.struct(F.lit(seg).alias("seg"), value.alias("key"))
 
@@ -85,8 +90,8 @@ def links(distinct: DataFrame, max_bits: int = 4, segments: tuple = SEGMENTS) ->
     for s, (low, bits, radius) in enumerate(segments):
         key = _key(low, bits)
         if radius > 1:  # every key of the ball
-            masks = [sum(1 << j for j in own) for r in range(radius + 1) for own in combinations(range(bits), r)]
-            ball = F.transform(F.array(*map(F.lit, masks)), lambda m, key=key: key.bitwiseXOR(m.cast("long")))
+            masks = F.lit([sum(1 << j for j in own) for r in range(radius + 1) for own in combinations(range(bits), r)])
+            ball = F.transform(masks.cast("array<long>"), partial(_flipped, key))
         else:  # of two keys that differ in one bit, the one without it probes
             values = [key] + [F.when(key.bitwiseAND(F.lit(1 << j)) == 0, key.bitwiseOR(F.lit(1 << j))) for j in range(bits) if radius]
             ball = F.filter(F.array(*values), lambda v: v.isNotNull())

@@ -404,6 +404,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, prefix: int = PR
     shared = anchors.groupBy("target").applyInArrow(_shared_anchors(groups_of, parts), _ROW)
     hashed = base.select("doc", F.md5("text").alias("md5")).where(F.octet_length("text") >= threshold)
     firsts = hashed.groupBy("md5").agg(F.min("doc").alias("low"), F.count("*").alias("n")).where("n > 1").select("md5", "low")
+    firsts = checkpoint(firsts)  # known before the join, which may then broadcast it or split a text that many rows have
     copies = hashed.join(firsts, "md5").where(F.shiftright("doc", shift) > F.shiftright("low", shift)).select("doc").mapInArrow(group_column, "doc long, g int")
     none = [F.lit(None).cast("binary").alias(n) for n in ("ids", "counts", "a", "b", "c")]
     copy_rows = copies.select(F.col("g").alias("target"), *none, F.col("doc").alias("copy"))
