@@ -1,4 +1,5 @@
 import re
+import zlib
 
 from varistack.llm import urlfilter as u
 
@@ -16,7 +17,7 @@ def parse(url):
 
 def judged(spark, rows):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as id")
-    return u.judge(pages, spark.createDataFrame(list(u.SEEDS), "url string, blocked int"))
+    return u.judge(pages, spark.createDataFrame(u.labelled_urls(), "url string, blocked int"))
 
 
 def test_rules_and_parts_match_plain_python(spark):
@@ -29,15 +30,39 @@ def test_rules_and_parts_match_plain_python(spark):
         assert r.verdict == (rule.action if rule else "block" if r.score >= 0.5 else "allow") and 0 <= r.score <= 1
 
 
-def test_model_on_unseen_hosts(spark):
-    bad = [f"http://{h}.example.net/en/{i}" for i, h in enumerate(["m.casino-win", "www.cheap-pills", "adult-x", "free-bets"])]
-    good = [f"http://{h}.example.net/en/{i}" for i, h in enumerate(["blog.thertion", "m.river", "www.schoolbooks", "history-club"])]
-    got = {r.page_id: r.verdict for r in judged(spark, [(i, x, None) for i, x in enumerate(bad + good)]).collect()}
-    assert [got[i] for i in range(8)] == ["block"] * 4 + ["allow"] * 4
+def held_out_figures(parts=4):
+    """(precision, recall) of blocks on hosts, and on paths of neutral hosts, that the fit has not seen."""
+    rows = [(h, p, b) for url, b in u.labelled_urls()[:: len(u.PREFIXES)] for h, p in [(url.split("/")[2], "/" + url.split("/", 3)[3])]]
+    on_paths = {h for h, _, _ in rows if sum(x == h for x, _, _ in rows) > 1}
+    found = []
+    for part in range(parts):
+        held = [r for r in rows if zlib.crc32((r[1] if r[0] in on_paths else r[0]).encode()) % parts == part]
+        w, bias = u.train([(prefix + h, p, b) for h, p, b in rows if (h, p, b) not in held for prefix in u.PREFIXES])
+        for h, p, b in held:
+            grams = u._grams(h, p)
+            found.append((h in on_paths, b, bias + w[grams].sum() / max(1, len(grams)) ** 0.5 >= 0))
+    out = []
+    for kind in (False, True):
+        own = [(b, x) for k, b, x in found if k == kind]
+        hits = sum(b and x for b, x in own)
+        out.append((hits / max(1, sum(x for _, x in own)), hits / sum(b for b, _ in own)))
+    return out
+
+
+def test_model_on_held_out_hosts_and_paths():
+    (host_precision, host_recall), (path_precision, path_recall) = held_out_figures()
+    print(host_precision, host_recall, path_precision, path_recall)
+    assert host_precision >= 0.6 and host_recall >= 0.5 and path_precision >= 0.6 and path_recall >= 0.5
+
+
+def test_paths_decide_on_neutral_hosts(spark):
+    urls = ["http://unseen.net/casino/free-bonus", "http://unseen.net/articles/history-of-towns", "http://unseen.net/cheap/pills", "http://unseen.net/library/hours"]
+    got = {r.page_id: r.verdict for r in judged(spark, [(i, x, None) for i, x in enumerate(urls)]).collect()}
+    assert [got[i] for i in range(4)] == ["block", "allow", "block", "allow"]
 
 
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
-    seeds = spark.createDataFrame(list(u.SEEDS), "url string, blocked int")
+    seeds = spark.createDataFrame(u.labelled_urls(), "url string, blocked int")
     assert u.judge(empty, seeds).count() == 0
     assert {r.score for r in u.judge(spark.createDataFrame([(1, "http://a/b")], "page_id long, url string"), seeds.limit(0)).collect()} == {0.5}
