@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varistack.sources.tables import checkpointed, shared_folder
+
 #: Bytes of text that one slice of an Arrow batch holds at most (a single longer row makes its own slice).
 SLICE_BYTES = 4 << 20
 
@@ -18,27 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
-
-    The folder must be one that driver and executors share. Only where the session names none
-    (local tests) is a temporary folder used.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; see :func:`shared_dir`."""
+    return checkpointed(df)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; see :func:`checkpoint`."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        named = sc.getCheckpointDir()
-    return named.rstrip("/")
+    """The folder that driver and executors share. Only in local mode may the session leave it unset."""
+    return shared_folder(spark)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 0) -> Iterator[pa.RecordBatch]:
