@@ -1,7 +1,8 @@
 """A corpus pipeline of five operators: each stage takes what its predecessor kept.
 
 Language ID drops texts in no language, near-copy removal leaves one document of each group whose
-five-word shingles have a Jaccard similarity of 0.8 or more (MinHash bands, every link verified),
+five-word shingles have a Jaccard similarity of 0.8 or more (SimHash by multi-index hashing, MinHash
+bands for pairs beyond its balls, every link verified),
 decontamination drops documents with benchmark items, the secret scan redacts what it finds, and
 packing lays the rest out in token sequences.
 """
@@ -12,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varistack.llm import decontaminate, langid, minhash, packing, secrets
+from varistack.llm import decontaminate, langid, packing, secrets, simhash
 from varistack.llm.common import shared_dir, table
 from varistack.sources.package import ship_package
 
@@ -22,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.representatives(docs)
+    return simhash.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

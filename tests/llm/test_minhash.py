@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 from varistack.llm import minhash as m
+from varistack.llm import simhash
 
 from .conftest import prose
 
@@ -57,8 +58,9 @@ def test_stage_drops_near_copies_and_nothing_else(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(want)
 
 
-def test_odd_rows(spark, odd, none):
-    kept = m.representatives(odd)
-    assert kept.columns == odd.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, 5, 7, 8]
-    assert m.representatives(none).count() == 0
+def test_two_more_rows_of_one_text_change_nothing(spark, none):
+    rows = planted()
+    docs = spark.createDataFrame([*rows, *rows[:40]], "doc_id long, text string")
+    want, _ = brute(rows)
+    assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == sorted(want)
+    assert simhash.representatives(none).count() == 0

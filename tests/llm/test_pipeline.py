@@ -1,5 +1,5 @@
 import corpus_pipeline
-from varistack.llm import decontaminate, langid, secrets, simhash
+from varistack.llm import decontaminate, langid, packing, secrets, simhash
 
 from .conftest import prose
 
@@ -30,6 +30,18 @@ def test_stages_in_a_row(spark, tmp_path):
     assert {r.doc_id for r in whole.collect()} == seen[4] and whole.columns[:5] == ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
-def test_stages_call_the_operators():
+def test_stages_call_the_operators(spark, none, monkeypatch):
+    called = []
+    for module, name in ((langid, "train"), (langid, "keep_identified"), (simhash, "representatives"), (decontaminate, "whole_items_of"), (decontaminate, "decontaminate"), (secrets, "redact"), (packing, "pack_documents")):
+        monkeypatch.setattr(module, name, lambda docs, *_, name=name: called.append(name) or docs)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, name: none)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, none, "")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scan", "best_fit_packing"]
-    assert all(hasattr(*x) for x in ((langid, "keep_identified"), (simhash, "representatives"), (decontaminate, "decontaminate"), (secrets, "redact")))
+    assert called == ["train", "keep_identified", "representatives", "whole_items_of", "decontaminate", "redact", "pack_documents"]
+
+
+def test_empty_tables(spark, none, tmp_path):
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

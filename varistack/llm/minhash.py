@@ -1,9 +1,9 @@
-"""Near copies by exact Jaccard similarity of word shingles, found through MinHash bands.
+"""Near copies by exact Jaccard similarity of word shingles, beyond those that SimHash proposes.
 
 Two texts link when their sets of five-word shingles have a Jaccard similarity of at least 0.8; texts
-of fewer words are one shingle. Candidates share all ``ROWS`` minima of one of ``BANDS`` bands: a pair
-at 0.8 is missed with probability (1 - 0.8^5)^22 = 0.00016, one at 0.85 with 0.000003. Every link is
-verified on the shingles themselves.
+of fewer words are one shingle. The caller's proposals are verified first. Further candidates share all
+``ROWS`` minima of one of ``BANDS`` bands: a pair at 0.8 is missed with probability (1 - 0.8^5)^22 =
+0.00016, one at 0.85 with 0.000003. Every link is verified on the shingles themselves.
 
 Candidates of a band key are checked in two rounds, so that a large group of copies costs no square:
 first each member against the key's smallest, then, of keys whose members are not in one component
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varistack.llm.common import checkpoint, components, map_text, shared_dir, slices
+from varistack.llm.common import checkpoint, components, shared_dir, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 22, 5
@@ -46,11 +46,24 @@ def similarity(a: set[bytes], b: set[bytes]) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def band_keys(own: set[bytes]) -> np.ndarray:
-    """One key per band from the minima of its rows' hash functions over the shingles."""
+def shingle_hashes(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 (seed 42) of a text's shingles, repeats included; none for a text without words."""
     import xxhash
 
-    values = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in own), np.uint64, len(own))
+    words = data.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(joined, 42)], np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    start = (end - size).tolist()
+    return np.array([digest(joined[a:b], 42) for a, b in zip(start, end[shingle - 1 :].tolist())], np.uint64)
+
+
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """One key per band from the minima of its rows' hash functions over the shingles' hashes."""
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for at in range(0, len(values), 512):
         mixed = values[at : at + 512, None] ^ _XOR
@@ -64,18 +77,6 @@ def band_keys(own: set[bytes]) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
-    nodes, sizes, keys, seen = [], [], [], set()
-    for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
-        if node not in seen:
-            seen.add(node)
-            own = shingles(text or b"")
-            nodes.append(node), sizes.append(len(own)), keys.append(band_keys(own))
-    flat = pa.array(np.concatenate(keys)) if keys else pa.array([], pa.int64())
-    offsets = pa.array(np.arange(len(nodes) + 1) * BANDS, pa.int32())
-    return pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["node", "n", "keys"])
-
-
 def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node, text)`` of the given nodes, and of a few others that share a bit of the bitmap."""
     bits = min(MOST_BITS, max(1 << 16, 1 << (16 * nodes.count()).bit_length()))
@@ -95,11 +96,11 @@ def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _similar(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
     """The pairs ``(a, b)`` whose texts' similarity is at least ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = functools.lru_cache(32)(lambda text: shingles(text.encode("utf-8", "replace")))
+        known = functools.lru_cache(32)(lambda text: shingles(text.encode("utf-8", "replace"), shingle))
         for batch in slices(batches, "of_a"):
             held = [similarity(known(x), known(y)) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select([0, 1]).filter(pa.array(held, pa.bool_()))
@@ -108,20 +109,25 @@ def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
-def near_copies(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``(node, component)`` of the texts that have a near copy; ``texts`` has ``node`` and ``text``, nodes may repeat."""
+def near_copies(texts: DataFrame, signed: DataFrame, proposed: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """``(node, component)`` of the texts that have a near copy.
+
+    ``texts`` has ``node`` and ``text``, nodes may repeat; ``signed`` has each node's number of distinct
+    shingles ``n`` and band ``keys``; ``proposed`` holds pairs ``(a, b)`` of nodes to verify besides.
+    """
     spark = texts.sparkSession
-    signed = checkpoint(map_text(texts, _signatures, "node long, n long, keys array<long>"))
     banded = signed.select("node", "n", F.explode("keys").alias("key"))
     # dealt by another column first, so that the join deals both sides anew and can split hot keys
     keys = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key", "low").repartition("low")
     members = checkpoint(banded.hint("merge").join(keys, "key").select("key", "node", "n", "low").distinct())
     folder = f"{shared_dir(spark)}/near-{uuid.uuid4().hex}"
-    _texts_of(texts, members.select("node").distinct()).write.parquet(folder)
+    asked = members.select("node").union(proposed.select("a")).union(proposed.select("b")).distinct()
+    _texts_of(texts, asked).write.parquet(folder)
     known = spark.read.parquet(folder)
 
-    stars = checkpoint(members.where("node != low").select(F.least("node", "low").alias("a"), F.greatest("node", "low").alias("b")).distinct())
-    joined = components(_similar(stars, known, least))
+    stars = members.where("node != low").select(F.least("node", "low").alias("a"), F.greatest("node", "low").alias("b"))
+    stars = checkpoint(stars.union(proposed.select(F.least("a", "b"), F.greatest("a", "b"))).distinct())
+    joined = components(_similar(stars, known, least, shingle))
     placed = members.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     mixed = checkpoint(placed.join(mixed, "key"))
@@ -131,23 +137,5 @@ def near_copies(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     across = across.join(sides[0][0], ["key", "in_x"]).join(sides[1][0], ["key", "in_y"])
     across = across.where(F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y"))  # else the similarity is less
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _similar(checkpoint(across), known, least)
+    more = _similar(checkpoint(across), known, least, shingle)
     return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-
-
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """The documents to keep: of each group of near copies the row with the smallest id, whole.
-
-    A null text is empty, and texts without words are copies of each other. Rows with a null id come
-    after all others; of rows with one id the smallest text hash wins, and of rows equal in id and
-    text one stays.
-    """
-    order = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("__row", order)
-    joined = near_copies(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), least)
-    classes = rows.select("__row", F.xxhash64(text).alias("node")).groupBy("node").agg(F.min("__row").alias("low"))
-    group = F.coalesce("component", "node")
-    keep = classes.join(joined, "node", "left").groupBy(group.alias("group")).agg(F.min("low").alias("__keep"))
-    kept = rows.join(keep, F.col("__row").eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates(["__row"]).drop("__row")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varistack.llm import minhash
 from varistack.llm.common import checkpoint, components, map_text
 
 #: (lowest bit, bits, radius) of each segment: (1+1) + (1+1) + (0+1) = 5 > 4.
@@ -31,21 +32,13 @@ SEGMENTS = ((42, 22, 1), (20, 22, 1), (0, 20, 0))
 
 def fingerprint(data: bytes, shingle: int = 4) -> int:
     """Fingerprint of one UTF-8 text: A-Z lower-cased, words split at ASCII white space."""
-    import xxhash
-
-    words = data.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1) - 1
-    start = (end - size).tolist()
-    digest = xxhash.xxh64_intdigest
-    values = np.array([digest(joined[a:b], 42) for a, b in zip(start, end[shingle - 1 :].tolist())], dtype=">u8")
+    return _majority(minhash.shingle_hashes(data, shingle))
+
+
+def _majority(values: np.ndarray) -> int:
+    """The bits set in over half of the values; zero for none."""
     counts = np.zeros(64, np.int64)
-    raw = values.view(np.uint8).reshape(-1, 8)
+    raw = values.astype(">u8").view(np.uint8).reshape(-1, 8)
     for at in range(0, len(raw), 1 << 16):
         counts += np.unpackbits(raw[at : at + (1 << 16)], axis=1).sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(values)).view(">u8")[0])
@@ -117,7 +110,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null ids take part but never name a component (a component of null ids alone has a null
     component_id). Repeated rows and ids are kept. An empty table gives an empty result.
     """
-    fps = checkpoint(fingerprints(docs, id_col, text_col, shingle))
+    return _linked(checkpoint(fingerprints(docs, id_col, text_col, shingle)), id_col, max_bits, segments)
+
+
+def _linked(fps: DataFrame, id_col: str, max_bits: int = 4, segments: tuple | None = None) -> DataFrame:
+    """:func:`near_duplicates` of fingerprints ``(id_col, fp)`` that are at hand."""
     classes = checkpoint(fps.groupBy("fp").agg(F.min(id_col).alias("low")))
     segments = segments or segments_for(classes.count())
     comp = components(links(classes.select("fp"), max_bits, segments))
@@ -130,16 +127,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(checkpoint(per_class), "fp").select(id_col, "fp", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents to keep: of each component the row with the smallest id, whole, with all its columns.
+def _signatures(shingle: int):
+    """A map of ``(node, text)`` to node, distinct shingles, fingerprint and MinHash bands, from one pass of hashing."""
 
-    Rows with a null id come after all others; of rows with one id the smallest text hash wins, and
-    of rows equal in id and text one stays.
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nodes, sizes, bits, keys = [], [], [], []
+        first = dict(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()))
+        for node, text in first.items():
+            values = minhash.shingle_hashes(text or b"", shingle)
+            distinct = np.unique(values)
+            nodes.append(node), sizes.append(len(distinct)), bits.append(_majority(values)), keys.append(minhash.band_keys(distinct))
+        flat = pa.array(np.concatenate(keys)) if keys else pa.array([], pa.int64())
+        offsets = pa.array(np.arange(len(nodes) + 1) * minhash.BANDS, pa.int32())
+        columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(bits, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, flat)]
+        return pa.record_batch(columns, names=["node", "n", "fp", "keys"])
+
+    return run
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = minhash.SHINGLE, least: float = minhash.SIMILARITY) -> DataFrame:
+    """The documents to keep: of each group of near copies the row with the smallest id, whole, with all its columns.
+
+    Near copies are texts whose sets of ``shingle``-word shingles have a Jaccard similarity of ``least``
+    or more, and what such pairs join. Multi-index hashing finds the fingerprints within four bits; each
+    text of a component is verified on the shingles against its first. Pairs farther apart in bits (at
+    0.8 ten bits differ on average, too many for balls) come from MinHash bands, verified alike.
+
+    A null text is empty, and texts without words are copies of each other. Rows with a null id come
+    after all others; of rows with one id the smallest text hash wins, and of rows equal in id and
+    text one stays.
     """
     order = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
-    rows = docs.withColumn("__row", order)
-    near = near_duplicates(rows, "__row", text_col, **options)
-    keep = near.where(F.col("__row").eqNullSafe(F.col("component_id"))).select(F.col("__row").alias("__keep")).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows, node = docs.withColumn("__row", order), F.xxhash64(text).alias("node")
+    texts = docs.select(node, text.alias("text"))
+    signed = checkpoint(map_text(texts, _signatures(shingle), "node long, n long, fp long, keys array<long>").dropDuplicates(["node"]))
+    near = _linked(signed.select("node", "fp"), "node").where("node != component_id")
+    joined = minhash.near_copies(texts, signed, near.select(F.col("component_id").alias("a"), F.col("node").alias("b")), least, shingle)
+    classes = rows.select("__row", node).groupBy("node").agg(F.min("__row").alias("low"))
+    keep = classes.join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("low").alias("__keep"))
     kept = rows.join(keep, F.col("__row").eqNullSafe(F.col("__keep")), "left_semi")
     return kept.dropDuplicates(["__row"]).drop("__row")
 
