@@ -161,12 +161,13 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows, node = docs.withColumn("__row", order), F.xxhash64(text).alias("node")
     texts = docs.select(node, text.alias("text"))
-    signed = checkpoint(map_text(texts, _signatures(shingle), "node long, n long, fp long, keys array<long>").dropDuplicates(["node"]))
+    signed = checkpoint(map_text(texts, _signatures(shingle), "node long, n long, fp long, keys array<long>"))
     near = _linked(signed.select("node", "fp"), "node").where("node != component_id")
     joined = minhash.near_copies(texts, signed, near.select(F.col("component_id").alias("a"), F.col("node").alias("b")), least, shingle)
     classes = rows.select("__row", node).groupBy("node").agg(F.min("__row").alias("low"))
     keep = classes.join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("low").alias("__keep"))
-    kept = rows.join(keep, F.col("__row").eqNullSafe(F.col("__keep")), "left_semi")
+    # the struct itself is never null: plain equality deals rows as dropDuplicates needs them, so texts move once
+    kept = rows.join(keep, F.col("__row") == F.col("__keep"), "left_semi")
     return kept.dropDuplicates(["__row"]).drop("__row")
 
 
