@@ -1,4 +1,7 @@
 import random
+from itertools import combinations
+
+import numpy as np
 
 import corpus_pipeline
 from varistack.llm import minhash as m
@@ -64,3 +67,27 @@ def test_two_more_rows_of_one_text_change_nothing(spark, none):
     want, _ = brute(rows)
     assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == sorted(want)
     assert simhash.representatives(none).count() == 0
+
+
+def test_pairs_across_components_miss_none_and_leave_out_the_common_passage(spark):
+    """Exact prefixes, positions and parities: all pairs at 0.8, by brute force, and few of those that share a passage only."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    passage, texts = word(60), []
+    texts += [" ".join(passage + word(30)) for _ in range(60)]
+    for size in (1, 4, 5, 6, 9, 14, 19, 40, 70, 120, 150, 250, 400, 700, 900, 1500):
+        own = word(size)
+        for edits in (0, 1, 1, 2, 3, 5, 9):
+            changed = list(own)
+            for at in rng.integers(0, size, edits):
+                changed[at] = word(1)[0]
+            texts.append(" ".join(changed + word(edits // 2)))
+    texts = [*dict.fromkeys(texts), "", " "]
+    sets = [m.shingles(t.encode()) for t in texts]
+    component = [i % 7 for i in range(len(texts))]
+    want = {(i, j) for i, j in combinations(range(len(texts) - 2), 2) if component[i] != component[j] and m.similarity(sets[i], sets[j]) >= 0.8}
+    rows = spark.createDataFrame([(i, component[i], t) for i, t in enumerate(texts)], "node long, component long, text string")
+    found = {(r.a, r.b) for r in m._across(rows.repartition(5), 0.8, 5).collect()}
+    assert len(want) > 40 and want <= found
+    assert all(component[i] != component[j] for i, j in found)
+    assert not any(i < 60 and j < 60 for i, j in found)

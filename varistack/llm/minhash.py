@@ -5,10 +5,14 @@ of fewer words are one shingle. The caller's proposals are verified first. Furth
 ``ROWS`` minima of one of ``BANDS`` bands: a pair at 0.8 is missed with probability (1 - 0.8^5)^22 =
 0.00016, one at 0.85 with 0.000003. Every link is verified on the shingles themselves.
 
-Candidates of a band key are checked in two rounds, so that a large group of copies costs no square:
-first each member against the key's smallest, then, of keys whose members are not in one component
-yet, all pairs across components. A pair left out is in one component already. Only texts with a
-shared key are moved, through a bitmap of their hashes. Equal texts (by XXH64) are one node.
+Candidates of a band key are checked in two rounds, so that a large group costs no square: first each
+member against the key's smallest. The texts of keys whose members are not in one component yet are
+then joined exactly, by prefixes: their shingles are put in one order, rare ones first, and two texts
+of similarity t share one among their first shares of 1 - t and 1 - 2t / (1 + t), with enough shingles
+after it on both sides, and the parities of their shingles over 256 bits differ in no more bits than
+their sets in shingles. So texts that only hold the same common passage make no pair. A pair left out
+is in one component already, or less similar. Only texts with a shared key are moved, through a bitmap
+of their hashes. Equal texts (by XXH64) are one node.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 22, 5
 #: Bits of the broadcast bitmap: 16 a text in question, at most 16 MB; more texts only move more.
 MOST_BITS = 1 << 27
+#: Counters (8 MB) by which shingles are put in order; where shingles share one, only the order is less apt.
+COUNTERS = 1 << 20
+#: Longs of 64 parities each.
+PARITIES = [f"parity_{i}" for i in range(4)]
 
 _RNG = np.random.Generator(np.random.PCG64(42))
 _XOR = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -109,6 +117,82 @@ def _similar(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) ->
     return pairs.join(first, "a").join(second, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
+def _count_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many of the texts hold a shingle, by the low bits of its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in slices(batches):
+            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+                np.add.at(total, _counter(np.unique(shingle_hashes(text.encode("utf-8", "replace"), shingle))), 1)
+        held = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(held), pa.array(total[held])], names=["at", "texts"])
+
+    found = texts.select("text").mapInArrow(run, "at long, texts long").groupBy("at").agg(F.sum("texts").alias("texts")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[found["at"].to_numpy()] = found["texts"].to_numpy()
+    return counts
+
+
+def _counter(values: np.ndarray) -> np.ndarray:
+    return (values & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _parities(values: np.ndarray) -> np.ndarray:
+    """For each of 256 bits whether an odd number of the hashes falls on it."""
+    held = np.bincount((values >> np.uint64(56)).astype(np.int64), minlength=64 * len(PARITIES)) & 1
+    return np.packbits(held.astype(np.uint8)).view(np.int64)
+
+
+def _prefixes(texts: DataFrame, least: float, shingle: int) -> DataFrame:
+    """The first shingles of each text ``(node, component, text)``, rare ones first: ``rest`` shingles from it on, ``stored`` in the shorter prefix, the parities of all its shingles."""
+    counts = texts.sparkSession.sparkContext.broadcast(_count_shingles(texts, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for node, component, text in zip(*(c.to_pylist() for c in batch.columns)):
+                values = np.unique(shingle_hashes(text.encode("utf-8", "replace"), shingle))
+                n = len(values)
+                values = values[np.lexsort((values, counts.value[_counter(values)]))]
+                long, short = (n - int(np.ceil(share * n - 1e-6)) + 1 for share in (least, 2 * least / (1 + least)))
+                first = values[:long].view(np.int64)
+                at = np.arange(len(first))
+                whole = [np.full(len(first), x) for x in (node, component, n, *_parities(values))]
+                rows.append((first, n - at, at < short, *whole))
+            if rows:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*rows)], names=names)
+
+    names = ["token", "rest", "stored", "node", "component", "n", *PARITIES]
+    kinds = ", ".join(f"{name} {'boolean' if name == 'stored' else 'long'}" for name in names)
+    return texts.select("node", "component", "text").mapInArrow(run, kinds)
+
+
+def _across(texts: DataFrame, least: float, shingle: int) -> DataFrame:
+    """Pairs ``(a, b)`` of texts in different components, all those of similarity ``least`` among them."""
+    entries = checkpoint(_prefixes(texts, least, shingle))
+    share = least / (1 + least)
+    # a component's texts of one size are one entry of a token until a partner is found; one text alone keeps its parities
+    alone = [F.when(F.count("*") == 1, F.min(p)).alias(p) for p in PARITIES]
+    groups = entries.groupBy("token", "component", "n").agg(F.max("rest").alias("rest"), F.max(F.when(F.col("stored"), F.col("rest"))).alias("stored_rest"), *alone)
+
+    def side(rows: DataFrame, of: str, *names: str) -> DataFrame:
+        return rows.select("token", *(F.col(name).alias(f"{name.removeprefix('stored_')}_{of}") for name in names))
+
+    both = F.col("n_x") + F.col("n_y")
+    enough = F.least("rest_x", "rest_y") >= share * both - 1e-6  # shingles that can be common
+    differ = sum((F.bit_count(F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y"))) for p in PARITIES), F.lit(0))
+    near = F.coalesce(differ <= (1 - 2 * share) * both + 1e-6, F.lit(True))
+    x = side(groups, "x", "component", "n", "rest", *PARITIES)
+    y = side(groups.where("stored_rest is not null"), "y", "component", "n", "stored_rest", *PARITIES)
+    found = x.hint("merge").join(y, (x["token"] == y["token"]) & (F.col("component_x") != F.col("component_y")) & (F.col("n_y") <= F.col("n_x")) & enough & near)
+    found = found.select(x["token"], "component_x", "n_x", "component_y", "n_y")
+    of_x = side(entries, "x", "component", "n", "node", "rest", *PARITIES)
+    of_y = side(entries.where("stored"), "y", "component", "n", "node", "rest", *PARITIES)
+    pairs = found.join(of_x, ["token", "component_x", "n_x"]).join(of_y, ["token", "component_y", "n_y"]).where(enough & near)
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def near_copies(texts: DataFrame, signed: DataFrame, proposed: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """``(node, component)`` of the texts that have a near copy.
 
@@ -128,14 +212,10 @@ def near_copies(texts: DataFrame, signed: DataFrame, proposed: DataFrame, least:
     stars = members.where("node != low").select(F.least("node", "low").alias("a"), F.greatest("node", "low").alias("b"))
     stars = checkpoint(stars.union(proposed.select(F.least("a", "b"), F.greatest("a", "b"))).distinct())
     joined = components(_similar(stars, known, least, shingle))
-    placed = members.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    placed = members.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    mixed = checkpoint(placed.join(mixed, "key"))
-    parts = mixed.select("key", "component").distinct()
-    sides = [(mixed.select("key", F.col("node").alias(n), F.col("n").alias(f"n_{n}"), F.col("component").alias(f"in_{n}")), parts.select("key", F.col("component").alias(f"in_{n}"))) for n in "xy"]
-    across = sides[0][1].join(sides[1][1], "key").where("in_x < in_y")
-    across = across.join(sides[0][0], ["key", "in_x"]).join(sides[1][0], ["key", "in_y"])
-    across = across.where(F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y"))  # else the similarity is less
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    apart = placed.join(mixed, "key").select("node", "component").distinct()
+    known.join(apart, "node").write.parquet(f"{folder}-apart")
+    across = _across(spark.read.parquet(f"{folder}-apart"), least, shingle).join(stars, ["a", "b"], "left_anti")
     more = _similar(checkpoint(across), known, least, shingle)
     return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
