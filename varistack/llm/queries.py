@@ -1,8 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 
 from varistack.llm.decontaminate import op5_decontaminate
+from varistack.llm.importance import ORACLE as OP13_SQL
+from varistack.llm.importance import op13_importance_resampling
+from varistack.llm.infilling import ORACLE as OP11_SQL
+from varistack.llm.infilling import op11_fill_in_middle
 from varistack.llm.langid import op8_language_id
 from varistack.llm.packing import op10_best_fit_packing
+from varistack.llm.pieces import op12_sentencepiece
 from varistack.llm.search import op1_bm25_topk
 from varistack.llm.secrets import ORACLE as OP4_SQL
 from varistack.llm.secrets import op4_secret_scan
@@ -24,9 +29,14 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_secret_scan": OP4_SQL,
     "op9_warc": OP9_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op13_importance_resampling": OP13_SQL,
 }
