@@ -51,11 +51,10 @@ def test_whole_items(spark, tmp_path):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in corpus()} - {doc for doc, _ in want}
 
 
-def test_parts_in_separate_windows():
+def test_parts_far_apart():
     question, answer = prose(1, 20), prose(2, 20)
     rows = [(1, question, answer, False)]
     words = d.words_of(question) + d.words_of(answer)
     index = d.ItemIndex(rows, {w: 1 for w in words}, 1, 40.0)
-    found = d.matches(index, f"{question} {prose(3, 900)} {answer}")
-    assert [(f[0], *f[2:]) for f in found] == [(1, 1.0, 1.0)] and found[0][1] < d.MIN_SCORE
-    assert not d.matches(index, f"{question} {prose(3, 900)}")
+    found = list(d.matches(index, [f"{question} {prose(3, 900)} {answer}", None, f"{question} {prose(3, 900)}"]))
+    assert [(f[0], f[1], *f[3:]) for f in found] == [(0, 1, 1.0, 1.0)] and abs(found[0][2] - 1) < 1e-9

@@ -1,18 +1,22 @@
 """Benchmark decontamination: BM25 index of the test items, searched with every training passage.
 
-The inverted index holds the items; a document's overlapping windows of words are the queries. Item
-scores are BM25 with the index's global statistics, divided by the item's score against itself, so
-that one threshold serves items of any length. Search is block-max WAND in array form: a window is
-dropped when the sum of its terms' largest weights stays under the threshold, then blocks of items
-when the sum of the terms' block maxima does; only what is left is scored in full. All items above
-the threshold are retrieved (bounds are upper bounds, so none is lost), and all items of which the
-document as a whole holds enough five-word shingles, whatever their score in one window. Both are
-verified: shingles of five words of the item's question and of its answer must each be contained in
-the document to 0.8; of an item without a separate answer (column ``whole``) all shingles together
-suffice, too.
-
-The index is broadcast in shards of a bounded number of items; more items take more passes over the
-documents, each with the statistics of all items.
+The inverted index holds the items, every document is a query. An item's score is BM25 with the index's
+global statistics, divided by the item's score against itself: the share of its weight that the document
+has. Shingles of five words of the item's question and of its answer must each be contained in the
+document to 0.8, wherever they stand; of an item without a separate answer (column ``whole``) all shingles
+together suffice, too. That bounds the score from below: if at most m distinct shingles of a text are
+missing, at most m of its distinct terms are (each has a missing shingle of its own, that which ends with
+the term right of the first shingle that is there, or starts with it left of that one). So an item that
+can be verified scores at least 1 less its m heaviest terms: that is its threshold, and no verified item
+is under it.
+
+Search is block-max WAND in array form: of each item's m + 1 rarest terms one must be there, so their
+postings name the blocks of items to look at; a block is dropped when the sum of its maxima of the
+document's terms stays under the lowest threshold of its items; what is left is scored in full, and all
+items above their thresholds are retrieved and verified.
+
+Items come in shards of a bounded size, one pass over the documents each, with the statistics of all
+items; a pass frees its index before the next one begins.
 """
 
 from __future__ import annotations
@@ -28,12 +32,10 @@ from pyspark.sql import functions as F
 from varistack.llm.common import checkpoint, slices, table
 
 K1, B = 1.2, 0.75
-#: Normalised BM25 score from which an item is a candidate of a window.
-MIN_SCORE = 0.55
 SHINGLE, CONTAINMENT = 5, 0.8
 BLOCK = 8
-#: Items in one broadcast shard of the index.
-SHARD_ITEMS = 20_000
+#: Bytes of items' texts in one shard of the index (a longer item makes its own).
+SHARD_BYTES = 4 << 20
 
 _SPACE = bytes.maketrans(bytes(b for b in range(128) if not chr(b).isalnum()), b" " * sum(not chr(b).isalnum() for b in range(128)))
 
@@ -54,93 +56,95 @@ def split_item(text: str) -> tuple[str, str]:
 
 
 class ItemIndex:
-    """Postings of test items with normalised BM25 weights and block maxima."""
+    """Postings of test items with normalised BM25 weights, block maxima and the items' thresholds."""
 
-    def __init__(self, items: list[tuple], document_frequency: dict[bytes, int], n_items: int, mean_length: float):
+    def __init__(self, items: list[tuple], document_frequency: dict[bytes, int], n_items: int, mean_length: float, containment: float = CONTAINMENT):
         """``items``: (id, question, answer, whole) of this shard; the statistics are of all items."""
-        self.ids = [i for i, *_ in items]
+        self.ids, self.containment = [i for i, *_ in items], containment
         self.parts = [(words_of(q), words_of(a)) for _, q, a, _ in items]
+        self.whole = [bool(whole) for *_, whole in items]
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for q, a in self.parts for w in q + a}))}
-        term, item, value = [], [], []
-        for i, (q, a) in enumerate(self.parts):
-            own, count = np.unique([self.vocabulary[w] for w in q + a] or np.zeros(0, np.int64), return_counts=True)
-            if not len(own):
-                continue
-            length = count.sum()
-            tf = count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean_length))
-            term.append(own), item.append(np.full(len(own), i)), value.append(tf)
-        self.term, self.item = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (term, item))
-        tf = np.concatenate(value) if value else np.zeros(0)
         df = np.array([document_frequency.get(w, 0) for w in self.vocabulary], np.float64)
         idf = np.log1p((n_items - df + 0.5) / (df + 0.5)) if len(df) else df
-        score = tf * idf[self.term]
-        own = np.bincount(self.item, score, len(items))
-        self.weight = score / np.maximum(own, 1e-12)[self.item]
-        order = np.lexsort((self.item, self.term))
-        self.term, self.item, self.weight = self.term[order], self.item[order], self.weight[order]
-        self.ptr = np.searchsorted(self.term, np.arange(len(self.vocabulary) + 1))
-        self.top = np.zeros(len(self.vocabulary) + 1)
-        np.maximum.at(self.top, self.term, self.weight)
+        none = np.zeros(0, np.int64)
+        terms, weights, rare, grams = [], [], [], []
+        self.threshold = np.full(len(items), np.inf)
+        for i, ((q, a), whole) in enumerate(zip(self.parts, self.whole)):
+            numbers = [np.array([self.vocabulary[w] for w in part], np.int64) for part in (q, a)]
+            own, count = np.unique(np.concatenate(numbers), return_counts=True)
+            grams.append([np.unique(_grams(x)) for x in (*numbers, np.concatenate(numbers) if whole else none)])
+            if len(own):
+                score = count * (K1 + 1) / (count + K1 * (1 - B + B * count.sum() / mean_length)) * idf[own]
+                score /= score.sum()
+                spare = [self._spare(part) for part in (q, a, q + a)]
+                lost = sum(_heaviest(score[np.isin(own, x)], m) for x, m in zip(numbers, spare))
+                if whole:
+                    lost = max(lost, _heaviest(score, spare[2]))
+                self.threshold[i] = 1.0 - lost - 1e-9
+                needed = max(spare[0] + spare[1], spare[2] if whole else 0) + 1
+            terms.append(own), weights.append(score if len(own) else np.zeros(0)), rare.append(own[np.argsort(df[own], kind="stable")[:needed]] if len(own) else none)
         self.blocks = -(-len(items) // BLOCK)
-        block = self.item // BLOCK
-        new = np.flatnonzero(np.concatenate([[True], (self.term[1:] != self.term[:-1]) | (block[1:] != block[:-1])])) if len(block) else np.zeros(0, np.int64)
-        self.block, self.block_max = block[new], np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
-        self.block_ptr = np.searchsorted(self.term[new], np.arange(len(self.vocabulary) + 1))
-        self.window = 2 * max([len(q) + len(a) for q, a in self.parts], default=1)
-        self.shingles = [tuple(_shingles(p) for p in both) for both in self.parts]
-        self.whole = [_shingles(q + a) if whole else None for (q, a), (*_, whole) in zip(self.parts, items)]
-        #: Hashes of the items' five-word shingles with their items, and the shingles of each item's larger part.
-        self.larger = np.array([max(max(0, len(p) - SHINGLE + 1) and len(s) for p, s in zip(*both)) for both in zip(self.parts, self.shingles)], np.float64)
-        grams = [np.unique(_grams(np.array([self.vocabulary[w] for w in q + a], np.int64))) for q, a in self.parts]
-        holder = np.repeat(np.arange(len(items)), [len(g) for g in grams])
-        gram = np.concatenate([*grams, np.zeros(0, np.uint64)])
-        order = np.argsort(gram, kind="stable")
-        self.gram, begin = np.unique(gram[order], return_index=True)
-        self.gram_ptr, self.gram_item = np.append(begin, len(gram)), holder[order]
-
-    def candidates(self, ids: np.ndarray, threshold: float) -> dict[int, float]:
-        """Items whose score with some window of the document reaches the threshold: item -> best score.
-
-        ``ids`` are the document's words as term numbers, the number of terms standing for others.
+        (self.term, self.ptr), self.weight = _ragged(terms, np.int64), _ragged(weights, np.float64)[0]
+        item = np.repeat(np.arange(len(items)), np.diff(self.ptr))
+        order = np.lexsort((self.term, item // BLOCK))
+        block, term = item[order] // BLOCK, self.term[order]
+        new = np.flatnonzero(np.r_[True, (np.diff(block) != 0) | (np.diff(term) != 0)]) if len(term) else none
+        self.block_term = term[new]
+        self.block_max = np.maximum.reduceat(self.weight[order], new) if len(new) else np.zeros(0)
+        self.block_ptr = np.searchsorted(block[new], np.arange(self.blocks + 1))
+        self.block_least = np.array([self.threshold[b : b + BLOCK].min() for b in range(0, len(items), BLOCK)])
+        named, at = _ragged(rare, np.int64)
+        pairs = np.unique(named * max(1, self.blocks) + np.repeat(np.arange(len(items)), np.diff(at)) // BLOCK)
+        self.rare_block = pairs % max(1, self.blocks)
+        self.rare_ptr = np.searchsorted(pairs // max(1, self.blocks), np.arange(len(self.vocabulary) + 2))
+        #: Hashes of the five-word shingles of each item's question, answer and whole text, in turn.
+        self.gram, self.gram_ptr = _ragged([g for three in grams for g in three], np.uint64)
+
+    def _spare(self, words: list[bytes]) -> int:
+        """How many of a part's distinct shingles a document may lack."""
+        return int((1 - self.containment) * len(_shingles(words)) + 1e-9)
+
+    def candidates(self, ids: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(items, scores)`` of all items that reach their thresholds in a document.
+
+        ``ids`` are its words as term numbers, the number of terms standing for others; ``there`` is an
+        array of as many falses and one, to use and give back.
         """
-        found: dict[int, float] = {}
-        if not len(ids) or not self.blocks:
-            return found
-        size, stride = self.window, max(1, self.window // 2)
-        total = np.concatenate([[0], np.cumsum(self.top[ids])])
-        begin = np.arange(0, max(1, len(ids) - size + stride), stride)
-        stop = np.minimum(begin + size, len(ids))
-        for a, b in zip(*(x[total[stop] - total[begin] >= threshold].tolist() for x in (begin, stop))):
-            terms = np.unique(ids[a:b])
-            terms = terms[terms < len(self.ptr) - 1]
-            if self.top[terms].sum() < threshold:
-                continue
-            at = _ranges(self.block_ptr[terms], self.block_ptr[terms + 1])
-            bound = np.bincount(self.block[at], self.block_max[at], self.blocks)
-            alive = bound >= threshold - 1e-9
-            if not alive.any():
-                continue
-            at = _ranges(self.ptr[terms], self.ptr[terms + 1])
-            at = at[alive[self.item[at] // BLOCK]]
-            score = np.bincount(self.item[at], self.weight[at], len(self.ids))
-            for i in np.flatnonzero(score >= threshold).tolist():
-                found[i] = max(found.get(i, 0.0), float(score[i]))
-        return found
-
-    def holding(self, ids: np.ndarray, containment: float) -> list[int]:
-        """Items of which the whole text holds ``containment`` of as many five-word shingles as their larger part has.
-
-        No item with a part of five or more words can be verified with fewer, wherever its parts stand.
-        """
-        own = _grams(ids)[np.lib.stride_tricks.sliding_window_view(ids, SHINGLE).max(1) < len(self.vocabulary)] if len(ids) >= SHINGLE else []
-        if not len(own) or not len(self.gram):
-            return []
-        at = np.minimum(np.searchsorted(self.gram, own), len(self.gram) - 1)
-        at = np.unique(at[self.gram[at] == own])
-        if not len(at):
-            return []
-        count = np.bincount(self.gram_item[_ranges(self.gram_ptr[at], self.gram_ptr[at + 1])], minlength=len(self.ids))
-        return np.flatnonzero(count >= np.maximum(1, containment * self.larger - 1e-9)).tolist()
+        own = np.unique(ids)
+        blocks = np.unique(self.rare_block[_ranges(self.rare_ptr[own], self.rare_ptr[own + 1])])
+        if not len(blocks):
+            return blocks, np.zeros(0)
+        there[own] = True
+        there[-1] = False
+        at, size = _ranges(self.block_ptr[blocks], self.block_ptr[blocks + 1]), np.diff(self.block_ptr)[blocks]
+        bound = np.bincount(np.repeat(np.arange(len(blocks)), size), self.block_max[at] * there[self.block_term[at]], len(blocks))
+        blocks = blocks[bound >= self.block_least[blocks]]
+        items = _ranges(blocks * BLOCK, np.minimum((blocks + 1) * BLOCK, len(self.ids)))
+        at, size = _ranges(self.ptr[items], self.ptr[items + 1]), np.diff(self.ptr)[items]
+        score = np.bincount(np.repeat(np.arange(len(items)), size), self.weight[at] * there[self.term[at]], len(items))
+        there[own] = False
+        held = score >= self.threshold[items]
+        return items[held], score[held]
+
+    def shingled(self, items: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Of those items which may be verified by the hashes of their five-word shingles; shorter parts are not looked at."""
+        own = np.unique(_grams(ids))
+        part = (items[:, None] * 3 + np.arange(3)).ravel()
+        at, size = _ranges(self.gram_ptr[part], self.gram_ptr[part + 1]), np.diff(self.gram_ptr)[part]
+        held = np.isin(self.gram[at], own)
+        share = np.bincount(np.repeat(np.arange(len(part)), size), held, len(part)) >= self.containment * size - 1e-9
+        share = share.reshape(-1, 3)
+        whole = np.array([self.whole[i] for i in items.tolist()], bool)
+        return items[share[:, :2].all(1) | (whole & share[:, 2])]
+
+
+def _heaviest(weights: np.ndarray, m: int) -> float:
+    return float(np.sort(weights)[::-1][:m].sum())
+
+
+def _ragged(parts: list[np.ndarray], kind) -> tuple[np.ndarray, np.ndarray]:
+    """The parts one after another, and where each begins."""
+    return np.concatenate([*parts, np.zeros(0, kind)]).astype(kind), np.cumsum([0, *map(len, parts)])
 
 
 def _grams(ids: np.ndarray) -> np.ndarray:
@@ -170,89 +174,110 @@ def _ranges(begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(begin - (end - size), size)
 
 
-def item_indexes(items: DataFrame, shard_items: int = SHARD_ITEMS) -> list:
-    """Broadcast indexes of the items' shards; ``items`` has ``item_id``, ``question`` and ``answer``,
-    and may have ``whole``: that the two are parts of one text.
+class Items:
+    """Test items with their statistics, which are counted over all items on the executors; ``items`` has
+    ``item_id``, ``question`` and ``answer``, and may have ``whole``: that the two are parts of one text.
 
-    Statistics are counted over all items on the executors. Null parts are empty, repeated rows count once.
+    Null parts are empty, repeated rows count once.
     """
-    spark = items.sparkSession
-    known = items.select("item_id", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"), (F.coalesce("whole", F.lit(False)) if "whole" in items.columns else F.lit(False)).alias("whole")).distinct()
-    n_items = known.count()
-    shards = max(1, math.ceil(n_items / shard_items))
 
-    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [words_of(q) + words_of(a) for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            rows = [w for own in words for w in set(own)]
-            yield pa.record_batch([pa.array(rows + [b""] * len(words), pa.binary()), pa.array([1] * len(rows) + [len(own) for own in words], pa.int64())], names=["term", "n"])
-
-    counted = checkpoint(known.mapInArrow(stats, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")))
-    parts = known.withColumn("shard", F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(shards)))
-    out = []
-    for shard in range(shards):
-        rows = [tuple(r) for r in parts.where(F.col("shard") == shard).orderBy("item_id", "question", "answer", "whole").select("item_id", "question", "answer", "whole").collect()]  # about shard_items
+    def __init__(self, items: DataFrame, containment: float, shard_bytes: int):
+        self.spark, self.containment = items.sparkSession, containment
+        whole = F.coalesce("whole", F.lit(False)) if "whole" in items.columns else F.lit(False)
+        known = items.select("item_id", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"), whole.alias("whole")).distinct()
+        self.n, size = known.agg(F.count("*"), F.sum(F.octet_length("question") + F.octet_length("answer"))).first()
+        self.shards = max(1, math.ceil((size or 0) / shard_bytes))
+
+        def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = [words_of(q) + words_of(a) for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+                rows = [w for own in words for w in set(own)]
+                yield pa.record_batch([pa.array(rows + [b""] * len(words), pa.binary()), pa.array([1] * len(rows) + [len(own) for own in words], pa.int64())], names=["term", "n"])
+
+        self.counted = checkpoint(known.mapInArrow(stats, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")))
+        self.known = known.withColumn("shard", F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(self.shards)))
+
+    def index(self, shard: int):
+        """The broadcast index of one shard."""
+        rows = self.known.where(F.col("shard") == shard).orderBy("item_id", "question", "answer", "whole").select("item_id", "question", "answer", "whole")
+        rows = [tuple(r) for r in rows.collect()]  # about SHARD_BYTES
         terms = sorted({w for _, q, a, _ in rows for w in words_of(q) + words_of(a)})
-        wanted = spark.createDataFrame([(bytearray(w),) for w in [*terms, b""]], "term binary")
-        df = {bytes(r["term"]): r["n"] for r in counted.join(F.broadcast(wanted), "term").collect()}
-        mean = df.pop(b"", 0) / max(1, n_items)
-        out.append(spark.sparkContext.broadcast(ItemIndex(rows, df, n_items, max(mean, 1.0))))
-    return out
+        wanted = self.spark.createDataFrame([(bytearray(w),) for w in [*terms, b""]], "term binary")
+        df = {bytes(r["term"]): r["n"] for r in self.counted.join(F.broadcast(wanted), "term").collect()}
+        mean = df.pop(b"", 0) / max(1, self.n)
+        return self.spark.sparkContext.broadcast(ItemIndex(rows, df, self.n, max(mean, 1.0), self.containment))
 
 
-def matches(index: ItemIndex, text: str | None, min_score: float = MIN_SCORE, containment: float = CONTAINMENT) -> list[tuple]:
-    """``(item id, score, question overlap, answer overlap)`` of the verified items of one text."""
-    words = words_of(text) if text else []
+def matches(index: ItemIndex, texts: list[str | None]) -> Iterator[tuple]:
+    """``(position, item id, score, question overlap, answer overlap)`` of the verified items of each text."""
     get, missing = index.vocabulary.get, len(index.vocabulary)
-    numbers = np.fromiter((get(w, missing) for w in words), np.int64, len(words))
-    near = index.candidates(numbers, min_score)
-    more = [i for i in index.holding(numbers, containment) if i not in near]
-    if more:
-        scores = index.candidates(numbers, 1e-9)
-        near |= {i: scores.get(i, 0.0) for i in more}
-    if not near:
-        return []
-    held, joined = _shingles(words), b" %b " % b" ".join(words)
-    both = [(i, score, *(_overlap(s, held, joined) for s in index.shingles[i])) for i, score in near.items()]
-    return [(index.ids[i], score, question, answer) for i, score, question, answer in both if min(question, answer) >= containment or (index.whole[i] and _overlap(index.whole[i], held, joined) >= containment)]
-
-
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE, containment: float = CONTAINMENT, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    there = np.zeros(missing + 1, bool)
+    for row, text in enumerate(texts):
+        words = words_of(text) if text else []
+        ids = np.fromiter((get(w, missing) for w in words), np.int64, len(words))
+        items, scores = index.candidates(ids, there)
+        if not len(items):
+            continue
+        score = dict(zip(items.tolist(), scores.tolist()))
+        near = index.shingled(items, ids).tolist()
+        if not near:
+            continue
+        held, joined = _shingles(words), b" %b " % b" ".join(words)
+        for i in near:
+            (q, a), least = index.parts[i], index.containment
+            question, answer = (_overlap(_shingles(part), held, joined) for part in (q, a))
+            if min(question, answer) >= least or (index.whole[i] and _overlap(_shingles(q + a), held, joined) >= least):
+                yield row, index.ids[i], score[i], question, answer
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``(id_col, item_id, score, question_overlap, answer_overlap)`` per document and verified test item.
 
-    score is the best window's. Null texts are empty and match nothing, items without words match
-    nothing; ids may be null; a repeated document row gives its rows again.
+    Null texts are empty and match nothing, items without words match nothing; ids may be null; a
+    repeated document row gives its rows again. Several shards are searched one after another, their rows checkpointed.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = None
-    for index in item_indexes(items, shard_items):
+    known, out = Items(items, containment, shard_bytes), None
+    for shard in range(known.shards):
+        index = known.index(shard)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                rows = [(row, *m) for row, text in enumerate(batch.column(1).to_pylist()) for m in matches(index.value, text, min_score, containment)]
+                rows = list(matches(index.value, batch.column(1).to_pylist()))
                 if rows:
                     at, ids, *numbers = zip(*rows)
                     columns = [batch.column(0).take(pa.array(at)), pa.array(ids), *(pa.array(x, pa.float64()) for x in numbers)]
                     yield pa.record_batch(columns, names=["id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         found = texts.mapInArrow(run, f"id {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double")
+        if known.shards > 1:
+            found = checkpoint(found)
+            index.destroy()
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE, containment: float = CONTAINMENT, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """The rows, whole, whose text holds no test item; see :func:`contaminated`."""
-    out = docs
-    for index in item_indexes(items, shard_items):
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", containment: float = CONTAINMENT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows, whole, whose text holds no test item; see :func:`contaminated`.
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    One shard filters the rows in place. Of several, each pass finds the texts that hold an item, and
+    the rows are parted from their SHA-256 in the end.
+    """
+    known = Items(items, containment, shard_bytes)
+    if known.shards == 1:
+        index = known.index(0)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, text_col):
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                yield batch.filter(pa.array([not matches(index.value, t, min_score, containment) for t in texts], pa.bool_()))
+                held = {row for row, *_ in matches(index.value, texts)}
+                yield batch.filter(pa.array([row not in held for row in range(len(texts))], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        return docs.mapInArrow(run, docs.schema)
+    texts = docs.select(F.sha2(text_col, 256).alias("__text"), F.col(text_col).alias("text")).where("text <> ''")
+    found = contaminated(texts, items, "__text", "text", containment, shard_bytes).select("__text").distinct()
+    return docs.withColumn("__text", F.sha2(text_col, 256)).join(found, "__text", "left_anti").drop("__text")
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
