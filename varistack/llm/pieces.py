@@ -7,13 +7,14 @@ An automaton yields the pieces that end at each place; the table keeps the one t
 are read from it backwards. Time is linear in the text, of whatever kind it is.
 
 Where no piece spans the start of a run of spaces, no merge does either: texts are cut there, and a
-slice's units are encoded once.
+slice's distinct units are encoded once, all their tables together, place after place.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,27 +24,14 @@ from pyspark.sql import functions as F
 from varistack.llm.common import map_text, table
 
 SPACE = "▁"
-#: Units, pairs of tokens that a worker keeps before it starts a cache anew; longer units are not kept.
-KEPT_UNITS, KEPT_PAIRS, KEPT_LENGTH = 400_000, 2_000_000, 64
+#: Units that a worker keeps before it starts its cache anew; longer units are not kept. Pairs of tokens likewise.
+KEPT_UNITS, KEPT_LENGTH, KEPT_PAIRS = 400_000, 64, 2_000_000
 
 
 def _raw(*ids: int) -> bytes:
     return np.array(ids, "<i4").tobytes()
 
 
-class _Units(dict):
-    """The ids (bytes of little-endian int32) of each unit, encoded when first asked for."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.encode(unit)
-        if len(unit) <= KEPT_LENGTH:
-            self[unit] = ids
-        return ids
-
-
 class PieceModel:
     """Encoder and decoder of a SentencePiece BPE model that keeps white space and has byte fallback.
 
@@ -64,17 +52,23 @@ class PieceModel:
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if not any(SPACE in piece.lstrip(SPACE) for piece, _ in pieces) else "(?s).+")
         # a piece whose own text merges into other tokens never comes out of merging
         self.tokens = [piece for piece, _ in pieces if self.merged(piece) == [piece]]
-        self.ids = [_raw(p.piece_to_id(piece)) for piece in self.tokens]
         known = {piece for piece in self.tokens if len(piece) == 1}
-        for letter in sorted({c for piece, _ in pieces for c in piece} - known):  # no piece alone, but part of one
-            self.tokens.append(letter), self.ids.append(self._fallback(letter))
+        self.plain = len(self.tokens)
+        self.tokens += sorted({c for piece, _ in pieces for c in piece} - known)  # letters that are no piece alone, but part of one
+        self.ids = [_raw(p.piece_to_id(t)) if i < self.plain else self._fallback(t) for i, t in enumerate(self.tokens)]
+        self.numbers = np.array([p.piece_to_id(t) for t in self.tokens] + [0], "<i4")
+        self.sizes = np.array([*map(len, self.tokens), 1])  # the last one is for letters that no piece has
+        self.gap = next(c for c in "\x00\ufffe\uffff" if not any(c in piece for piece, _ in pieces))
         self.automaton = ahocorasick.Automaton()
+        self.letters = np.full(0x110000, -1, np.int32)  # tokens of one letter
         for at, token in enumerate(self.tokens):
-            self.automaton.add_word(token, (at, len(token)))
+            if len(token) > 1:
+                self.automaton.add_word(token, at)
+            else:
+                self.letters[ord(token)] = at
         self.automaton.make_automaton()
-        self.sizes = list(map(len, self.tokens))
-        self.pairs: dict[int, bool] = {}
-        self.units = _Units(self.encode_unit)
+        self.keys, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.units: dict[str, bytes] = {}
         for text in self.PROBES:
             if p.normalize(text) != self.normal(text) or self.encode(text) != p.encode(text):
                 raise ValueError("not a BPE model with byte fallback that keeps white space")
@@ -93,51 +87,82 @@ class PieceModel:
             at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether two adjacent tokens stay as they are; kept for the next time."""
-        if len(self.pairs) > KEPT_PAIRS:
-            self.pairs.clear()
-        a, b = self.tokens[left], self.tokens[right]
-        found = self.pairs[left << 32 | right] = self.merged(a + b) == [a, b]
-        return found
-
-    def encode_unit(self, unit: str) -> bytes:
-        """Fills the table of last tokens from left to right, then reads the ids from its end."""
-        last = [-1] * len(unit)  # -1: a letter that no piece has, which nothing merges with
-        known = self.pairs.get
-        for end, (token, length) in self.automaton.iter(unit):
-            if last[end] >= 0:
-                continue
-            left = last[end - length] if length <= end else -1
-            if left >= 0:
-                fits = known(left << 32 | token)
-                if not (self.compatible(left, token) if fits is None else fits):
-                    continue
-            last[end] = token
-        found, end = [], len(unit) - 1
-        while end >= 0:
-            token = last[end]
-            if token < 0:
-                found.append(self._fallback(unit[end]))
-                end -= 1
-            else:
-                found.append(self.ids[token])
-                end -= self.sizes[token]
-        found.reverse()
-        return b"".join(found)
+    def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether adjacent tokens stay as they are; known pairs are kept, sorted."""
+        keys, at = np.unique(left.astype(np.int64) << 32 | right, return_inverse=True)
+        place = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(np.append(self.keys, -1)[place] != keys)
+        if len(new):
+            if len(self.keys) > KEPT_PAIRS:
+                self.keys, self.fits = self.keys[:0], self.fits[:0]
+                return self.compatible(left, right)
+            parts = [(self.tokens[k >> 32], self.tokens[k & 0xFFFFFFFF]) for k in keys[new].tolist()]
+            fits = np.array([self.merged(a + b) == [a, b] for a, b in parts])
+            self.keys, self.fits = np.insert(self.keys, place[new], keys[new]), np.insert(self.fits, place[new], fits)
+            place = np.searchsorted(self.keys, keys)
+        return self.fits[place][at]
+
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit: fills the tables of all of them from left to right, then reads the ids from their ends."""
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        first = np.cumsum(size + 1) - size - 1
+        text = self.gap.join(units)
+        single = self.letters[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+        at = np.flatnonzero(single >= 0)
+        end, token = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2).T
+        end, token = np.concatenate([at, end]), np.concatenate([single[at], token])
+        offset = end - np.repeat(first, size + 1)[end]
+        before = end - self.sizes[token]
+        order = np.argsort(offset.astype(np.int16 if len(offset) and offset.max() < 1 << 15 else np.int64), kind="stable")
+        last = np.full(int(size.sum()) + len(units), -1)  # a letter that no piece has stays at -1: nothing merges with it
+        for own in np.split(order, np.flatnonzero(np.diff(offset[order])) + 1):
+            left = np.where(offset[own] >= self.sizes[token[own]], last[before[own]], -1)
+            ask = left >= 0
+            fits = ~ask
+            fits[ask] = self.compatible(left[ask], token[own][ask])
+            last[end[own][fits]] = token[own][fits]
+        unit, place, tokens, rows = np.arange(len(units)), first + size - 1, [], []
+        while len(unit):
+            tokens.append(last[place]), rows.append(unit)
+            place = place - self.sizes[last[place]]
+            more = place >= first[unit]
+            unit, place = unit[more], place[more]
+        tokens, rows = np.concatenate([*tokens[::-1], place]), np.concatenate([*rows[::-1], unit])
+        order = np.argsort(rows, kind="stable")  # the rounds are in the order of the text already
+        tokens, ends = tokens[order], np.cumsum(np.bincount(rows, minlength=len(units)))
+        odd = (tokens < 0) | (tokens >= self.plain)
+        odd = np.logical_or.reduceat(odd, ends - np.bincount(rows, minlength=len(units))) if len(units) else odd
+        raw = self.numbers[tokens].tobytes()
+        out = [raw[4 * a : 4 * b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        for i in np.flatnonzero(odd).tolist():  # letters that are spelt in bytes
+            at, parts = size[i], []
+            while at > 0:
+                t = int(last[first[i] + at - 1])
+                parts.append(self._fallback(units[i][at - 1]) if t < 0 else self.ids[t])
+                at -= self.sizes[t]
+            out[i] = b"".join(reversed(parts))
+        return out
 
     @staticmethod
     def normal(text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
-    def encode_bytes(self, text: str) -> bytes:
-        """The ids as little-endian int32."""
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian int32."""
         if len(self.units) > KEPT_UNITS:
             self.units.clear()
-        return b"".join(map(self.units.__getitem__, self.cut.findall(self.normal(text))))
+        cut = [self.cut.findall(self.normal(text)) for text in texts]
+        new = list(set().union(*cut) - self.units.keys())
+        known = dict(zip(new, self.encode_units(new)))
+        long = {u: ids for u, ids in known.items() if len(u) > KEPT_LENGTH}
+        self.units |= known
+        out = [b"".join(map(self.units.__getitem__, units)) for units in cut]
+        for u in long:
+            del self.units[u]
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
+        return np.frombuffer(self.encode_bytes([text])[0], "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
@@ -164,7 +189,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = model(path)
-        raw = [coder.encode_bytes(t) if t else b"" for t in batch.column(1).to_pylist()]
+        raw = coder.encode_bytes([t or "" for t in batch.column(1).to_pylist()])
         ends = np.cumsum([0, *map(len, raw)]) // 4
         flat = pa.array(np.frombuffer(b"".join(raw), "<i4"))
         return pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["id", "ids"])
