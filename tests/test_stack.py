@@ -172,14 +172,6 @@ def test_simplex_weights(f, seed):
         assert (np.einsum("ni,ij,nj->n", other, q, other) >= value - 1e-9).all()
 
 
-def test_simplex_ties_and_many_spaces():
-    assert np.allclose(qp.simplex_weights(np.ones((1, 3, 3)))[0], 1 / 3)
-    rng = np.random.default_rng(0)
-    a = rng.standard_normal((1, 8, 9))
-    p = a @ np.swapaxes(a, 1, 2)
-    assert np.allclose(qp._projected(p), qp.simplex_weights(p), atol=1e-5)
-
-
 @settings(max_examples=60, deadline=None)
 @given(st.integers(30, 120), st.integers(2, 5), st.integers(0, 4))
 def test_segments_hold_every_split(n, k, o):

@@ -296,6 +296,27 @@ def stack_cv(spark, sf_dir):
     return rounded(stack.target_scores(stack.fold_stats(part_design(spark, sf_dir), [1, 1], 4), 2), "target_id")
 
 
+#: All supports of three spaces, each with its optimum in closed form; the best that is on the simplex wins.
+_THREE = """, m AS (SELECT k, max(p) FILTER (i = 1 AND j = 1) AS a, max(p) FILTER (i = 2 AND j = 2) AS b, max(p) FILTER (i = 3 AND j = 3) AS c,
+      max(p) FILTER (i = 1 AND j = 2) AS ab, max(p) FILTER (i = 1 AND j = 3) AS ac, max(p) FILTER (i = 2 AND j = 3) AS bc FROM pmat GROUP BY k),
+    u AS (SELECT *, (b * c - bc * bc) - (ab * c - ac * bc) + (ab * bc - ac * b) AS u1, (a * c - ac * ac) - (ab * c - ac * bc) - (a * bc - ab * ac) AS u2, (a * b - ab * ab) + (ab * bc - ac * b) - (a * bc - ab * ac) AS u3 FROM m),
+    each AS (SELECT k, a, b, c, ab, ac, bc, unnest([
+      {'w1': 1e0, 'w2': 0e0, 'w3': 0e0}, {'w1': 0e0, 'w2': 1e0, 'w3': 0e0}, {'w1': 0e0, 'w2': 0e0, 'w3': 1e0},
+      {'w1': (b - ab) / (a + b - 2 * ab), 'w2': (a - ab) / (a + b - 2 * ab), 'w3': 0e0}, {'w1': (c - ac) / (a + c - 2 * ac), 'w2': 0e0, 'w3': (a - ac) / (a + c - 2 * ac)},
+      {'w1': 0e0, 'w2': (c - bc) / (b + c - 2 * bc), 'w3': (b - bc) / (b + c - 2 * bc)}, {'w1': u1 / (u1 + u2 + u3), 'w2': u2 / (u1 + u2 + u3), 'w3': u3 / (u1 + u2 + u3)}]) AS w FROM u),
+    best AS (SELECT k, w FROM each WHERE least(w.w1, w.w2, w.w3) >= 0
+      QUALIFY row_number() OVER (PARTITION BY k ORDER BY w.w1 * w.w1 * a + w.w2 * w.w2 * b + w.w3 * w.w3 * c + 2 * (w.w1 * w.w2 * ab + w.w1 * w.w3 * ac + w.w2 * w.w3 * bc)) = 1)
+    SELECT k::INT AS outer_fold, round(w.w1, 6) + 0.0e0 AS w1, round(w.w2, 6) + 0.0e0 AS w2, round(w.w3, 6) + 0.0e0 AS w3 FROM best"""
+
+
+@query(nested_sql(_THREE.replace("best AS", "found AS").replace("FROM best", "FROM found"), spaces=3))
+def stack_weights_three(spark, sf_dir):
+    """Stack weights of three spaces per outer fold."""
+    stats = stack.fold_stats(part_design(spark, sf_dir, 3), [1, 1, 1], 4)
+    w = [F.col("w")[i].alias(f"w{i + 1}") for i in range(3)]
+    return rounded(stack.weighted(stats, 3).select("outer_fold", *w), "outer_fold")
+
+
 def _train_test(spark, sf_dir) -> DataFrame:
     design = part_design(spark, sf_dir)
     return stack.fold_stats(design, [1, 1], train_end=int(0.7 * design.count()))
