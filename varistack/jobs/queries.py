@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from varistack.functions import expressions as E
 from varistack.jobs import report, sweep
-from varistack.operators import moments, stack, varpart
+from varistack.operators import design, moments, stack, varpart
 from varistack.operators.qp import simplex_two
 from varistack.operators.ridge import SOLVERS
 from varistack.sources.tables import dense_index, read_chain, shared_folder, table, write_results
@@ -65,7 +65,7 @@ def embedding_design(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIMS = [16, 16, 16, 16]
 
 
-def nested_sql(final: str, spaces: int = 2, folds: int = 4, train_share: float | None = None, method: str = "cross_val_ridge") -> str:
+def nested_sql(final: str, spaces: int = 2, folds: int = 4, train_share: float | None = None, method: str = "cross_val_ridge", base: str = PART) -> str:
     """Nested cross-validated ridge and two-space stack weights for scalar spaces, as one statement.
 
     With one z-scored predictor the weight is n r / (n + λ) and the cost 1 - 2 w r_val + w².
@@ -73,7 +73,7 @@ def nested_sql(final: str, spaces: int = 2, folds: int = 4, train_share: float |
     fold = f"least(t // (n // {folds}), {folds - 1})" if train_share is None else f"CASE WHEN t < floor({train_share}e0 * n) THEN 1 ELSE 0 END"
     long = " UNION ALL ".join(f"SELECT t, y, n, {s} AS s, x{s} AS x, {fold} AS fold FROM base, nn" for s in range(1, spaces + 1))
     weight = "n * r / (n + lam)" if method == "cross_val_ridge" else "CASE WHEN b < 0 THEN n * r / (n + lam) ELSE n0 * r0 / (n0 + 100.0e0) END"
-    return f"""WITH base AS ({PART}), nn AS (SELECT count(*) AS n FROM base),
+    return f"""WITH base AS ({base}), nn AS (SELECT count(*) AS n FROM base),
     long AS ({long}),
     tr AS (SELECT k, s, t, x, y, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY k, s) AS ntr, ntile(5) OVER w - 1 AS c0,
         (y - avg(y) OVER p) / stddev_pop(y) OVER p AS yz
@@ -238,6 +238,16 @@ def ridge_weights(spark, sf_dir):
     return rounded(path.groupBy("i").agg(pick(one, 0).alias("w"), pick(two, 0).alias("w1"), pick(two, 1).alias("w2")), "i")
 
 
+@query(ORACLE_SQL["ridge_weights"])
+def ridge_svd(spark, sf_dir):
+    """:func:`ridge_weights` from the singular values of merged QR factors."""
+    rows = stack.pack(part_rows(spark, sf_dir), "t", [[F.col("x1")], [F.col("x1"), F.col("x2")]], [F.col("y")])
+    path = stack.ridge_path(rows, [1, 2], solver="svd")
+    one, two = F.col("space_id") == 0, F.col("space_id") == 1
+    pick = lambda space, at: F.max(F.when(space, F.col("weights")[at]))
+    return rounded(path.groupBy("i").agg(pick(one, 0).alias("w"), pick(two, 0).alias("w1"), pick(two, 1).alias("w2")), "i")
+
+
 _COST = f"""WITH b AS ({PART}), f AS (SELECT *, ntile(5) OVER (ORDER BY t) - 1 AS c FROM b),
 s AS (SELECT k, corr(x1, y) FILTER (c <> k) AS rt, count(*) FILTER (c <> k) AS nt, corr(x1, y) FILTER (c = k) AS rv FROM f, range(5) q(k) GROUP BY k),
 l AS (SELECT i, pow(10.0e0, i - 6) AS lam FROM range(16) g(i)),
@@ -253,6 +263,12 @@ def ridge_lambda_cost(spark, sf_dir):
     return rounded(_costs(spark, sf_dir), "i")
 
 
+@query(_COST + " SELECT i, round(cost, 6) + 0.0e0 AS cost FROM cost")
+def ridge_svd_cost(spark, sf_dir):
+    """:func:`ridge_lambda_cost` by merged QR factors: each split left out of the factor."""
+    return rounded(stack.penalty_costs(part_design(spark, sf_dir, 1), [1], 5, solver="svd").select("i", "cost"), "i")
+
+
 @query(_COST + " SELECT arg_min(i, cost) AS i, round(min(cost), 6) + 0.0e0 AS cost FROM cost")
 def ridge_lambda_argmin(spark, sf_dir):
     best = _costs(spark, sf_dir).agg(F.min(F.struct("cost", "i")).alias("best"))
@@ -296,6 +312,31 @@ def stack_cv(spark, sf_dir):
     return rounded(stack.target_scores(stack.fold_stats(part_design(spark, sf_dir), [1, 1], 4), 2), "target_id")
 
 
+#: A space of an embedding's first number, one of the size of the part that the position names, and a target of both.
+_APART = """SELECT t, e1 AS x1, p_size::DOUBLE AS x2, e1 + 0.02e0 * p_size + 0.1e0 * e2 AS y
+    FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS t, embedding[1]::DOUBLE AS e1, embedding[2]::DOUBLE AS e2 FROM embeddings) e
+    JOIN (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS at, p_size, count(*) OVER () AS parts FROM part) p ON e.t % p.parts = p.at"""
+
+
+def separate_tables(spark: SparkSession, sf_dir: str, buckets: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two spaces and the targets as three tables in buckets of ``t``."""
+    e = dense_index(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "vec_id").select("t", "e")
+    p = dense_index(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", name="at").select("at", F.col("p_size").cast("double").alias("size"))
+    sized = e.withColumn("at", F.col("t") % p.count()).join(p, "at")
+    first = design.bucketed(e.select("t", F.array(F.col("e")[0]).alias("x")), buckets)
+    second = design.bucketed(sized.select("t", F.array("size").alias("x")), buckets)
+    y = F.col("e")[0] + 0.02 * F.col("size") + 0.1 * F.col("e")[1]
+    return first, second, design.bucketed(sized.select("t", F.array(y).alias("y")), buckets)
+
+
+@query(nested_sql(SPACE_FINAL, base=_APART))
+def stack_separate_tables(spark, sf_dir):
+    """Scores of a stack whose spaces and targets are tables of their own, joined by position without a shuffle."""
+    first, second, targets = separate_tables(spark, sf_dir)
+    rows, dims = design.from_spaces([first, second], targets)
+    return rounded(stack.space_scores(stack.fold_stats(rows, dims, 4), 2), "target_id", "space_id")
+
+
 #: All supports of three spaces, each with its optimum in closed form; the best that is on the simplex wins.
 _THREE = """, m AS (SELECT k, max(p) FILTER (i = 1 AND j = 1) AS a, max(p) FILTER (i = 2 AND j = 2) AS b, max(p) FILTER (i = 3 AND j = 3) AS c,
       max(p) FILTER (i = 1 AND j = 2) AS ab, max(p) FILTER (i = 1 AND j = 3) AS ac, max(p) FILTER (i = 2 AND j = 3) AS bc FROM pmat GROUP BY k),

@@ -50,8 +50,8 @@ SOLVERS = ("plain", "svd", "ridge_sk")
 
 
 def checked_solver(name: str) -> str:
-    """The named solver. All three give one solution of z-scored data, which has no intercept; of raw
-    data (:func:`solve_raw`) the last one centres."""
+    """The named solver. All three have one solution of z-scored data, which has no intercept, ``svd`` without
+    squaring the columns' condition where it is asked of whole tables; of raw data (:func:`solve_raw`) the last one centres."""
     if name not in SOLVERS:
         raise ValueError(f"unknown solver {name!r}, not one of {', '.join(SOLVERS)}")
     return name

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varistack.functions.expressions import r2, r2_of
+from varistack.operators import tsqr
 from varistack.operators.moments import Moments, Side, _array, _matrix, column_means, first_bounds, from_rows, last_bounds, segment_moments, segment_starts, target_blocks
 from varistack.operators.qp import simplex_udf, simplex_weights
 from varistack.operators.ridge import LAMBDAS, checked_solver, fit, lambda_costs, solve, solve_raw
@@ -252,6 +253,13 @@ def fold_stats(design: DataFrame, dims: Sequence[int], n_folds: int = 4, **optio
 # ---------------------------------------------------------------- weights, penalties, predictions
 
 
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    """Rows as a table of a schema of numbers and arrays of doubles."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
+    names, types = zip(*(x.split() for x in schema.split(", ")))
+    return pa.table([pa.array(c, kinds[k]) for c, k in zip(zip(*rows), types)], names=list(names))
+
+
 def _whole(design: DataFrame, dims: Sequence[int], splits: int, penalties: Sequence[float] | None, target_block: int, schema: str, make) -> DataFrame:
     """``make(moments, split labels, penalties, origin)`` for every (space, target block) of the whole table."""
     n, grid, origin = checked_size(design), checked_penalties(penalties), column_means(design)
@@ -268,7 +276,7 @@ def _whole(design: DataFrame, dims: Sequence[int], splits: int, penalties: Seque
         m = from_rows(batch, splits, {i: np.arange(len(own))}, target.stop - target.start)
         shift = np.concatenate([origin[own], origin[p + target.start : p + target.stop]])
         rows = [(i, target.start + t, *rest) for t, *rest in make(m, np.arange(splits), grid, shift)]
-        return pa.table(list(map(list, zip(*rows))), names=[x.split()[0] for x in schema.split(", ")]).cast(pa.schema([(x.split()[0], {"int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}[x.split()[1]]) for x in schema.split(", ")]))
+        return _table(rows, schema)
 
     every = [F.array(*[F.lit(k) for k in range(m)]) for m in (len(spaces), len(blocks))]
     tasks = moments.withColumn("space", F.explode(F.when(F.col("kind") == "sy", every[0]).otherwise(F.array("i"))))
@@ -276,13 +284,41 @@ def _whole(design: DataFrame, dims: Sequence[int], splits: int, penalties: Seque
     return tasks.groupBy("space", "block").applyInArrow(run, schema)
 
 
+def _factored(design: DataFrame, dims: Sequence[int], splits: int, penalties: Sequence[float] | None, target_block: int, schema: str, make) -> DataFrame:
+    """:func:`_whole` by ``make(factors of the splits, penalties)``, for the solver that forms no products of columns."""
+    n, grid, origin = checked_size(design), checked_penalties(penalties), column_means(design)
+    spaces = space_columns(dims)
+    v = len(origin) - int(sum(dims))
+    if n < splits:
+        raise ValueError(f"{n} rows do not make {splits} splits")
+    starts, blocks = first_bounds(n, splits)[:-1], target_blocks(v, target_block)
+    rows = tsqr.segment_factors(design, starts, origin, spaces, v, target_block)
+
+    def run(key, batch):
+        i, j = (x.as_py() for x in key)
+        own, target = len(spaces[i]), blocks[j]
+        data = dict(zip(batch.column("seg").to_pylist(), batch.column("data").to_pylist()))
+        factors = [tsqr.Factor.unpacked(data[k], own, target.stop - target.start) for k in range(splits)]
+        return _table([(i, target.start + t, *rest) for t, *rest in make(factors, grid)], schema)
+
+    return rows.groupBy("i", "j").applyInArrow(run, schema)
+
+
 def cross_val_ridge(design: DataFrame, dims: Sequence[int], splits: int = 10, penalties: Sequence[float] | None = None, solver: str = "plain", standardize: bool = True, target_block: int = TARGET_BLOCK) -> DataFrame:
     """``(space_id, target_id, penalty, weights)``: each target's best penalty and the refit on all rows.
 
-    The search runs on z-scores within the splits. The refit is of z-scores too, where the solvers agree,
-    or with ``standardize`` off of the columns as they are, where ``ridge_sk`` has an intercept.
+    The search runs on z-scores within the splits; ``svd`` solves it by merged QR factors (:mod:`tsqr`),
+    the others from moments. The refit is of z-scores too, or with ``standardize`` off of the columns as
+    they are, where ``ridge_sk`` has an intercept.
     """
-    checked_solver(solver)
+    schema = "space_id int, target_id int, penalty double, weights array<double>"
+    if checked_solver(solver) == "svd" and standardize:
+
+        def refit(factors, grid):
+            w, best = tsqr.fit(factors, grid)
+            return [(t, float(grid[best[t]]), w[:, t].tolist()) for t in range(len(best))]
+
+        return _factored(design, dims, splits, penalties, target_block, schema, refit)
 
     def make(m, split, grid, shift):
         everything, columns = np.ones(len(split), bool), np.arange(m.p)
@@ -293,28 +329,34 @@ def cross_val_ridge(design: DataFrame, dims: Sequence[int], splits: int = 10, pe
                 w[:, best == value] = solve_raw(side, shift, columns, value, solver)[:, best == value]
         return [(t, float(best[t]), w[:, t].tolist()) for t in range(len(best))]
 
-    return _whole(design, dims, splits, penalties, target_block, "space_id int, target_id int, penalty double, weights array<double>", make)
+    return _whole(design, dims, splits, penalties, target_block, schema, make)
 
 
-def penalty_costs(design: DataFrame, dims: Sequence[int], splits: int = 10, penalties: Sequence[float] | None = None, target_block: int = TARGET_BLOCK) -> DataFrame:
+def penalty_costs(design: DataFrame, dims: Sequence[int], splits: int = 10, penalties: Sequence[float] | None = None, target_block: int = TARGET_BLOCK, solver: str = "plain") -> DataFrame:
     """``(space_id, target_id, i, penalty, cost)``: summed cost of every penalty of the grid (its position is i)."""
+    schema = "space_id int, target_id int, i int, penalty double, cost double"
+    listed = lambda cost, grid: [(t, i, float(value), float(cost[i, t])) for t in range(cost.shape[1]) for i, value in enumerate(grid)]
+    if checked_solver(solver) == "svd":
+        return _factored(design, dims, splits, penalties, target_block, schema, lambda factors, grid: listed(tsqr.costs(factors, grid), grid))
 
     def make(m, split, grid, shift):
         side = m.select(np.ones(len(split), bool))
-        cost = lambda_costs(m, np.ones(len(split), bool), split, splits, np.arange(m.p), ~side.alive[: m.p], ~side.y_alive, grid)
-        return [(t, i, float(value), float(cost[i, t])) for t in range(cost.shape[1]) for i, value in enumerate(grid)]
+        return listed(lambda_costs(m, np.ones(len(split), bool), split, splits, np.arange(m.p), ~side.alive[: m.p], ~side.y_alive, grid), grid)
 
-    return _whole(design, dims, splits, penalties, target_block, "space_id int, target_id int, i int, penalty double, cost double", make)
+    return _whole(design, dims, splits, penalties, target_block, schema, make)
 
 
-def ridge_path(design: DataFrame, dims: Sequence[int], penalties: Sequence[float] | None = None, target_block: int = TARGET_BLOCK) -> DataFrame:
+def ridge_path(design: DataFrame, dims: Sequence[int], penalties: Sequence[float] | None = None, target_block: int = TARGET_BLOCK, solver: str = "plain") -> DataFrame:
     """``(space_id, target_id, i, penalty, weights)``: z-scored ridge on all rows at every penalty of the grid."""
+    schema = "space_id int, target_id int, i int, penalty double, weights array<double>"
+    listed = lambda w, grid: [(t, i, float(value), w[i, :, t].tolist()) for t in range(w.shape[2]) for i, value in enumerate(grid)]
+    if checked_solver(solver) == "svd":
+        return _factored(design, dims, 1, penalties, target_block, schema, lambda factors, grid: listed(tsqr.Standard(factors[0]).weights(grid), grid))
 
     def make(m, split, grid, shift):
-        w = solve(m.select(np.ones(len(split), bool)), np.arange(m.p), grid)
-        return [(t, i, float(value), w[i, :, t].tolist()) for t in range(w.shape[2]) for i, value in enumerate(grid)]
+        return listed(solve(m.select(np.ones(len(split), bool)), np.arange(m.p), grid), grid)
 
-    return _whole(design, dims, 1, penalties, target_block, "space_id int, target_id int, i int, penalty double, weights array<double>", make)
+    return _whole(design, dims, 1, penalties, target_block, schema, make)
 
 
 def predictions(fitted: Fitted, train: bool = False) -> DataFrame:
