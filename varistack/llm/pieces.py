@@ -6,14 +6,13 @@ last token of the shorter prefix before it: if merging the two pieces' text anew
 An automaton yields the pieces that end at each place; the table keeps the one that fits, and the ids
 are read from it backwards. Time is linear in the text, of whatever kind it is.
 
-Where no piece spans the start of a run of spaces, no merge does either: texts are cut there, and a
-slice's distinct units are encoded once, all their tables together, place after place.
+Where no piece has two letters side by side, no merge brings them together either: texts are cut between
+such letters, and a slice's distinct units are encoded once, all their tables together, place after place.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 from itertools import chain
 
 import numpy as np
@@ -24,12 +23,16 @@ from pyspark.sql import functions as F
 from varistack.llm.common import map_text, table
 
 SPACE = "▁"
-#: Units that a worker keeps before it starts its cache anew; longer units are not kept. Pairs of tokens likewise.
-KEPT_UNITS, KEPT_LENGTH, KEPT_PAIRS = 400_000, 64, 2_000_000
+#: Units, their ids, and pairs of tokens that a worker keeps before it starts that cache anew.
+KEPT_UNITS, KEPT_IDS, KEPT_PAIRS = 600_000, 8_000_000, 2_000_000
+#: Letters beyond which a unit's table is filled by itself.
+LONG = 256
 
 
-def _raw(*ids: int) -> bytes:
-    return np.array(ids, "<i4").tobytes()
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices begin[i], ..., begin[i] + size[i] - 1 of every i in turn."""
+    end = np.cumsum(size)
+    return np.arange(int(size.sum())) + np.repeat(begin - (end - size), size)
 
 
 class PieceModel:
@@ -49,13 +52,19 @@ class PieceModel:
         pieces = [(p.id_to_piece(i), i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))]
         self.rank = {piece: -p.get_score(i) for piece, i in pieces}
         self.bytes = [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if not any(SPACE in piece.lstrip(SPACE) for piece, _ in pieces) else "(?s).+")
+        # kinds of letters by what stands beside them in pieces; 0: alone in any
+        joined = sorted({c for piece, _ in pieces if len(piece) > 1 for c in piece})
+        self.kinds, self.kind = len(joined) + 1, np.zeros(0x110000, np.int32)
+        self.kind[list(map(ord, joined))] = np.arange(1, self.kinds)
+        self.beside = np.zeros(self.kinds * self.kinds, bool)
+        for piece, _ in pieces:
+            own = self.kind[list(map(ord, piece))]
+            self.beside[own[:-1] * self.kinds + own[1:]] = True
         # a piece whose own text merges into other tokens never comes out of merging
         self.tokens = [piece for piece, _ in pieces if self.merged(piece) == [piece]]
         known = {piece for piece in self.tokens if len(piece) == 1}
         self.plain = len(self.tokens)
         self.tokens += sorted({c for piece, _ in pieces for c in piece} - known)  # letters that are no piece alone, but part of one
-        self.ids = [_raw(p.piece_to_id(t)) if i < self.plain else self._fallback(t) for i, t in enumerate(self.tokens)]
         self.numbers = np.array([p.piece_to_id(t) for t in self.tokens] + [0], "<i4")
         self.sizes = np.array([*map(len, self.tokens), 1])  # the last one is for letters that no piece has
         self.gap = next(c for c in "\x00\ufffe\uffff" if not any(c in piece for piece, _ in pieces))
@@ -68,13 +77,13 @@ class PieceModel:
                 self.letters[ord(token)] = at
         self.automaton.make_automaton()
         self.keys, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
-        self.units: dict[str, bytes] = {}
+        self.clear()
         for text in self.PROBES:
             if p.normalize(text) != self.normal(text) or self.encode(text) != p.encode(text):
                 raise ValueError("not a BPE model with byte fallback that keeps white space")
 
-    def _fallback(self, letter: str) -> bytes:
-        return _raw(*(self.bytes[b] for b in letter.encode()))
+    def _fallback(self, letter: str) -> list[int]:
+        return [self.bytes[b] for b in letter.encode()]
 
     def merged(self, text: str) -> list[str]:
         """The merges themselves, best piece first, leftmost of equals: for texts of one or two pieces."""
@@ -102,9 +111,18 @@ class PieceModel:
             place = np.searchsorted(self.keys, keys)
         return self.fits[place][at]
 
-    def encode_units(self, units: list[str]) -> list[bytes]:
-        """The ids of each unit: fills the tables of all of them from left to right, then reads the ids from their ends."""
+    def clear(self) -> None:
+        self.units: dict[str, int] = {}
+        self.ends, self.kept = np.zeros(1, np.int64), np.zeros(0, "<i4")
+
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The units' ids and where each unit's end: fills the tables of all of them from left to right, then reads the ids from their ends."""
         size = np.fromiter(map(len, units), np.int64, len(units))
+        if (size > LONG).any():
+            ids, ends = self.encode_units([u for u in units if len(u) <= LONG])
+            short = iter(np.split(ids, ends[:-1]))
+            parts = [next(short) if len(u) <= LONG else self.encode_long(u) for u in units]
+            return np.concatenate(parts), np.cumsum(list(map(len, parts)))
         first = np.cumsum(size + 1) - size - 1
         text = self.gap.join(units)
         single = self.letters[np.frombuffer(text.encode("utf-32-le"), "<u4")]
@@ -130,39 +148,79 @@ class PieceModel:
         tokens, rows = np.concatenate([*tokens[::-1], place]), np.concatenate([*rows[::-1], unit])
         order = np.argsort(rows, kind="stable")  # the rounds are in the order of the text already
         tokens, ends = tokens[order], np.cumsum(np.bincount(rows, minlength=len(units)))
-        odd = (tokens < 0) | (tokens >= self.plain)
-        odd = np.logical_or.reduceat(odd, ends - np.bincount(rows, minlength=len(units))) if len(units) else odd
-        raw = self.numbers[tokens].tobytes()
-        out = [raw[4 * a : 4 * b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
-        for i in np.flatnonzero(odd).tolist():  # letters that are spelt in bytes
-            at, parts = size[i], []
-            while at > 0:
-                t = int(last[first[i] + at - 1])
-                parts.append(self._fallback(units[i][at - 1]) if t < 0 else self.ids[t])
-                at -= self.sizes[t]
-            out[i] = b"".join(reversed(parts))
-        return out
+        sizes, ids = np.ones(len(tokens), np.int64), self.numbers[tokens]
+        odd = np.flatnonzero((tokens < 0) | (tokens >= self.plain))
+        if len(odd):  # letters that are spelt in bytes
+            begin = np.cumsum(self.sizes[tokens])  # of the tokens, in the units put side by side
+            letters = "".join(units)
+            spelt = [self._fallback(letters[i - 1]) for i in begin[odd].tolist()]
+            sizes[odd] = list(map(len, spelt))
+            at = np.cumsum(sizes) - sizes
+            wide = np.zeros(int(sizes.sum()), "<i4")
+            wide[np.delete(at, odd)] = np.delete(ids, odd)
+            wide[_spread(at[odd], sizes[odd])] = np.concatenate(spelt)
+            ids = wide
+        return ids, np.cumsum(sizes)[ends - 1] if len(units) else ends
+
+    def encode_long(self, unit: str) -> np.ndarray:
+        """:meth:`encode_units` of one unit of any length."""
+        ending: dict[int, list[int]] = {}
+        for end, token in self.automaton.iter(unit):
+            ending.setdefault(end, []).append(token)
+        single, size, last, known = self.letters[list(map(ord, unit))].tolist(), self.sizes.tolist(), [], {}
+
+        def fits(left: int, right: int) -> bool:
+            found = known.get((left, right))
+            if found is None:
+                found = known[left, right] = bool(self.compatible(np.array([left]), np.array([right]))[0])
+            return found
+
+        for end, letter in enumerate(single):
+            for token in (*ending.get(end, ()), letter):
+                left = last[end - size[token]] if size[token] <= end else -1
+                if token < 0 or left < 0 or fits(left, token):
+                    break
+            last.append(token)
+        tokens, end = [], len(unit) - 1
+        while end >= 0:
+            token = last[end]
+            tokens.append(self._fallback(unit[end]) if token < 0 or token >= self.plain else [self.numbers[token]])
+            end -= size[token]
+        return np.array([i for ids in reversed(tokens) for i in ids], "<i4")
 
     @staticmethod
     def normal(text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
-    def encode_bytes(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian int32."""
-        if len(self.units) > KEPT_UNITS:
-            self.units.clear()
-        cut = [self.cut.findall(self.normal(text)) for text in texts]
-        new = list(set().union(*cut) - self.units.keys())
-        known = dict(zip(new, self.encode_units(new)))
-        long = {u: ids for u, ids in known.items() if len(u) > KEPT_LENGTH}
-        self.units |= known
-        out = [b"".join(map(self.units.__getitem__, units)) for units in cut]
-        for u in long:
-            del self.units[u]
-        return out
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids one after another (int32), and where each text's end."""
+        if len(self.units) > KEPT_UNITS or len(self.kept) > KEPT_IDS:
+            self.clear()
+        texts = list(map(self.normal, texts))
+        ends, text = np.cumsum([0, *map(len, texts)]), "".join(texts)
+        if not text:
+            return np.zeros(0, "<i4"), np.zeros(len(texts), np.int64)
+        letters = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        kind = self.kind[letters]
+        cut = np.append(True, ~self.beside[kind[:-1] * self.kinds + kind[1:]])
+        cut[ends[ends < len(letters)]] = True
+        first = np.flatnonzero(cut)
+        at_byte = np.cumsum(1 + (letters > 0x7F) + (letters > 0x7FF) + (letters > 0xFFFF))
+        offsets = np.append(0, at_byte[np.append(first[1:], len(letters)) - 1])
+        units = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(text.encode())).dictionary_encode()
+        distinct, known = units.dictionary.to_pylist(), self.units
+        new = [u for u in distinct if u not in known]
+        if new:
+            ids, end = self.encode_units(new)
+            known |= zip(new, range(len(known), len(known) + len(new)))
+            self.ends, self.kept = np.append(self.ends, end + len(self.kept)), np.append(self.kept, ids)
+        row = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[units.indices.to_numpy()]
+        size = self.ends[row + 1] - self.ends[row]
+        total = np.append(0, np.cumsum(size))
+        return self.kept[_spread(self.ends[row], size)], total[np.searchsorted(first, ends[1:])]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes([text])[0], "<i4").tolist()
+        return self.encode_texts([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
@@ -189,10 +247,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = model(path)
-        raw = coder.encode_bytes([t or "" for t in batch.column(1).to_pylist()])
-        ends = np.cumsum([0, *map(len, raw)]) // 4
-        flat = pa.array(np.frombuffer(b"".join(raw), "<i4"))
-        return pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["id", "ids"])
+        ids, ends = coder.encode_texts([t or "" for t in batch.column(1).to_pylist()])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids))
+        return pa.record_batch([batch.column(0), lists], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
