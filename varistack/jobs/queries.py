@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from varistack.functions import expressions as E
 from varistack.jobs import report, sweep
-from varistack.operators import design, moments, stack, varpart
+from varistack.operators import concat, design, moments, stack, varpart
 from varistack.operators.qp import simplex_two
 from varistack.operators.ridge import SOLVERS
 from varistack.sources.tables import dense_index, read_chain, shared_folder, table, write_results
@@ -378,28 +378,41 @@ def simple_ridge(spark, sf_dir):
     return rounded(stack.space_scores(stack.fold_stats(part_design(spark, sf_dir), [1, 1], 4, method="simple_ridge"), 2), "target_id", "space_id")
 
 
-def concat_sql(folds: int) -> str:
-    """Ridge on two z-scored predictors side by side: the 2 x 2 system in closed form."""
+def concat_sql(folds: int, final: str, models: int = 1) -> str:
+    """Ridge on two z-scored predictors side by side, the 2 x 2 system in closed form; models 1 and 2 have one of them."""
     return f"""WITH b AS ({PART}), nn AS (SELECT count(*) AS n FROM b), f AS (SELECT *, least(t // (n // {folds}), {folds - 1}) AS fold, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS yg FROM b, nn),
     tr AS (SELECT k, t, x1, x2, y, ntile(5) OVER (PARTITION BY k ORDER BY t) - 1 AS c FROM f, range({folds}) o(k) WHERE fold <> k),
     s AS (SELECT k, q, count(*) FILTER (c <> q) AS n, corr(x1, y) FILTER (c <> q) AS r1, corr(x2, y) FILTER (c <> q) AS r2, corr(x1, x2) FILTER (c <> q) AS r12,
       corr(x1, y) FILTER (c = q) AS v1, corr(x2, y) FILTER (c = q) AS v2, corr(x1, x2) FILTER (c = q) AS v12 FROM tr, range(-1, 5) g(q) GROUP BY ALL),
     l AS (SELECT i, pow(10.0e0, i - 6) AS lam FROM range(16) g(i)),
-    w AS (SELECT *, ((n + lam) * n * r1 - n * r12 * n * r2) / ((n + lam) * (n + lam) - n * r12 * n * r12) AS w1, ((n + lam) * n * r2 - n * r12 * n * r1) / ((n + lam) * (n + lam) - n * r12 * n * r12) AS w2 FROM s, l),
-    cost AS (SELECT k, i, sum(1 - 2 * (w1 * v1 + w2 * v2) + w1 * w1 + w2 * w2 + 2 * w1 * w2 * v12) AS cost FROM w WHERE q >= 0 GROUP BY ALL),
-    best AS (SELECT * FROM cost QUALIFY row_number() OVER (PARTITION BY k ORDER BY cost, i) = 1),
-    p AS (SELECT yg, w1 * (x1 - avg(x1) OVER v) / stddev_pop(x1) OVER v + w2 * (x2 - avg(x2) OVER v) / stddev_pop(x2) OVER v AS pred
-      FROM f JOIN best ON best.k = f.fold JOIN w ON w.k = best.k AND w.i = best.i AND w.q = -1 WINDOW v AS (PARTITION BY fold))
-    SELECT 0::INT AS target_id, round(1 - avg(pow(yg - pred, 2)) / var_pop(yg), 6) + 0.0e0 AS concat_r2, round(corr(pred, yg), 6) + 0.0e0 AS concat_corr FROM p"""
+    w AS (SELECT *, CASE model WHEN 0 THEN ((n + lam) * n * r1 - n * r12 * n * r2) / ((n + lam) * (n + lam) - n * r12 * n * r12) WHEN 1 THEN n * r1 / (n + lam) ELSE 0 END AS w1,
+      CASE model WHEN 0 THEN ((n + lam) * n * r2 - n * r12 * n * r1) / ((n + lam) * (n + lam) - n * r12 * n * r12) WHEN 2 THEN n * r2 / (n + lam) ELSE 0 END AS w2 FROM s, l, range({models}) g(model)),
+    cost AS (SELECT k, model, i, sum(1 - 2 * (w1 * v1 + w2 * v2) + w1 * w1 + w2 * w2 + 2 * w1 * w2 * v12) AS cost FROM w WHERE q >= 0 GROUP BY ALL),
+    best AS (SELECT * FROM cost QUALIFY row_number() OVER (PARTITION BY k, model ORDER BY cost, i) = 1),
+    p AS (SELECT best.model, yg, w1 * (x1 - avg(x1) OVER v) / stddev_pop(x1) OVER v + w2 * (x2 - avg(x2) OVER v) / stddev_pop(x2) OVER v AS pred
+      FROM f JOIN best ON best.k = f.fold JOIN w ON w.k = best.k AND w.i = best.i AND w.q = -1 AND w.model = best.model WINDOW v AS (PARTITION BY best.model, fold))
+    {final}"""
 
 
-@query(concat_sql(4))
+@query(concat_sql(4, "SELECT 0::INT AS target_id, round(1 - avg(pow(yg - pred, 2)) / var_pop(yg), 6) + 0.0e0 AS concat_r2, round(corr(pred, yg), 6) + 0.0e0 AS concat_corr FROM p"))
 def concat_cv(spark, sf_dir):
     design = part_design(spark, sf_dir)
     by_corr = stack.concat_cv(design, [1, 1], 4, score_f=E.corr).withColumnRenamed("concat_r2", "concat_corr")
     return rounded(stack.concat_cv(design, [1, 1], 4).join(by_corr, "target_id"), "target_id")
 
 
+_CONCAT_CHAIN = """, r AS (SELECT model, 1 - avg(pow(yg - pred, 2)) / var_pop(yg) AS r2 FROM p GROUP BY model),
+    c AS (SELECT d AS direction, CASE WHEN model = 0 THEN 0 ELSE 1 END AS step, r2 FROM r, (VALUES ('forward', 1), ('backward', 2)) v(d, lost) WHERE model <> lost)
+    SELECT direction, step::INT AS step, round(r2, 6) + 0.0e0 AS r2, round(r2 - coalesce(lead(r2) OVER (PARTITION BY direction ORDER BY step), 0), 6) + 0.0e0 AS vp FROM c"""
+
+
+@query(concat_sql(4, _CONCAT_CHAIN, models=3))
+def concat_chain(spark, sf_dir):
+    """Both chains of the concatenated model, and what each step loses: the first is the concatenated leave-one-out."""
+    chains = concat.concat_chain(part_design(spark, sf_dir), [1, 1], 4)
+    return rounded(varpart.unique_variance(chains, "target_id", "direction").select("direction", "step", "r2", "vp"), "direction", "step")
+
+
 @query(nested_sql("SELECT o.k::INT AS outer_fold, (o.s - 1)::INT AS space_id, o.t, round(pred, 6) + 0.0e0 AS pred, round(yz - pred, 6) + 0.0e0 AS error FROM oof o"))
 def oof_predictions(spark, sf_dir):
     """Every train row's prediction by the inner fold that leaves it out, and its error."""
@@ -461,7 +474,8 @@ def stack_cv_embeddings(spark, sf_dir):
 
 @query()
 def concat_cv_embeddings(spark, sf_dir):
-    return rounded(stack.concat_cv(embedding_design(spark, sf_dir), DIMS, 4), "target_id")
+    whole = concat.concat_scores(embedding_design(spark, sf_dir), DIMS, 4, whole_only=True)
+    return rounded(whole.select("target_id", F.col("r2").alias("concat_r2")), "target_id")
 
 
 # ---------------------------------------------------------------- variance partitioning
