@@ -59,6 +59,7 @@ def test_small_caches(library, monkeypatch):
     monkeypatch.setattr(pieces, "KEPT_UNITS", 3)
     monkeypatch.setattr(pieces, "KEPT_PAIRS", 3)
     monkeypatch.setattr(pieces, "KEPT_IDS", 20)
+    monkeypatch.setattr(pieces, "CHUNK", 7)
     small = pieces.PieceModel(pieces.default_model())
     for text in ("one two three four five six", "seven one two eight", "nineteen ninety-nine"):
         assert small.encode(text) == library.encode(text)

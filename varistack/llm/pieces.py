@@ -13,6 +13,7 @@ such letters, and a slice's distinct units are encoded once, all their tables to
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,7 +25,9 @@ from varistack.llm.common import map_text, table
 
 SPACE = "▁"
 #: Units, their ids, and pairs of tokens that a worker keeps before it starts that cache anew.
-KEPT_UNITS, KEPT_IDS, KEPT_PAIRS = 600_000, 8_000_000, 2_000_000
+KEPT_UNITS, KEPT_IDS, KEPT_PAIRS = 300_000, 4_000_000, 1_000_000
+#: Letters that are cut into units at once.
+CHUNK = 1 << 20
 #: Letters beyond which a unit's table is filled by itself.
 LONG = 256
 
@@ -192,14 +195,34 @@ class PieceModel:
     def normal(text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
+    def _chunks(self, text: str) -> Iterator[str]:
+        """A text in parts of about ``CHUNK`` letters, cut where units are."""
+        at = 0
+        while at < len(text):
+            end = at + CHUNK
+            while end < len(text) and self.beside[self.kind[ord(text[end - 1])] * self.kinds + self.kind[ord(text[end])]]:
+                end += 1
+            yield text[at:end]
+            at = end
+
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids one after another (int32), and where each text's end."""
+        found, counts, rows, parts, held = [np.zeros(0, "<i4")], np.zeros(len(texts), np.int64), [], [], 0
+        for row, part in chain(((i, part) for i, text in enumerate(texts) for part in self._chunks(self.normal(text))), [(-1, "")]):
+            if parts and (row < 0 or held + len(part) > CHUNK):
+                ids, ends = self._encode(parts)
+                found.append(ids)
+                np.add.at(counts, rows, np.diff(ends, prepend=0))
+                rows, parts, held = [], [], 0
+            rows.append(row), parts.append(part)
+            held += len(part)
+        return np.concatenate(found), np.cumsum(counts)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`encode_texts` of parts that are not empty, at once."""
         if len(self.units) > KEPT_UNITS or len(self.kept) > KEPT_IDS:
             self.clear()
-        texts = list(map(self.normal, texts))
         ends, text = np.cumsum([0, *map(len, texts)]), "".join(texts)
-        if not text:
-            return np.zeros(0, "<i4"), np.zeros(len(texts), np.int64)
         letters = np.frombuffer(text.encode("utf-32-le"), "<u4")
         kind = self.kind[letters]
         cut = np.append(True, ~self.beside[kind[:-1] * self.kinds + kind[1:]])
