@@ -54,7 +54,7 @@ def test_odd_columns_as_the_stack_has_them(spark):
     y[:, 2] = 5.0
     y[:30, 1] = 1.0
     df = frame(spark, xs, y)
-    want = {r.target_id: r.concat_r2 for r in stack.concat_cv(df, [3, 4, 2], 4).collect()}
+    want = {r.target_id: r.stacked_r2 for r in stack.target_scores(stack.fold_stats(df, [9], 4), 1).collect()}
     got = {r.target_id: r.r2 for r in concat.concat_scores(df, [3, 4, 2], 4, whole_only=True).collect()}
     assert want.keys() == got.keys() and all(abs(got[t] - want[t]) < 1e-8 for t in want)
 

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 
-from varistack.operators import moments, qp, stack, varpart
+from varistack.operators import concat, moments, predict, qp, stack, varpart
 from varistack.operators.moments import Moments, first_bounds, last_bounds, segment_starts
 from varistack.operators.ridge import solve
 
@@ -57,7 +57,7 @@ def test_concat_is_one_wide_space(spark):
     xs, y = data(seed=2)
     wide = [np.concatenate(xs, axis=1)]
     each, *_ = oracle.stack_cv(wide, y, 4)
-    got = {r.target_id: r.concat_r2 for r in stack.concat_cv(frame(spark, xs, y), [3, 4, 2], 4).collect()}
+    got = {r.target_id: r.concat_r2 for r in concat.concat_cv(frame(spark, xs, y), [3, 4, 2], 4).collect()}
     assert all(abs(got[t] - each[0, t]) < 1e-6 for t in got)
 
 
@@ -127,9 +127,9 @@ def test_predictions_of_rows(spark, monkeypatch):
     xs, y = data(seed=6)
     xs[1][:, 1] = 4.0
     fitted = stack.fit_folds(frame(spark, xs, y), [3, 4, 2], 4, target_block=2)
-    monkeypatch.setattr(stack, "PASS_BYTES", 600)
-    test = {(r.t, r.space_id, r.target_id): (r.pred, r.real) for r in stack.long_predictions(fitted).collect()}
-    train = {(r.outer_fold, r.t, r.space_id, r.target_id): (r.pred, r.real) for r in stack.long_predictions(fitted, train=True).collect()}
+    monkeypatch.setattr(predict, "PASS_BYTES", 600)
+    test = {(r.t, r.space_id, r.target_id): (r.pred, r.real) for r in predict.long_predictions(fitted).collect()}
+    train = {(r.outer_fold, r.t, r.space_id, r.target_id): (r.pred, r.real) for r in predict.long_predictions(fitted, train=True).collect()}
     assert len(test) == 97 * 9 and len(train) == 3 * 97 * 9
     fold, real = oracle.last_folds(97, 4), oracle.z(y)
     for k in range(4):
@@ -140,7 +140,7 @@ def test_predictions_of_rows(spark, monkeypatch):
             assert np.allclose([[train[k, t, s, v] for v in range(3)] for t in tr.tolist()], np.stack([inner, ytr], -1), atol=1e-7)
             assert np.allclose([[test[t, s, v] for v in range(3)] for t in te.tolist()], np.stack([outer, real[te]], -1), atol=1e-7)
     scores = stack.space_scores(fitted.stats, 3).collect()
-    by_rows = {(r.space_id, r.target_id): r.score for r in stack.scored(fitted).collect()}
+    by_rows = {(r.space_id, r.target_id): r.score for r in predict.scored(fitted).collect()}
     assert all(abs(by_rows[r.space_id, r.target_id] - r.r2) < 1e-8 for r in scores)
     stacked = {r.target_id: r.stacked_r2 for r in stack.target_scores(fitted.stats, 3).collect()}
     assert all(abs(by_rows[None, t] - r) < 1e-8 for t, r in stacked.items())

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varistack.functions import expressions as E
+from varistack.functions.scores import Correlation
 from varistack.jobs import report, sweep
-from varistack.operators import concat, design, moments, stack, varpart
+from varistack.operators import concat, design, moments, predict, stack, varpart
 from varistack.operators.qp import simplex_two
 from varistack.operators.ridge import SOLVERS
 from varistack.sources.tables import dense_index, read_chain, shared_folder, table, write_results
@@ -397,8 +398,8 @@ def concat_sql(folds: int, final: str, models: int = 1) -> str:
 @query(concat_sql(4, "SELECT 0::INT AS target_id, round(1 - avg(pow(yg - pred, 2)) / var_pop(yg), 6) + 0.0e0 AS concat_r2, round(corr(pred, yg), 6) + 0.0e0 AS concat_corr FROM p"))
 def concat_cv(spark, sf_dir):
     design = part_design(spark, sf_dir)
-    by_corr = stack.concat_cv(design, [1, 1], 4, score_f=E.corr).withColumnRenamed("concat_r2", "concat_corr")
-    return rounded(stack.concat_cv(design, [1, 1], 4).join(by_corr, "target_id"), "target_id")
+    by_corr = concat.concat_cv(design, [1, 1], 4, score=Correlation()).withColumnRenamed("concat_r2", "concat_corr")
+    return rounded(concat.concat_cv(design, [1, 1], 4).join(by_corr, "target_id"), "target_id")
 
 
 _CONCAT_CHAIN = """, r AS (SELECT model, 1 - avg(pow(yg - pred, 2)) / var_pop(yg) AS r2 FROM p GROUP BY model),
@@ -416,7 +417,7 @@ def concat_chain(spark, sf_dir):
 @query(nested_sql("SELECT o.k::INT AS outer_fold, (o.s - 1)::INT AS space_id, o.t, round(pred, 6) + 0.0e0 AS pred, round(yz - pred, 6) + 0.0e0 AS error FROM oof o"))
 def oof_predictions(spark, sf_dir):
     """Every train row's prediction by the inner fold that leaves it out, and its error."""
-    rows = stack.long_predictions(stack.fit_folds(part_design(spark, sf_dir), [1, 1], 4), train=True)
+    rows = predict.long_predictions(stack.fit_folds(part_design(spark, sf_dir), [1, 1], 4), train=True)
     return rounded(rows.select("outer_fold", "space_id", "t", "pred", (F.col("real") - F.col("pred")).alias("error")), "outer_fold", "space_id", "t")
 
 
@@ -424,16 +425,19 @@ def oof_predictions(spark, sf_dir):
 def test_predictions(spark, sf_dir):
     """Every row's prediction while its fold is held out, per space and (null) stacked."""
     fitted = stack.fit_folds(part_design(spark, sf_dir), [1, 1], 4)
-    rows = stack.long_predictions(fitted).select("space_id", "t", "pred", "real")
-    both = rows.unionByName(stack.stacked_predictions(fitted).select(F.lit(None).cast("int").alias("space_id"), "t", "pred", "real"))
+    rows = predict.long_predictions(fitted).select("space_id", "t", "pred", "real")
+    both = rows.unionByName(predict.stacked_predictions(fitted).select(F.lit(None).cast("int").alias("space_id"), "t", "pred", "real"))
     return rounded(both, "space_id", "t")
 
 
-@query(nested_sql("SELECT (s - 1)::INT AS space_id, round(corr(pred, yg), 6) + 0.0e0 AS score, round(corr(sw * pred, yg), 6) + 0.0e0 AS score_weighted FROM pooled GROUP BY s UNION ALL SELECT NULL, round(corr(pred, yg), 6) + 0.0e0, round(corr(pred, yg), 6) + 0.0e0 FROM stacked"))
+@query(nested_sql("""SELECT (s - 1)::INT AS space_id, round(corr(pred, yg), 6) + 0.0e0 AS score, round(corr(sw * pred, yg), 6) + 0.0e0 AS score_weighted,
+      (SELECT round(avg(c), 6) + 0.0e0 FROM (SELECT corr(o.pred, o.yz) AS c FROM oof o WHERE o.s = pooled.s GROUP BY o.k)) AS score_train FROM pooled GROUP BY s
+    UNION ALL SELECT NULL, round(corr(pred, yg), 6) + 0.0e0, round(corr(pred, yg), 6) + 0.0e0,
+      (SELECT round(avg(c), 6) + 0.0e0 FROM (SELECT k, corr(pred, yz) AS c FROM (SELECT k, t, any_value(yz) AS yz, sum(pred * CASE WHEN s = 1 THEN w1 ELSE 1 - w1 END) AS pred FROM oof JOIN sw USING (k) GROUP BY k, t) GROUP BY k)) FROM stacked"""))
 def stack_cv_corr(spark, sf_dir):
-    """The stack's and its spaces' scores by another function: the correlation."""
+    """The stack's and its spaces' scores, of test and train rows, by another function: the correlation."""
     fitted = stack.fit_folds(part_design(spark, sf_dir), [1, 1], 4)
-    return rounded(stack.scored(fitted, E.corr).select("space_id", "score", "score_weighted"), "space_id")
+    return rounded(predict.scored(fitted, Correlation()).select("space_id", "score", "score_weighted", "score_train"), "space_id")
 
 
 @query(nested_sql("SELECT k::INT AS outer_fold, (s - 1)::INT AS space_id, round(var_pop(pred), 6) + 0.0e0 AS variance FROM oof GROUP BY k, s"))
@@ -474,8 +478,7 @@ def stack_cv_embeddings(spark, sf_dir):
 
 @query()
 def concat_cv_embeddings(spark, sf_dir):
-    whole = concat.concat_scores(embedding_design(spark, sf_dir), DIMS, 4, whole_only=True)
-    return rounded(whole.select("target_id", F.col("r2").alias("concat_r2")), "target_id")
+    return rounded(concat.concat_cv(embedding_design(spark, sf_dir), DIMS, 4), "target_id")
 
 
 # ---------------------------------------------------------------- variance partitioning

@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varistack.operators.moments import SCHEMA, Moments, Side, _merged, column_means, first_bounds, last_bounds, segment_moments, target_blocks, without
+from varistack.operators.predict import scored
 from varistack.operators.ridge import val_cost
-from varistack.operators.stack import SPLITS, TARGET_BLOCK, _table, checked_penalties, checked_size, space_columns
+from varistack.operators.stack import SPLITS, TARGET_BLOCK, _table, checked_penalties, checked_size, fit_folds, space_columns, target_scores
 from varistack.sources.tables import checkpointed
 
 DIRECTIONS = ("forward", "backward")
@@ -196,3 +197,13 @@ def concat_scores(design: DataFrame, dims: Sequence[int], n_folds: int = 5, dire
 def concat_chain(design: DataFrame, dims: Sequence[int], n_folds: int = 5, directions: Sequence[str] = DIRECTIONS, **options) -> DataFrame:
     """``(target_id, direction, step, r2)``: the concatenated model as spaces are removed from the front or the back."""
     return concat_scores(design, dims, n_folds, directions, **options)
+
+
+def concat_cv(design: DataFrame, dims: Sequence[int], n_folds: int = 5, method: str = "cross_val_ridge", score=None, **options) -> DataFrame:
+    """``(target_id, concat_r2)``: one ridge on all spaces side by side; by a mergeable ``score`` if given, or at one penalty (``simple_ridge``)."""
+    if score is None and method == "cross_val_ridge":
+        return concat_scores(design, dims, n_folds, whole_only=True, **options).select("target_id", F.col("r2").alias("concat_r2"))
+    fitted = fit_folds(design, [int(sum(dims))], n_folds, method, **options)
+    if score is not None:
+        return scored(fitted, score).where("space_id IS NOT NULL").select("target_id", F.col("score").alias("concat_r2"))
+    return target_scores(fitted.stats, 1).select("target_id", F.col("stacked_r2").alias("concat_r2"))
