@@ -68,6 +68,23 @@ def test_target_blocks_change_nothing(spark):
     assert np.allclose(whole, cut, atol=1e-9)
 
 
+@pytest.mark.parametrize("lanes", [1, 2, 8])
+def test_lanes_change_nothing(spark, monkeypatch, lanes):
+    """A task for a fold, or lanes of target blocks past shared eigenvectors: the same stats, penalties and weights."""
+    xs, y = data(v=5)
+    xs[1][:25, 2] = 1.5
+    df = frame(spark, xs, y)
+    want = stack.fit_folds(df, [3, 4, 2], 4)
+    monkeypatch.setattr(stack, "FOLD_BYTES", 0)
+    monkeypatch.setattr(stack, "LANES", lanes)
+    got = stack.fit_folds(df, [3, 4, 2], 4, target_block=2)
+    flat = lambda fitted: {r[:2]: np.hstack(r[2:]) for r in fitted.stats.collect()}
+    one, two = flat(want), flat(got)
+    assert one.keys() == two.keys() and all(np.allclose(one[k], two[k], atol=1e-9) for k in one)
+    listed = lambda fitted: sorted((r.outer_fold, r.space, r.block, tuple(r.penalty)) for r in fitted.fits.collect())
+    assert [x[3] for x in listed(want)] == [sum((x[3] for x in listed(got) if x[:2] == key), ()) for key in sorted({x[:2] for x in listed(got)})]
+
+
 def test_fit_predict_matches_rows(spark):
     xs, y = data(seed=3)
     x = xs[1]

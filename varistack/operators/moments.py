@@ -82,6 +82,8 @@ class Moments:
     low: np.ndarray
     high: np.ndarray
     p: int
+    #: Eigenvectors of predictors by segments and columns, shared by the target blocks of a space; None keeps none.
+    eigen: dict | None = None
 
     @classmethod
     def empty(cls, segments: int, p: int, v: int) -> Moments:
@@ -94,6 +96,14 @@ class Moments:
         with np.errstate(invalid="ignore", over="ignore"):
             return cls(np.array([len(z)]), z.sum(0)[None], (x.T @ x)[None], (x.T @ y)[None], (y * y).sum(0)[None], z.min(0)[None], z.max(0)[None], x.shape[1])
 
+    def beside(self, v: int) -> Moments:
+        """These predictors with ``v`` targets that are to be filled in; eigenvectors are kept from now on."""
+        if self.eigen is None:
+            self.eigen = {}
+        wide = lambda a, fill: np.concatenate([a[:, : self.p], np.full((len(a), v), fill)], axis=1)
+        xy, yy = np.zeros((len(self.n), self.p, v)), np.zeros((len(self.n), v))
+        return Moments(self.n, wide(self.s, 0.0), self.xx, xy, yy, wide(self.low, np.inf), wide(self.high, -np.inf), self.p, self.eigen)
+
     def add(self, other: Moments) -> None:
         with np.errstate(invalid="ignore", over="ignore"):
             for name in ("n", "s", "xx", "xy", "yy"):
@@ -127,6 +137,17 @@ class Side:
         xy_alive = np.outer(self.alive[:p], self.alive[p:])
         self.rxy = np.where(xy_alive, np.nan_to_num(xy / max(1, self.n) - np.outer(mean[:p], mean[p:])), 0.0) * np.outer(inverse[:p], inverse[p:])
         self.mean, self.sd, self.p = mean, sd, p
+        self._eigen, self._mask = m.eigen, mask.tobytes()
+
+    def eigen(self, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Eigenvalues and vectors of the columns' n times correlations."""
+        key = self._mask, columns.tobytes()
+        if self._eigen is not None and key in self._eigen:
+            return self._eigen[key]
+        found = np.linalg.eigh(self.n * self.rxx[np.ix_(columns, columns)])
+        if self._eigen is not None:
+            self._eigen[key] = found
+        return found
 
     @property
     def y_mean(self) -> np.ndarray:

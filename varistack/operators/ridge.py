@@ -15,8 +15,7 @@ def solve(side: Side, columns: np.ndarray, penalties: np.ndarray) -> np.ndarray:
 
     One eigendecomposition serves all penalties. Dead columns get weight 0.
     """
-    r = side.rxx[np.ix_(columns, columns)]
-    value, vector = np.linalg.eigh(side.n * r)
+    value, vector = side.eigen(columns)
     right = vector.T @ (side.n * side.rxy[columns])
     return np.stack([vector @ (right / (np.maximum(value, 0.0) + penalty)[:, None]) for penalty in penalties])
 

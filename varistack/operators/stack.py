@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ from varistack.sources.tables import checkpointed
 
 INNER_FOLDS, SPLITS = 5, 5
 TARGET_BLOCK = 4096
+#: Tasks that share the target blocks of an outer fold and space: each gets the predictors' moments once.
+LANES = 8
+#: Bytes of moments up to which a task fits all spaces of an outer fold.
+FOLD_BYTES = 64 << 20
 METHODS = ("cross_val_ridge", "simple_ridge")
 STATS = "outer_fold int, target_id int, n long, base double, alive boolean, train_alive boolean, p array<double>, c array<double>, q array<double>"
 #: A fitted (outer fold, space, target block): ``weights`` are (inner folds then final, column, target), ``frames``
@@ -160,12 +165,64 @@ def checked_penalties(penalties: Sequence[float] | None) -> np.ndarray:
     return grid
 
 
+def _fit_row(k: int, i: int, b: int, got: dict) -> pa.Table:
+    """A row of ``FITS``."""
+    names = [x.split(":")[0] for x in FITS.split("struct<")[1].rstrip(">").split(",")]
+    stats = pa.StructArray.from_arrays([pa.array(got[x]) for x in names], names)
+    columns = [pa.array([x], pa.int32()) for x in (k, i, b)] + [pa.array([got["n"]], pa.int64()), pa.array([got["penalty"].tolist()], pa.list_(pa.float64()))]
+    columns += [pa.array([got[x].astype(np.float64).tobytes()], pa.binary()) for x in ("weights", "frames", "targets")]
+    return pa.table([*columns, pa.ListArray.from_arrays(pa.array([0, len(stats)], pa.int32()), stats)], names=["outer_fold", "space", "block", "n", "penalty", "weights", "frames", "targets", "stats"])
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def _fill(m: Moments, rows: Iterator[tuple]) -> None:
+    """Take in a space's rows (their last columns are segment, kind and data), or a target block's beside it."""
+    p = m.p
+    for *_, seg, kind, data in rows:
+        values = np.frombuffer(data)
+        if kind in ("sx", "sy"):
+            at = slice(0, p) if kind == "sx" else slice(p, None)
+            n, m.s[seg, at], square, m.low[seg, at], m.high[seg, at] = values.reshape(5, -1)
+            m.n[seg] = n[0]
+            if kind == "sy":
+                m.yy[seg] = square
+        else:
+            part = getattr(m, kind)[seg]
+            part[:] = values.reshape(part.shape)
+
+
+def _whole_folds(moments: DataFrame, starts: np.ndarray, folds: list, n: int, origin: np.ndarray, spaces: list[np.ndarray], v: int, inner: int, splits: int, method: str, frame: str, grid: np.ndarray) -> tuple[DataFrame, DataFrame | None]:
+    """Fits and pairs of outer folds whose moments one task holds: a task has a fold."""
+    columns = dict(enumerate(spaces))
+
+    def run(key, batch):
+        k = key[0].as_py()
+        m, fold = from_rows(batch, len(starts), columns, v), Fold(starts, *folds[k], n, inner, splits)
+        fits, rows = [fit_space(m, fold, own, method, splits, frame, grid, origin) for own in spaces], []
+        for i, got in enumerate(fits):
+            both = [(j, *fit_pair(m, fold, spaces[i], spaces[j], got["weights"], fits[j]["weights"])) for j in range(i + 1, len(spaces))]
+            pairs = [{"j": j, "stats": [{"own": a, "q": b} for a, b in zip(own.tolist(), q.tolist())]} for j, own, q in both]
+            kind = pa.list_(pa.struct([("j", pa.int32()), ("stats", pa.list_(pa.struct([("own", pa.float64()), ("q", pa.float64())])))]))
+            rows.append(_fit_row(k, i, 0, got).append_column("pairs", pa.array([pairs], kind)))
+        return pa.concat_tables(rows)
+
+    tasks = moments.withColumn("outer_fold", F.explode(F.array(*[F.lit(k) for k in range(len(folds))])))
+    both = checkpointed(tasks.groupBy("outer_fold").applyInArrow(run, FITS + ", pairs array<struct<j:int,stats:array<struct<own:double,q:double>>>>"))
+    pairs = both.select("outer_fold", F.col("space").alias("i"), "block", F.explode("pairs").alias("pair")).select("outer_fold", "i", F.col("pair.j").alias("j"), "block", "pair.stats")
+    return both.drop("pairs"), pairs if len(spaces) > 1 else None
+
+
 def fit_folds(design: DataFrame, dims: Sequence[int], n_folds: int = 4, method: str = "cross_val_ridge", train_end: int | None = None, inner: int = INNER_FOLDS, splits: int = SPLITS, target_block: int = TARGET_BLOCK, penalties: Sequence[float] | None = None, solver: str = "plain") -> Fitted:
     """Fit every (outer fold, space) once. ``design`` has dense 0-based ``t``, and arrays ``x``, ``y``.
 
     With ``train_end`` there is one fold: rows before it train, the rest test, scored in their own frame.
-    The rows are read for the columns' means and once for the moments; a task then fits one (outer fold,
-    space, block of ``target_block`` targets), and another joins each pair of spaces.
+    The rows are read for the columns' means and once for the moments; a task then fits some blocks of
+    ``target_block`` targets of one (outer fold, space), whose predictors it gets and factors once, and another
+    joins each pair of spaces. Small outer folds take one task for all of that.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
@@ -181,25 +238,36 @@ def fit_folds(design: DataFrame, dims: Sequence[int], n_folds: int = 4, method:
     frame = "global" if outer is not None else "test"
     spaces, blocks = space_columns(dims), target_blocks(v, target_block)
     moments = segment_moments(design, starts, origin, spaces, v, target_block)
+    if len(blocks) == 1 and len(starts) * (p + 1) * (p + v) * 8 <= FOLD_BYTES:
+        fits, pairs = _whole_folds(moments, starts, folds, n, origin, spaces, v, inner, splits, method, frame, grid)
+        return Fitted(design, dims, folds, n, inner, target_block, fits, checkpointed(_stats(fits, pairs, f, target_block)))
     every = [F.array(*[F.lit(k) for k in range(m)]) for m in (len(folds), f, len(blocks))]
-
-    def one(key, batch):
-        k, i, b = (x.as_py() for x in key)
-        own, target = spaces[i], blocks[b]
-        m = from_rows(batch, len(starts), {i: np.arange(len(own))}, target.stop - target.start)
-        shift = np.concatenate([origin[own], origin[p + target.start : p + target.stop]])
-        got = fit_space(m, Fold(starts, *folds[k], n, inner, splits), np.arange(len(own)), method, splits, frame, grid, shift)
-        names = [x.split(":")[0] for x in FITS.split("struct<")[1].rstrip(">").split(",")]
-        stats = pa.StructArray.from_arrays([pa.array(got[x]) for x in names], names)
-        row = {"outer_fold": k, "space": i, "block": b, "n": got["n"]}
-        columns = [pa.array([x], pa.int32()) for x in list(row.values())[:3]] + [pa.array([got["n"]], pa.int64()), pa.array([got["penalty"].tolist()], pa.list_(pa.float64()))]
-        columns += [pa.array([got[x].astype(np.float64).tobytes()], pa.binary()) for x in ("weights", "frames", "targets")]
-        return pa.table([*columns, pa.ListArray.from_arrays(pa.array([0, len(stats)], pa.int32()), stats)], names=["outer_fold", "space", "block", "n", "penalty", "weights", "frames", "targets", "stats"])
+    lanes = min(len(blocks), LANES)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Target blocks one after another, past the predictors' moments and eigenvectors of their fold and space."""
+        for (k, i, _), groups in groupby(_ordered(batches), lambda row: row[:3]):
+            own, fold, x = spaces[i], Fold(starts, *folds[k], n, inner, splits), None
+            for b, rows in groupby(groups, lambda row: row[3]):
+                if b < 0:
+                    x = Moments.empty(len(starts), len(own), 0)
+                    _fill(x, rows)
+                    continue
+                target = blocks[b]
+                m = x.beside(target.stop - target.start)
+                _fill(m, rows)
+                shift = np.concatenate([origin[own], origin[p + target.start : p + target.stop]])
+                got = fit_space(m, fold, np.arange(len(own)), method, splits, frame, grid, shift)
+                yield _fit_row(k, i, b, got).to_batches()[0]
 
     wanted = moments.where("kind <> 'xx' OR i = j")
     tasks = wanted.withColumn("outer_fold", F.explode(every[0])).withColumn("space", F.explode(F.when(F.col("kind") == "sy", every[1]).otherwise(F.array("i"))))
-    tasks = tasks.withColumn("block", F.explode(F.when(F.col("kind").isin("sy", "xy"), F.array("j")).otherwise(every[2])))
-    fits = checkpointed(tasks.groupBy("outer_fold", "space", "block").applyInArrow(one, FITS))
+    of_block = F.col("kind").isin("sy", "xy")
+    tasks = tasks.withColumn("lane", F.explode(F.when(of_block, F.array(F.col("j") % lanes)).otherwise(F.array(*[F.lit(x) for x in range(lanes)]))))
+    tasks = tasks.withColumn("block", F.when(of_block, F.col("j")).otherwise(-1))
+    keys = ("outer_fold", "space", "lane")
+    tasks = tasks.select(*keys, "block", "seg", "kind", "data").repartition(len(folds) * f * lanes, *keys).sortWithinPartitions(*keys, "block")
+    fits = checkpointed(tasks.mapInArrow(one, FITS))
 
     def two(key, left, right):
         k, i, j, b = (x.as_py() for x in key)
