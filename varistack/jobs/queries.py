@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varistack.functions import expressions as E
+from varistack.functions import sql
 from varistack.functions.scores import Correlation
 from varistack.jobs import report, sweep
 from varistack.operators import concat, design, moments, predict, stack, varpart
 from varistack.operators.qp import simplex_two
 from varistack.operators.ridge import SOLVERS
+from varistack.sources import npy
 from varistack.sources.tables import dense_index, read_chain, shared_folder, table, write_results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -568,6 +571,19 @@ def chain_shards(spark, sf_dir):
     return rounded(named.select("direction", "step", "shard", "r2"), "direction", "step", "shard")
 
 
+@query(_chain_sql("backward") + """ SELECT 'backward' AS direction, step, (substr(p_brand, 7)::INT % 5)::INT AS shard, row_number() OVER (PARTITION BY step, substr(p_brand, 7)::INT % 5 ORDER BY substr(p_brand, 7)::INT) - 1 AS row,
+    round(r2, 6) + 0.0e0 AS r2 FROM ch WHERE step IN (1, 4)""")
+def chain_npy(spark, sf_dir):
+    """Chains written as NumPy's files, by direction, step and shard (brands by their number), and two steps of them read back."""
+    folder = f"{shared_folder(spark)}/chain-npy-{uuid.uuid4().hex}"
+    brand = F.substring("p_brand", 7, 9).cast("int")
+    at = F.row_number().over(Window.partitionBy("direction", "step", "shard").orderBy(brand)) - 1  # some brands a shard
+    rows = reduce(DataFrame.unionByName, [_chains(spark, sf_dir, d).select(F.lit(d).alias("direction"), "p_brand", "step", (brand % 5).alias("shard"), "r2") for d in ("forward", "backward")])
+    rows = rows.withColumn("row", at)
+    npy.write_chain(rows, folder)
+    return rounded(npy.read_chain(spark, folder).where("direction = 'backward' AND step IN (1, 4)"), "direction", "step", "shard", "row")
+
+
 @query(nested_sql("SELECT 0::INT AS target_id, round((SELECT 1 - avg(pow(yg - pred, 2)) / var_pop(yg) FROM stacked) - (SELECT 1 - avg(pow(yg - pred, 2)) / var_pop(yg) FROM pooled WHERE s = 2), 6) + 0.0e0 AS varpar"))
 def leave_first_out(spark, sf_dir):
     chain = varpart.chain(stack.fold_stats(part_design(spark, sf_dir), [1, 1], 4), 2)
@@ -608,6 +624,45 @@ def five_number(spark, sf_dir):
     return rounded(report.five_number(table(spark, sf_dir, "events").select("event_type", "value"), "value", "event_type"), "event_type")
 
 
+# ---------------------------------------------------------------- SQL text
+
+
+def _in_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A statement in which ``{name}`` stands for the table."""
+    sql.register(spark)
+    return spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", text))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM part) SELECT 'last' AS rule, f AS fold, f * (n // 7) AS start, CASE WHEN f = 6 THEN n ELSE (f + 1) * (n // 7) END AS stop FROM n, range(7) g(f)
+    UNION ALL SELECT 'first', f, f * (n // 7) + least(f, n % 7), (f + 1) * (n // 7) + least(f + 1, n % 7) FROM n, range(7) g(f)""")
+def sql_fold_bounds(spark, sf_dir):
+    return _in_sql(spark, sf_dir, """WITH n AS (SELECT count(*) AS n FROM {part})
+        SELECT 'last' AS rule, b.* FROM n, LATERAL fold_bounds(n.n, 7L) b UNION ALL SELECT 'first', b.* FROM n, LATERAL fold_bounds_ntile(n.n, 7L) b""")
+
+
+_TWO_ERRORS = "SELECT l_shipmode, avg(a * a) AS aa, avg(a * b) AS ab, avg(b * b) AS bb FROM (SELECT l_returnflag || l_linestatus AS l_shipmode, l_discount - 0.02e0 * l_linenumber AS a, l_tax - 0.001e0 * l_quantity AS b FROM {}) GROUP BY l_shipmode"
+
+
+@query(f"""WITH p AS ({_TWO_ERRORS.format("lineitem")}), w AS (SELECT l_shipmode, aa, greatest(0e0, least(1e0, (bb - ab) / (aa + bb - 2 * ab))) AS w FROM p) SELECT l_shipmode, round(w, 6) + 0.0e0 AS w1, round(1 - w, 6) + 0.0e0 AS w2 FROM w""")
+def sql_simplex_weights(spark, sf_dir):
+    text = f"WITH p AS ({_TWO_ERRORS.format('{lineitem}')}), w AS (SELECT l_shipmode, simplex_weights(array(aa, ab, ab, bb)) AS w FROM p) SELECT l_shipmode, round(w[0], 6) + 0.0D AS w1, round(w[1], 6) + 0.0D AS w2 FROM w"
+    return _in_sql(spark, sf_dir, text.replace("e0", "D"))
+
+
+@query("SELECT l_returnflag, round(1 - avg(pow(l_extendedprice - 1500 * l_quantity, 2)) / var_pop(l_extendedprice), 6) + 0.0e0 AS r2 FROM lineitem GROUP BY l_returnflag")
+def sql_r2(spark, sf_dir):
+    return _in_sql(spark, sf_dir, "SELECT l_returnflag, round(r2, 6) + 0.0D AS r2 FROM (SELECT l_returnflag, r2(avg(pow(l_extendedprice - 1500 * l_quantity, 2)), var_pop(l_extendedprice)) AS r2 FROM {lineitem} GROUP BY l_returnflag)")
+
+
+@query(_VERDICTS + " SELECT l_returnflag, l_linestatus, l_linenumber, round(abs(p), 6) + 0.0e0 AS p FROM v")
+def sql_t_pvalue(spark, sf_dir):
+    return _in_sql(spark, sf_dir, """WITH s AS (SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))) AS t FROM {lineitem} GROUP BY ALL)
+        SELECT l_returnflag, l_linestatus, l_linenumber, round(t_pvalue(t, CAST(n - 1 AS DOUBLE)), 6) + 0.0D AS p FROM s WHERE n > 1""")
+
+
+# ---------------------------------------------------------------- more reports
+
+
 @query("""SELECT l_orderkey, l_partkey, method, r2 FROM (SELECT l_orderkey, l_partkey, l_discount AS stacked, l_tax AS concat FROM lineitem) UNPIVOT (r2 FOR method IN (stacked, concat))""")
 def tidy_methods(spark, sf_dir):
     wide = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_discount").alias("stacked"), F.col("l_tax").alias("concat"))
