@@ -61,6 +61,29 @@ def test_paths_decide_on_neutral_hosts(spark):
     assert [got[i] for i in range(4)] == ["block", "allow", "block", "allow"]
 
 
+def test_hosts_of_words_that_are_not_listed_together(spark):
+    """Hosts that are no row of the table, of words that are in it beside others."""
+    blocked = ["gambling-jackpot.net", "malware-download.com", "phishing-login.net", "escort-girls.com"]
+    allowed = ["history-museum.org", "county-library.gov", "physics-research.edu", "weather-schedule.org"]
+    known = {url.split("/")[2] for url, _ in u.labelled_urls()}
+    assert not known & {*blocked, *allowed}
+    got = {r.host: r.verdict for r in judged(spark, [(i, f"https://{h}/", None) for i, h in enumerate(blocked + allowed)]).collect()}
+    assert [got[h] for h in blocked] == ["block"] * 4 and [got[h] for h in allowed] == ["allow"] * 4
+
+
+def test_query_keeps_every_page(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url").collect()
+    got = u.op6_url_filter(spark, "/root/testdata/sf0.001")
+    assert dict(got.dtypes)["page_id"] == "bigint" and {"host", "path", "rule", "verdict"} <= set(got.columns)
+    rows = {r.page_id: r for r in got.collect()}
+    assert rows.keys() == {p.page_id for p in pages}
+    for page_id, url in pages:
+        host, path, rule = parse(url)
+        r = rows[page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule.name if rule else None) and r.verdict in ("allow", "block")
+        assert rule is None or r.verdict == rule.action
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     seeds = spark.createDataFrame(u.labelled_urls(), "url string, blocked int")
