@@ -97,3 +97,10 @@ def test_odd_rows(spark, odd, none):
     assert remove_repeats(none, digest=True).count() == 0
     with pytest.raises(ValueError):
         remove_repeats(odd, threshold=8)
+
+
+def test_keys_that_do_not_fit():
+    assert suffix_dedup.key_shift(10, 1) == 0 and suffix_dedup.key_shift(10, 2) == 1 and suffix_dedup.key_shift(1 << 40, 1 << 23) == 23
+    assert suffix_dedup.key_shift(3 << 24, (1 << 24) + 1) == 25
+    with pytest.raises(ValueError, match="do not fit"):
+        suffix_dedup.key_shift(1 << 34, 1 << 33)

@@ -43,8 +43,8 @@ GROUP_BYTES = 8 << 20
 #: Text that is named at once; a longer document is taken alone.
 CHUNK_BYTES = 2 << 20
 LAST = np.iinfo(np.int64).max
-#: Bits of a row's key for its place among the rows of one id, where ids repeat.
-KEY_SHIFT = 24
+#: Bits of a row's key, less its sign.
+KEY_BITS = 63
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _BYTE_NAMES = (np.arange(1, 257, dtype=np.uint64) * _A) ^ (np.arange(1, 257, dtype=np.uint64) * _B >> np.uint64(31))
@@ -368,13 +368,22 @@ def _digest(func):
     return run
 
 
+def key_shift(rows: int, most: int) -> int:
+    """Bits for the places of at most ``most`` rows of one id, below the position of an id's first row."""
+    shift = (most - 1).bit_length()
+    if (rows - 1).bit_length() + shift > KEY_BITS:
+        raise ValueError(f"{rows} rows of which {most} share an id do not fit a key")
+    return shift
+
+
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, prefix: int = PREFIX, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """Cut every byte covered by a ``threshold``-byte string that also starts in a document with a smaller id.
 
     Returns ``(doc_id, n_bytes, n_removed, spans, kept)`` per row, with the removed byte spans and the
     kept bytes, or with ``digest`` ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``. Strings are
     judged on the input. A null text is empty. A null id counts as larger than any. Rows that repeat
-    an id (or have none) each have their row, are judged apart and never remove from each other.
+    an id (or have none) each have their row, are judged apart and never remove from each other. Where
+    the table's rows and those of one id take more than 63 bits together, it raises.
     """
     if threshold < max(prefix, 16):
         raise ValueError("the threshold must be at least the prefix and 16 bytes")
@@ -384,9 +393,10 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, prefix: int = PR
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
     )
     shift = 0
-    if base.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+    rows, most = base.groupBy("doc").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    if (most or 0) > 1:
         # keys: the position of an id's first row, then that of the row among those of its id
-        shift, numbered = KEY_SHIFT, dense_index(base, "doc")
+        shift, numbered = key_shift(rows, most), dense_index(base, "doc")
         firsts = numbered.groupBy("doc").agg(F.min("t").alias("t0"))
         key = F.shiftleft("t0", shift).bitwiseOR(F.col("t") - F.col("t0"))
         base = checkpoint(numbered.join(firsts, "doc").select("doc_id", key.alias("doc"), "text"))
