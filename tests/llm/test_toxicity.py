@@ -56,3 +56,32 @@ def test_odd_rows(spark, odd, none):
     assert toxicity.score(none, model).count() == 0
     empty = toxicity.train(none, labels)
     assert all(r.score < 0.3 for r in toxicity.score(odd, empty).collect())
+
+
+def test_query_follows_its_contract(spark):
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in toxicity.op3_toxicity(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert got.keys() == {d.doc_id for d in docs}
+    for r in got.values():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1
+    # a score is a function of the text alone: copies agree, and whoever reads the table anew gets the same
+    by_text = {}
+    for d in docs:
+        assert by_text.setdefault(d.text or "", got[d.doc_id].score) == got[d.doc_id].score
+
+
+def test_sample_does_not_hang_on_partitions(spark):
+    docs, labels = tables(spark, 60)
+    twice = docs.union(docs.selectExpr("doc_id", "concat(text, ' again') AS text")).union(docs.selectExpr("doc_id", "concat(text, ' and again') AS text"))
+    one, two = (toxicity.train(d, labels, max_rows=40) for d in (twice.repartition(1), twice.repartition(7)))
+    assert np.array_equal(one["weights"], two["weights"]) and one["bias"] == two["bias"]
+
+
+def test_neutral_mentions_of_groups(spark):
+    """Neutral texts that the fit has not seen: naming a group makes none of them toxic."""
+    model = toxicity.train(*tables(spark))
+    named = [text(7000 + i, False, group) for i in range(12) for group in ("muslim", "christian", "hindu")]
+    assert (scores(spark, model, named) >= 0.3).mean() == 0.0

@@ -121,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "y").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id").select("text", "y").limit(2 * max_rows)  # ids that repeat must not lift the bound
+    # ids that repeat must not lift the bound; which of their rows are taken does not hang on the partitions
+    sample = texts.join(F.broadcast(chosen), "id").select("text", "y").orderBy(F.xxhash64("text"), "y").limit(2 * max_rows)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got_texts, got_labels = [], []
