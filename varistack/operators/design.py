@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varistack.sources.tables import shared_folder
+from varistack.sources.tables import remove_folder, shared_folder
 
 
 def bucketed(df: DataFrame, buckets: int, key: str = "t", name: str | None = None) -> DataFrame:
@@ -30,11 +30,9 @@ def bucketed(df: DataFrame, buckets: int, key: str = "t", name: str | None = Non
 
 def drop(spark: SparkSession, *names: str) -> None:
     """Remove tables of :func:`bucketed` from the catalog, and their files."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for name in names:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        path = hadoop(f"{shared_folder(spark)}/{name}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(spark, f"{shared_folder(spark)}/{name}")
 
 
 def _numbers(column: str):

@@ -72,6 +72,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it, on whatever file system it is; one that is not there stays so."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def dense_index(df: DataFrame, *order: str, name: str = "t") -> DataFrame:
     """Add a dense 0-based position in the total order of ``order``, without a single-partition sort.
 
