@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import corpus_pipeline
 from varistack.llm import decontaminate, langid, packing, secrets, simhash
 
@@ -45,3 +47,23 @@ def test_empty_tables(spark, none, tmp_path):
     none.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, odd, tmp_path):
+    """Nulls, repeated rows and ids, a very long text, extra columns named like the operators' own."""
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, f"{prose(777, 25)}. {prose(778, 10)}."), (2, None), (1, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now, kept = odd, []
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        now.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        kept.append(sorted(str(r.doc_id) for r in now.collect()))
+        if name != "best_fit_packing":
+            assert now.columns == odd.columns
+    assert kept[0] == ["1", "2", "2", "5", "7", "None"]
+    assert kept[1] == kept[2] == kept[3] == ["1", "5", "7"]
+    assert set(kept[4]) == {"1", "5", "7"} and kept[4].count("5") > 1
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == kept[4]
+    left = [p.name for p in Path(spark.conf.get("spark.checkpoint.dir")).glob("pipeline-*/*")]
+    assert "language_id" not in left and "secret_scan" in left
