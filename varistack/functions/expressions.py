@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LARGEST = 1.7976931348623157e308
@@ -28,17 +28,9 @@ def nan_to_num(x: Column) -> Column:
     return F.when(F.isnan(x), 0.0).when(x == float("inf"), LARGEST).when(x == float("-inf"), -LARGEST).otherwise(x)
 
 
-def zscore(x: Column, window: WindowSpec, clean: bool = True) -> Column:
-    """Population z-score over a window. A column that is constant or holds a NaN or an infinity there
-    becomes 0 (``clean``) or NaN."""
-    x = x.cast("double")
-    mean, sd = F.avg(x).over(window), F.stddev_pop(x).over(window)
-    usable = (F.min(x).over(window) < F.max(x).over(window)) & ~F.isnan(sd) & (sd > 0)
-    return F.when(usable, (x - mean) / F.when(sd > 0, sd)).otherwise(0.0 if clean else NAN)
-
-
 def group_zscore(df: DataFrame, column: str, keys: Sequence[str], name: str = "z", clean: bool = True) -> DataFrame:
-    """Add the z-score of a column within its group, with the results of :func:`zscore`.
+    """Add the population z-score of a column within its group. A column that is constant or holds a NaN or
+    an infinity there becomes 0 (``clean``) or NaN.
 
     A row of statistics per group is joined back, so that no group is gathered in one task.
     """
@@ -49,10 +41,6 @@ def group_zscore(df: DataFrame, column: str, keys: Sequence[str], name: str = "z
     return df.join(stats, list(keys)).withColumn(name, z).drop("__mean", "__sd", "__varies")
 
 
-def everywhere() -> WindowSpec:
-    return Window.partitionBy(F.lit(0))
-
-
 def r2_of(ss_mean: Column, variance: Column) -> Column:
     """1 - ss / var; with no variance 0 for a perfect prediction, else the lowest double; NaN becomes 0."""
     ratio = ss_mean / F.when(variance != 0, variance)
@@ -76,10 +64,6 @@ def corr(x: Column, y: Column) -> Column:
     return F.when(usable, covariance / F.when(usable, F.stddev_pop(x) * F.stddev_pop(y))).otherwise(NAN)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def register(spark: SparkSession) -> None:
     """Make the scalar expressions callable from SQL as temporary functions."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION r2_root(v DOUBLE) RETURNS DOUBLE RETURN signum(v) * sqrt(abs(v))")

@@ -600,13 +600,17 @@ def paired_t(spark, sf_dir):
 
 
 #: Student's t by Simpson's rule over the density.
-_VERDICTS = """WITH s AS (SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, avg(l_discount - l_tax) AS m, avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))) AS t FROM lineitem GROUP BY ALL),
+def verdict_sql(keys: str, difference: str) -> str:
+    return f"""WITH s AS (SELECT {keys}, count(*) AS n, avg({difference}) AS m, avg({difference}) / (stddev_samp({difference}) / sqrt(count(*))) AS t FROM lineitem GROUP BY ALL),
 d AS (SELECT *, n - 1 AS df, least(abs(t), 40e0) / 2000 AS h FROM s WHERE n > 1),
-a AS (SELECT l_returnflag, l_linestatus, l_linenumber, n, m, t, 1 - 2 * exp(lgamma((df + 1) / 2e0) - lgamma(df / 2e0)) / sqrt(df * pi()) * sum(h / 3 * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + h * i * h * i / df, -(df + 1) / 2e0)) AS p
-  FROM d, range(2001) g(i) GROUP BY l_returnflag, l_linestatus, l_linenumber, n, m, t, df),
+a AS (SELECT {keys}, n, m, t, 1 - 2 * exp(lgamma((df + 1) / 2e0) - lgamma(df / 2e0)) / sqrt(df * pi()) * sum(h / 3 * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + h * i * h * i / df, -(df + 1) / 2e0)) AS p
+  FROM d, range(2001) g(i) GROUP BY {keys}, n, m, t, df),
 v AS (SELECT *, CASE WHEN p >= 0.0025e0 THEN NULL WHEN t > 0 THEN 'second' ELSE 'first' END AS verdict FROM a)"""
 
 
+_VERDICTS = verdict_sql("l_returnflag, l_linestatus, l_linenumber", "l_discount - l_tax")
+
+
 def _verdicts(spark, sf_dir) -> DataFrame:
     tests = report.paired_t(table(spark, sf_dir, "lineitem"), "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_linenumber")
     return report.with_verdict(tests.where("n > 1"))
@@ -690,6 +694,33 @@ def absolute_error(spark, sf_dir):
     return rounded(found.select("l_orderkey", "l_linenumber", "l_discount", "l_tax"), "l_orderkey", "l_linenumber")
 
 
+def _report(spark, sf_dir) -> dict[str, DataFrame]:
+    """The one-factor report with the line number as the setting, two estimates, and a truth planted in the quantity."""
+    results = table(spark, sf_dir, "lineitem").withColumn("truth", F.col("l_quantity") / 500)
+    return report.simulation_report(results, "l_linenumber", "l_discount", "l_tax", "truth", ("l_quantity", "l_discount"))
+
+
+@query(verdict_sql("l_linenumber", "abs(l_discount - l_quantity / 500) - abs(l_tax - l_quantity / 500)") + " SELECT l_linenumber, n, round(m, 6) + 0.0e0 AS mean_diff, round(t, 6) + 0.0e0 AS t, round(abs(p), 6) + 0.0e0 AS p, verdict FROM v")
+def report_tests(spark, sf_dir):
+    """Paired tests of two estimates' errors per setting."""
+    return rounded(_report(spark, sf_dir)["tests"], "l_linenumber", "n", "verdict")
+
+
+@query("""WITH e AS (SELECT l_linenumber, method, error FROM (SELECT l_linenumber, abs(l_discount - l_quantity / 500) AS l_discount, abs(l_tax - l_quantity / 500) AS l_tax FROM lineitem) UNPIVOT (error FOR method IN (l_discount, l_tax))),
+q AS (SELECT l_linenumber, method, quantile_cont(error, 0.25) AS q1, quantile_cont(error, 0.5) AS median, quantile_cont(error, 0.75) AS q3 FROM e GROUP BY ALL)
+SELECT l_linenumber, method, round(q1, 6) + 0.0e0 AS q1, round(median, 6) + 0.0e0 AS median, round(q3, 6) + 0.0e0 AS q3, round(min(error), 6) + 0.0e0 AS low, round(max(error), 6) + 0.0e0 AS high
+FROM e JOIN q USING (l_linenumber, method) WHERE error BETWEEN q1 - 1.5e0 * (q3 - q1) AND q3 + 1.5e0 * (q3 - q1) GROUP BY ALL""")
+def report_boxes(spark, sf_dir):
+    """Five numbers of each estimate's errors per setting."""
+    return rounded(_report(spark, sf_dir)["boxes"], "l_linenumber", "method")
+
+
+@query("SELECT l_linenumber, method, r2 FROM (SELECT l_linenumber, l_quantity, l_discount FROM lineitem) UNPIVOT (r2 FOR method IN (l_quantity, l_discount))")
+def report_scores(spark, sf_dir):
+    """The methods' values of all runs as a tidy frame."""
+    return _report(spark, sf_dir)["scores"]
+
+
 @query("""SELECT l_returnflag, l_linestatus, l_linenumber::VARCHAR AS l_linenumber, round(avg(l_discount - l_tax), 6) + 0.0e0 AS diff FROM lineitem
 GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag, l_linenumber), (l_linestatus, l_linenumber))""")
 def error_by_param_pair(spark, sf_dir):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varistack.functions.expressions import NAN
-from varistack.sources.tables import checkpointed
+from varistack.sources.tables import checkpointed, dense_index
 
 SIGNIFICANT = 0.05 / 20
 
@@ -110,7 +110,7 @@ def tidy(df: DataFrame, keys: Sequence[str], methods: Sequence[str], value: str
 
 def setting_rank(df: DataFrame, setting: str) -> DataFrame:
     """Distinct setting values with their 0-based rank."""
-    return df.select(setting).distinct().withColumn("setting_id", (F.row_number().over(Window.orderBy(setting)) - 1).cast("long"))  # settings are few
+    return dense_index(df.select(setting).distinct(), setting, name="setting_id")
 
 
 def by_parameter(df: DataFrame, params: Sequence[str], aggregates: Sequence[Column], size: int = 1) -> DataFrame:
