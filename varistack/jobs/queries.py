@@ -348,13 +348,12 @@ _THREE = """, m AS (SELECT k, max(p) FILTER (i = 1 AND j = 1) AS a, max(p) FILTE
     each AS (SELECT k, a, b, c, ab, ac, bc, unnest([
       {'w1': 1e0, 'w2': 0e0, 'w3': 0e0}, {'w1': 0e0, 'w2': 1e0, 'w3': 0e0}, {'w1': 0e0, 'w2': 0e0, 'w3': 1e0},
       {'w1': (b - ab) / (a + b - 2 * ab), 'w2': (a - ab) / (a + b - 2 * ab), 'w3': 0e0}, {'w1': (c - ac) / (a + c - 2 * ac), 'w2': 0e0, 'w3': (a - ac) / (a + c - 2 * ac)},
-      {'w1': 0e0, 'w2': (c - bc) / (b + c - 2 * bc), 'w3': (b - bc) / (b + c - 2 * bc)}, {'w1': u1 / (u1 + u2 + u3), 'w2': u2 / (u1 + u2 + u3), 'w3': u3 / (u1 + u2 + u3)}]) AS w FROM u),
-    best AS (SELECT k, w FROM each WHERE least(w.w1, w.w2, w.w3) >= 0
-      QUALIFY row_number() OVER (PARTITION BY k ORDER BY w.w1 * w.w1 * a + w.w2 * w.w2 * b + w.w3 * w.w3 * c + 2 * (w.w1 * w.w2 * ab + w.w1 * w.w3 * ac + w.w2 * w.w3 * bc)) = 1)
-    SELECT k::INT AS outer_fold, round(w.w1, 6) + 0.0e0 AS w1, round(w.w2, 6) + 0.0e0 AS w2, round(w.w3, 6) + 0.0e0 AS w3 FROM best"""
+      {'w1': 0e0, 'w2': (c - bc) / (b + c - 2 * bc), 'w3': (b - bc) / (b + c - 2 * bc)}, {'w1': u1 / (u1 + u2 + u3), 'w2': u2 / (u1 + u2 + u3), 'w3': u3 / (u1 + u2 + u3)}], recursive := true) FROM u),
+    valued AS (SELECT *, w1 * w1 * a + w2 * w2 * b + w3 * w3 * c + 2 * (w1 * w2 * ab + w1 * w3 * ac + w2 * w3 * bc) AS value FROM each WHERE least(w1, w2, w3) >= 0),
+    chosen AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY k ORDER BY value) = 1)"""
 
 
-@query(nested_sql(_THREE.replace("best AS", "found AS").replace("FROM best", "FROM found"), spaces=3))
+@query(nested_sql(_THREE + " SELECT k::INT AS outer_fold, round(w1, 6) + 0.0e0 AS w1, round(w2, 6) + 0.0e0 AS w2, round(w3, 6) + 0.0e0 AS w3 FROM chosen", spaces=3))
 def stack_weights_three(spark, sf_dir):
     """Stack weights of three spaces per outer fold."""
     stats = stack.fold_stats(part_design(spark, sf_dir, 3), [1, 1, 1], 4)
@@ -362,6 +361,13 @@ def stack_weights_three(spark, sf_dir):
     return rounded(stack.weighted(stats, 3).select("outer_fold", *w), "outer_fold")
 
 
+@query(nested_sql(_THREE + """, mixed AS (SELECT t, any_value(yg) AS yg, sum(pred * CASE s WHEN 1 THEN w1 WHEN 2 THEN w2 ELSE w3 END) AS pred FROM test JOIN whole_z USING (t) JOIN chosen USING (k) GROUP BY t)
+    SELECT 0::INT AS target_id, round((SELECT 1 - avg(pow(yg - pred, 2)) / var_pop(yg) FROM mixed), 6) + 0.0e0 AS stacked_r2, round((SELECT avg(1 - value) FROM chosen), 6) + 0.0e0 AS stacked_train_r2""", spaces=3))
+def stack_cv_three(spark, sf_dir):
+    """Test and train scores of a stack of three spaces."""
+    return rounded(stack.target_scores(stack.fold_stats(part_design(spark, sf_dir, 3), [1, 1, 1], 4), 3), "target_id")
+
+
 def _train_test(spark, sf_dir) -> DataFrame:
     design = part_design(spark, sf_dir)
     return stack.fold_stats(design, [1, 1], train_end=int(0.7 * design.count()))
