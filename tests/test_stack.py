@@ -68,6 +68,21 @@ def test_target_blocks_change_nothing(spark):
     assert np.allclose(whole, cut, atol=1e-9)
 
 
+@pytest.mark.parametrize("solver", ["plain", "svd", "ridge_sk"])
+def test_costs_of_columns_as_they_are(spark, solver):
+    xs, y = data(seed=8)
+    got = {(r.space_id, r.target_id, r.i): r.cost for r in stack.penalty_costs(frame(spark, xs, y), [3, 4, 2], 5, [0.5, 20.0], solver=solver, standardize=False, target_block=2).collect()}
+    fold = oracle.first_folds(len(y), 5)
+    for s, x in enumerate(xs):
+        for i, lam in enumerate((0.5, 20.0)):
+            want = 0.0
+            for k in range(5):
+                a, b = x[fold != k], y[fold != k]
+                w = oracle.ridge(a - a.mean(0), b - b.mean(0), lam) if solver == "ridge_sk" else oracle.ridge(a, b, lam)
+                want = want + 1 - oracle.r2(x[fold == k] @ w, y[fold == k])
+            assert np.allclose([got[s, t, i] for t in range(3)], want, rtol=1e-6)
+
+
 @pytest.mark.parametrize("lanes", [1, 2, 8])
 def test_lanes_change_nothing(spark, monkeypatch, lanes):
     """A task for a fold, or lanes of target blocks past shared eigenvectors: the same stats, penalties and weights."""

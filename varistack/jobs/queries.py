@@ -296,6 +296,18 @@ def ridge_solvers(spark, sf_dir):
     return rounded(reduce(DataFrame.unionByName, each), "solver")
 
 
+@query(f"""WITH f AS (SELECT *, ntile(5) OVER (ORDER BY t) - 1 AS c FROM ({PART})), l AS (SELECT i, pow(10.0e0, i - 6) AS lam FROM range(16) g(i)),
+s AS (SELECT k, count(*) AS n, sum(x1 * x1) AS xx, sum(x1 * y) AS xy, sum(x1) AS sx, sum(y) AS sy FROM f, range(5) q(k) WHERE c <> k GROUP BY k),
+w AS (SELECT k, i, solver, CASE solver WHEN 'plain' THEN xy / (xx + lam) ELSE (xy - sx * sy / n) / (xx - sx * sx / n + lam) END AS w FROM s, l, (VALUES ('plain'), ('ridge_sk')) v(solver)),
+e AS (SELECT k, i, solver, avg(pow(y - w * x1, 2)) / var_pop(y) AS cost FROM w JOIN f ON f.c = w.k GROUP BY ALL)
+SELECT solver, i::INT AS i, round(sum(cost), 6) + 0.0e0 AS cost FROM e GROUP BY ALL""")
+def ridge_raw_cost(spark, sf_dir):
+    """The penalty search on the columns as they are, without and with a centred fit."""
+    rows = part_design(spark, sf_dir, 1)
+    each = [stack.penalty_costs(rows, [1], 5, solver=s, standardize=False).select(F.lit(s).alias("solver"), "i", "cost") for s in ("plain", "ridge_sk")]
+    return rounded(each[0].unionByName(each[1]), "solver", "i")
+
+
 # ---------------------------------------------------------------- stacked regression
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from varistack.functions.expressions import LARGEST
 from varistack.operators.moments import Moments, Side
 
 #: The penalties that are tried.
@@ -70,6 +71,28 @@ def solve_raw(side: Side, origin: np.ndarray, columns: np.ndarray, penalty: floa
     return np.linalg.solve(xx + penalty * np.eye(len(columns)), xy)
 
 
+def raw_costs(m: Moments, split: np.ndarray, splits: int, origin: np.ndarray, penalties: np.ndarray, solver: str = "plain") -> np.ndarray:
+    """Summed 1 - R² (penalty, target) over the splits, of ridge on the columns as they are.
+
+    Predictions are the columns times the weights, without the intercept that ``ridge_sk`` fits beside
+    them. A target that is constant on the held rows has R² 0 for a perfect prediction, else the lowest double.
+    """
+    columns, total = np.arange(m.p), 0.0
+    for k in range(splits):
+        train, held = m.select(split != k), m.select(split == k)
+        mean, sd, p = held.mean + origin, held.sd, m.p
+        xx = held.rxx * np.outer(sd[:p], sd[:p]) + np.outer(mean[:p], mean[:p])
+        xy = held.rxy * np.outer(sd[:p], sd[p:]) + np.outer(mean[:p], mean[p:])
+        yy, cost = sd[p:] ** 2 + mean[p:] ** 2, []
+        for penalty in penalties:
+            w = solve_raw(train, origin, columns, penalty, solver)
+            error = np.maximum(yy - 2 * (w * xy).sum(axis=0) + (w * (xx @ w)).sum(axis=0), 0.0)
+            varies = sd[p:] > 0
+            cost.append(np.where(varies, error / np.where(varies, sd[p:] ** 2, 1.0), np.where(error <= 1e-12 * yy, 1.0, 1.0 + LARGEST)))
+        total = total + np.stack(cost)
+    return total
+
+
 def fit(m: Moments, base: np.ndarray, split: np.ndarray, splits: int, columns: np.ndarray, dead_x: np.ndarray, dead_y: np.ndarray, penalties: np.ndarray = LAMBDAS) -> tuple[np.ndarray, np.ndarray]:
     """``(weights (column, target), penalty per target)``, refitted on ``base`` at each target's best penalty (ties: the smallest)."""
     choice = lambda_costs(m, base, split, splits, columns, dead_x, dead_y, penalties).argmin(axis=0)

@@ -21,7 +21,7 @@ from varistack.functions.expressions import r2_of
 from varistack.operators import tsqr
 from varistack.operators.moments import Moments, Side, _array, _matrix, column_means, first_bounds, from_rows, last_bounds, segment_moments, segment_starts, target_blocks
 from varistack.operators.qp import simplex_udf, simplex_weights
-from varistack.operators.ridge import LAMBDAS, checked_solver, fit, lambda_costs, solve, solve_raw
+from varistack.operators.ridge import LAMBDAS, checked_solver, fit, lambda_costs, raw_costs, solve, solve_raw
 from varistack.sources.tables import checkpointed
 
 INNER_FOLDS, SPLITS = 5, 5
@@ -397,10 +397,17 @@ def cross_val_ridge(design: DataFrame, dims: Sequence[int], splits: int = 10, pe
     return _whole(design, dims, splits, penalties, target_block, schema, make)
 
 
-def penalty_costs(design: DataFrame, dims: Sequence[int], splits: int = 10, penalties: Sequence[float] | None = None, target_block: int = TARGET_BLOCK, solver: str = "plain") -> DataFrame:
-    """``(space_id, target_id, i, penalty, cost)``: summed cost of every penalty of the grid (its position is i)."""
+def penalty_costs(design: DataFrame, dims: Sequence[int], splits: int = 10, penalties: Sequence[float] | None = None, target_block: int = TARGET_BLOCK, solver: str = "plain", standardize: bool = True) -> DataFrame:
+    """``(space_id, target_id, i, penalty, cost)``: summed cost of every penalty of the grid (its position is i).
+
+    Of z-scores within the splits, or with ``standardize`` off of the columns as they are, on which
+    ``ridge_sk`` centres the fit.
+    """
     schema = "space_id int, target_id int, i int, penalty double, cost double"
     listed = lambda cost, grid: [(t, i, float(value), float(cost[i, t])) for t in range(cost.shape[1]) for i, value in enumerate(grid)]
+    if not standardize:
+        checked_solver(solver)
+        return _whole(design, dims, splits, penalties, target_block, schema, lambda m, split, grid, shift: listed(raw_costs(m, split, splits, shift, grid, solver), grid))
     if checked_solver(solver) == "svd":
         return _factored(design, dims, splits, penalties, target_block, schema, lambda factors, grid: listed(tsqr.costs(factors, grid), grid))
 
