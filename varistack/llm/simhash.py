@@ -99,9 +99,9 @@ def segments_for(fingerprints: int) -> tuple:
     """Segments for 4 bits, by the number of distinct fingerprints.
 
     Candidates are about the square of that over 2 to the shortest segment's length: beyond some tens of
-    millions, two halves with larger balls (529 probes each) cost less than the candidates of three parts.
+    millions, two halves with larger balls (529 and up to 33 probes) cost less than the candidates of three parts.
     """
-    return SEGMENTS if fingerprints <= 1 << 26 else ((0, 32, 2), (32, 32, 2))
+    return SEGMENTS if fingerprints <= 1 << 26 else ((0, 32, 2), (32, 32, 1))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, segments: tuple | None = None) -> DataFrame:
