@@ -5,9 +5,9 @@ of fewer words are one shingle. The caller's proposals are verified first. Furth
 ``ROWS`` minima of one of ``BANDS`` bands: a pair at 0.8 is missed with probability (1 - 0.8^5)^22 =
 0.00016, one at 0.85 with 0.000003. Every link is verified on the shingles themselves.
 
-Candidates of a band key are checked in rounds, so that a large group costs no square: first each
-member against the key's smallest, then, where the key's members are not in one component yet, against one
-picked by a hash. The texts of keys that still have several components are then joined exactly, by prefixes: their shingles are put in one order, rare ones first, and two texts
+Candidates of a band key are checked in two rounds, so that a large group costs no square: first each
+member against the key's smallest, and in larger groups also against one picked by a hash, another for every
+key. The texts of keys whose members are not in one component yet are then joined exactly, by prefixes: their shingles are put in one order, rare ones first, and two texts
 of similarity t share one among their first shares of 1 - t and 1 - 2t / (1 + t), with enough shingles
 after it on both sides, and the parities of their shingles over 256 bits differ in no more bits than
 their sets in shingles. So texts that only hold the same common passage make no pair. A pair left out
@@ -32,6 +32,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 22, 5
 #: Bits of the broadcast bitmap: 16 a text in question, at most 16 MB; more texts only move more.
 MOST_BITS = 1 << 27
+#: Entries of a key from which its texts are checked against a second member.
+HUBS_FROM = 8
 #: Counters (8 MB) by which shingles are put in order; where shingles share one, only the order is less apt.
 COUNTERS = 1 << 20
 #: Longs of 64 parities each.
@@ -202,34 +204,22 @@ def near_copies(texts: DataFrame, signed: DataFrame, proposed: DataFrame, least:
     spark = texts.sparkSession
     banded = signed.select("node", "n", F.explode("keys").alias("key"))
     # dealt by another column first, so that the join deals both sides anew and can split hot keys
-    keys = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key", "low").repartition("low")
-    members = checkpoint(banded.hint("merge").join(keys, "key").select("key", "node", "n", "low").distinct())
+    keys = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("node", F.xxhash64("node", "key")).alias("hub"), F.count("*").alias("size"))
+    keys = keys.where("low != high").select("key", "low", F.when(F.col("size") >= HUBS_FROM, F.col("hub")).otherwise(F.col("low")).alias("hub")).repartition("low")
+    members = checkpoint(banded.hint("merge").join(keys, "key").select("key", "node", "n", "low", "hub").distinct())
     folder = f"{shared_dir(spark)}/near-{uuid.uuid4().hex}"
     asked = members.select("node").union(proposed.select("a")).union(proposed.select("b")).distinct()
     _texts_of(texts, asked).write.parquet(folder)
     known = spark.read.parquet(folder)
 
-    def placed(joined: DataFrame) -> DataFrame:
-        return members.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-
-    stars = members.where("node != low").select(F.least("node", "low").alias("a"), F.greatest("node", "low").alias("b"))
-    tried = checkpoint(stars.union(proposed.select(F.least("a", "b"), F.greatest("a", "b"))).distinct())
-    joined = components(_similar(tried, known, least, shingle))
-    # a second star about another member, picked by a hash: the texts of a large group get as many hubs as they have keys
-    own = placed(joined)
-    pick = F.min_by(F.struct("node", "component"), F.xxhash64("node", "key"))
-    mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), pick.alias("hub")).where("x != y").select("key", "hub")
-    second = own.join(mixed, "key").where(F.col("component") != F.col("hub.component"))
-    second = second.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-    second = checkpoint(second.join(tried, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        tried = tried.union(second)
-        edges = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        joined = components(edges.union(_similar(second, known, least, shingle)))
-    own = placed(joined)
-    mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    apart = own.join(mixed, "key").select("node", "component").distinct()
+    stars = members.select("node", F.explode(F.array("low", "hub")).alias("star")).where("node != star")
+    stars = stars.select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b"))
+    stars = checkpoint(stars.union(proposed.select(F.least("a", "b"), F.greatest("a", "b"))).distinct())
+    joined = components(_similar(stars, known, least, shingle))
+    placed = members.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+    apart = placed.join(mixed, "key").select("node", "component").distinct()
     known.join(apart, "node").write.parquet(f"{folder}-apart")
-    across = _across(spark.read.parquet(f"{folder}-apart"), least, shingle).join(tried, ["a", "b"], "left_anti")
+    across = _across(spark.read.parquet(f"{folder}-apart"), least, shingle).join(stars, ["a", "b"], "left_anti")
     more = _similar(checkpoint(across), known, least, shingle)
     return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
