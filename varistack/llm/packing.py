@@ -38,7 +38,7 @@ CAPACITY = 4096
 END_ID = 1
 PART_ROWS = 100_000
 #: Distinct parts of words whose ids a task keeps before it starts its cache anew.
-CACHE_PARTS = 400_000
+CACHE_PARTS = 150_000
 
 
 #: Words of Latin-1 letters, then ASCII punctuation; the pre-tokeniser parts the two.
