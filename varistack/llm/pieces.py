@@ -18,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ SPACE = "▁"
 #: Units, their ids, and pairs of tokens that a worker keeps before it starts that cache anew.
 KEPT_UNITS, KEPT_IDS, KEPT_PAIRS = 300_000, 4_000_000, 1_000_000
 #: Letters that are cut into units at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 21
 #: Letters beyond which a unit's table is filled by itself.
 LONG = 256
 
@@ -290,7 +291,9 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", name: str = "decode
             at = batch.schema.get_field_index(ids_col) if at is None else at
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [model(path).decode(ids) if ids else "" for ids in part.column(at).to_pylist()]
+                lists, coder = part.column(at), model(path)
+                ids, ends = lists.flatten().to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+                texts = [coder.decode(own.tolist()) if len(own) else "" for own in np.split(ids, ends[:-1])]
                 yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, name])
 
     return rows.mapInArrow(run, rows.withColumn(name, F.lit("")).schema)
