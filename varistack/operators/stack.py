@@ -1,7 +1,7 @@
 """Stacked regression over named groups of predictors, cross-validated, from one pass of moments.
 
-``fit_folds`` fits each (outer fold, space, block of targets) once, in a task of its own, and keeps the
-weights and a small row per (outer fold, target): error cross moments P for the stack weights, and the
+``fit_folds`` fits each (outer fold, space, block of targets) once, and keeps the weights and a small row
+per (outer fold, target): error cross moments P for the stack weights, and the
 test side's moments of the predictions. All scores, of all spaces or any subset of them, follow from
 those rows without another fit; predictions of single rows follow from the weights.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from varistack.functions.expressions import r2_of
 from varistack.operators import tsqr
-from varistack.operators.moments import Moments, Side, _array, _matrix, column_means, first_bounds, from_rows, last_bounds, segment_moments, segment_starts, target_blocks
+from varistack.operators.moments import Moments, Side, _array, column_means, first_bounds, from_rows, last_bounds, segment_moments, segment_starts, target_blocks
 from varistack.operators.qp import simplex_udf, simplex_weights
 from varistack.operators.ridge import LAMBDAS, checked_solver, fit, lambda_costs, raw_costs, solve, solve_raw
 from varistack.sources.tables import checkpointed
