@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,6 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
+def give_back() -> None:
+    """Hand memory that is free back to the system: Python workers stay for later stages, with what their heaps hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 0) -> Iterator[pa.RecordBatch]:
     """Split Arrow batches so that each part holds at most ``most`` (``SLICE_BYTES``) bytes of ``column``.
 
@@ -36,6 +45,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     import numpy as np
     import pyarrow.compute as pc
 
+    give_back()
     for batch in batches:
         at = batch.schema.get_field_index(column)
         size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
@@ -45,6 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield batch.slice(a, b - a)
+    give_back()
 
 
 def map_text(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
