@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varistack.operators.simulate import METRICS, run_one
+from varistack.operators.simulate import METRICS, at_once, run_many
 
 #: The full factorial grid.
 SAMPLES = (50, 100, 200, 400)
@@ -77,13 +77,18 @@ def unnest(tasks: DataFrame, f: int = 4) -> DataFrame:
 
 
 def run_tasks(tasks: DataFrame, scale: float = SCALE, targets: int = TARGETS, parts: int | None = None) -> DataFrame:
-    """The metrics of each task and target; tasks are spread evenly, each costs seconds and no memory."""
+    """The metrics of each task and target; tasks are spread evenly, those of one shape that meet are run together, within bounds."""
 
     def run(batches):
         for pdf in batches:
-            for task in pdf.itertuples(index=False):
-                got = run_one(int(task.global_index), int(task.n), [int(d) for d in task.ds], scale, float(task.correl), list(task.alpha), targets, float(task.noise))
-                yield pd.DataFrame({"global_index": task.global_index, "target_id": range(targets), **got})
+            for (n, ds), own in pdf.groupby([pdf["n"], pdf["ds"].map(lambda d: tuple(map(int, d)))]):
+                most = at_once(ds, targets)
+                for at in range(0, len(own), most):
+                    some = own.iloc[at : at + most]
+                    runs = [(int(task.global_index), float(task.correl), list(task.alpha), float(task.noise)) for task in some.itertuples(index=False)]
+                    got = run_many(runs, int(n), ds, scale, targets)
+                    ids = {"global_index": some["global_index"].repeat(targets).to_numpy(), "target_id": list(range(targets)) * len(some)}
+                    yield pd.DataFrame(ids | {name: values.ravel() for name, values in got.items()})
 
     spread = tasks.repartition(parts or 4 * tasks.sparkSession.sparkContext.defaultParallelism, "global_index")
     return spread.mapInPandas(run, RESULT)

@@ -72,7 +72,10 @@ def segment_starts(n: int, outer: np.ndarray | None, inner: int, splits: int, tr
 
 @dataclass
 class Moments:
-    """Moments of S segments over p predictors and V targets, all shifted by a common origin."""
+    """Moments of S segments over p predictors and V targets, all shifted by a common origin.
+
+    Axes between the segments and the columns, if any, are tables of one shape that are fitted at once.
+    """
 
     n: np.ndarray
     s: np.ndarray
@@ -84,6 +87,8 @@ class Moments:
     p: int
     #: Eigenvectors of predictors by segments and columns, shared by the target blocks of a space; None keeps none.
     eigen: dict | None = None
+    #: Statistics by segments, where several spaces ask for the same ones; None keeps none.
+    sides: dict | None = None
 
     @classmethod
     def empty(cls, segments: int, p: int, v: int) -> Moments:
@@ -111,7 +116,12 @@ class Moments:
             self.low, self.high = np.minimum(self.low, other.low), np.maximum(self.high, other.high)
 
     def select(self, mask: np.ndarray) -> Side:
-        return Side(self, mask)
+        if self.sides is None:
+            return Side(self, mask)
+        key = mask.tobytes()
+        if key not in self.sides:
+            self.sides[key] = Side(self, mask)
+        return self.sides[key]
 
 
 class Side:
@@ -127,15 +137,15 @@ class Side:
         xx, xy, yy = m.xx[mask].sum(0), m.xy[mask].sum(0), m.yy[mask].sum(0)
         with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
             mean = s / self.n
-            diag = np.concatenate([np.diag(xx), yy]) / self.n - mean * mean
+            diag = np.concatenate([np.diagonal(xx, axis1=-2, axis2=-1), yy], axis=-1) / self.n - mean * mean
             self.alive = np.isfinite(s) & np.isfinite(low) & np.isfinite(high) & (low < high) & (diag > 0)
             sd = np.where(self.alive, np.sqrt(np.where(self.alive, diag, 1.0)), 0.0)
         inverse = np.divide(1.0, sd, out=np.zeros_like(sd), where=sd > 0)
         mean = np.where(np.isfinite(mean), mean, 0.0)
-        x_alive = np.outer(self.alive[:p], self.alive[:p])
-        self.rxx = np.where(x_alive, np.nan_to_num(xx / max(1, self.n) - np.outer(mean[:p], mean[:p])), 0.0) * np.outer(inverse[:p], inverse[:p])
-        xy_alive = np.outer(self.alive[:p], self.alive[p:])
-        self.rxy = np.where(xy_alive, np.nan_to_num(xy / max(1, self.n) - np.outer(mean[:p], mean[p:])), 0.0) * np.outer(inverse[:p], inverse[p:])
+        outer = lambda a, own: a[..., :p, None] * a[..., None, own]
+        for name, sums, own in (("rxx", xx, slice(p)), ("rxy", xy, slice(p, None))):
+            centred = np.nan_to_num(sums / max(1, self.n) - outer(mean, own))
+            setattr(self, name, np.where(outer(self.alive, own), centred, 0.0) * outer(inverse, own))
         self.mean, self.sd, self.p = mean, sd, p
         self._eigen, self._mask = m.eigen, mask.tobytes()
 
@@ -144,22 +154,22 @@ class Side:
         key = self._mask, columns.tobytes()
         if self._eigen is not None and key in self._eigen:
             return self._eigen[key]
-        found = np.linalg.eigh(self.n * self.rxx[np.ix_(columns, columns)])
+        found = np.linalg.eigh(self.n * self.rxx[..., columns[:, None], columns])
         if self._eigen is not None:
             self._eigen[key] = found
         return found
 
     @property
     def y_mean(self) -> np.ndarray:
-        return self.mean[self.p :]
+        return self.mean[..., self.p :]
 
     @property
     def y_sd(self) -> np.ndarray:
-        return self.sd[self.p :]
+        return self.sd[..., self.p :]
 
     @property
     def y_alive(self) -> np.ndarray:
-        return self.alive[self.p :]
+        return self.alive[..., self.p :]
 
 
 def column_means(design: DataFrame) -> np.ndarray:

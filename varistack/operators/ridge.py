@@ -17,16 +17,23 @@ def solve(side: Side, columns: np.ndarray, penalties: np.ndarray) -> np.ndarray:
     One eigendecomposition serves all penalties. Dead columns get weight 0.
     """
     value, vector = side.eigen(columns)
-    right = vector.T @ (side.n * side.rxy[columns])
-    return np.stack([vector @ (right / (np.maximum(value, 0.0) + penalty)[:, None]) for penalty in penalties])
+    right = np.swapaxes(vector, -1, -2) @ (side.n * side.rxy[..., columns, :])
+    scaled = right[..., None] / (np.maximum(value, 0.0)[..., None] + penalties)[..., None, :]
+    return np.moveaxis(_times(vector, scaled), -1, 0)
+
+
+def _times(matrix: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The product with arrays (column, target, penalty), in one multiplication for all penalties."""
+    return (matrix @ last.reshape(*last.shape[:-2], last.shape[-2] * last.shape[-1])).reshape(last.shape)
 
 
 def val_cost(weights: np.ndarray, val: Side, columns: np.ndarray) -> np.ndarray:
     """1 - R² on a z-scored validation side, per penalty and target of ``weights``."""
-    r, ry = val.rxx[np.ix_(columns, columns)], val.rxy[columns]
-    fit = np.einsum("ldv,dv->lv", weights, ry)
-    power = np.einsum("ldv,de,lev->lv", weights, r, weights, optimize=True)
-    return np.where(val.y_alive, 1.0 - 2.0 * fit + power, 1.0)
+    r, ry = val.rxx[..., columns[:, None], columns], val.rxy[..., columns, :]
+    w = np.moveaxis(weights, 0, -1)
+    fit = np.einsum("...dvl,...dv->...vl", w, ry)
+    power = np.einsum("...dvl,...dvl->...vl", w, _times(r, w))
+    return np.where(val.y_alive, np.moveaxis(1.0 - 2.0 * fit + power, -1, 0), 1.0)
 
 
 def lambda_costs(m: Moments, base: np.ndarray, split: np.ndarray, splits: int, columns: np.ndarray, dead_x: np.ndarray, dead_y: np.ndarray, penalties: np.ndarray = LAMBDAS) -> np.ndarray:
@@ -35,14 +42,15 @@ def lambda_costs(m: Moments, base: np.ndarray, split: np.ndarray, splits: int, c
     A split in which a predictor of the space is dead on either side says nothing: its cost is 1 for
     every penalty and target. So it is for a target that is dead on either side.
     """
-    total = np.zeros((len(penalties), m.s.shape[1] - m.p))
+    total = np.zeros((len(penalties), *dead_y.shape))
     for k in range(splits):
         trn, val = m.select(base & (split != k)), m.select(base & (split == k))
-        if dead_x[columns].any() or not (trn.alive[columns].all() and val.alive[columns].all()):
+        told = (~dead_x & trn.alive[..., : m.p] & val.alive[..., : m.p])[..., columns].all(axis=-1)
+        if not told.any():
             total += 1.0
             continue
         cost = val_cost(solve(trn, columns, penalties), val, columns)
-        total += np.where(trn.y_alive & val.y_alive & ~dead_y, cost, 1.0)
+        total += np.where(trn.y_alive & val.y_alive & ~dead_y & told[..., None], cost, 1.0)
     return total
 
 
@@ -97,9 +105,11 @@ def fit(m: Moments, base: np.ndarray, split: np.ndarray, splits: int, columns: n
     """``(weights (column, target), penalty per target)``, refitted on ``base`` at each target's best penalty (ties: the smallest)."""
     choice = lambda_costs(m, base, split, splits, columns, dead_x, dead_y, penalties).argmin(axis=0)
     side = m.select(base)
-    weights = np.zeros((len(columns), len(choice)))
-    live, usable = side.y_alive & ~dead_y, ~dead_x[columns]  # a column dead in an enclosing frame is 0 here
-    for i in np.unique(choice[live]):
-        own = live & (choice == i)
-        weights[np.ix_(usable, own)] = solve(side, columns[usable], penalties[i : i + 1])[0][:, own]
+    weights = np.zeros((*choice.shape[:-1], len(columns), choice.shape[-1]))
+    live, usable = side.y_alive & ~dead_y, ~dead_x[..., columns]  # a column dead in an enclosing frame is 0 here
+    for kept in np.unique(usable.reshape(-1, len(columns)), axis=0):
+        same = live & (usable == kept).all(axis=-1)[..., None]
+        for i in np.unique(choice[same]):
+            own = (same & (choice == i))[..., None, :]
+            weights[..., kept, :] = np.where(own, solve(side, columns[kept], penalties[i : i + 1])[0], weights[..., kept, :])
     return weights, penalties[choice]

@@ -66,22 +66,22 @@ def fit_space(m: Moments, fold: Fold, own: np.ndarray, method: str, splits: int,
     """Weights of a space in every inner fold and on the whole train side, and what their scores need."""
     outer, held = m.select(fold.train), m.select(fold.test)
     score = m.select(np.ones_like(fold.train)) if frame == "global" else held
-    dead_x, dead_y = ~outer.alive[: m.p], ~outer.y_alive
-    fixed = solve(outer, own, np.array([100.0]))[0] * ~dead_y if method == "simple_ridge" else None
+    dead_x, dead_y = ~outer.alive[..., : m.p], ~outer.y_alive
+    fixed = solve(outer, own, np.array([100.0]))[0] * ~dead_y[..., None, :] if method == "simple_ridge" else None
     inverse = np.where(dead_y, 0.0, _inverse(outer.y_sd))
-    base, cross, both = np.zeros((3, len(dead_y)))
+    base, cross, both = np.zeros((3, *dead_y.shape))
     weights, frames = [], []
     for train, val_mask, split in fold.inner:
         side, val = m.select(train), m.select(val_mask)
-        w = fit(m, train, split, splits, own, dead_x | ~side.alive[: m.p], dead_y | ~side.y_alive, penalties)[0] if fixed is None else fixed
+        w = fit(m, train, split, splits, own, dead_x | ~side.alive[..., : m.p], dead_y | ~side.y_alive, penalties)[0] if fixed is None else fixed
         base += val.n * (val.y_sd**2 + (val.y_mean - outer.y_mean) ** 2) * inverse**2
-        cross += val.n * val.y_sd * inverse * (w * val.rxy[own]).sum(0)
+        cross += val.n * val.y_sd * inverse * (w * val.rxy[..., own, :]).sum(-2)
         both += _both(val, own, own, w, w)
-        weights.append(w), frames.append((val.mean[own], _inverse(val.sd[own])))
+        weights.append(w), frames.append((val.mean[..., own], _inverse(val.sd[..., own])))
     w, penalty = fit(m, fold.train, fold.split, splits, own, dead_x, dead_y, penalties)
-    weights.append(w), frames.append((held.mean[own], _inverse(held.sd[own])))
+    weights.append(w), frames.append((held.mean[..., own], _inverse(held.sd[..., own])))
     unit = _inverse(score.y_sd)
-    shift = np.zeros(len(held.mean)) if origin is None else origin
+    shift = np.zeros(held.mean.shape[-1]) if origin is None else origin
     frames = np.array(frames)
     frames[:, 0] += shift[own]
     return {
@@ -89,14 +89,14 @@ def fit_space(m: Moments, fold: Fold, own: np.ndarray, method: str, splits: int,
         "targets": np.stack([[outer.y_mean + shift[m.p :], inverse], [score.y_mean + shift[m.p :], unit]]),
         "base": base / fold.size, "cross": cross / fold.size, "own": both / fold.size,
         "held": held.n * (held.y_sd**2 + (held.y_mean - score.y_mean) ** 2) * unit**2,
-        "c": held.n * held.y_sd * unit * (w * held.rxy[own]).sum(0), "q": _both(held, own, own, w, w),
+        "c": held.n * held.y_sd * unit * (w * held.rxy[..., own, :]).sum(-2), "q": _both(held, own, own, w, w),
         "alive": score.y_alive, "train_alive": ~dead_y,
     }
 
 
 def _both(side: Side, i: np.ndarray, j: np.ndarray, wi: np.ndarray, wj: np.ndarray) -> np.ndarray:
     """Sums over a side's rows of products of two spaces' predictions, per target."""
-    return side.n * (wi * (side.rxx[np.ix_(i, j)] @ wj)).sum(0)
+    return side.n * (wi * (side.rxx[..., i[:, None], j] @ wj)).sum(-2)
 
 
 def fit_pair(m: Moments, fold: Fold, i: np.ndarray, j: np.ndarray, wi: np.ndarray, wj: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,14 +109,14 @@ def fold_matrices(m: Moments, fold: Fold, spaces: list[np.ndarray], method: str,
     """``(n, base, alive, train_alive, P, c, Q)`` of a fold whose moments one task holds."""
     fits = [fit_space(m, fold, own, method, splits, frame) for own in spaces]
     first, f = fits[0], len(fits)
-    p, q = np.zeros((2, len(first["base"]), f, f))
+    p, q = np.zeros((2, *first["base"].shape, f, f))
     for i, a in enumerate(fits):
         for j in range(i, f):
             b = fits[j]
             own, both = (a["own"], a["q"]) if i == j else fit_pair(m, fold, spaces[i], spaces[j], a["weights"], b["weights"])
-            p[:, i, j] = p[:, j, i] = first["base"] - a["cross"] - b["cross"] + own
-            q[:, i, j] = q[:, j, i] = both
-    return first["n"], first["held"], first["alive"], first["train_alive"], p, np.stack([x["c"] for x in fits], axis=1), q
+            p[..., i, j] = p[..., j, i] = first["base"] - a["cross"] - b["cross"] + own
+            q[..., i, j] = q[..., j, i] = both
+    return first["n"], first["held"], first["alive"], first["train_alive"], p, np.stack([x["c"] for x in fits], axis=-1), q
 
 
 def space_columns(dims: Sequence[int]) -> list[np.ndarray]:
