@@ -174,3 +174,22 @@ def test_chain_reader(spark, tmp_path):
     with pytest.raises(ValueError):
         spark.range(1).write.parquet(str(tmp_path / "other"))
         tables.read_chain(spark, str(tmp_path / "other"))
+
+
+def jobs_of(spark, ask) -> int:
+    """How many jobs a call starts."""
+    spark.sparkContext.setJobGroup("asked", "")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("asked"))
+    ask()
+    after = len(spark.sparkContext.statusTracker().getJobIdsForGroup("asked"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return after - before
+
+
+@pytest.mark.parametrize("name", ["scores", "tests"])
+def test_a_frame_of_the_report_pays_for_no_other(spark, name):
+    rows = spark.createDataFrame([(i % 3, float(i), float(i % 5), 1.0) for i in range(60)], "s long, a double, b double, c double")
+    frames = report.simulation_report(rows, "s", "a", "b", "c")
+    assert list(frames) == ["tests", "errors", "boxes", "scores"] and len(frames) == 4
+    assert jobs_of(spark, lambda: report.simulation_report(rows, "s", "a", "b", "c")[name]) == 0
+    assert frames[name].count() == {"scores": 120, "tests": 3}[name]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -124,7 +124,25 @@ def absolute_errors(df: DataFrame, methods: Sequence[str], truth: str) -> DataFr
     return df.withColumns({m: F.abs(F.col(m) - F.col(truth)) for m in methods})
 
 
-def simulation_report(results: DataFrame, setting: str, first: str = "varpar_X0_concat", second: str = "varpar_X0_stacked", truth: str = "varpar_X0_real", methods: Sequence[str] = (), alpha: float = SIGNIFICANT) -> dict[str, DataFrame]:
+class Frames(Mapping):
+    """Frames by name, each planned when it is first asked for: one that is not pays for no step of another."""
+
+    def __init__(self, **makers: Callable[[], DataFrame]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
+def simulation_report(results: DataFrame, setting: str, first: str = "varpar_X0_concat", second: str = "varpar_X0_stacked", truth: str = "varpar_X0_real", methods: Sequence[str] = (), alpha: float = SIGNIFICANT) -> Frames:
     """The frames of a one-factor report from a result row per run and target.
 
     ``tests`` has a paired test of the two estimates' absolute errors per value of ``setting``, with the
@@ -134,12 +152,12 @@ def simulation_report(results: DataFrame, setting: str, first: str = "varpar_X0_
     errors = absolute_errors(results, [first, second], truth)
     long = tidy(errors.select(setting, first, second), [setting], [first, second], "error")
     names = list(methods) or [first, second]
-    return {
-        "tests": with_verdict(paired_t(errors, first, second, setting), alpha),
-        "errors": long,
-        "boxes": five_number(long, "error", setting, "method"),
-        "scores": tidy(results.select(setting, *names), [setting], names),
-    }
+    return Frames(
+        tests=lambda: with_verdict(paired_t(errors, first, second, setting), alpha),
+        errors=lambda: long,
+        boxes=lambda: five_number(long, "error", setting, "method"),
+        scores=lambda: tidy(results.select(setting, *names), [setting], names),
+    )
 
 
 def reliability(verdicts: DataFrame, params: Sequence[str], size: int = 1) -> DataFrame:
