@@ -193,3 +193,21 @@ def test_a_frame_of_the_report_pays_for_no_other(spark, name):
     assert list(frames) == ["tests", "errors", "boxes", "scores"] and len(frames) == 4
     assert jobs_of(spark, lambda: report.simulation_report(rows, "s", "a", "b", "c")[name]) == 0
     assert frames[name].count() == {"scores": 120, "tests": 3}[name]
+
+
+def test_a_task_of_the_quantiles_sorts_a_bounded_share(spark, monkeypatch):
+    """More rows make more partitions, of any number of groups; places are few and are sent, or joined."""
+    made, keep = [], report.checkpointed
+    monkeypatch.setattr(report, "checkpointed", lambda df: made.append(keep(df)) or made[-1])
+    monkeypatch.setattr(report, "SORTED_ROWS", 500)
+    rows = spark.range(10_000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 10_007).cast("double").alias("v"))
+    values = rows.toPandas()
+    for most in (1 << 16, 2):
+        monkeypatch.setattr(report, "SENT_ROWS", most)
+        made.clear()
+        got = {r.g: r.q for r in report.quantiles(rows, "v", ["g"], (0.1, 0.5)).collect()}
+        sizes = made[0].groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        assert len(sizes) > 15 and sizes.max() < 1_500
+        assert all(np.allclose(got[g], np.quantile(own["v"], (0.1, 0.5))) for g, own in values.groupby("g"))
+    box = {r.g: r for r in report.five_number(rows, "v", "g").collect()}
+    assert box[1].low == values[values.g == 1].v.min() and box[1].high == values[values.g == 1].v.max()

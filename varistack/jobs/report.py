@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from functools import reduce
 from itertools import combinations
 
 import pandas as pd
@@ -16,6 +15,8 @@ from varistack.functions.expressions import NAN
 from varistack.sources.tables import checkpointed, dense_index
 
 SIGNIFICANT = 0.05 / 20
+#: Rows that one task sorts, about; rows of a small table that are sent to every task at most.
+SORTED_ROWS, SENT_ROWS = 1 << 20, 1 << 16
 
 
 def t_two_sided(t: float, df: float) -> float:
@@ -71,35 +72,41 @@ def with_verdict(tests: DataFrame, alpha: float = SIGNIFICANT) -> DataFrame:
 def quantiles(df: DataFrame, value: str, keys: Sequence[str], shares: Sequence[float]) -> DataFrame:
     """``(keys, q)``: exact interpolated quantiles per group, nulls left out, however large a group is.
 
-    Rows are range-partitioned and sorted by (keys, value); counts per group and partition, a small table,
-    give every row its rank in its group, and only rows at the wanted ranks are kept.
+    Rows are range-partitioned and sorted by (keys, value), in as many partitions as keep a task's share
+    bounded; counts per group and partition, a small table, say where the wanted ranks lie, and only the
+    rows there are kept.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     # a salt deals out equal values; ties have equal values, so their order is free
-    ranged = rows.repartitionByRange(*keys, "__v", F.xxhash64(F.monotonically_increasing_id())).sortWithinPartitions(*keys, "__v")
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SORTED_ROWS))
+    ranged = rows.repartitionByRange(parts, *keys, "__v", F.xxhash64(F.monotonically_increasing_id())).sortWithinPartitions(*keys, "__v")
     marked = checkpointed(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
     sizes = marked.groupBy(*keys, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     group = Window.partitionBy(*keys)
     sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sizes = sizes.withColumn("__total", F.sum("__n").over(group))
-    at = F.col("__at") - F.col("__first") + F.col("__before")
-    null_safe = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    ranked = marked.alias("a").join(sizes.alias("b"), [*null_safe, F.col("a.__part") == F.col("b.__part")]).select(*[F.col(f"a.{k}").alias(k) for k in keys], "__v", at.alias("__rank"), "__total")
+    sizes = checkpointed(sizes.withColumn("__total", F.sum("__n").over(group)))
     place = [(F.col("__total") - 1) * F.lit(float(s)) for s in shares]
-    near = [(F.col("__rank") == F.floor(p)) | (F.col("__rank") == F.ceil(p)) for p in place]
-    kept = ranked.where(reduce(Column.__or__, near))
+    ranks = F.array_distinct(F.array(*[end(p) for p in place for end in (F.floor, F.ceil)]))
+    wanted = sizes.select("__first", "__before", "__n", "__total", F.explode(ranks).alias("__rank")).where("__rank >= __before AND __rank < __before + __n")
+    wanted = wanted.select((F.col("__first") + F.col("__rank") - F.col("__before")).alias("__at"), "__rank", "__total")
+    kept = marked.join(sent(wanted), "__at")
     low = [F.max(F.when(F.col("__rank") == F.floor(p), F.col("__v"))) for p in place]
     high = [F.max(F.when(F.col("__rank") == F.ceil(p), F.col("__v"))) for p in place]
     part = [F.max(p - F.floor(p)) for p in place]
     return kept.groupBy(*keys).agg(F.array(*[a + (b - a) * w for a, b, w in zip(low, high, part)]).alias("q"))
 
 
+def sent(small: DataFrame) -> DataFrame:
+    """For a join: to every task, if it is small indeed, so that the other side's rows stay where they are."""
+    return F.broadcast(small) if small.limit(SENT_ROWS + 1).count() <= SENT_ROWS else small
+
+
 def five_number(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Box-plot summary: quartiles (interpolated), and the extreme values within 1.5 interquartile ranges."""
     box = quantiles(df, value, keys, (0.25, 0.5, 0.75))
-    box = box.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    box = checkpointed(box.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = df.join(box, list(keys)).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
+    inside = df.join(sent(box), list(keys)).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
     return inside.groupBy(*keys, "q1", "median", "q3").agg(F.min(value).alias("low"), F.max(value).alias("high"))
 
 
