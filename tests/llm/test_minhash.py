@@ -1,11 +1,14 @@
 import random
+import time
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from varistack.llm import minhash as m
 from varistack.llm import simhash
+from varistack.llm.common import components, let_go
 
 from .conftest import prose
 
@@ -91,3 +94,16 @@ def test_pairs_across_components_miss_none_and_leave_out_the_common_passage(spar
     assert len(want) > 40 and want <= found
     assert all(component[i] != component[j] for i, j in found)
     assert not any(i < 60 and j < 60 for i, j in found)
+
+
+def test_rounds_leave_no_shuffle_files_of_earlier_ones(spark):
+    """A long chain takes many rounds; what is kept of them is about one round's."""
+    kept = spark._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    let_go(spark)
+    time.sleep(3)
+    before = kept.size()
+    chain = spark.range(3_000).select((F.col("id") * 7919 % 3_001).alias("a"), ((F.col("id") + 1) * 7919 % 3_001).alias("b"))
+    found = components(chain)
+    time.sleep(3)
+    assert kept.size() - before < 12
+    assert found.count() == 3_001 and found.where("component != 0").count() == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,6 +38,16 @@ def give_back() -> None:
         trim(0)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark remove shuffle files and checkpoints that nothing refers to any more.
+
+    It removes them once the driver's JVM has collected its garbage, which may be never in a job whose
+    driver only plans: many rounds would leave the files of all of them on disk.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 0) -> Iterator[pa.RecordBatch]:
     """Split Arrow batches so that each part holds at most ``most`` (``SLICE_BYTES``) bytes of ``column``.
 
@@ -84,14 +95,8 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     e = checkpoint(e)
     before = None
     while True:
-        both = e.union(e.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
-        small = small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u != v").distinct()
-        e = checkpoint(small)
+        e = checkpoint(_starred(e))
+        let_go(edges.sparkSession)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
@@ -99,3 +104,14 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     stars = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.union(roots)
+
+
+def _starred(e: DataFrame) -> DataFrame:
+    """The edges ``(u, v)``, u > v, after a large-star and a small-star step."""
+    both = e.union(e.select(F.col("v"), F.col("u")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = large.where("u != v").distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
+    return small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u != v").distinct()

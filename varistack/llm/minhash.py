@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varistack.llm.common import checkpoint, components, shared_dir, slices
+from varistack.llm.common import checkpoint, components, let_go, shared_dir, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 22, 5
@@ -210,16 +210,20 @@ def near_copies(texts: DataFrame, signed: DataFrame, proposed: DataFrame, least:
     folder = f"{shared_dir(spark)}/near-{uuid.uuid4().hex}"
     asked = members.select("node").union(proposed.select("a")).union(proposed.select("b")).distinct()
     _texts_of(texts, asked).write.parquet(folder)
+    let_go(spark)
     known = spark.read.parquet(folder)
 
     stars = members.select("node", F.explode(F.array("low", "hub")).alias("star")).where("node != star")
     stars = stars.select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b"))
     stars = checkpoint(stars.union(proposed.select(F.least("a", "b"), F.greatest("a", "b"))).distinct())
     joined = components(_similar(stars, known, least, shingle))
+    let_go(spark)
     placed = members.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     apart = placed.join(mixed, "key").select("node", "component").distinct()
     known.join(apart, "node").write.parquet(f"{folder}-apart")
+    let_go(spark)
     across = _across(spark.read.parquet(f"{folder}-apart"), least, shingle).join(stars, ["a", "b"], "left_anti")
     more = _similar(checkpoint(across), known, least, shingle)
+    let_go(spark)
     return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
