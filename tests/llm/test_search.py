@@ -61,3 +61,40 @@ def test_odd_rows(spark, odd, none):
     assert s.search(none, asked).count() == 0 and s.search(odd, asked.limit(0)).count() == 0
     same = s.search(odd, odd.where("doc_id = 2").selectExpr("doc_id as query_id", "text"), 3).orderBy("rank").collect()
     assert [r.doc_id for r in same] == [1, 2, 2]
+
+
+def test_many_slices_and_a_first_look(spark, monkeypatch):
+    monkeypatch.setattr(s, "SHARD_DOCS", 37)
+    monkeypatch.setattr(s, "FIRST_OF", 3)
+    monkeypatch.setattr(s, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(s, "QUERY_BATCH", 5)
+    check(spark, corpus(), 10)
+    check(spark, corpus(), 1)
+
+
+def test_passes_read_the_documents_once(spark, monkeypatch):
+    """Each pass of queries used to read, cut and index all documents anew."""
+    monkeypatch.setattr(s, "QUERY_BLOCK", 6)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).mapInArrow(counted, "doc_id long, text string")
+    asked = spark.createDataFrame([r for r in rows if r[0] % 20 == 0], "query_id long, text string")
+    assert s.search(docs, asked, 3).count() == 3 * 20 and read.value == len(rows)
+
+
+def test_words_are_cut_alike():
+    import pyarrow as pa
+    import xxhash
+
+    texts = ["", None, "  ", "!!", "A b  b\x0b\x1cc\x85d e f É é İ ß \x00 x", "日本 語 a-b_c", "a" * 50, "﻿ q \U0001f600 r"]
+    row, at, n, size, term = s._bags(pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"]))
+    for i, text in enumerate(texts):
+        words = words_of(text or "")
+        own = Counter({xxhash.xxh64_intdigest(w): c for w, c in Counter(words).items()})
+        assert size[i] == len(words) and dict(zip(term[at[row == i]].astype("uint64").tolist(), n[row == i].tolist())) == own
